@@ -75,7 +75,7 @@ def targets(sizes: np.ndarray, weights: np.ndarray, max_repeat: float) -> np.nda
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
-    weights: tuple[float, ...] = (5, 2, 1), max_repeat: int = 3, block_words: int = 32, shard_words: int = 1 << 22, seed: int = 42, keep_rows: bool = False,
+    weights: tuple[float, ...] = (5, 2, 1), max_repeat: int = 3, block_words: int = 32, shard_words: int = 1 << 20, seed: int = 42, keep_rows: bool = False,
 ) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, size, source_size, target, taken`` and how it is
     taken: ``passes`` whole copies, then its words in ``[from1, to1)`` and ``[from2, to2)``.
@@ -100,7 +100,7 @@ def mix(
     totals = totals.iloc[sorted(range(len(totals)), key=lambda i: (totals.k[i] == "n", totals.k[i]))].reset_index(drop=True)
     size = totals.source_size.to_numpy(np.int64)
     target = targets(size, np.resize(np.asarray(weights, float), len(size)) if len(size) else np.zeros(0), max_repeat)
-    shards = np.maximum(1, -(-np.maximum(size // shard_words, totals.n.to_numpy(np.int64) // (1 << 17)))).astype(np.int64)
+    shards = np.maximum(1, -(-np.maximum(size // shard_words, totals.n.to_numpy(np.int64) // (1 << 14)))).astype(np.int64)
     quota = sainte_lague(target, int(round(target.sum() / block_words)), max_repeat * -(-size // block_words))
     sources = docs.sparkSession.createDataFrame(pa.table({"k": pa.array(totals.k, pa.string()), "source_size": size, "target": target, "shards": shards, "quota": quota}))
 
