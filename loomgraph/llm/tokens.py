@@ -22,10 +22,8 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +35,8 @@ SHARD = "shard long, n_docs long, n_ids long, ids binary, width int, ends_low bi
 READ = "shard long, doc_id long, start long, n_tokens long, ids_crc32 long"
 #: A shard's ids; a document that is longer makes a longer shard.
 SHARD_IDS = 1 << 22
-#: Pieces whose ids a worker remembers; then it starts anew, so memory is bounded.
-CACHE = 300_000
+#: Pieces in each of the two generations whose ids a worker remembers, which bounds its memory.
+CACHE = 600_000
 
 
 # Elias-Fano ---------------------------------------------------------------------------------------
@@ -99,8 +97,6 @@ class EliasFano:
 
 # Tokenizing ---------------------------------------------------------------------------------------
 
-#: White space other than single blanks and newlines between words, or a special token's mark: such texts are encoded in one piece.
-_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|  |\n\n| \n|\n |\A[ \n]|[ \n]\Z|<\|")
 _workers: dict[str, tuple] = {}
 
 
@@ -109,31 +105,64 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _workers[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        _workers[path] = (tokenizer, {}, {}, tokenizer.encode("\n", add_special_tokens=False).ids[-1])
     return _workers[path]
 
 
+def _learn(path: str, missing: set[str]) -> None:
+    """Adds the ids of these pieces to what the worker knows.
+
+    Of the last two generations of at most ``CACHE`` pieces what is used again stays. A word of Latin letters
+    and the stops after it are encoded apart, as the tokenizer itself does.
+    """
+    tokenizer, known, before, newline = _workers[path]
+    again = missing & before.keys()
+    known.update({p: before[p] for p in again})
+    plain = missing - again
+    cores = {}
+    for p in plain:
+        if p[-1] in ".,;:!?" and p[0] != "\n" and (core := p.rstrip(".,;:!?")).isalpha() and max(core) < "\u0250":
+            cores[p] = core
+    bare = {"\r" + p[1:] for p in plain if p[0] == "\n"} | {"\r" + p[len(c) :] for p, c in cores.items()}
+    new = list(({*plain, *cores.values()} - cores.keys() | bare) - known.keys())
+    new = [p for p in new if p[0] != "\n"]
+    for lo in range(0, len(new), 512):
+        some = new[lo : lo + 512]
+        # one call for many pieces, a newline after each; it is a token of its own
+        ids = np.array(tokenizer.encode_batch_fast(["".join([(p[1:] if p[0] == "\r" else " " + p) + "\n" for p in some])], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == newline) * 4
+        flat = ids.tobytes()
+        known.update(zip(some, [flat[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)], strict=True))
+    head = np.array([newline], "<u4").tobytes()
+    for p, core in cores.items():
+        if p[0] != "\n":
+            known[p] = known[core] + known["\r" + p[len(core) :]]
+    for p in plain:
+        if p[0] == "\n":
+            known[p] = head + known["\r" + p[1:]]
+
+
 def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     """The tokenizer's ids of each text.
 
-    The byte-level tokenizer never merges over the border between a word and the blank or newline
-    after it, so a text's ids are its pieces' ids in a row; pieces are encoded once and remembered.
+    The byte-level tokenizer never merges over the border between a word and the single blank or
+    newline before it, so a text's ids are its pieces' ids in a row, and a piece seen before need not
+    be encoded again. Texts with other white space or with a special token's mark are encoded whole.
     """
-    tokenizer, known = _tokenizer(path)
+    tokenizer, known, _, newline = _tokenizer(path)
     if len(known) > CACHE:
-        known.clear()
-    cut = []
+        _workers[path] = (tokenizer, {}, known, newline)
+        known = _workers[path][1]
+    cut: list[list[str] | None] = []
     for text in texts:
-        if _ODD.search(text):
-            cut.append(None)
-        else:
-            cut.append(text.replace("\n", " \n\x00").replace(" ", "\x01 ").replace("\n\x00", "\n\x01").split("\x01") if "\x00" not in text and "\x01" not in text else None)
-    new = list({p for pieces in cut if pieces is not None for p in pieces if p not in known})
-    fix = [p[1:] if p[:2] == " \n" else p for p in new]
-    for lo in range(0, len(new), 4096):
-        for p, e in zip(new[lo : lo + 4096], tokenizer.encode_batch_fast(fix[lo : lo + 4096], add_special_tokens=False), strict=True):
-            known[p] = e.ids
-    return [np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.uint32) if pieces is not None else np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32) for text, pieces in zip(texts, cut, strict=True)]
+        pieces = None
+        if "<|" not in text and text.replace("\n", " ").split(" ") == text.split():
+            pieces = text.replace("\n", " \n").split(" ")
+            pieces[0] = "\r" + pieces[0]
+        cut.append(pieces)
+    _learn(path, set().union(*[p for p in cut if p is not None]) - known.keys())
+    return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4") if pieces is not None else np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4") for text, pieces in zip(texts, cut, strict=True)]
 
 
 # Writing and reading ------------------------------------------------------------------------------
@@ -169,8 +198,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, id_col: str = "
         shard = TaskContext.get().partitionId() << 32  # ranges ascend with the partition's number
         ids, doc_ids, held = [], [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 1024):
+                some = batch.slice(lo, 1024)
                 for doc, x in zip(some.column(0).to_pylist(), encode_texts(some.column(1).to_pylist(), vocabulary), strict=True):
                     if held and held + len(x) >= SHARD_IDS:
                         yield pa.RecordBatch.from_pylist([_shard_row(shard, ids, doc_ids, width)], schema)
