@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontam, mixing, simhash, tokens, topk
+from loomgraph.llm import chat, decontam, mixing, simhash, tokens, topk, toxicity
 from loomgraph.session import shared_path, table
 
 
@@ -30,6 +30,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = F.lit("</s>[INST] ok [/INST]")
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_decontam": op2_decontam,
     "op3_simhash": op3_simhash,
+    "op5_toxicity": op5_toxicity,
     "op7_chat": op7_chat,
     "op8_tokens": op8_tokens,
     "op9_mix": op9_mix,
