@@ -83,14 +83,16 @@ def labelled_table(seed: int = 7, rows: int = 400) -> list[tuple[str, list[tuple
 
     def value(kind: str) -> str:
         if kind == "email":
-            host = pick(f"mail{digits(1)}.example.com", "example.org", f"{word()}.example.net")
             at, dot = pick(("@", "."), (" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[at]", "."))
-            return f"{pick(word(), f'{word()}.{digits(2)}', f'{word()}_{word()}')}{at}{host}".replace(".", dot) if at == " at " else f"{word()}{at}{host.replace('.', dot)}"
+            host = pick(f"mail{digits(1)}.example.com", "example.org", f"{word()}.example.net").replace(".", dot)
+            return pick(word(), f"{word()}.{digits(2)}", f"{word()}_{word()}", f"{word()}{digits(2)}") + at + host
         if kind == "ip":
             parts = [str(int(rng.integers(1, 256))) for _ in range(4)]
             return pick(".", ".", " dot ", "[.]").join(parts)
         if kind == "card":
-            return pick("", " ", "-", ".").join("4" * (i == 0) + digits(4 - (i == 0)) for i in range(4))
+            number = digits(15)
+            number += next(c for c in "0123456789" if luhn(number + c))
+            return pick("", " ", "-", ".").join(number[i : i + 4] for i in range(0, 16, 4))
         a, b, c = digits(3), "555", digits(4)
         return pick(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}) {b} {c}", f"+1-{a}-{b}-{c}", f"1-{a}-{b}-{c}")
 
@@ -237,7 +239,7 @@ class Field:
         return labels
 
 
-def train(table: list[tuple[str, list[tuple[int, int, str]]]], *, rounds: int = 60, rate: float = 0.3, decay: float = 1e-3) -> Field:
+def train(table: list[tuple[str, list[tuple[int, int, str]]]], *, rounds: int = 100, rate: float = 0.3, decay: float = 1e-3) -> Field:
     """The field that maximises the likelihood of the table's labels, by gradients from the
     forward-backward recursions."""
     data, offsets = utf8(pa.array([t for t, _ in table] or [""]))
