@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontam, lines, mixing, pii, simhash, tokens, topk, toxicity
+from loomgraph.llm import chat, decontam, lines, mixing, pii, simhash, suffix, tokens, topk, toxicity
 from loomgraph.session import shared_path, table
 
 
@@ -38,6 +38,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = F.lit("</s>[INST] ok [/INST]")
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
+    "op6_suffix": op6_suffix,
     "op7_chat": op7_chat,
     "op8_tokens": op8_tokens,
     "op9_mix": op9_mix,
