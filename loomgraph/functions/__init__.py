@@ -1 +1 @@
-
+"""Column-level functions: property predicates and texts."""
