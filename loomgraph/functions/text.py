@@ -11,9 +11,14 @@ from loomgraph.plans.model import QueryGraph
 
 
 def duration_text(ms: Column) -> Column:
-    """Milliseconds as ``ms``, ``sec``, ``min`` or ``hr``, two decimals but for the first."""
-    two = lambda x, unit: F.format_string("%.2f " + unit, x)
-    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms"))).when(ms < 60_000, two(ms / 1000, "sec")).when(ms < 3_600_000, two(ms / 60_000, "min")).when(ms.isNotNull(), two(ms / 3_600_000, "hr"))
+    """Whole milliseconds as ``ms``, ``sec``, ``min`` or ``hr``, but for the first with two decimals,
+    which are rounded from the exact value, half up."""
+
+    def two(unit: int, name: str) -> Column:
+        hundredths = F.floor((ms * 200 + unit) / F.lit(2 * unit)).cast("long")
+        return F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit(f" {name}"))
+
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms"))).when(ms < 60_000, two(1000, "sec")).when(ms < 3_600_000, two(60_000, "min")).when(ms.isNotNull(), two(3_600_000, "hr"))
 
 
 def middle(edge_id: Column) -> Column:

@@ -41,13 +41,13 @@ def shape_edges(found: DataFrame, query: QueryGraph) -> DataFrame:
 
 
 def edge_properties(found: DataFrame, query: QueryGraph, predicate_id: str) -> DataFrame:
-    """One edge pattern's edges with their properties; of parallel edges the one with the least uid.
+    """One edge pattern's edges with their properties; of parallel edges the one with the least uid (ties: least properties).
     A property ``source`` is shown as ``source_data``."""
     e = next(e for e in query.edges if e.predicate_id == predicate_id)
     a, b = query.node(e.source).type, query.node(e.target).type
     own = [c for c in found.columns if c.startswith(f"{predicate_id}__") and c.split("__", 1)[1] not in ("src", "dst", "uid")]
     plain = lambda c: "source_data" if c.split("__", 1)[1] == "source" else c.split("__", 1)[1]
-    rows = found.groupBy(key(a, F.col(f"{e.source}__id")).alias("source"), key(b, F.col(f"{e.target}__id")).alias("target")).agg(F.min_by(F.struct(F.lit(0).alias("_"), *[F.col(c).alias(plain(c)) for c in own]), f"{predicate_id}__uid").alias("p"))
+    rows = found.groupBy(key(a, F.col(f"{e.source}__id")).alias("source"), key(b, F.col(f"{e.target}__id")).alias("target")).agg(F.min(F.struct(F.col(f"{predicate_id}__uid").alias("uid"), *[F.col(c).alias(plain(c)) for c in own])).alias("p"))
     return rows.select(F.lit(f"{a}_{e.name}_{b}").alias("edge_id"), "source", "target", *[F.col(f"p.{plain(c)}") for c in own])
 
 

@@ -55,13 +55,13 @@ class GraphSchema:
                 for parent in _listed(entry.get("is_a")):
                     if parent not in seen:
                         found = properties(parent, (*seen, name)) | found
-            return found | {k: str(v) for k, v in (entry.get("properties") or {}).items()}
+            return found | {k: str(v.get("type", "str") if isinstance(v, dict) else v) for k, v in (entry.get("properties") or {}).items()}
 
         for name, entry in entries.items():
             if entry.get("represented_as") == "edge":
                 for source in _listed(entry.get("source")):
                     for target in _listed(entry.get("target")):
-                        for label in _listed(entry.get("output_label") or entry.get("label_as_edge") or entry.get("input_label") or name):
+                        for label in _listed(entry.get("output_label") or entry.get("input_label") or name):
                             out.edges[_name(source), _name(label), _name(target)] = properties(name)
             else:
                 out.nodes[_name(name)] = properties(name)

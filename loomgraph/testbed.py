@@ -16,11 +16,11 @@ def star_graph(spark: SparkSession, sf_dir: str) -> GraphCatalog:
     t = lambda name: table(spark, sf_dir, name)
     c = F.col
 
-    def vertices(name: str, id_: str, **properties: str) -> DataFrame:
-        return t(name).select(c(id_).cast("long").alias("id"), *[c(v).alias(k) for k, v in properties.items()])
+    def vertices(source: str, id_: str, /, **properties: str) -> DataFrame:
+        return t(source).select(c(id_).cast("long").alias("id"), *[c(v).alias(k) for k, v in properties.items()])
 
-    def edges(name: str, src: str, dst: str, uid, **properties: str) -> DataFrame:
-        return t(name).where(c(src).isNotNull() & c(dst).isNotNull()).select(c(src).cast("long").alias("src"), c(dst).cast("long").alias("dst"), uid.cast("long").alias("uid"), *[c(v).alias(k) for k, v in properties.items()])
+    def edges(source: str, src: str, dst: str, uid, /, **properties: str) -> DataFrame:
+        return t(source).where(c(src).isNotNull() & c(dst).isNotNull()).select(c(src).cast("long").alias("src"), c(dst).cast("long").alias("dst"), uid.cast("long").alias("uid"), *[c(v).alias(k) for k, v in properties.items()])
 
     line = c("l_orderkey") * 16 + c("l_linenumber")
     start = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
