@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +14,11 @@ Triple = tuple[str, str, str]
 class GraphCatalog:
     """Vertex frames have ``id`` and typed properties; edge frames ``src, dst, uid`` and properties.
 
-    Frames are lazy: a catalog costs nothing until a query reads from it, and then only the columns
-    that the query needs.
+    A frame may be given as a function that makes it, called when a query first asks for it; then
+    only the columns that the query needs are read.
     """
 
-    def __init__(self, spark: SparkSession, vertices: Mapping[str, DataFrame], edges: Mapping[Triple, DataFrame]):
+    def __init__(self, spark: SparkSession, vertices: Mapping[str, DataFrame | Callable[[], DataFrame]], edges: Mapping[Triple, DataFrame | Callable[[], DataFrame]]):
         self.spark, self._vertices, self._edges = spark, dict(vertices), dict(edges)
 
     @classmethod
@@ -27,10 +27,10 @@ class GraphCatalog:
         return cls(spark, {x: spark.read.parquet(f"{base}/vertices/label={x}") for x in labels}, {t: spark.read.parquet(f"{base}/edges/triple={'-'.join(t)}") for t in triples})
 
     def write(self, base: str) -> None:
-        for label, frame in self._vertices.items():
-            frame.write.mode("overwrite").parquet(f"{base}/vertices/label={label}")
-        for triple, frame in self._edges.items():
-            frame.write.mode("overwrite").parquet(f"{base}/edges/triple={'-'.join(triple)}")
+        for label in self._vertices:
+            self.vertices(label).write.mode("overwrite").parquet(f"{base}/vertices/label={label}")
+        for triple in self._edges:
+            self.edges(*triple).write.mode("overwrite").parquet(f"{base}/edges/triple={'-'.join(triple)}")
 
     def labels(self) -> list[str]:
         return list(self._vertices)
@@ -44,20 +44,26 @@ class GraphCatalog:
     def vertices(self, label: str) -> DataFrame:
         if label not in self._vertices:
             raise ValueError(f"no vertices of type '{label}'")
-        return self._vertices[label]
+        return self._made(self._vertices, label)
 
     def edges(self, source: str, name: str, target: str) -> DataFrame:
         if (source, name, target) not in self._edges:
             raise ValueError(f"no edges '{name}' from '{source}' to '{target}'")
-        return self._edges[source, name, target]
+        return self._made(self._edges, (source, name, target))
+
+    @staticmethod
+    def _made(frames: dict, key: str | Triple) -> DataFrame:
+        if callable(frames[key]):
+            frames[key] = frames[key]()
+        return frames[key]
 
     def all_vertices(self) -> DataFrame:
         """``(type, id)`` of every vertex."""
-        return reduce(DataFrame.unionAll, [v.select(F.lit(x).alias("type"), F.col("id").cast("string").alias("id")) for x, v in self._vertices.items()])
+        return reduce(DataFrame.unionAll, [v.select(F.lit(x).alias("type"), F.col("id").cast("string").alias("id")) for x in self._vertices for v in (self.vertices(x),)])
 
     def all_edges(self) -> DataFrame:
         """``(source_type, type, target_type, source, target)`` of every edge."""
-        return reduce(DataFrame.unionAll, [e.select(F.lit(a).alias("source_type"), F.lit(t).alias("type"), F.lit(b).alias("target_type"), F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target")) for (a, t, b), e in self._edges.items()])
+        return reduce(DataFrame.unionAll, [e.select(F.lit(a).alias("source_type"), F.lit(t).alias("type"), F.lit(b).alias("target_type"), F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target")) for a, t, b in self._edges for e in (self.edges(a, t, b),)])
 
     def counts(self) -> dict[Triple, int]:
         """Edges by triple, for ordering patterns."""

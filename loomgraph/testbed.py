@@ -24,28 +24,27 @@ def star_graph(spark: SparkSession, sf_dir: str) -> GraphCatalog:
 
     line = c("l_orderkey") * 16 + c("l_linenumber")
     start = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-    events = t("events")
     return GraphCatalog(
         spark,
         {
-            "region": vertices("region", "r_regionkey", name="r_name"),
-            "nation": vertices("nation", "n_nationkey", name="n_name"),
-            "customer": vertices("customer", "c_custkey", name="c_name", acctbal="c_acctbal", mktsegment="c_mktsegment"),
-            "supplier": vertices("supplier", "s_suppkey", name="s_name", acctbal="s_acctbal"),
-            "orders": vertices("orders", "o_orderkey", status="o_orderstatus", priority="o_orderpriority", totalprice="o_totalprice"),
-            "part": vertices("part", "p_partkey", name="p_name", brand="p_brand", type="p_type", size="p_size"),
-            "user": events.where("user_id IS NOT NULL").select(c("user_id").alias("id")).distinct(),
-            "event": vertices("events", "event_id", event_type="event_type", value="value"),
-            "interval": events.select(c("event_id").cast("long").alias("id"), c("event_type").alias("chr"), start.alias("start"), (start + F.floor("value") * STRETCH).alias("end")),
+            "region": lambda: vertices("region", "r_regionkey", name="r_name"),
+            "nation": lambda: vertices("nation", "n_nationkey", name="n_name"),
+            "customer": lambda: vertices("customer", "c_custkey", name="c_name", acctbal="c_acctbal", mktsegment="c_mktsegment"),
+            "supplier": lambda: vertices("supplier", "s_suppkey", name="s_name", acctbal="s_acctbal"),
+            "orders": lambda: vertices("orders", "o_orderkey", status="o_orderstatus", priority="o_orderpriority", totalprice="o_totalprice"),
+            "part": lambda: vertices("part", "p_partkey", name="p_name", brand="p_brand", type="p_type", size="p_size"),
+            "user": lambda: t("events").where("user_id IS NOT NULL").select(c("user_id").alias("id")).distinct(),
+            "event": lambda: vertices("events", "event_id", event_type="event_type", value="value"),
+            "interval": lambda: t("events").select(c("event_id").cast("long").alias("id"), c("event_type").alias("chr"), start.alias("start"), (start + F.floor("value") * STRETCH).alias("end")),
         },
         {
-            ("nation", "in_region", "region"): edges("nation", "n_nationkey", "n_regionkey", c("n_nationkey")),
-            ("customer", "in_nation", "nation"): edges("customer", "c_custkey", "c_nationkey", c("c_custkey")),
-            ("supplier", "in_nation", "nation"): edges("supplier", "s_suppkey", "s_nationkey", c("s_suppkey")),
-            ("customer", "placed", "orders"): edges("orders", "o_custkey", "o_orderkey", c("o_orderkey")),
-            ("orders", "contains", "part"): edges("lineitem", "l_orderkey", "l_partkey", line, quantity="l_quantity", price="l_extendedprice", discount="l_discount", returnflag="l_returnflag"),
-            ("supplier", "supplies", "part"): edges("lineitem", "l_suppkey", "l_partkey", line),
-            ("supplier", "ships", "orders"): edges("lineitem", "l_suppkey", "l_orderkey", line),
-            ("user", "emits", "event"): edges("events", "user_id", "event_id", c("event_id")),
+            ("nation", "in_region", "region"): lambda: edges("nation", "n_nationkey", "n_regionkey", c("n_nationkey")),
+            ("customer", "in_nation", "nation"): lambda: edges("customer", "c_custkey", "c_nationkey", c("c_custkey")),
+            ("supplier", "in_nation", "nation"): lambda: edges("supplier", "s_suppkey", "s_nationkey", c("s_suppkey")),
+            ("customer", "placed", "orders"): lambda: edges("orders", "o_custkey", "o_orderkey", c("o_orderkey")),
+            ("orders", "contains", "part"): lambda: edges("lineitem", "l_orderkey", "l_partkey", line, quantity="l_quantity", price="l_extendedprice", discount="l_discount", returnflag="l_returnflag"),
+            ("supplier", "supplies", "part"): lambda: edges("lineitem", "l_suppkey", "l_partkey", line),
+            ("supplier", "ships", "orders"): lambda: edges("lineitem", "l_suppkey", "l_orderkey", line),
+            ("user", "emits", "event"): lambda: edges("events", "user_id", "event_id", c("event_id")),
         },
     )
