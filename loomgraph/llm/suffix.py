@@ -26,46 +26,39 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.textkit import mixed, slices, utf8
+from loomgraph.llm.textkit import Spans, slices, utf8
 from loomgraph.session import checkpointed, parallelism
 
 LENGTH = 100
 #: A perfect difference set: every nonzero remainder modulo 57 is a difference of two of these, once.
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 NAMED = LENGTH - PERIOD + 1
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_ENTRIES = 2 << 20
-_BASE = 0x9E3779B97F4A7C15
 _REPLY = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
 _REPLY_SQL = "block int, kind int, bucket int, bits binary"
 _WORK_SQL = "bucket int, block int, entries binary"
 
 
-def windows(data: np.ndarray, size: int) -> np.ndarray:
-    """The 64-bit image of the ``size`` bytes from each position (of fewer at the end), by doubling."""
-    with np.errstate(over="ignore"):
-        power, n = np.uint64(_BASE), len(data)
-        piece, have = data.astype(np.uint64) + np.uint64(1), 1
-        out, done = None, 0
-        while True:
-            if size & have:
-                if out is None:
-                    out, done = piece.copy(), have
-                else:
-                    out *= power
-                    out[: max(0, n - done)] += piece[done:]
-                    done += have
-            if done == size:
-                return mixed(out)
-            longer = piece * power
-            longer[: max(0, n - have)] += piece[have:]
-            piece, have, power = longer, have * 2, power * power
+def same_runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts the values, where each run of equal ones begins in it, and each one's run."""
+    order = np.argsort(values)
+    ranked = values[order]
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    return order, np.flatnonzero(fresh), np.cumsum(fresh) - 1
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
 
 
 class Block:
@@ -82,49 +75,48 @@ class Block:
         self.table = self.table.filter(pa.array(keep, pa.bool_()))
         self.data, self.offsets = utf8(self.table.column("text"))
 
-    def sample(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the sample and the names of the bytes there."""
-        at, names = [], []
-        cover = np.array(COVER)
-        for lo, hi in slices(self.offsets):
+    def images(self, at: np.ndarray, size: int) -> np.ndarray:
+        """64-bit images of the ``size`` bytes from each of the ascending positions."""
+        out = np.zeros(len(at), np.uint64)
+        for lo, hi in slices(self.offsets, 256 << 10):
             a, b = self.offsets[lo], self.offsets[hi]
-            image = windows(self.data[a:b], NAMED)
-            for i in range(lo, hi):
-                n = self.offsets[i + 1] - self.offsets[i]
-                own = (np.arange(0, n, PERIOD)[:, None] + cover).ravel()
-                at.append(own[own + NAMED <= n] + self.offsets[i])
-            got = np.concatenate(at[-(hi - lo) :]) if hi > lo else np.zeros(0, np.int64)
-            names.append(image[got - a])
-        return (np.concatenate(at), np.concatenate(names)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            x, y = np.searchsorted(at, [a, b])
+            if y > x:
+                out[x:y] = Spans(self.data[a:b]).hash(at[x:y] - a, at[x:y] - a + size)
+        return out
+
+    def sample(self) -> np.ndarray:
+        """Positions of the sample, in order."""
+        cover, found = np.array(COVER), [np.zeros(0, np.int64)]
+        for a, b in pairwise(self.offsets.tolist()):
+            own = (np.arange(a, b, PERIOD)[:, None] + cover).ravel()
+            found.append(own[: np.searchsorted(own, b - NAMED, side="right")])
+        return np.concatenate(found)
 
     def bits(self, kind: int, bucket: int, n: int) -> np.ndarray:
         bits = self.said.get((kind, bucket))
         return np.zeros(n, bool) if bits is None else np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
 
     def tied(self, buckets: int) -> np.ndarray:
-        """Positions of the sample whose name is also elsewhere, in this block or another."""
-        at, names = self.sample()
-        values, where, count = np.unique(names, return_inverse=True, return_counts=True)
-        tie = count > 1
-        for bucket, own in by_bucket(values, 32, buckets):
+        """Which positions of the sample have a name that is also elsewhere, in this block or another."""
+        names = self.images(self.sample(), NAMED)
+        order, starts, run = same_runs(names)
+        tie = np.diff(np.append(starts, len(names))) > 1
+        for bucket, own in by_bucket(names[order[starts]], 32, buckets):
             tie[own] |= self.bits(1, bucket, len(own))
-        return at[tie[where]]
+        out = np.zeros(len(names), bool)
+        out[order] = tie[run]
+        return out
 
-    def candidates(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions, in order, of suffixes that may tie to full depth, and the images of their prefixes."""
-        cover = np.zeros(len(self.data) + 1, np.int32)
-        at = self.tied(buckets)
+    def candidates(self, tied: np.ndarray) -> np.ndarray:
+        """Positions, in order, of suffixes that may tie to full depth: those within reach of a tied one."""
+        at = self.sample()[tied]
         doc = np.searchsorted(self.offsets, at, side="right") - 1
-        np.add.at(cover, np.maximum(at - PERIOD + 1, self.offsets[doc]), 1)
-        np.add.at(cover, np.maximum(np.minimum(at + 1, self.offsets[doc + 1] - LENGTH + 1), np.maximum(at - PERIOD + 1, self.offsets[doc])), -1)
-        place = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
-        images = np.zeros(len(place), np.uint64)
-        for lo, hi in slices(self.offsets):
-            a, b = self.offsets[lo], self.offsets[hi]
-            own = slice(*np.searchsorted(place, [a, b]))
-            if own.stop > own.start:
-                images[own] = windows(self.data[a:b], LENGTH)[place[own] - a]
-        return place, images
+        first = np.maximum(at - PERIOD + 1, self.offsets[doc])
+        after = np.maximum(np.minimum(at, self.offsets[doc + 1] - LENGTH) + 1, first)
+        cover = np.bincount(first, minlength=len(self.data) + 1).astype(np.int32)
+        cover -= np.bincount(after, minlength=len(self.data) + 1).astype(np.int32)
+        return np.flatnonzero(np.cumsum(cover, dtype=np.int32)[:-1] > 0)
 
 
 def by_bucket(values: np.ndarray, shift: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -151,14 +143,18 @@ def rank_sample(work: pa.Table) -> pa.Table:
     """One bucket of sample names: which are in more than one block."""
     work = work.sort_by("block")
     entries = [np.frombuffer(e.as_py(), "<u4") for e in work.column("entries")]
-    every = np.sort(np.concatenate(entries))
-    tied = np.unique(every[1:][every[1:] == every[:-1]])
-    hit = [tied[np.minimum(np.searchsorted(tied, e), len(tied) - 1)] == e if len(tied) else np.zeros(len(e), bool) for e in entries]
-    return _replies(1, work.column("bucket")[0].as_py(), work.column("block").to_pylist(), hit)
+    order, starts, run = same_runs(np.concatenate(entries))
+    tied = np.zeros(len(order), bool)
+    tied[order] = (np.diff(np.append(starts, len(order))) > 1)[run]
+    return _replies(1, work.column("bucket")[0].as_py(), work.column("block").to_pylist(), np.split(tied, np.cumsum([len(x) for x in entries])[:-1]))
 
 
 def sort_bucket(work: pa.Table) -> pa.Table:
-    """One bucket of suffixes: which have their prefix in an earlier block too."""
+    """One bucket of suffixes: which have their prefix in an earlier block too. (A block's own bits,
+    in a bucket of their own below 0, are passed on.)"""
+    bucket = work.column("bucket")[0].as_py()
+    if bucket < 0:
+        return pa.table({"block": work.column("block"), "kind": pa.array([3] * work.num_rows, pa.int32()), "bucket": pa.array([0] * work.num_rows, pa.int32()), "bits": work.column("entries")}, schema=_REPLY)
     work = work.sort_by("block")
     lists = []
     for e in work.column("entries"):
@@ -166,12 +162,10 @@ def sort_bucket(work: pa.Table) -> pa.Table:
         wide = np.zeros((len(narrow), 8), np.uint8)
         wide[:, :7] = narrow
         lists.append(wide.view("<u8").ravel())
-    every = np.concatenate(lists)
-    order = np.argsort(every, kind="stable")
-    later = np.zeros(len(every), bool)
-    later[order[1:]] = every[order[1:]] == every[order[:-1]]
-    cuts = np.cumsum([len(x) for x in lists])[:-1]
-    return _replies(2, work.column("bucket")[0].as_py(), work.column("block").to_pylist(), np.split(later, cuts))
+    order, starts, run = same_runs(np.concatenate(lists))
+    later = np.zeros(len(order), bool)
+    later[order] = order != np.minimum.reduceat(order, starts)[run]
+    return _replies(2, bucket, work.column("block").to_pylist(), np.split(later, np.cumsum([len(x) for x in lists])[:-1]))
 
 
 def _range_number(column: Column, bounds: list[float]) -> Column:
@@ -221,7 +215,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if not table.num_rows:
                 return _work([])
             k = table.column("block")[0].as_py()
-            values = np.unique(Block(table, said).sample()[1])
+            own_block = Block(table, said)
+            values = distinct(own_block.images(own_block.sample(), NAMED))
             return _work([(b, k, values[own].astype("<u4").tobytes()) for b, own in by_bucket(values, 32, names)])
 
         ranked = held().cogroup(told.groupBy("block")).applyInArrow(sample, _WORK_SQL).groupBy("bucket").applyInArrow(rank_sample, _REPLY_SQL)
@@ -231,8 +226,10 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if not table.num_rows:
                 return _work([])
             k = table.column("block")[0].as_py()
-            values = np.unique(Block(table, said).candidates(names)[1])
-            return _work([(b, k, values[own].view(np.uint8).reshape(-1, 8)[:, :7].tobytes()) for b, own in by_bucket(values, 48, suffixes)])
+            own_block = Block(table, said)
+            tied = own_block.tied(names)
+            values = distinct(own_block.images(own_block.candidates(tied), LENGTH))
+            return _work([(-1 - k, k, np.packbits(tied).tobytes()), *((b, k, values[own].view(np.uint8).reshape(-1, 8)[:, :7].tobytes()) for b, own in by_bucket(values, 48, suffixes))])
 
         placed = held().cogroup(told.groupBy("block")).applyInArrow(deal, _WORK_SQL).groupBy("bucket").applyInArrow(sort_bucket, _REPLY_SQL)
         told = checkpointed(told.unionAll(placed))
@@ -242,25 +239,25 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if not table.num_rows:
                 return table.select(["doc_id", "sha"]).append_column("n_removed", pa.array([], pa.int64())).append_column("n_spans", pa.array([], pa.int64())).append_column("kept_sha256", pa.array([], pa.string()))
             own = Block(table, said)
-            place, images = own.candidates(names)
-            values, at, where = np.unique(images, return_index=True, return_inverse=True)
-            earlier = np.zeros(len(values), bool)
-            for b, some in by_bucket(values, 48, suffixes):
+            place = own.candidates(own.bits(3, 0, len(own.sample())))
+            images = own.images(place, LENGTH)
+            order, starts, run = same_runs(images)
+            earlier = np.zeros(len(starts), bool)
+            for b, some in by_bucket(images[order[starts]], 48, suffixes):
                 earlier[some] = own.bits(2, b, len(some))
-            again = earlier[where] | (at[where] != np.arange(len(place)))
-            cover = np.zeros(len(own.data) + 1, np.int32)
-            cover[place[again]] += 1
-            np.subtract.at(cover, place[again] + LENGTH, 1)
-            gone = np.cumsum(cover)[:-1] > 0
-            removed = np.concatenate([[0], np.cumsum(gone)])
+            again = place[order[earlier[run] | (order != np.minimum.reduceat(order, starts)[run])]] if len(order) else place
+            cover = np.bincount(again, minlength=len(own.data) + 1).astype(np.int32)
+            cover -= np.bincount(again + LENGTH, minlength=len(own.data) + 1).astype(np.int32)
+            gone = np.cumsum(cover, dtype=np.int32)[:-1] > 0
             opens = gone.copy()
             opens[1:] &= ~gone[:-1]
             heads_ = own.offsets[:-1]
             opens[heads_] = gone[heads_]
-            spans = np.concatenate([[0], np.cumsum(opens)])
-            kept, start = own.data[~gone], own.offsets - removed[own.offsets]
-            sha = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
-            return own.table.select(["doc_id", "sha"]).append_column("n_removed", pa.array(np.diff(removed[own.offsets]))).append_column("n_spans", pa.array(np.diff(spans[own.offsets]))).append_column("kept_sha256", pa.array(sha, pa.string()))
+            per = lambda flags: np.add.reduceat(flags, heads_, dtype=np.int64) if len(heads_) else np.zeros(0, np.int64)
+            removed, spans = per(gone), per(opens)
+            kept, ends = own.data[~gone], np.cumsum(np.diff(own.offsets) - removed)
+            sha = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(ends) else []
+            return own.table.select(["doc_id", "sha"]).append_column("n_removed", pa.array(removed)).append_column("n_spans", pa.array(spans)).append_column("kept_sha256", pa.array(sha, pa.string()))
 
         found = checkpointed(held().cogroup(told.groupBy("block")).applyInArrow(mark, f"doc_id {kind.simpleString()}, sha string, n_removed long, n_spans long, kept_sha256 string"))
     finally:
