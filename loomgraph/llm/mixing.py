@@ -33,12 +33,10 @@ def sainte_lague(weights: np.ndarray, seats: int, most: np.ndarray) -> np.ndarra
     All weights zero, or ``most`` reached everywhere, leave seats undealt.
     """
     w, most = np.asarray(weights, float), np.asarray(most, np.int64)
-    at = lambda d: np.minimum(np.floor(w / d + 0.5).astype(np.int64), most)  # noqa: E731  seats with quotients of d / 2 at least
+    at = lambda d: np.minimum(np.floor(w / d + 0.5), most).astype(np.int64)  # noqa: E731  seats with quotients of d / 2 at least
     if seats <= 0 or not (w > 0).any():
         return np.zeros(len(w), np.int64)
-    lo, hi = w.sum() / (seats + len(w) + 1.0), 2 * w.max() + 1
-    while at(lo).sum() < min(seats, int(most[w > 0].sum())):
-        lo /= 2
+    lo, hi = 0.0, 2 * w.max() + 1
     for _ in range(200):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if at(mid).sum() > seats else (lo, mid)
