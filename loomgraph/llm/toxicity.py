@@ -28,6 +28,8 @@ from loomgraph.session import checkpointed
 POSITIVES, UNLABELLED = 4000, 12000
 #: Features considered (by how many positives have them), and kept (by how far they tell).
 CONSIDERED, FEATURES = 20_000, 512
+#: A feature is kept only if positives have it more often by that many standard errors.
+TELLING = 2.5
 #: Lengths in bytes of the word beginnings that are features beside the words.
 BEGINNINGS = (4, 5, 6)
 
@@ -137,7 +139,8 @@ def learn(docs: DataFrame, positives: DataFrame, prior: float, id_col: str = "do
     share = lambda which: np.bincount(np.concatenate([np.zeros(0, np.int64), *[x for x, w in zip(lists, which, strict=True) if w]]), minlength=len(considered)) / max(1, which.sum())
     a, b = share(is_p), share(is_u)
     tells = (a - b) / np.sqrt(np.maximum(a, b) * (1 - np.minimum(a, b)) / max(1, is_p.sum()) + 1e-9)
-    chosen_at = np.sort(np.argsort(-tells, kind="stable")[:FEATURES])
+    chosen_at = np.argsort(-tells, kind="stable")[:FEATURES]
+    chosen_at = np.sort(chosen_at[tells[chosen_at] >= TELLING])
     column = np.full(len(considered), -1)
     column[chosen_at] = np.arange(len(chosen_at))
 
