@@ -77,17 +77,13 @@ class Templates:
         self.slot = number | name | unit
         self.codes = np.where(self.slot, mixed(_SLOTS[np.where(number, 0, np.where(name, 1, 2))]), self.hashes)
 
-    def windows(self, row: int | None, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """First words and hashes of the windows with at least ``literals`` plain words, of one row or of all.
+    def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words and hashes of the windows with at least ``literals`` plain words.
 
         A row with fewer words than ``size`` has one window: all of it."""
-        first, last = (self.first[:-1], self.first[1:]) if row is None else (self.first[row : row + 1], self.first[row + 1 : row + 2])
-        ok = np.zeros(len(self.codes) + 1, np.int64)
-        ok[first] += 1
-        np.add.at(ok, last, -1)
-        width = np.repeat(np.minimum(last - first, size), last - first)
-        i = np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True)]) if len(first) else np.zeros(0, np.int64)
-        end = np.repeat(last, last - first)
+        count = np.diff(self.first)
+        width, end = np.repeat(np.minimum(count, size), count), np.repeat(self.first[1:], count)
+        i = np.arange(len(self.codes))
         i, width = i[i + width <= end], width[i + width <= end]
         plain = np.concatenate([[0], np.cumsum(~self.slot)])
         good = plain[i + width] - plain[i] >= np.minimum(literals, width)
@@ -109,7 +105,7 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, *, window: int
             ids = batch.column(0).to_pylist()
             for lo, hi in slices(offsets):
                 t = Templates(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                at, h = t.windows(None, window, literals)
+                at, h = t.windows(window, literals)
                 row = np.searchsorted(t.first, at, side="right") - 1
                 total = np.bincount(row, minlength=hi - lo)
                 if bits is not None:
@@ -139,7 +135,6 @@ def contaminated(
     items = template_windows(benchmark, item_col, item_text, window=window, literals=literals).where("id IS NOT NULL")
     items = items.select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), F.col("total").alias("n_windows"), "h", F.col("slots").alias("islots")).distinct()
     found = template_windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, window=window, literals=literals, bits=bitmap(items, "h"))
-    # within a document one row for each window, its places together: a common line joins once a document
     hits = found.select(F.col("id").alias("doc_id"), "pos", "h", "slots").join(items, "h").where(F.size("slots") == F.size("islots"))
     same = F.col("slots") == F.col("islots")
     pairs = F.filter(F.arrays_zip("islots", "slots"), lambda p: p["islots"].isNotNull())
