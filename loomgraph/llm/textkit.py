@@ -31,7 +31,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return held[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 512 << 10) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most ``limit`` bytes each; a longer row stands alone and whole."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -85,7 +85,15 @@ class Spans:
         return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
-def crc32_of(text: str) -> int:
-    import zlib
+#: A byte's bits as the bytes of a 64-bit word, so that one addition counts eight bits.
+_SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).view("<u8").ravel()
 
-    return zlib.crc32(text.encode())
+
+def bit_votes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each of the groups of hashes, which follow one another without a gap and none of which is
+    empty, how many have each of the 64 bits set. Up to 255 are summed in bytes at a time."""
+    pieces = -(-(ends - starts) // 255)
+    first = np.concatenate([[0], np.cumsum(pieces)])[:-1]
+    cuts = np.repeat(starts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    some = np.add.reduceat(_SPREAD[hashes.view(np.uint8).reshape(-1, 8)], cuts, axis=0).view(np.uint8).reshape(-1, 64)
+    return some if len(some) == len(starts) else np.add.reduceat(some, first, axis=0, dtype=np.int64)
