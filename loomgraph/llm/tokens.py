@@ -36,7 +36,7 @@ READ = "shard long, doc_id long, start long, n_tokens long, ids_crc32 long"
 #: A shard's ids; a document that is longer makes a longer shard.
 SHARD_IDS = 1 << 22
 #: Pieces in each of the two generations whose ids a worker remembers, which bounds its memory.
-CACHE = 600_000
+CACHE = 300_000
 
 
 # Elias-Fano ---------------------------------------------------------------------------------------

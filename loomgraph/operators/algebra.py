@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import middle
 from loomgraph.operators.components import connected_components
+from loomgraph.operators.result import roll_up
 
 
 def incident(edges: DataFrame) -> DataFrame:
@@ -209,3 +210,17 @@ def maybe_isomorphic(nodes1: DataFrame, edges1: DataFrame, nodes2: DataFrame, ed
     """False if the graphs surely differ in shape; True is no proof that they don't."""
     a, b = colour_histogram(nodes1, edges1), colour_histogram(nodes2, edges2)
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def localised(edges: DataFrame, children: DataFrame, places: DataFrame, parents: DataFrame, label: str = "protein", members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The part of a grouped graph between nodes of one label, with where each of them is.
+
+    Groups are broken up first. ``places(member, term)`` says where nodes are, ``parents(child, parent)``
+    takes a term up one step. Returns ``(id, location)``, comma-joined, null where nothing is known, and
+    the edges between these nodes.
+    """
+    own = lambda c: F.substring_index(c, " ", 1) == label
+    inside = break_grouping(children, edges, members).where(own("source") & own("target"))
+    nodes = inside.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    located = roll_up(places, parents).select(F.col("member").alias("id"), F.col("terms").alias("location"))
+    return nodes.join(located, "id", "left"), inside

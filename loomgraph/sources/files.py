@@ -95,3 +95,10 @@ def write_vcf(variants: DataFrame, path: str, name: str) -> None:
     rows = vcf_rows(variants).select(F.lit(99).alias("part"), "chr", "start", "line")
     head = vcf_header(variants, name).select("part", "chr", F.lit(0).cast("long").alias("start"), "line")
     head.unionByName(rows).orderBy("part", "chr", "start", "line").select("line").write.mode("overwrite").text(path)
+
+
+def read_edge_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``(edge_key, name, count)`` of a statistics file ``{"key": {"count": n, "name": text}}``."""
+    whole = spark.read.option("multiLine", "true").text(path, wholetext=True)
+    each = F.explode(F.from_json("value", "map<string, struct<count: bigint, name: string>>")).alias("edge_key", "v")
+    return whole.select(each).select("edge_key", F.col("v.name").alias("name"), F.col("v.count").alias("count"))

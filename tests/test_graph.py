@@ -191,3 +191,13 @@ def test_history(spark):
     assert rows(history.page(df, "id", 2, 2).select("id")) == [(1,)]
     assert rows(history.reusable(df).select("id")) == [(1,)]
     assert history.with_participant(df, "z").where("id = 3").first().participants == ["z"]
+
+
+def test_localised_part_of_a_grouped_graph(spark):
+    nodes, edges = plain(spark, ["protein a", "protein b", "protein c", "gene g"], [("protein a", "e", "protein b"), ("protein a", "e", "protein c"), ("gene g", "f", "protein a")])
+    children, _, grouped = algebra.group_parents(nodes, edges)
+    places = spark.createDataFrame([("protein a", "T1"), ("protein b", "T2"), ("protein b", "T3")], "member string, term string")
+    parents = spark.createDataFrame([("T2", "T0"), ("T3", "T1")], "child string, parent string")
+    where, inside = algebra.localised(grouped, children, places, parents)
+    assert sorted((r.id, r.location or "") for r in where.collect()) == [("protein a", "T1"), ("protein b", "T0,T1"), ("protein c", "")]
+    assert rows(inside.select("source", "target")) == [("protein a", "protein b"), ("protein a", "protein c")]

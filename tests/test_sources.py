@@ -95,3 +95,17 @@ def test_catalog_round_trip(spark, tmp_path):
     assert g.counts() == {("a", "e", "a"): 1} and g.vertices("a").count() == 1
     with pytest.raises(ValueError, match="no vertices"):
         g.vertices("b")
+
+
+def test_results_are_kept_by_fingerprint(spark, tmp_path):
+    from loomgraph.sources.results import kept_or_computed
+
+    calls = []
+    make = lambda: calls.append(1) or spark.range(3)
+    assert [kept_or_computed(spark, str(tmp_path), "f", make).count() for _ in range(2)] == [3, 3] and len(calls) == 1
+    assert kept_or_computed(spark, str(tmp_path), "f", make, anew=True).count() == 3 and len(calls) == 2
+
+
+def test_edge_counts(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"expressed_in": {"count": 5, "name": "expressed in"}}))
+    assert files.read_edge_counts(spark, str(tmp_path / "c.json")).first()[:] == ("expressed_in", "expressed in", 5)
