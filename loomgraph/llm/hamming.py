@@ -43,12 +43,18 @@ class Forest:
         return own[self.root != own], self.root[self.root != own]
 
 
-def compare(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within ``x`` (``y`` None) or between ``x`` and ``y``."""
-    both = [np.sort(x) if y is None else x] if y is None else [x, y]
-    sides = []
-    for side in both:
-        side = side[np.argsort(np.bitwise_count(side & _HALF), kind="stable")]
+def compare(x: np.ndarray, y: np.ndarray | None, radius: int, sketches: tuple[np.ndarray, ...] | None = None, agree: float = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within ``x`` (``y`` None) or between ``x`` and ``y``.
+
+    With ``sketches`` (a row of values for each fingerprint of ``x`` and ``y``) a link also needs the
+    share ``agree`` of equal values; pairs that are joined already are not looked at again.
+    """
+    sides, ranked = [], []
+    for n, side in enumerate([x] if y is None else [x, y]):
+        order = np.argsort(np.bitwise_count(side & _HALF), kind="stable")
+        side = side[order]
+        if sketches is not None:
+            ranked.append(sketches[n][order])
         lo, hi = np.bitwise_count(side & _HALF).astype(int), np.bitwise_count(side >> np.uint64(32)).astype(int)
         cut = range(0, len(side), _BLOCK)
         sides.append((side, [(i, min(i + _BLOCK, len(side)), lo[i : i + _BLOCK].min(), lo[i : i + _BLOCK].max(), hi[i : i + _BLOCK].min(), hi[i : i + _BLOCK].max()) for i in cut]))
@@ -60,19 +66,31 @@ def compare(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarra
             if y is None and j0 < i0 or max(0, m0 - l1, l0 - m1) + max(0, g0 - h1, h0 - g1) > radius:
                 continue
             i, j = np.nonzero(np.bitwise_count(a[i0:i1, None] ^ b[None, j0:j1]) <= radius)
-            if len(i):
-                forest.add(i + i0, j + j0 + base)
+            i, j = i + i0, j + j0 + base
+            if sketches is None:
+                if len(i):
+                    forest.add(i, j)
+                continue
+            for lo in range(0, len(i), 8192):
+                p, q = i[lo : lo + 8192], j[lo : lo + 8192]
+                apart = forest.root[p] != forest.root[q]
+                p, q = p[apart], q[apart]
+                like = (ranked[0][p] == ranked[-1][q - base]).mean(1) >= agree
+                if like.any():
+                    forest.add(p[like], q[like])
     nodes = np.concatenate([a, b]) if base else a
     i, j = forest.links()
     return nodes[i], nodes[j]
 
 
-def hamming_links(prints: DataFrame, fp: str, radius: int, tile: int = TILE) -> DataFrame:
+def hamming_links(prints: DataFrame, fp: str, radius: int, tile: int = TILE, *, sketch: str | None = None, agree: float = 0) -> DataFrame:
     """Rows ``(a, b)`` of fingerprints, such that two of the distinct fingerprints in the long column
     ``fp`` can be reached from one another by them exactly if they can by steps of at most ``radius``
-    bits. Null fingerprints link nothing.
+    bits. Null fingerprints link nothing. With the binary column ``sketch`` (16-bit values) a step
+    also needs the share ``agree`` of equal values; of one fingerprint's sketches the least stands.
     """
-    own = checkpointed(prints.where(F.col(fp).isNotNull()).select(F.col(fp).alias("fp")).distinct().withColumn("ones", F.bit_count("fp")))
+    own = prints.where(F.col(fp).isNotNull()).groupBy(F.col(fp).alias("fp")).agg((F.min(sketch) if sketch else F.lit(b"")).alias("sketch"))
+    own = checkpointed(own.withColumn("ones", F.bit_count("fp")))
     held = {r.ones: r.n for r in own.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     tiles, first, n = [], [0] * 66, 0
     for ones in range(65):
@@ -83,15 +101,18 @@ def hamming_links(prints: DataFrame, fp: str, radius: int, tile: int = TILE) ->
     at = lambda table, i: F.element_at(F.array(*[F.lit(v) for v in table]), (i + 1).cast("int"))
     ones = F.col("ones")
     number = at(first[:65], ones) + F.pmod(F.xxhash64("fp"), at(tiles, ones)).cast("int")
-    packed = own.groupBy(number.alias("t")).agg(F.collect_list("fp").alias("fps"), F.first("ones").alias("ones"))
+    packed = own.groupBy(number.alias("t")).agg(F.collect_list("fp").alias("fps"), F.collect_list("sketch").alias("sketches"), F.first("ones").alias("ones"))
     lo, hi = at(first, F.greatest(ones - radius, F.lit(0))), at(first, F.least(ones + radius, F.lit(64)) + 1) - 1
-    pairs = packed.select("t", "fps", F.explode(F.sequence(lo, hi)).alias("other")).select(F.least("t", "other").alias("p"), F.greatest("t", "other").alias("q"), "t", "fps")
+    pairs = packed.select("t", "fps", *(["sketches"] if sketch else []), F.explode(F.sequence(lo, hi)).alias("other"))
+    pairs = pairs.select(F.least("t", "other").alias("p"), F.greatest("t", "other").alias("q"), "t", "fps", *(["sketches"] if sketch else []))
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [np.asarray(v, np.int64).view(np.uint64) for v in pdf.sort_values("t").fps]
+        pdf = pdf.sort_values("t")
+        sides = [np.asarray(v, np.int64).view(np.uint64) for v in pdf.fps]
+        values = tuple(np.frombuffer(b"".join(v), "<u2").reshape(len(v), -1) for v in pdf.sketches) if sketch else None
         if len(sides) == 1 and pdf.p.iloc[0] != pdf.q.iloc[0]:  # no tile has that number
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        a, b = compare(sides[0], sides[1] if len(sides) > 1 else None, radius)
+        a, b = compare(sides[0], sides[1] if len(sides) > 1 else None, radius, values, agree)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return pairs.groupBy("p", "q").applyInPandas(links, "a long, b long")
