@@ -119,6 +119,23 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == simhash.deduplicated(empty).count() == 0
 
 
+def test_copies_are_found_by_similarity(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    docs, truth = [], {}
+    for group in range(30):
+        base = [word() for _ in range(300)]
+        for copy, changes in enumerate((0, 3, 5, 60)):
+            text = list(base)
+            for at in rnd.sample(range(300), changes):
+                text[at] = word()
+            i = group * 10 + copy
+            docs.append((i, " ".join(text)))
+            truth[i] = group * 10 if changes <= 5 else i
+    got = dict(rows(simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), radius=simhash.WIDE, similarity=0.8), "doc_id", "component_id"))
+    assert got == truth  # up to 5 of 300 words changed: over 0.8 of the shingles; 60 changed: under 0.5
+
+
 # 4 ------------------------------------------------------------------------------------------------
 
 
@@ -336,7 +353,7 @@ def test_pipeline(spark, data):
         if name == "toxicity":
             kept -= toxic
         elif name == "simhash_near_dedup":
-            kept = {r.doc_id for r in simhash.near_duplicates(before).collect() if r.doc_id == r.component_id}
+            kept = {r.doc_id for r in simhash.near_duplicates(before, radius=simhash.WIDE, similarity=0.8).collect() if r.doc_id == r.component_id}
         elif name == "benchmark_decontamination":
             kept -= {r.doc_id for r in decontam.contaminated(before, table(spark, data, "benchmark")).collect()}
         else:

@@ -28,7 +28,7 @@ def test_entry_has_rows(spark):
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_rows_as_the_oracle(spark, data, oracle, name):
-    df = queries.QUERIES[name](spark, data)
+    df = entry.queries()[name](spark, data)
     got = df.select(*sorted(df.columns)).collect()
     found = oracle.execute(queries.ORACLE_SQL[name])
     columns = [d[0] for d in found.description]
