@@ -1,13 +1,17 @@
 """All pairs of 64-bit fingerprints within a Hamming radius, by tiled exact comparison.
 
-Distinct fingerprints are dealt to tiles by population count (and a hash within one count). A tile
-pair is compared only if the counts differ by at most the radius, since each differing bit moves the
-count by one at most. Tiles have a bounded number of fingerprints, each tile pair is a task's group of its own,
+Distinct fingerprints are dealt to tiles by bands of their population count (and a hash within one band).
+A tile pair is compared only if the counts may differ by at most the radius, since each differing bit
+moves the count by one at most. Where links also need a similarity of the sets behind the fingerprints,
+tiles are dealt by set size too: at a similarity s the sizes differ by a factor of 1/s at most.
+Tiles have a bounded number of fingerprints, each tile pair is a task's group of its own,
 and it returns a spanning forest of its links, so a dense group never expands into all its pairs.
 """
 
 from __future__ import annotations
 
+from math import log
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +19,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import checkpointed
 
-TILE = 8192
+#: Fingerprints of a tile on average, at most. A pair of tiles is 65,536 squared comparisons (seconds), and
+#: shuffled bytes fall as tiles grow.
+TILE = 65536
 _BLOCK = 1024
 _HALF = np.uint64(0xFFFFFFFF)
 
@@ -51,7 +57,7 @@ def compare(x: np.ndarray, y: np.ndarray | None, radius: int, sketches: tuple[np
     """
     sides, ranked = [], []
     for n, side in enumerate([x] if y is None else [x, y]):
-        order = np.argsort(np.bitwise_count(side & _HALF), kind="stable")
+        order = np.lexsort((np.bitwise_count(side >> np.uint64(32)), np.bitwise_count(side & _HALF)))
         side = side[order]
         if sketches is not None:
             ranked.append(sketches[n][order])
@@ -83,36 +89,42 @@ def compare(x: np.ndarray, y: np.ndarray | None, radius: int, sketches: tuple[np
     return nodes[i], nodes[j]
 
 
-def hamming_links(prints: DataFrame, fp: str, radius: int, tile: int = TILE, *, sketch: str | None = None, agree: float = 0) -> DataFrame:
+def hamming_links(prints: DataFrame, fp: str, radius: int, tile: int = TILE, *, sketch: str | None = None, size: str | None = None, similarity: float = 0, allowed: float = 0) -> DataFrame:
     """Rows ``(a, b)`` of fingerprints, such that two of the distinct fingerprints in the long column
     ``fp`` can be reached from one another by them exactly if they can by steps of at most ``radius``
-    bits. Null fingerprints link nothing. With the binary column ``sketch`` (16-bit values) a step
-    also needs the share ``agree`` of equal values; of one fingerprint's sketches the least stands.
+    bits. Null fingerprints link nothing.
+
+    With the binary column ``sketch`` (8-bit values) and the long column ``size`` (of the sets that were
+    sketched) a step also needs the share ``similarity - allowed`` of equal values. Sizes fall into buckets
+    of that ratio, and pairs further apart than adjoining buckets, whose similarity is lower for certain,
+    are left out. Of one fingerprint's sketches the least stands.
     """
-    own = prints.where(F.col(fp).isNotNull()).groupBy(F.col(fp).alias("fp")).agg((F.min(sketch) if sketch else F.lit(b"")).alias("sketch"))
-    own = checkpointed(own.withColumn("ones", F.bit_count("fp")))
-    held = {r.ones: r.n for r in own.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    tiles, first, n = [], [0] * 66, 0
-    for ones in range(65):
-        first[ones] = n
-        tiles.append(-(-held.get(ones, 0) // tile) or 1)
-        n += tiles[-1] if ones in held else 0
-    first[65] = n
-    at = lambda table, i: F.element_at(F.array(*[F.lit(v) for v in table]), (i + 1).cast("int"))
-    ones = F.col("ones")
-    number = at(first[:65], ones) + F.pmod(F.xxhash64("fp"), at(tiles, ones)).cast("int")
-    packed = own.groupBy(number.alias("t")).agg(F.collect_list("fp").alias("fps"), F.collect_list("sketch").alias("sketches"), F.first("ones").alias("ones"))
-    lo, hi = at(first, F.greatest(ones - radius, F.lit(0))), at(first, F.least(ones + radius, F.lit(64)) + 1) - 1
-    pairs = packed.select("t", "fps", *(["sketches"] if sketch else []), F.explode(F.sequence(lo, hi)).alias("other"))
-    pairs = pairs.select(F.least("t", "other").alias("p"), F.greatest("t", "other").alias("q"), "t", "fps", *(["sketches"] if sketch else []))
+    spark = prints.sparkSession
+    kept = F.min(F.struct(F.col(sketch).alias("sketch"), F.col(size).alias("size"))) if sketch else F.struct(F.lit(b"").alias("sketch"), F.lit(1).alias("size"))
+    own = prints.where(F.col(fp).isNotNull()).groupBy(F.col(fp).alias("fp")).agg(kept.alias("kept")).select("fp", "kept.*")
+    bucket = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / log(1 / similarity)) if sketch else F.lit(0)
+    own = checkpointed(own.select("fp", "sketch", bucket.cast("int").alias("bucket"), F.floor(F.bit_count("fp") / (radius + 1)).cast("int").alias("band")))
+    # 65 bands at most, and as many buckets as the logarithm of the longest text
+    held = sorted((r.bucket, r.band, r.n) for r in own.groupBy("bucket", "band").agg(F.count("*").alias("n")).collect())
+    ranges, first = {}, 0
+    for b, c, n in held:
+        ranges[b, c] = (first, first + -(-n // tile))
+        first = ranges[b, c][1]
+    cells = [(b, c, lo, hi - lo, [ranges[x, y] for x in (b - 1, b, b + 1) for y in (c - 1, c, c + 1) if (x, y) in ranges]) for (b, c), (lo, hi) in ranges.items()]
+    cells = spark.createDataFrame(cells, "bucket int, band int, first long, parts long, near array<struct<lo: long, hi: long>>")
+    dealt = own.join(F.broadcast(cells), ["bucket", "band"]).withColumn("t", F.col("first") + F.pmod(F.xxhash64("fp"), "parts"))
+    packed = dealt.groupBy("t").agg(F.collect_list("fp").alias("fps"), F.collect_list("sketch").alias("sketches"), F.first("near").alias("near"))
+    sides = ["fps", *(["sketches"] if sketch else [])]
+    pairs = packed.select("t", *sides, F.explode("near").alias("near")).select("t", *sides, F.explode(F.sequence("near.lo", F.col("near.hi") - 1)).alias("other"))
+    pairs = pairs.select(F.least("t", "other").alias("p"), F.greatest("t", "other").alias("q"), "t", *sides)
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         sides = [np.asarray(v, np.int64).view(np.uint64) for v in pdf.fps]
-        values = tuple(np.frombuffer(b"".join(v), "<u2").reshape(len(v), -1) for v in pdf.sketches) if sketch else None
-        if len(sides) == 1 and pdf.p.iloc[0] != pdf.q.iloc[0]:  # no tile has that number
+        values = tuple(np.frombuffer(b"".join(v), np.uint8).reshape(len(v), -1) for v in pdf.sketches) if sketch else None
+        if len(sides) == 1 and pdf.p.iloc[0] != pdf.q.iloc[0]:  # no fingerprint was dealt to that tile
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        a, b = compare(sides[0], sides[1] if len(sides) > 1 else None, radius, values, agree)
+        a, b = compare(sides[0], sides[1] if len(sides) > 1 else None, radius, values, similarity - allowed)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return pairs.groupBy("p", "q").applyInPandas(links, "a long, b long")

@@ -54,24 +54,26 @@ ALLOWED = 0.06
 _FACTORS = mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def sketches(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
-    """For each text the ``SKETCH`` min-hashes of its shingles, 16 bits of each; zeros without words."""
+def sketches(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the ``SKETCH`` min-hashes of its shingles, 8 bits of each (zeros without words), and
+    how many different shingles it has."""
     data = LOWER[data]
     starts, ends, first = word_spans(data, offsets)
     windows = Spans(Spans(data).hash(starts, ends))
-    out = np.zeros((len(offsets) - 1, SKETCH), "<u2")
+    out, sizes = np.zeros((len(offsets) - 1, SKETCH), np.uint8), np.zeros(len(offsets) - 1, np.int64)
     for row, (a, b) in enumerate(pairwise(first.tolist())):
         if b > a:
             i = np.arange(a, max(a + 1, b - shingle + 1))
-            h, least = windows.hash(i, np.minimum(i + shingle, b)), np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+            h, least = np.unique(windows.hash(i, np.minimum(i + shingle, b))), np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+            sizes[row] = len(h)
             for lo in range(0, len(h), 2048):
                 np.minimum(least, (h[lo : lo + 2048, None] * _FACTORS).min(0), out=least)
-            out[row] = mixed(least) >> np.uint64(48)
-    return out
+            out[row] = mixed(least) >> np.uint64(56)
+    return out, sizes
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, seed: int = 42, sketched: bool = False) -> DataFrame:
-    """``(doc_id, fp)``, and ``sketch`` if asked for, of every row; null texts and texts without words
+    """``(doc_id, fp)``, and ``sketch`` and ``size`` if asked for, of every row; null texts and texts without words
     have fingerprint 0."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -86,11 +88,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns, names = [batch.column(0), pa.array(out, pa.int64())], ["doc_id", "fp"]
             if sketched:
                 data, offsets = utf8(batch.column(1))
-                rows = [r.tobytes() for lo, hi in slices(offsets) for r in sketches(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle)]
-                columns, names = [*columns, pa.array(rows, pa.binary())], [*names, "sketch"]
+                parts = [sketches(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle) for lo, hi in slices(offsets)]
+                rows, sizes = [r.tobytes() for x, _ in parts for r in x], [n for _, x in parts for n in x.tolist()]
+                columns, names = [*columns, pa.array(rows, pa.binary()), pa.array(sizes, pa.int64())], [*names, "sketch", "size"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long" + ", sketch binary" * sketched)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long" + ", sketch binary, size long" * sketched)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, seed: int = 42, radius: int = 4, similarity: float | None = None) -> DataFrame:
@@ -104,7 +107,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col, shingle=shingle, seed=seed, sketched=similarity is not None))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    groups = connected_components(hamming_links(prints, "fp", radius, sketch=None if similarity is None else "sketch", agree=(similarity or 0) - ALLOWED), "a", "b")
+    groups = connected_components(hamming_links(prints, "fp", radius, **({} if similarity is None else {"sketch": "sketch", "size": "size", "similarity": similarity, "allowed": ALLOWED})), "a", "b")
     grouped = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     grouped = checkpointed(grouped)
     best = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
