@@ -126,8 +126,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
 
     Components become floor(scale * x). Rows without an id, and vectors that are null or hold null or
     non-finite components, take no part; empty and shorter vectors count as filled up with zeros.
-    Rows that share the query's id are its own; rows that repeat another id are one candidate with
-    its best score. Fewer than ``k`` candidates give fewer rows; no queries give none.
+    Rows that share the query's id are its own; of rows that repeat another id each is a candidate, and
+    of rows that repeat the query's id each is asked, as in the SQL. Fewer than ``k`` candidates give fewer rows; no queries give none.
     """
     rows = usable(vectors, id_col, vec_col)
     asked = rows.where(F.col("vec_id") % query_every == 0)
@@ -149,6 +149,5 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         return pa.concat_tables(got) if got else out.empty_table()
 
     found = q.groupBy("part", "g").cogroup(c.groupBy("part", "g")).applyInArrow(search, "query_id long, vec_id long, score long")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -54,6 +54,18 @@ def test_top_k(spark):
     assert topk.top_k(v.where("vec_id in (0, 1)")).count() == 1
 
 
+def test_top_k_counts_repeated_rows_as_the_sql_does(spark):
+    rng = np.random.default_rng(1)
+    data = [(i, rng.normal(0, 0.2, 8).tolist()) for i in range(150)]
+    data += [(7, [0.1 * n + x for x in data[0][1]]) for n in (1, 2, 3)] + [(8, [4 * x for x in data[100][1]])] * 12 + [(100, data[3][1])]
+    v = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    con.register("embeddings", v.toArrow())
+    con.execute(registry.ORACLE_SQL["op1_topk"])
+    names = [c[0] for c in con.description]
+    assert rows(topk.top_k(v), *names) == sorted(con.fetchall(), key=str)
+
+
 # 2 ------------------------------------------------------------------------------------------------
 
 ITEM = "A farmer named Alice sells 12 red apples and 30 green pears for 5 dollars each on a sunny market day near the old river bridge."
