@@ -49,15 +49,17 @@ class Forest:
         return own[self.root != own], self.root[self.root != own]
 
 
-def compare(x: np.ndarray, y: np.ndarray | None, radius: int, sketches: tuple[np.ndarray, ...] | None = None, agree: float = 0) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within ``x`` (``y`` None) or between ``x`` and ``y``.
+def compare(x: np.ndarray, y: np.ndarray | None, radius: int, sketches: tuple[np.ndarray, ...] | None = None, agree: float = 0, names: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within ``x`` (``y`` None) or between ``x`` and ``y``, by the
+    fingerprints or by ``names`` of their holders.
 
     With ``sketches`` (a row of values for each fingerprint of ``x`` and ``y``) a link also needs the
     share ``agree`` of equal values; pairs that are joined already are not looked at again.
     """
-    sides, ranked = [], []
+    sides, ranked, named = [], [], []
     for n, side in enumerate([x] if y is None else [x, y]):
         order = np.lexsort((np.bitwise_count(side >> np.uint64(32)), np.bitwise_count(side & _HALF)))
+        named.append((side if names is None else names[n])[order])
         side = side[order]
         if sketches is not None:
             ranked.append(sketches[n][order])
@@ -84,12 +86,12 @@ def compare(x: np.ndarray, y: np.ndarray | None, radius: int, sketches: tuple[np
                 like = (ranked[0][p] == ranked[-1][q - base]).mean(1) >= agree
                 if like.any():
                     forest.add(p[like], q[like])
-    nodes = np.concatenate([a, b]) if base else a
+    nodes = np.concatenate(named) if base else named[0]
     i, j = forest.links()
     return nodes[i], nodes[j]
 
 
-def hamming_links(prints: DataFrame, fp: str, radius: int, tile: int = TILE, *, sketch: str | None = None, size: str | None = None, similarity: float = 0, allowed: float = 0) -> DataFrame:
+def hamming_links(prints: DataFrame, fp: str, radius: int, tile: int = TILE, *, sketch: str | None = None, size: str | None = None, similarity: float = 0, allowed: float = 0, key: str | None = None) -> DataFrame:
     """Rows ``(a, b)`` of fingerprints, such that two of the distinct fingerprints in the long column
     ``fp`` can be reached from one another by them exactly if they can by steps of at most ``radius``
     bits. Null fingerprints link nothing.
@@ -97,13 +99,14 @@ def hamming_links(prints: DataFrame, fp: str, radius: int, tile: int = TILE, *,
     With the binary column ``sketch`` (8-bit values) and the long column ``size`` (of the sets that were
     sketched) a step also needs the share ``similarity - allowed`` of equal values. Sizes fall into buckets
     of that ratio, and pairs further apart than adjoining buckets, whose similarity is lower for certain,
-    are left out. Of one fingerprint's sketches the least stands.
+    are left out. With the long column ``key`` the nodes are its values, each with one fingerprint and one
+    sketch, and equal fingerprints are linked like any others; without it the least sketch of a fingerprint stands.
     """
     spark = prints.sparkSession
-    kept = F.min(F.struct(F.col(sketch).alias("sketch"), F.col(size).alias("size"))) if sketch else F.struct(F.lit(b"").alias("sketch"), F.lit(1).alias("size"))
-    own = prints.where(F.col(fp).isNotNull()).groupBy(F.col(fp).alias("fp")).agg(kept.alias("kept")).select("fp", "kept.*")
+    kept = F.min(F.struct(F.col(sketch).alias("sketch"), F.col(size).alias("size"), F.col(fp).alias("fp"))) if sketch else F.min(F.struct(F.lit(b"").alias("sketch"), F.lit(1).alias("size"), F.col(fp).alias("fp")))
+    own = prints.where(F.col(fp).isNotNull()).groupBy(F.col(key or fp).alias("key")).agg(kept.alias("kept")).select("key", "kept.*")
     bucket = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / log(1 / similarity)) if sketch else F.lit(0)
-    own = checkpointed(own.select("fp", "sketch", bucket.cast("int").alias("bucket"), F.floor(F.bit_count("fp") / (radius + 1)).cast("int").alias("band")))
+    own = checkpointed(own.select("key", "fp", "sketch", bucket.cast("int").alias("bucket"), F.floor(F.bit_count("fp") / (radius + 1)).cast("int").alias("band")))
     # 65 bands at most, and as many buckets as the logarithm of the longest text
     held = sorted((r.bucket, r.band, r.n) for r in own.groupBy("bucket", "band").agg(F.count("*").alias("n")).collect())
     ranges, first = {}, 0
@@ -112,9 +115,9 @@ def hamming_links(prints: DataFrame, fp: str, radius: int, tile: int = TILE, *,
         first = ranges[b, c][1]
     cells = [(b, c, lo, hi - lo, [ranges[x, y] for x in (b - 1, b, b + 1) for y in (c - 1, c, c + 1) if (x, y) in ranges]) for (b, c), (lo, hi) in ranges.items()]
     cells = spark.createDataFrame(cells, "bucket int, band int, first long, parts long, near array<struct<lo: long, hi: long>>")
-    dealt = own.join(F.broadcast(cells), ["bucket", "band"]).withColumn("t", F.col("first") + F.pmod(F.xxhash64("fp"), "parts"))
-    packed = dealt.groupBy("t").agg(F.collect_list("fp").alias("fps"), F.collect_list("sketch").alias("sketches"), F.first("near").alias("near"))
-    sides = ["fps", *(["sketches"] if sketch else [])]
+    dealt = own.join(F.broadcast(cells), ["bucket", "band"]).withColumn("t", F.col("first") + F.pmod(F.xxhash64("key"), "parts"))
+    packed = dealt.groupBy("t").agg(F.collect_list("fp").alias("fps"), F.collect_list("sketch").alias("sketches"), F.collect_list("key").alias("keys"), F.first("near").alias("near"))
+    sides = ["fps", *(["sketches"] if sketch else []), *(["keys"] if key else [])]
     pairs = packed.select("t", *sides, F.explode("near").alias("near")).select("t", *sides, F.explode(F.sequence("near.lo", F.col("near.hi") - 1)).alias("other"))
     pairs = pairs.select(F.least("t", "other").alias("p"), F.greatest("t", "other").alias("q"), "t", *sides)
 
@@ -124,7 +127,8 @@ def hamming_links(prints: DataFrame, fp: str, radius: int, tile: int = TILE, *,
         values = tuple(np.frombuffer(b"".join(v), np.uint8).reshape(len(v), -1) for v in pdf.sketches) if sketch else None
         if len(sides) == 1 and pdf.p.iloc[0] != pdf.q.iloc[0]:  # no fingerprint was dealt to that tile
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        a, b = compare(sides[0], sides[1] if len(sides) > 1 else None, radius, values, similarity - allowed)
+        names = tuple(np.asarray(v, np.int64) for v in pdf["keys"]) if key else None
+        a, b = compare(sides[0], sides[1] if len(sides) > 1 else None, radius, values, similarity - allowed, names)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return pairs.groupBy("p", "q").applyInPandas(links, "a long, b long")

@@ -54,26 +54,27 @@ ALLOWED = 0.06
 _FACTORS = mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def sketches(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the ``SKETCH`` min-hashes of its shingles, 8 bits of each (zeros without words), and
-    how many different shingles it has."""
+def sketches(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the ``SKETCH`` min-hashes of its shingles, 8 bits of each (zeros without words), how
+    many different shingles it has, and a digest of their set."""
     data = LOWER[data]
     starts, ends, first = word_spans(data, offsets)
     windows = Spans(Spans(data).hash(starts, ends))
-    out, sizes = np.zeros((len(offsets) - 1, SKETCH), np.uint8), np.zeros(len(offsets) - 1, np.int64)
+    out, sizes, keys = np.zeros((len(offsets) - 1, SKETCH), np.uint8), np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1, np.int64)
     for row, (a, b) in enumerate(pairwise(first.tolist())):
         if b > a:
             i = np.arange(a, max(a + 1, b - shingle + 1))
             h, least = np.unique(windows.hash(i, np.minimum(i + shingle, b))), np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
             sizes[row] = len(h)
+            keys[row] = xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)
             for lo in range(0, len(h), 2048):
                 np.minimum(least, (h[lo : lo + 2048, None] * _FACTORS).min(0), out=least)
             out[row] = mixed(least) >> np.uint64(56)
-    return out, sizes
+    return out, sizes, keys
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, seed: int = 42, sketched: bool = False) -> DataFrame:
-    """``(doc_id, fp)``, and ``sketch`` and ``size`` if asked for, of every row; null texts and texts without words
+    """``(doc_id, fp)``, and ``sketch``, ``size`` and ``key`` (a digest of the set of shingles) if asked for, of every row; null texts and texts without words
     have fingerprint 0."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -89,30 +90,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if sketched:
                 data, offsets = utf8(batch.column(1))
                 parts = [sketches(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle) for lo, hi in slices(offsets)]
-                rows, sizes = [r.tobytes() for x, _ in parts for r in x], [n for _, x in parts for n in x.tolist()]
-                columns, names = [*columns, pa.array(rows, pa.binary()), pa.array(sizes, pa.int64())], [*names, "sketch", "size"]
+                rows, sizes, keys = [r.tobytes() for x, _, _ in parts for r in x], [n for _, x, _ in parts for n in x.tolist()], [k for _, _, x in parts for k in x.tolist()]
+                columns, names = [*columns, pa.array(rows, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], [*names, "sketch", "size", "key"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long" + ", sketch binary, size long" * sketched)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long" + ", sketch binary, size long, key long" * sketched)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, seed: int = 42, radius: int = 4, similarity: float | None = None) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row: documents whose fingerprints differ by at most
     ``radius`` bits (and which, if ``similarity`` is given, share that part of their shingles by
-    their sketches) are linked, and ``component_id`` is the least document id that links reach.
+    their sketches, equal fingerprints too) are linked, and ``component_id`` is the least document id
+    that links reach. With a similarity only equal sets of shingles are one class from the start.
 
     Null texts and texts without words share fingerprint 0. Rows with a null id take part and get
-    the component of their fingerprint (null if no row there has an id). Repeated rows stay repeated.
+    the component of their class (null if no row there has an id). Repeated rows stay repeated.
     Other columns are ignored; an empty table gives no rows.
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col, shingle=shingle, seed=seed, sketched=similarity is not None))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    groups = connected_components(hamming_links(prints, "fp", radius, **({} if similarity is None else {"sketch": "sketch", "size": "size", "similarity": similarity, "allowed": ALLOWED})), "a", "b")
-    grouped = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    key = "fp" if similarity is None else "key"
+    classes = prints.groupBy(key).agg(F.min("doc_id").alias("least"))
+    groups = connected_components(hamming_links(prints, "fp", radius, **({} if similarity is None else {"sketch": "sketch", "size": "size", "similarity": similarity, "allowed": ALLOWED, "key": key})), "a", "b")
+    grouped = classes.join(groups.withColumnRenamed("node", key), key, "left").withColumn("component", F.coalesce("component", key))
     grouped = checkpointed(grouped)
     best = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = checkpointed(grouped.join(best, "component").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = checkpointed(grouped.join(best, "component").select(key, "component_id"))
+    return prints.join(named, key).select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

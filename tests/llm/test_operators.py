@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgraph.llm import chat, decontam, lines, mixing, pii, registry, simhash, suffix, textkit, tokens, topk, toxicity
+from loomgraph.llm import chat, decontam, hamming, lines, mixing, pii, registry, simhash, suffix, textkit, tokens, topk, toxicity
 from loomgraph.session import shared_path, table
 
 LONG = " ".join(f"word{i % 977}" for i in range(20000))
@@ -148,6 +148,17 @@ def test_copies_are_found_by_similarity(spark):
     assert got == truth  # up to 5 of 300 words changed: over 0.8 of the shingles; 60 changed: under 0.5
 
 
+def test_equal_fingerprints_are_no_proof_of_similarity(spark):
+    line = " ".join(f"alpha{i}" for i in range(7)) + " "
+    docs = [(i, line * 50 + " ".join(f"own{i}x{j}" for j in range(20))) for i in range(6)]
+    docs += [(i + 10, t) for i, t in docs[:2]]
+    found = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), radius=simhash.WIDE, similarity=0.8)
+    assert dict(rows(found, "doc_id", "component_id")) == {i: i % 10 for i, _ in docs}
+    one = np.zeros(4, np.uint64)
+    a, b = hamming.compare(one, None, 3, (np.array([[0, 1], [2, 3], [0, 1], [5, 6]], np.uint8),), 0.8, (np.array([10, 11, 12, 13]),))
+    assert sorted([*a.tolist(), *b.tolist()]) == [10, 12]
+
+
 # 4 ------------------------------------------------------------------------------------------------
 
 
