@@ -28,8 +28,9 @@ from loomgraph.operators.components import connected_components
 from loomgraph.session import checkpointed
 
 
-def fingerprint(text: str | None, shingle: int, seed: int) -> int:
-    """The signed 64-bit SimHash of one text; 0 for a text without words."""
+def fingerprint(text: str | None, shingle: int, seed: int, distinct: bool = False) -> int:
+    """The signed 64-bit SimHash of one text; 0 for a text without words. Repeated shingles count each
+    time, or once if ``distinct``."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
         return 0
@@ -38,6 +39,8 @@ def fingerprint(text: str | None, shingle: int, seed: int) -> int:
     starts = [0, *[e + 1 for e in ends[:-1]]]
     of = xxhash.xxh64_intdigest
     hashes = np.fromiter([of(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])] if len(words) >= shingle else [of(joined, seed)], "<u8")  # noqa: B905
+    if distinct:
+        hashes = np.unique(hashes)
     counts = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 1 << 15):
         counts += np.unpackbits(hashes[lo : lo + (1 << 15)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.uint32)
@@ -75,7 +78,7 @@ def sketches(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.nd
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, seed: int = 42, sketched: bool = False) -> DataFrame:
     """``(doc_id, fp)``, and ``sketch``, ``size`` and ``key`` (a digest of the set of shingles) if asked for, of every row; null texts and texts without words
-    have fingerprint 0."""
+    have fingerprint 0. A fingerprint with a sketch is of the different shingles, as the sketch is."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +87,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = []
             for text in batch.column(1).to_pylist():
                 if text not in seen:
-                    seen[text] = fingerprint(text, shingle, seed)
+                    seen[text] = fingerprint(text, shingle, seed, sketched)
                 out.append(seen[text])
             columns, names = [batch.column(0), pa.array(out, pa.int64())], ["doc_id", "fp"]
             if sketched:

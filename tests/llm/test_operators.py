@@ -159,6 +159,15 @@ def test_equal_fingerprints_are_no_proof_of_similarity(spark):
     assert sorted([*a.tolist(), *b.tolist()]) == [10, 12]
 
 
+def test_copies_with_a_repeated_line_are_found_by_similarity(spark):
+    docs = []
+    for i in range(0, 60, 2):
+        words = [f"w{i}x{j}" for j in range(300)]
+        docs += [(i, " ".join(words)), (i + 1, " ".join(words + words[-7:] * 60))]
+    found = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), radius=simhash.WIDE, similarity=0.8)
+    assert dict(rows(found, "doc_id", "component_id")) == {i: i - i % 2 for i, _ in docs}
+
+
 # 4 ------------------------------------------------------------------------------------------------
 
 
