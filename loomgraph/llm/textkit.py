@@ -40,6 +40,14 @@ def slices(offsets: np.ndarray, limit: int = 512 << 10) -> Iterator[tuple[int, i
         lo = hi
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that none of the columns has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and where each row's words begin among them."""
     inside = ~IS_SPACE[data]

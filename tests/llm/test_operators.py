@@ -328,16 +328,14 @@ def test_mix(spark, data, odd, empty):
 # 10 -----------------------------------------------------------------------------------------------
 
 
-def test_duplicate_lines(spark, data, odd, empty, monkeypatch):
-    docs = table(spark, data, "documents").select("doc_id", "text").toPandas()
-    extra = [(100_000 + i, re.sub("a", "e" if i % 2 else "o", t, count=1)) for i, t in zip(docs.doc_id[:40], docs.text[:40], strict=True)]
-    every = [*zip(docs.doc_id.tolist(), docs.text, strict=True), *extra]
-    x = lines.Lines(*textkit.utf8(__import__("pyarrow").array([t for _, t in every])))
-    normal, prints = [x.normal(i) for i in range(len(x.row))], x.simhash()
+def line_truth(rows, links):
+    """What goes if lines are linked by ``links(names)``: pairs of indices of the distinct normalised lines."""
+    x = lines.Lines(*textkit.utf8(__import__("pyarrow").array([t for _, t in rows], "string")))
+    digest = [(i is None, i or 0, n) for n, (i, _) in enumerate(rows)]
     classes = {}
-    for i, n in enumerate(normal):
-        if len(n) >= 20:
-            classes.setdefault(n, []).append(i)
+    for i in range(len(x.row)):
+        if x.chars[i]:
+            classes.setdefault(x.normal(i), []).append(i)
     names, root = list(classes), list(range(len(classes)))
 
     def find(a):
@@ -345,24 +343,64 @@ def test_duplicate_lines(spark, data, odd, empty, monkeypatch):
             a = root[a]
         return a
 
-    s = np.array([prints[classes[n][0]] for n in names])
-    for i, j in zip(*np.nonzero(np.triu(np.bitwise_count(s[:, None] ^ s[None, :]) <= 3, 1)), strict=True):
-        if 1 - lines.edit_distance(names[i], names[j]) / max(len(names[i]), len(names[j])) >= 0.8:
-            root[find(i)] = find(j)
+    for i, j in links(names):
+        root[find(i)] = find(j)
     groups = {}
     for i, n in enumerate(names):
         groups.setdefault(find(i), []).extend(classes[n])
-    ids = [i for i, _ in every]
-    want = sorted((ids[x.row[i]], int(x.number[i])) for g in groups.values() for i in sorted(g, key=lambda i: (ids[x.row[i]], x.number[i]))[1:])
-    d = spark.createDataFrame(every, "doc_id long, text string").withColumn("line", F.lit("clash"))
-    for tile, group in ((8192, 16384), (4, 6)):
-        monkeypatch.setattr(lines, "TILE", tile)
-        monkeypatch.setattr(lines, "GROUP_ROWS", group)
-        assert sorted(tuple(r) for r in lines.duplicate_lines(d).collect()) == want
+    at = lambda i: (digest[x.row[i]], int(x.number[i]))
+    return sorted((rows[x.row[i]][0], int(x.number[i])) for g in groups.values() for i in sorted(g, key=at)[1:])
+
+
+def alike(names):
+    """All pairs with an edit similarity of 0.8 or more; nothing but the edit distance decides."""
+    order = sorted(range(len(names)), key=lambda i: len(names[i]))
+    for n, i in enumerate(order):
+        for j in order[n + 1 :]:
+            if len(names[i]) < 0.8 * len(names[j]):
+                break
+            if lines.similar(names[i], names[j], 0.8):
+                yield i, j
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_duplicate_lines(spark, data, small, monkeypatch):
+    if small:
+        monkeypatch.setattr(lines, "TILE", 4)
+        monkeypatch.setattr(lines, "GROUP_ROWS", 6)
+    docs = table(spark, data, "documents").select("doc_id", "text").toPandas()
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+    vocabulary = [word() for _ in range(800)]
+    rows_ = [*zip(docs.doc_id.tolist()[:60], docs.text.tolist()[:60], strict=True)]
+    for i in range(150):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.choice((3, 6, 10, 20, 40)))]
+        other = list(words)
+        at = rnd.randrange(len(words))
+        other[at] = rnd.choice(vocabulary) if i % 2 else other[at][:-1] + "z"
+        rows_ += [(100_000 + 2 * i, " ".join(words)), (100_001 + 2 * i, "Title\n" + " ".join(other))]
+    want = line_truth(rows_, alike)
+    d = spark.createDataFrame(rows_, "doc_id long, text string").withColumn("line", F.lit("clash")).withColumn("row", F.lit("clash"))
+    got = sorted((r.doc_id, r.line) for r in lines.duplicate_lines(d).collect())
+    assert not set(got) - set(want)
+    planted = [x for x in want if x[0] >= 100_000]
+    assert len(set(got) & set(want)) >= 0.95 * len(want) and len(set(got) & set(planted)) >= 0.9 * len(planted)
+
+
+def test_lines_of_other_rows_are_never_touched(spark, odd, empty):
+    d = [(1, "the very same line of text here\nfirst"), (2, "the very same line of text here"), (2, "a completely different and precious opening sentence\nsecond"), (None, "alpha beta gamma delta\nown line of one"), (None, "something else altogether\nfirst"), (5, "ok"), (6, "OK!"), (7, ""), (8, "--\n\n"), (9, "--"), (10, None)]
+    got = lines.duplicate_lines(spark.createDataFrame(d, "doc_id long, text string"))
+    assert rows(got, "doc_id", "line") == sorted([(2, 0), (None, 1), (6, 0)], key=str)
+    kept = lines.without_duplicate_lines(spark.createDataFrame(d, "doc_id long, text string").withColumn("gone", F.lit("clash")).withColumn("__id", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "gone", "__id"]
+    gone = {(2, d[1][1]): "", (None, d[4][1]): "something else altogether", (6, "OK!"): ""}
+    assert rows(kept, "doc_id", "text") == sorted([(i, gone.get((i, t), t)) for i, t in d], key=str)
     report = lines.line_report(odd)
     assert report.count() == odd.count() and report.where("doc_id = 0").first()[1:] == (1, 0, "")
+    assert sorted(report.where("doc_id = 3").select("n_removed").collect()) == [(0,), (0,)]  # a repeated row is one document
+    assert report.where("doc_id = 4").first().n_removed == report.where("doc_id is null").first().n_removed == 1
     assert lines.without_duplicate_lines(odd).columns == odd.columns
-    assert lines.line_report(empty).count() == 0
+    assert lines.line_report(empty).count() == lines.without_duplicate_lines(empty).count() == 0
 
 
 # The pipeline -------------------------------------------------------------------------------------

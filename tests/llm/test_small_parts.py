@@ -142,17 +142,51 @@ def test_edit_distance():
     for _ in range(200):
         a, b = ("".join(rnd.choice("abé") for _ in range(rnd.randint(0, 30))) for _ in range(2))
         assert lines.edit_distance(a, b) == slow(a, b)
+        longest = max(len(a), len(b))
+        assert lines.similar(a, b, 0.8) == (10 * slow(a, b) <= 2 * longest)
+        assert all(np.maximum(x, 0).sum() <= slow(a, b) for x in (lines._bags([a])[0] - lines._bags([b])[0], lines._bags([b])[0] - lines._bags([a])[0]))
 
 
 def test_lines_are_normalised():
     texts = ["", "a", "\n", "a\n", "\nHello, World 12\nx  y\n\nfoo-bar é!\n", None, "..\n--", "zz"]
     x = lines.Lines(*textkit.utf8(pa.array(texts)))
-    norm = lambda t: " ".join(w for w in (re.sub("[0-9]", "0", "".join(c for c in w if (c.isascii() and c.isalnum()) or ord(c) > 127)).lower() for w in t.split()) if w)
+    norm = lambda t: " ".join(w for w in ("".join(c for c in w if (c.isascii() and c.isalnum()) or ord(c) > 127).lower() for w in t.split()) if w)
     want = [(i, n, norm(t)) for i, text in enumerate(texts) for n, t in enumerate((text or "").split("\n"))]
     assert [(int(r), int(n), x.normal(i)) for i, (r, n) in enumerate(zip(x.row, x.number, strict=True))] == want
     assert x.chars.tolist() == [len(t) for *_, t in want]
 
 
+def test_a_changed_piece_leaves_most_blocks_as_they_are():
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+    for words, least in ((2, 0.85), (4, 0.95), (6, 0.85), (10, 0.9), (40, 0.98), (150, 0.98)):
+        pairs = []
+        for _ in range(150):
+            a = [word() for _ in range(words)]
+            b = list(a)
+            at = rnd.randrange(words)
+            b[at] = b[at][:-1] + "z"
+            pairs.append((" ".join(a), " ".join(b)))
+        pairs = [p for p in pairs if p[0] != p[1] and lines.similar(*p, 0.8)]
+        x = lines.Lines(*textkit.utf8(pa.array([t for p in pairs for t in p])))
+        keys = [set() for _ in range(2 * len(pairs))]
+        for i, k in zip(*x.block_keys(), strict=True):
+            keys[i].add(int(k))
+        assert np.mean([bool(keys[2 * i] & keys[2 * i + 1]) for i in range(len(pairs))]) >= least, words
+
+
+def test_block_keys_depend_on_the_line_only():
+    texts = ["", "one", "a b", "  ", "日本語の文章です", "日本語の文章でし 12", "x" * 100, "w " * 3000, "-", "é ü"]
+    x = lines.Lines(*textkit.utf8(pa.array(["\n".join(texts)] * 2)))
+    got = [set() for _ in range(2 * len(texts))]
+    for i, k in zip(*x.block_keys(), strict=True):
+        got[i].add(int(k))
+    for i, t in enumerate(texts):
+        alone = lines.Lines(*textkit.utf8(pa.array([t])))
+        assert got[i] == got[i + len(texts)] == {int(k) for k in alone.block_keys()[1]}, t
+    assert got[4] & got[5] and not got[0] and got[1]
+
+
 @given(st.text(alphabet="a1.@ -+(é", max_size=24))
 @settings(max_examples=300, deadline=None)
 def test_rules_find_the_leftmost_matches(text):
