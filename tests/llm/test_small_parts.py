@@ -143,6 +143,7 @@ def test_edit_distance():
         a, b = ("".join(rnd.choice("abé") for _ in range(rnd.randint(0, 30))) for _ in range(2))
         assert lines.edit_distance(a, b) == slow(a, b)
         longest = max(len(a), len(b))
+        assert lines.edits_at_most(a, b, 99) >= slow(a, b)
         assert lines.similar(a, b, 0.8) == (10 * slow(a, b) <= 2 * longest)
         assert all(np.maximum(x, 0).sum() <= slow(a, b) for x in (lines._bags([a])[0] - lines._bags([b])[0], lines._bags([b])[0] - lines._bags([a])[0]))
 
@@ -156,6 +157,29 @@ def test_lines_are_normalised():
     assert x.chars.tolist() == [len(t) for *_, t in want]
 
 
+def test_the_bound_of_edits_is_sound_and_close_for_copies():
+    rnd = random.Random(5)
+    for _ in range(150):
+        a = "".join(rnd.choice("abcdefghij ") for _ in range(rnd.randint(0, 400)))
+        b = list(a)
+        changes = rnd.randint(0, 6)
+        for _ in range(changes):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randint(0, 2)] = rnd.choice("xyz") * rnd.randint(0, 2)
+        b = "".join(b)
+        bound = lines.edits_at_most(a, b, 10**6)
+        assert lines.edit_distance(a, b) <= bound
+        if len(a) > 200 and changes <= 2:
+            assert bound <= 40
+
+
+def test_least_and_greatest():
+    rnd = np.random.default_rng(0)
+    pairs = rnd.integers(0, 30, (200, 2)).astype(np.uint64)
+    want = sorted({(k, x) for k in set(pairs[:, 0].tolist()) for own in [pairs[pairs[:, 0] == k, 1].tolist()] for x in (min(own), max(own))})
+    assert [tuple(x) for x in lines.least_and_greatest(pairs).tolist()] == want
+
+
 def test_a_changed_piece_leaves_most_blocks_as_they_are():
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
