@@ -71,23 +71,87 @@ def test_top_k_counts_repeated_rows_as_the_sql_does(spark):
 ITEM = "A farmer named Alice sells 12 red apples and 30 green pears for 5 dollars each on a sunny market day near the old river bridge."
 
 
+def judged(spark, docs, items, **options):
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("row", F.lit(0))
+    found = decontam.contaminated(d, spark.createDataFrame(items, "item_id long, text string"), **options)
+    return {(r.doc_id, r.item_id): r.kind for r in found.collect()}
+
+
 def test_contamination(spark, odd, empty):
     other = ITEM.replace("12", "44").replace("30", "9").replace("5 dollars", "7 euros").replace("Alice", "Robert")
     mixed = "A farmer named Alice sells 12 red apples and 12 green pears for 12 dollars each"
-    docs = [(1, f"Before it. {ITEM} After it."), (2, other), (3, ITEM.upper()), (4, "A farmer sells apples on a market day."), (5, None), (6, ""), (7, ITEM[: len(ITEM) // 2]), (8, f"{LONG} {ITEM}"), (None, ITEM), (1, f"Before it. {ITEM} After it."), (9, mixed), (10, "x### y&&& " + ITEM.replace(" ", "### "))]
-    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
-    b = spark.createDataFrame([(70, ITEM), (71, None), (72, ""), (73, "1 2 3 4 5 6 7"), (70, ITEM)], "item_id long, text string")
-    got = {r.doc_id: r.kind for r in decontam.contaminated(d, b).collect()}
-    assert got == {1: "exact", 2: "reparameterised", 3: "exact", 8: "exact", 10: "exact"} or got == {1: "exact", 2: "reparameterised", 8: "exact", 10: "exact"}
+    docs = [(1, f"Before it. {ITEM} After it."), (2, other), (3, ITEM.upper()), (4, "A farmer sells apples on a market day."), (5, None), (6, ""), (7, ITEM[: len(ITEM) // 2]), (8, f"{LONG} {ITEM}"), (None, ITEM), (1, f"Before it. {ITEM} After it."), (9, mixed), (10, "x### y&&& " + ITEM.replace(" ", "### ")), (11, ITEM.lower()), (12, "so it goes, " + other.replace("Robert", "Mary Ann Lee").replace("44", "forty four") + " and on"), (13, f"{other}\n\n{LONG}\n\n{ITEM.replace('12', '77').replace('30', '66')}")]
+    items = [(70, ITEM), (71, None), (72, ""), (73, "1 2 3 4 5 6 7"), (70, ITEM)]
+    want = {(i, 70): "exact" for i in (1, 3, 8, 10, 11)} | {(i, 70): "reparameterised" for i in (2, 12, 13)}
+    assert judged(spark, docs, items) == want
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
     assert decontam.contaminated(d, b.where("item_id < 0")).count() == decontam.contaminated(empty, b).count() == 0
     assert decontam.contaminated(odd, b).count() == 0 and decontam.decontaminated(odd, b).count() == odd.count()
+    kept = decontam.decontaminated(d.withColumn("own", F.lit("clash")), b)
+    assert rows(kept, "doc_id") == sorted([(4,), (5,), (6,), (7,), (9,)], key=str) and kept.columns == ["doc_id", "text", "own"]
+    text_ids = decontam.contaminated(d.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), b.withColumn("item_id", F.concat(F.lit("i"), "item_id")))
+    assert rows(text_ids, "doc_id", "item_id", "kind") == sorted((f"d{i}", f"i{j}", k) for (i, j), k in want.items())
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    d = spark.createDataFrame([(2, ITEM), (2, "an innocent text of some words that stays"), (None, ITEM), (None, "and another one without an id")], "doc_id long, text string")
+    kept = decontam.decontaminated(d, spark.createDataFrame([(70, ITEM)], "item_id long, text string"))
+    assert rows(kept, "text") == [("an innocent text of some words that stays",), ("and another one without an id",)]
+
+
+def test_names_at_the_start_of_sentences(spark):
+    item = "Tom has 3 apples. Anna buys 5 more pears at the shop. How many pieces of fruit do Tom and Anna have in the end?"
+    docs = [(1, item.replace("Tom", "Bob").replace("Anna", "Clara").replace("3", "7").replace("5", "twenty two")), (2, item.replace("Tom", "Mary Ann").replace("5", "11")), (3, "Question. " + item.replace("Anna", "Eve")), (4, "Bob has 7 dogs. Clara walks 5 more cats in the park. How many animals do Bob and Clara have at home?"), (5, item.lower()), (6, item.lower().replace("3", "8"))]
+    assert judged(spark, docs, [(1, item)]) == {(1, 1): "reparameterised", (2, 1): "reparameterised", (3, 1): "reparameterised", (5, 1): "exact", (6, 1): "exact"}
+
+
+def test_short_and_dense_items_are_found_exactly(spark):
+    items = [(1, "Compute 17 x 23"), (2, "3 + 4 - 12 / 6 7 8 9 = ?"), (3, "Yes."), (4, "What is love?"), (5, "Name the capital of France now")]
+    docs = [(1, "Please compute 17 x 23 and say"), (2, "first 3 + 4 - 12 / 6 7 8 9 = ? last"), (3, "yes"), (4, "he said yes and left"), (5, "what is love"), (6, "so what is love then"), (7, "Compute 18 x 23"), (8, "1 2 3 4 5 6 7 8 9"), (9, "now name the capital of Spain now then")]
+    assert judged(spark, docs, items) == {(1, 1): "exact", (2, 2): "exact", (3, 3): "exact", (5, 4): "exact", (6, 4): "exact", (9, 5): "reparameterised"}
+    assert judged(spark, [(1, "w " * 80 + ITEM)], [(1, "w " * 75 + ITEM)], window=70) == {(1, 1): "exact"}
 
 
 def test_slots_must_answer_one_to_one(spark):
     item = "take 3 big boxes from the shelf and then 4 small boxes from the floor and again 3 big boxes from the shelf please"
     docs = [(1, item.replace("3", "8").replace("4", "9")), (2, item.replace("3 big boxes from the shelf and", "8 big boxes from the shelf and").replace("4", "9").replace("again 3", "again 7"))]
-    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
-    assert rows(got, "doc_id", "kind") == [(1, "reparameterised")]
+    assert judged(spark, docs, [(1, item)]) == {(1, 1): "reparameterised"}
+
+
+def test_contamination_on_random_templates(spark):
+    """Plain windows against a brute force over sets; re-parameterised copies as they were made."""
+    rnd = random.Random(6)
+    vocabulary = ["".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 3))) for _ in range(60)]
+    names = [w.capitalize() + "x" for w in vocabulary]
+
+    def text(n):
+        return " ".join(rnd.choice(vocabulary) for _ in range(n))
+
+    items, docs, made = [], [], {}
+    for i in range(40):
+        words = text(rnd.randint(15, 50)).split()
+        a, b, c = rnd.sample(range(1, len(words)), 3)
+        words[a], words[b], words[c] = rnd.choice(names), str(rnd.randrange(100)), str(rnd.randrange(100, 200))
+        items.append((i, " ".join(words)))
+        new = list(words)
+        new[a], new[b], new[c] = rnd.choice([n for n in names if n != words[a]]), str(rnd.randrange(300, 400)), str(rnd.randrange(400, 500))
+        docs.append((i, f"{text(rnd.randint(0, 40))} {' '.join(new)} {text(rnd.randint(0, 40))}"))
+        made[i] = i
+        cut = rnd.randint(0, len(words) // 2)
+        docs.append((1000 + i, f"{text(rnd.randint(0, 40))} {' '.join(words[cut:] if i % 2 else words[: len(words) - cut])} {text(20)}"))
+        docs.append((2000 + i, text(rnd.randint(1, 150))))
+
+    def windows(t):
+        w = t.lower().split()
+        return [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+
+    own = {i: set(windows(t)) for i, t in docs}
+    exact = {(d, i) for i, t in items for d, seen in own.items() if sum(w in seen for w in windows(t)) >= 0.8 * len(windows(t))}
+    got = judged(spark, docs, items)
+    assert {k for k, kind in got.items() if kind == "exact"} == exact
+    others = {k for k, kind in got.items() if kind != "exact"}
+    assert {(d, d) for d in made} - exact <= others and not any(d >= 2000 for d, _ in others)
 
 
 def test_benchmark_passages_in_the_tables(spark, data):
@@ -368,6 +432,8 @@ def test_duplicate_lines(spark, data, small, monkeypatch):
     if small:
         monkeypatch.setattr(lines, "TILE", 4)
         monkeypatch.setattr(lines, "GROUP_ROWS", 6)
+        monkeypatch.setattr(lines, "HOT_ROWS", 12)
+        monkeypatch.setattr(lines, "FLUSH", 200)
     docs = table(spark, data, "documents").select("doc_id", "text").toPandas()
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
