@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomgraph.plans.model import QueryGraph
+from loomgraph.plans.model import EdgePattern, NodePattern, QueryGraph
 
 
 def duration_text(ms: Column) -> Column:
@@ -50,35 +50,45 @@ def safe_name(text: Column) -> Column:
     return F.translate(text, "; ", "__")
 
 
-def title(query: QueryGraph, names: Mapping[str, Sequence[str]] | None = None, verbs: Mapping[str, str] | None = None) -> str:
-    """A title of a query graph in words. A node is called by the first property that is set of those
-    listed for its type (else by any with ``name`` in its key), or else by its type."""
-
-    def label(node_id: str) -> tuple[str, bool]:
-        node = query.node(node_id)
-        keys = (names or {}).get(node.type) or [k for k in node.properties if "name" in k.lower()]
-        for key in keys:
-            value = node.properties.get(key)
-            value = value[0] if isinstance(value, list) and value else value
-            if value:
-                return str(value).replace("_", " ").title(), False
-        return node.type.replace("_", " ").title(), True
-
+# How a property's value is said, types that are said in capitals, and the sentences.
+SAID = {
+    "chr": "Chromosome {}", "start": "Position {}", "biological_context": "{} Context", "cell": "{} Cell Line", "variant_type": "{} Variant", "transcript_type": "{} Transcript",
+    "rna_type": "{} RNA", "biochemical_activity": "{} Region", "evidence_type": "{} Evidence", "state": "Chromatin State: {}", "modification": "Histone Modification: {}",
+}
+CAPITALS = frozenset({"snp", "tad", "dna", "rna", "go", "gtex"})
+#: By how two ends are known: whether the source and the target are called by type only, and how the
+#: target's label stands to the source's and to the verb (``same``, ``told`` or nothing). ``None`` fits all.
+SENTENCES = {
+    (True, True, "same"): "a {s} {v} another {t}", (None, True, "told"): "{s} {v}", (None, True, None): "{s} {v} a {t}", (True, False, None): "a {s} {v} {t}", (False, False, None): "{s} {v} {t}",
+}
+
+
+def node_label(node: NodePattern, names: Mapping[str, Sequence[str]] | None = None, generic: Sequence[str] | None = None) -> str | None:
+    """What a node is called by its properties, or None. The properties listed for its type come first,
+    then ``generic`` ones (default: any with ``name`` in its key)."""
+    keys = [*(names or {}).get(node.type, ()), *(generic if generic is not None else (k for k in node.properties if "name" in k.lower()))]
+    values = ((k, node.properties.get(k)) for k in keys)
+    firsts = ((k, v[0] if isinstance(v, list) and v else v) for k, v in values)
+    return next((SAID.get(k, "{}").format(str(v).replace("_", " ").title()) for k, v in firsts if v), None)
+
+
+def title(query: QueryGraph, names: Mapping[str, Sequence[str]] | None = None, verbs: Mapping[str, str] | None = None, generic: Sequence[str] | None = None) -> str:
+    """A title of a query graph in words: nodes by ``node_label``, else by type, and a sentence for each edge."""
+    called = {n.node_id: node_label(n, names, generic) for n in query.nodes}
+    by_type = {n.node_id: n.type.upper() if n.type.lower() in CAPITALS else n.type.replace("_", " ").title() for n in query.nodes}
+    shown = {i: called[i] or by_type[i] for i in called}
     if not query.edges:
-        return "Selection: " + ", ".join(f"Unnamed {t}" if plain else t for t, plain in (label(n.node_id) for n in query.nodes))
-    said = []
-    for e in query.edges:
-        (s, s_plain), (t, t_plain) = label(e.source), label(e.target)
+        return "Selection: " + ", ".join(f"Unnamed {shown[i]}" if called[i] is None else shown[i] for i in shown)
+
+    def sentence(e: EdgePattern) -> str:
         verb = (verbs or {}).get(e.type, e.type.replace("_", " "))
-        if s_plain and t_plain and s == t:
-            said.append(f"a {s} {verb} another {t}")
-        elif t_plain and t.lower() in verb.lower():
-            said.append(f"{s} {verb}")
-        elif t_plain:
-            said.append(f"{s} {verb} a {t}")
-        else:
-            said.append(f"{'a ' * s_plain}{s} {verb} {t}")
-    whole = ", and ".join(said)
+        known = {(called[e.source] is None, called[e.target] is None)}
+        relation = {"same"} if shown[e.source] == shown[e.target] else set()
+        relation |= {"told"} if shown[e.target].lower() in verb.lower() else set()
+        fits = (form for (s, t, r), form in SENTENCES.items() if all(s in (None, a) and t == b for a, b in known) and (r is None or r in relation))
+        return next(fits).format(s=shown[e.source], v=verb, t=shown[e.target])
+
+    whole = ", and ".join(map(sentence, query.edges))
     return whole[0].upper() + whole[1:]
 
 

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import middle
 from loomgraph.operators.components import connected_components
 from loomgraph.operators.result import roll_up
+from loomgraph.session import checkpointed
 
 
 def incident(edges: DataFrame) -> DataFrame:
@@ -22,30 +23,44 @@ def incident(edges: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """``(id, edge_id, is_source, others)``: the neighbours along each edge id; if there are any
+    """``(id, edge_id, is_source, other)``: a row for each neighbour along each edge id; if there are any
     outgoing ones the whole entry counts as outgoing."""
-    return incident(edges).groupBy("id", "edge_id").agg((F.max("way") == "out").alias("is_source"), F.sort_array(F.collect_set("other")).alias("others"))
+    seen = incident(edges).groupBy("id", "edge_id", "other").agg(F.max("way").alias("way"))
+    ways = seen.groupBy("id", "edge_id").agg((F.max("way") == "out").alias("is_source"))
+    return seen.join(ways, ["id", "edge_id"]).select("id", "edge_id", "is_source", "other")
 
 
-def _signatures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each node with a digest of its label and its neighbours; neighbour lists are hashed one edge at
-    a time and summed up in order, hubs carry digests rather than names."""
-    one = incident(edges).distinct().select("id", F.sha2(F.concat_ws("|", "way", "edge_id", "other"), 256).alias("d"))
-    own = one.groupBy("id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("d")), ""), 256).alias("signature"))
-    labelled = nodes.join(own, "id", "left")
-    return labelled.withColumn("group_id", F.sha2(F.concat_ws("|", "type", F.coalesce("signature", F.lit(""))), 256)).drop("signature")
+def set_digest(parts: Sequence[str]) -> list[Column]:
+    """Aggregates that tell sets of distinct rows apart: their number and two sums of 60 bits of digests.
+    They combine on the map side, so a hub's neighbours never meet in one row."""
+    digest = F.sha2(F.concat_ws("|", *parts), 256)
+    bits = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")
+    return [F.count("*").alias("n"), F.sum(bits(1)).alias("s1"), F.sum(bits(16)).alias("s2")]
 
 
-def collapse(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _signed(nodes: DataFrame, edges: DataFrame, own: Sequence[str]) -> DataFrame:
+    """``nodes`` with ``group_id``, a digest of the columns ``own`` and of the node's neighbours along its edges."""
+    sums = incident(edges).distinct().groupBy("id").agg(*set_digest(["way", "edge_id", "other"]))
+    sums = sums.select("id", F.concat_ws(":", *[F.col(c).cast("string") for c in ("n", "s1", "s2")]).alias("signature"))
+    labelled = nodes.join(sums, "id", "left")
+    return labelled.withColumn("group_id", F.sha2(F.concat_ws("|", *own, F.coalesce("signature", F.lit(""))), 256)).drop("signature")
+
+
+def _named_groups(grouped: DataFrame) -> DataFrame:
+    """``(id, type, name, n)`` of the groups; a single node keeps its name, the least member gives the type."""
+    groups = grouped.groupBy(F.col("group_id").alias("id")).agg(F.count("*").alias("n"), F.min(F.struct("id", "type", "name")).alias("one"))
+    name = F.when(F.col("n") == 1, F.col("one.name")).otherwise(F.concat_ws(" ", F.col("n").cast("string"), "one.type", F.lit("nodes")))
+    return groups.select("id", F.col("one.type").alias("type"), name.alias("name"), "n")
+
+
+def collapse(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes of one label with the same neighbours along the same edges become one.
 
-    Returns ``(id, type, name, n, members)`` and edges between groups. A single node keeps its name;
-    edges within a group go; parallel edges of one edge id become one.
+    Returns the groups ``(id, type, name, n)``, edges between them, and the members ``(parent, child)``, a row
+    each. A single node keeps its name; edges within a group go; parallel edges of one edge id become one.
     """
-    grouped = _signatures(nodes, edges)
-    groups = grouped.groupBy(F.col("group_id").alias("id"), "type").agg(F.count("*").alias("n"), F.min("name").alias("one"), F.sort_array(F.collect_list("id")).alias("members"))
-    groups = groups.select("id", "type", F.when(F.col("n") == 1, F.col("one")).otherwise(F.concat_ws(" ", F.col("n").cast("string"), "type", F.lit("nodes"))).alias("name"), "n", "members")
-    return groups, repointed(edges, grouped.select("id", "group_id"))
+    grouped = checkpointed(_signed(nodes, edges, ["type"]))
+    return _named_groups(grouped), repointed(edges, grouped.select("id", "group_id")), grouped.select(F.col("group_id").alias("parent"), F.col("id").alias("child"))
 
 
 def repointed(edges: DataFrame, groups: DataFrame) -> DataFrame:
@@ -59,7 +74,7 @@ def repointed(edges: DataFrame, groups: DataFrame) -> DataFrame:
 def compound(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The grouping of ``collapse`` for connected nodes only, as compound nodes ``(parent, id)`` and
     edges from the source side, each once."""
-    grouped = _signatures(nodes, edges).join(incident(edges).select("id").distinct(), "id", "left_semi")
+    grouped = checkpointed(_signed(nodes, edges, ["type"]).join(incident(edges).select("id").distinct(), "id", "left_semi"))
     return grouped.select(F.col("group_id").alias("parent"), "id"), repointed(edges, grouped.select("id", "group_id"))
 
 
@@ -72,21 +87,22 @@ def group_parents(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     Returns ``(parent, child)``, ``(parent, owner, edge_id, label, is_source, n)`` and all edges, those to
     children replaced by one to their parent.
     """
-    sets = adjacency(edges).where(F.size("others") >= 2)
-    cand = sets.withColumn("parent", F.sha2(F.array_join("others", ","), 256))
-    first = Window.partitionBy("parent").orderBy("id", "edge_id")
-    cand = cand.withColumn("r", F.row_number().over(first)).where("r = 1").select("parent", F.col("id").alias("owner"), "edge_id", "is_source", F.size("others").alias("n"), "others")
-    member = cand.select("parent", "is_source", "n", "owner", F.explode("others").alias("child"))
+    near = checkpointed(adjacency(edges))
+    sets = near.groupBy("id", "edge_id", "is_source").agg(*set_digest(["other"])).where("n >= 2")
+    sets = sets.withColumn("parent", F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in ("n", "s1", "s2")]), 256))
+    cand = sets.groupBy("parent").agg(F.min(F.struct("id", "edge_id", "is_source", "n")).alias("c")).select("parent", F.col("c.id").alias("owner"), "c.edge_id", "c.is_source", "c.n")
+    cand = checkpointed(cand)
+    member = cand.join(near.select(F.col("id").alias("owner"), "edge_id", F.col("other").alias("child")), ["owner", "edge_id"])
     # the largest size at each member and direction decides; no pair of candidates is formed
     top = member.groupBy("child", "is_source").agg(F.max("n").alias("top"))
     beaten = member.join(top, ["child", "is_source"]).where("top > n").select("parent").distinct()
     left = member.join(beaten, "parent", "left_anti").join(nodes.select(F.col("id").alias("child")), "child", "left_semi")
-    best = Window.partitionBy("child").orderBy(F.desc("n"), "owner", "parent")
-    chosen = left.withColumn("r", F.row_number().over(best)).where("r = 1").select("parent", "child")
+    best = left.groupBy("child").agg(F.min(F.struct((-F.col("n")).alias("size"), "owner", "parent")).alias("b"))
+    chosen = checkpointed(best.select("b.parent", "child"))
     full = chosen.groupBy("parent").count().where("count > 1").select("parent")
     children = chosen.join(full, "parent", "left_semi")
-    parents = cand.join(full, "parent", "left_semi")
-    inside = parents.select("owner", "edge_id", "is_source", F.explode("others").alias("child"))
+    parents = checkpointed(cand.join(full, "parent", "left_semi"))
+    inside = parents.select("owner", "edge_id", "is_source").join(near.select(F.col("id").alias("owner"), "edge_id", F.col("other").alias("child")), ["owner", "edge_id"])
     out = F.array(F.struct(F.lit(True).alias("is_source"), F.col("source").alias("owner"), F.col("target").alias("child")), F.struct(F.lit(False).alias("is_source"), F.col("target").alias("owner"), F.col("source").alias("child")))
     held = edges.select("edge_id", "label", "source", "target", F.explode(out).alias("x")).select("edge_id", "label", "source", "target", "x.*")
     gone = held.join(inside, ["owner", "edge_id", "is_source", "child"], "left_semi").select("edge_id", "label", "source", "target")
@@ -96,6 +112,15 @@ def group_parents(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     return children, summary, kept.unionByName(new)
 
 
+def group_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A graph collapsed and then grouped into parents: the groups, their members ``(parent, child)``,
+    the groups' parents ``(parent, child)``, and the edges that are left."""
+    groups, between, members = collapse(nodes, edges)
+    groups, between = checkpointed(groups), checkpointed(between)
+    children, _, regrouped = group_parents(groups, between)
+    return groups, members, children, regrouped
+
+
 def break_grouping(children: DataFrame, edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Edges with parents replaced by their children, and then groups by their members, at both ends;
     each edge once. ``children(parent, child)``; ``members(parent, child)`` of collapsed nodes."""
@@ -110,16 +135,36 @@ def break_grouping(children: DataFrame, edges: DataFrame, members: DataFrame | N
 
 def by_location(nodes: DataFrame, location: str = "location") -> tuple[DataFrame, DataFrame]:
     """A node in several comma-separated locations becomes one node in each: the first stands for the
-    node, the others are joined to it by ``location_alias`` edges. Nodes without a location stay."""
+    node, the others point to it by ``location_alias`` edges. Nodes without a location stay."""
     spread = nodes.select("id", "type", "name", F.posexplode_outer(F.split(location, ",")).alias("i", "place"))
     several = F.max("i").over(Window.partitionBy("id")) > 0
     spread = spread.withColumn("several", F.coalesce(several, F.lit(False)))
     new = F.when(F.col("several"), F.concat(F.col("id"), F.lit("_loc_"), F.col("i").cast("string"))).otherwise(F.col("id"))
     out = spread.select(new.alias("id"), F.col("id").alias("original"), "type", "name", F.trim("place").alias("location"), F.coalesce(F.col("i") == 0, F.lit(True)).alias("main"))
-    alias = out.where(~F.col("main")).select(F.lit("location_alias").alias("edge_id"), F.lit("location_alias").alias("label"), F.concat(F.col("original"), F.lit("_loc_0")).alias("source"), F.col("id").alias("target"))
+    alias = out.where(~F.col("main")).select(F.lit("location_alias").alias("edge_id"), F.lit("location_alias").alias("label"), F.col("id").alias("source"), F.concat(F.col("original"), F.lit("_loc_0")).alias("target"))
     return out, alias
 
 
+def collapse_location(nodes: DataFrame, edges: DataFrame, location: str = "location") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph spread over locations, nodes of one location with the same neighbours collapsed.
+
+    Edges go to the nodes that stand for the original ones; of parallel edges that with the least edge
+    id stays, and a node's own copies hang on it by ``location_alias`` edges. Returns groups
+    ``(id, type, name, n)`` (a node alone keeps its id), edges between groups and members ``(parent, child)``.
+    """
+    spread, alias = by_location(nodes, location)
+    spread = checkpointed(spread)
+    main = spread.where("main").select("original", F.col("id").alias("now"))
+    for end in ("source", "target"):
+        edges = edges.join(main.withColumnRenamed("original", end), end, "left").withColumn(end, F.coalesce("now", end)).drop("now")
+    one = edges.select("edge_id", "label", "source", "target").unionByName(alias).groupBy("source", "target").agg(F.min(F.struct("edge_id", "label")).alias("e"))
+    one = checkpointed(one.select("e.edge_id", "e.label", "source", "target"))
+    signed = _signed(spread.select("id", "type", "name", F.coalesce("location", F.lit("")).alias("location")), one, ["location"])
+    alone = F.count("*").over(Window.partitionBy("group_id")) == 1
+    signed = checkpointed(signed.withColumn("group_id", F.when(alone, F.col("id")).otherwise(F.col("group_id"))))
+    return _named_groups(signed), repointed(one, signed.select("id", "group_id")), signed.select(F.col("group_id").alias("parent"), F.col("id").alias("child"))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, component)``: the least node that can be reached, either way along edges."""
     found = connected_components(edges, "source", "target").withColumnRenamed("node", "id")
@@ -166,32 +211,36 @@ def reverse_pairs(edges1: DataFrame, edges2: DataFrame) -> DataFrame:
 
 
 def out_index(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(id, targets)`` of nodes with outgoing edges, and the isolated nodes ``(id)``."""
-    out = edges.groupBy(F.col("source").alias("id")).agg(F.sort_array(F.collect_list("target")).alias("targets"))
+    """``(id, target)`` for every outgoing edge, and the isolated nodes ``(id)``."""
     touched = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    return out, nodes.select("id").join(touched, "id", "left_anti")
+    return edges.select(F.col("source").alias("id"), "target"), nodes.select("id").join(touched, "id", "left_anti")
 
 
-def limit_graph(nodes: DataFrame, edges: DataFrame, threshold: int) -> DataFrame:
-    """Node ids of a graph cut to at most ``threshold`` nodes: in order of id, each node's whole out-star
-    if it still fits, then isolated nodes.
+def limit_graph(nodes: DataFrame, edges: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a graph cut to at most ``threshold`` nodes: in order of id, each node's whole
+    out-star if it still fits (its edges and itself count), then isolated nodes.
 
-    The choice depends on all before it, so it folds over one row for each star, ``(id, size)``, read
-    in order by the driver and left as soon as the limit is reached; the graph itself stays where it is.
+    The choice depends on all before it. The driver reads the next stars that could still fit, at most
+    ``threshold / 2`` at a time; the first of them always does, so the rounds are bounded by the limit
+    and not by the graph.
     """
-    stars = edges.groupBy(F.col("source").alias("id")).agg(F.count_distinct("target").alias("n")).orderBy("id")
-    left, chosen = threshold, []
-    for row in stars.where(F.col("n") + 1 <= threshold).toLocalIterator():
-        if left < 2:
+    stars = checkpointed(edges.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") < threshold))
+    left, chosen, last = threshold, [], None
+    while left >= 2:
+        fits = stars.where(F.col("n") < left)
+        some = (fits if last is None else fits.where(F.col("id") > last)).orderBy("id").limit(max(1, left // 2)).collect()
+        for row in some:
+            if row.n < left:
+                chosen.append(row.id)
+                left -= row.n + 1
+        if not some:
             break
-        if row.n + 1 <= left:
-            chosen.append(row.id)
-            left -= row.n + 1
-    spark = nodes.sparkSession
-    picked = spark.createDataFrame([(x,) for x in chosen], "id string")
-    taken = picked.unionAll(edges.join(picked, edges.source == picked.id, "left_semi").select(F.col("target").alias("id"))).distinct()
+        last = some[-1].id
+    picked = nodes.sparkSession.createDataFrame([(x,) for x in chosen], "source string")
+    held = edges.join(F.broadcast(picked), "source", "left_semi").select(*edges.columns)  # at most threshold / 2 ids
+    taken = held.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     lone = out_index(nodes, edges)[1].orderBy("id").limit(left)
-    return taken.unionAll(lone)
+    return nodes.join(taken.unionAll(lone), "id", "left_semi"), held
 
 
 def colour_histogram(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
@@ -201,7 +250,8 @@ def colour_histogram(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> Dat
     around = incident(edges)
     for _ in range(rounds):
         seen = around.join(colour.select(F.col("id").alias("other"), F.col("c").alias("oc")), "other")
-        mixed = seen.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list(F.sha2(F.concat_ws("|", "way", "edge_id", "oc"), 256))), "").alias("m"))
+        sums = seen.groupBy("id").agg(*set_digest(["way", "edge_id", "oc"]))
+        mixed = sums.select("id", F.concat_ws(":", *[F.col(c).cast("string") for c in ("n", "s1", "s2")]).alias("m"))
         colour = colour.join(mixed, "id", "left").select("id", F.sha2(F.concat_ws("|", "c", F.coalesce("m", F.lit(""))), 256).alias("c"))
     return colour.groupBy(F.col("c").alias("colour")).agg(F.count("*").alias("n"))
 

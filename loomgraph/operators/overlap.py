@@ -9,26 +9,36 @@ from loomgraph.functions.predicates import overlaps
 
 #: Bin width; about the typical length of an interval makes one or two bins each.
 WIDTH = 1 << 12
+#: An interval over more bins than this goes to bins that are as many times wider.
+WIDE = 64
 
 
 def overlap_join(left: DataFrame, right: DataFrame, a: str, b: str, *, width: int = WIDTH) -> DataFrame:
     """Pairs of rows whose half-open intervals ``{x}__chr, {x}__start, {x}__end`` share a point.
 
     Both sides are dealt to the bins that their intervals touch and meet by an equi-join on
-    chromosome and bin; a pair counts in its first common bin only, so nothing needs a distinct.
-    Rows with a null chromosome or end match nothing; an empty interval matches one around it.
+    chromosome, width and bin; a pair counts in its first common bin only, so nothing needs a distinct.
+    There are two widths: short intervals (up to ``WIDE`` narrow bins) stand in narrow and in wide bins,
+    long ones in wide bins alone; two short ones meet in narrow bins, others in wide ones. Rows with a
+    null chromosome or end match nothing; an empty interval matches one around it.
     """
 
     def bins(frame: DataFrame, x: str) -> DataFrame:
         start, end = F.col(f"{x}__start"), F.col(f"{x}__end")
-        at = lambda p: F.floor(p / width).cast("long")
-        first, last = at(start), at(F.greatest(start, end - 1))
-        return frame.withColumn(f"{x}__bin0", first).withColumn("__bin", F.explode(F.sequence(first, last)))
-
-    l, r = bins(left, a), bins(right, b).withColumnRenamed("__bin", "__other")  # noqa: E741
-    on = (F.col(f"{a}__chr") == F.col(f"{b}__chr")) & (F.col("__bin") == F.col("__other")) & overlaps(F.col(f"{a}__start"), F.col(f"{a}__end"), F.col(f"{b}__start"), F.col(f"{b}__end"))
-    first = F.col("__bin") == F.greatest(f"{a}__bin0", f"{b}__bin0")
-    return l.join(r, on & first).drop("__bin", "__other", f"{a}__bin0", f"{b}__bin0")
+        last = F.greatest(start, end - 1)
+        at = lambda p, w: F.floor(p / w).cast("long")
+        long = at(last, width) - at(start, width) >= WIDE
+        level = lambda wide, w: F.struct(F.lit(wide).alias("wide"), at(start, w).alias("lo"), at(last, w).alias("hi"))
+        levels = F.when(long, F.array(level(1, width * WIDE))).otherwise(F.array(level(0, width), level(1, width * WIDE)))
+        frame = frame.withColumn(f"{x}__long", long).withColumn(f"{x}__at", F.explode(levels))
+        return frame.withColumn(f"{x}__bin", F.explode(F.sequence(F.col(f"{x}__at.lo"), F.col(f"{x}__at.hi"))))
+
+    l, r = bins(left.where(F.col(f"{a}__end").isNotNull() & F.col(f"{a}__start").isNotNull()), a), bins(right.where(F.col(f"{b}__end").isNotNull() & F.col(f"{b}__start").isNotNull()), b)  # noqa: E741
+    c = F.col
+    on = (c(f"{a}__chr") == c(f"{b}__chr")) & (c(f"{a}__bin") == c(f"{b}__bin")) & (c(f"{a}__at.wide") == c(f"{b}__at.wide")) & overlaps(c(f"{a}__start"), c(f"{a}__end"), c(f"{b}__start"), c(f"{b}__end"))
+    own = (c(f"{a}__at.wide") == 0) | c(f"{a}__long") | c(f"{b}__long")  # two short ones have met in narrow bins
+    first = c(f"{a}__bin") == F.greatest(c(f"{a}__at.lo"), c(f"{b}__at.lo"))
+    return l.join(r, on & own & first).drop(*[f"{x}__{n}" for x in (a, b) for n in ("long", "at", "bin")])
 
 
 def overlap_join_plain(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:

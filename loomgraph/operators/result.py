@@ -89,10 +89,10 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.groupBy(label.alias("label")).count().select(F.lit("node").alias("kind"), "label", "count").unionByName(edges.groupBy("label").count().select(F.lit("edge").alias("kind"), "label", "count"))
 
 
-def grouped_nodes(nodes: DataFrame) -> DataFrame:
-    """One meta-node for each type: ``(type, name, members)``."""
-    by = nodes.groupBy("type").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("id", "name"))).alias("members"))
-    return by.select("type", F.concat(F.col("n").cast("string"), F.lit(" "), F.col("type"), F.lit(" nodes")).alias("name"), "members")
+def grouped_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One meta-node for each type, ``(type, name)``, and its members ``(type, id, name)``, a row each."""
+    by = nodes.groupBy("type").agg(F.count("*").alias("n"))
+    return by.select("type", F.concat(F.col("n").cast("string"), F.lit(" "), F.col("type"), F.lit(" nodes")).alias("name")), nodes.select("type", "id", "name")
 
 
 def first_edges(edges: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -115,13 +115,24 @@ def patch_missing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.unionByName(lost)
 
 
-def list_by_target(edges: DataFrame, targets: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """For each wanted target the distinct sources that reach it: ``(target, node_ids)``. ``targets(id)``
-    and, if given, ``sources(id)`` restrict the ends."""
+def list_by_target(edges: DataFrame, targets: DataFrame, sources: DataFrame | None = None, *, arrays: bool = False) -> DataFrame:
+    """For each wanted target the distinct sources that reach it: ``(target, node_id)``, a row each, or
+    with ``arrays`` one row a target, ``(target, node_ids)``, for callers who know that their targets have
+    few. ``targets(id)`` and, if given, ``sources(id)`` restrict the ends."""
     kept = edges.join(targets.select(F.col("id").alias("dst")), "dst", "left_semi")
     if sources is not None:
         kept = kept.join(sources.select(F.col("id").alias("src")), "src", "left_semi")
-    return kept.groupBy(F.col("dst").alias("target")).agg(F.sort_array(F.collect_set("src")).alias("node_ids"))
+    pairs = kept.select(F.col("dst").alias("target"), F.col("src").alias("node_id")).distinct()
+    return pairs.groupBy("target").agg(F.sort_array(F.collect_list("node_id")).alias("node_ids")) if arrays else pairs
+
+
+def source_summaries(nodes: DataFrame, edges: DataFrame, described: Column) -> DataFrame:
+    """``(source, about, line)``: for every edge a line that describes its target, beside its source's
+    description. ``described`` is a column over ``nodes``, such as ``functions.text.description`` makes."""
+    d = nodes.select("id", described.alias("about"))
+    ends = edges.join(d.withColumnsRenamed({"id": "source"}), "source", "left").join(d.withColumnsRenamed({"id": "target", "about": "other"}), "target", "left")
+    line = F.concat(F.col("label"), F.lit(" -> Target Node ("), F.col("target"), F.lit("): "), F.coalesce("other", F.lit("")))
+    return ends.select("source", F.coalesce("about", F.lit("")).alias("about"), line.alias("line"))
 
 
 def roll_up(members: DataFrame, parents: DataFrame) -> DataFrame:

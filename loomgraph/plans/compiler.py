@@ -19,13 +19,14 @@ from loomgraph.functions.predicates import exact, node_filters, overlaps
 from loomgraph.operators.overlap import overlap_join
 from loomgraph.plans.model import EdgePattern, NodePattern, QueryGraph
 from loomgraph.plans.rewrite import VIRTUAL, ordered
+from loomgraph.session import checkpointed
 from loomgraph.sources.catalog import GraphCatalog
 
 
 def vertex_frame(catalog: GraphCatalog, node: NodePattern, *, matching: str = "regex", bare: bool = False) -> DataFrame:
     """The vertices that satisfy a node pattern; columns prefixed with its variable unless ``bare``."""
     v = catalog.vertices(node.type)
-    for condition in node_filters(node.id, node.properties, matching=matching):
+    for condition in node_filters(v, node.id, node.properties, matching=matching):
         v = v.where(condition)
     return v if bare else v.select(*[F.col(f"`{c}`").alias(f"{node.node_id}__{c}") for c in v.columns])
 
@@ -33,8 +34,9 @@ def vertex_frame(catalog: GraphCatalog, node: NodePattern, *, matching: str = "r
 def edge_frame(catalog: GraphCatalog, query: QueryGraph, edge: EdgePattern) -> DataFrame:
     """The edges that satisfy an edge pattern's own properties; columns ``src, dst, {predicate}__...``."""
     e = catalog.edges(query.node(edge.source).type, edge.name, query.node(edge.target).type)
+    kinds = dict(e.dtypes)
     for key, value in edge.properties.items():
-        e = e.where(exact(F.col(f"`{key}`"), value))
+        e = e.where(exact(F.col(f"`{key}`"), value, kinds[key]) if key in kinds else F.lit(value is None))
     return e.select(F.col("src").alias(f"{edge.predicate_id}__src"), F.col("dst").alias(f"{edge.predicate_id}__dst"), *[F.col(f"`{c}`").alias(f"{edge.predicate_id}__{c}") for c in e.columns if c not in ("src", "dst")])
 
 
@@ -112,9 +114,8 @@ def optional_nodes(catalog: GraphCatalog, query: QueryGraph, *, matching: str =
         last = i == len(query.nodes) - 1
         own = n if not last_only else NodePattern(n.node_id, n.type)
         frame = frame.join(vertex_frame(catalog, own, matching=matching), F.lit(True), "left")
-        if last_only and last:
-            for condition in node_filters(n.id, n.properties, matching=matching):
-                frame = frame.join(vertex_frame(catalog, n, matching=matching).select(f"{n.node_id}__id"), f"{n.node_id}__id", "left_semi") if condition is not None else frame
+        if last_only and last and (n.id or n.properties):
+            frame = frame.join(vertex_frame(catalog, n, matching=matching).select(f"{n.node_id}__id"), f"{n.node_id}__id", "left_semi")
     return frame
 
 
@@ -122,29 +123,22 @@ def semijoin_edges(catalog: GraphCatalog, query: QueryGraph, *, mode: str = "ful
     """The edges that take part in matches, ``(predicate_id, source, target)``, by semi-joins.
 
     ``forward`` goes along the edges once and keeps what nothing later confirms; ``full`` goes back
-    as well, which for tree patterns leaves exactly the edges of complete matches (for a cycle use
-    the bindings).
+    first, from the last edge to the first, and then forward, which for tree patterns leaves exactly
+    the edges of complete matches (for a cycle use the bindings). Each visit is two semi-joins; its
+    result is checkpointed, so that the plan of the next doesn't hold those before it.
     """
     query = ordered(query)
     allowed = {n.node_id: vertex_frame(catalog, n, matching=matching, bare=True).select("id") for n in query.nodes}
     kept: dict[str, DataFrame] = {}
-
-    def reduce_edge(e: EdgePattern) -> None:
+    visits = [*(reversed(query.edges) if mode == "full" else ()), *query.edges]
+    for i, e in enumerate(visits):
         edges = kept.get(e.predicate_id)
         if edges is None:
-            edges = edge_frame(catalog, query, e).select(F.col(f"{e.predicate_id}__src").alias("source"), F.col(f"{e.predicate_id}__dst").alias("target"))
+            edges = edge_frame(catalog, query, e).select(F.col(f"{e.predicate_id}__src").alias("source"), F.col(f"{e.predicate_id}__dst").alias("target")).distinct()
         for var, key in ((e.source, "source"), (e.target, "target")):
             edges = edges.join(allowed[var].select(F.col("id").alias(key)), key, "left_semi")
-        kept[e.predicate_id] = edges
+        edges = kept[e.predicate_id] = checkpointed(edges) if i < len(visits) - 1 else edges
         for var, key in ((e.source, "source"), (e.target, "target")):
             allowed[var] = edges.select(F.col(key).alias("id")).distinct()
-
-    for e in query.edges:
-        reduce_edge(e)
-    if mode == "full":
-        for e in reversed(query.edges):
-            reduce_edge(e)
-        for e in query.edges:
-            reduce_edge(e)
     parts = [kept[e.predicate_id].select(F.lit(e.predicate_id).alias("predicate_id"), F.col("source").cast("string"), F.col("target").cast("string")) for e in query.edges]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import predicates, text
 from loomgraph.operators import algebra, history, result, statistics
-from loomgraph.operators.overlap import overlap_join, overlap_join_plain
+from loomgraph.operators.overlap import overlap_join
 from loomgraph.plans import compiler
 from loomgraph.plans.model import QueryGraph
 from loomgraph.plans.rewrite import canonical, fingerprint
@@ -47,10 +47,10 @@ def ids(frame: DataFrame, *variables: str) -> DataFrame:
     return frame.select(*[F.col(f"{v}__id").alias(v) for v in variables])
 
 
-#: customer named by a pattern, their orders, the parts of one brand in them.
-CHAIN = pattern([("c", "customer", {"name": "customer#0*[0-9]*[05]"}), ("o", "orders"), ("p", "part", {"brand": "brand#13"})], [("placed", "c", "o"), ("contains", "o", "p")])
+#: customers of a market segment, their orders, the parts of one brand in them.
+CHAIN = pattern([("c", "customer", {"mktsegment": "building"}), ("o", "orders"), ("p", "part", {"brand": "brand#13"})], [("placed", "c", "o"), ("contains", "o", "p")])
 _CHAIN = """customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey
-    WHERE regexp_full_match(c.c_name, '(?i)customer#0*[0-9]*[05]') AND lower(p.p_brand) = 'brand#13'"""
+    WHERE lower(c.c_mktsegment) = 'building' AND lower(p.p_brand) = 'brand#13'"""
 _UID = "l.l_orderkey * 16 + l.l_linenumber"
 #: customers and suppliers in nations in regions: the graph that the algebra works on.
 _PLACE_NODES = """SELECT 'region ' || r_regionkey AS id, 'region' AS type, r_name AS name FROM region UNION ALL SELECT 'nation ' || n_nationkey, 'nation', n_name FROM nation
@@ -58,9 +58,10 @@ _PLACE_NODES = """SELECT 'region ' || r_regionkey AS id, 'region' AS type, r_nam
 _PLACE_EDGES = """SELECT 'nation_in_region_region' AS edge_id, 'in_region' AS label, 'nation ' || n_nationkey AS source, 'region ' || n_regionkey AS target FROM nation
     UNION ALL SELECT 'customer_in_nation_nation', 'in_nation', 'customer ' || c_custkey, 'nation ' || c_nationkey FROM customer
     UNION ALL SELECT 'supplier_in_nation_nation', 'in_nation', 'supplier ' || s_suppkey, 'nation ' || s_nationkey FROM supplier"""
+_BITS = "sum(('0x' || substr(d, 1, 15))::BIGINT)::VARCHAR || ':' || sum(('0x' || substr(d, 16, 15))::BIGINT)::VARCHAR"
 _SIGNED = f"""n AS ({_PLACE_NODES}), e AS ({_PLACE_EDGES}),
     i AS (SELECT DISTINCT id, sha256(concat_ws('|', way, edge_id, other)) AS d FROM (SELECT source AS id, 'out' AS way, edge_id, target AS other FROM e UNION ALL SELECT target, 'in', edge_id, source FROM e)),
-    s AS (SELECT id, sha256(array_to_string(list_sort(list(d)), '')) AS signature FROM i GROUP BY id),
+    s AS (SELECT id, count(*) || ':' || {_BITS} AS signature FROM i GROUP BY id),
     g AS (SELECT n.*, sha256(concat_ws('|', type, coalesce(signature, ''))) AS group_id FROM n LEFT JOIN s USING (id))"""
 
 
@@ -176,10 +177,10 @@ def match_cycle(spark, d):
     return found.select(F.col("s__id").alias("s"), F.col("o__id").alias("o"), F.col("p__id").alias("p"), F.col("p0__uid").alias("supplied"), F.col("p1__uid").alias("contained"), F.col("p2__uid").alias("shipped"))
 
 
-_TWIN = pattern([("a", "customer"), ("b", "customer"), ("n", "nation", {"name": "nation_0?[0-5]|algeria|france|china"})], [("in_nation", "a", "n"), ("in_nation", "b", "n")])
+_TWIN = pattern([("a", "customer", {"mktsegment": "building"}), ("b", "customer", {"mktsegment": "building"}), ("n", "nation")], [("in_nation", "a", "n"), ("in_nation", "b", "n")])
 
 
-@query("SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey JOIN nation ON n_nationkey = a.c_nationkey WHERE regexp_full_match(n_name, '(?i)nation_0?[0-5]|algeria|france|china') AND a.c_custkey <> b.c_custkey")
+@query("SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey JOIN nation ON n_nationkey = a.c_nationkey WHERE lower(a.c_mktsegment) = 'building' AND lower(b.c_mktsegment) = 'building' AND a.c_custkey <> b.c_custkey")
 def match_edge_isomorphic(spark, d):
     return ids(compiler.bindings(star_graph(spark, d), _TWIN, isomorphic=True), "a", "b")
 
@@ -193,11 +194,6 @@ def _two(spark, d):
     return side("a"), side("b")
 
 
-@query(f"SELECT i.id AS a, j.id AS b {_PAIRS}")
-def overlap_join_query(spark, d):
-    return ids(overlap_join_plain(*_two(spark, d), "a", "b"), "a", "b")
-
-
 @query(f"SELECT i.id AS a, j.id AS b {_PAIRS}")
 def overlap_join_binned(spark, d):
     return ids(overlap_join(*_two(spark, d), "a", "b"), "a", "b")
@@ -237,17 +233,17 @@ def patch_missing_edges(spark, d):
     return result.patch_missing(nodes.where("type = 'nation'"), edges.where("edge_id = 'customer_in_nation_nation'"))
 
 
-@query("SELECT n_nationkey::BIGINT AS target, array_to_string(list_sort(list(DISTINCT c_custkey)), ',') AS node_ids FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1 GROUP BY 1")
+@query("SELECT DISTINCT n_nationkey::BIGINT AS target, c_custkey AS node_id FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1")
 def list_by_target(spark, d):
     g = star_graph(spark, d)
     wanted = g.edges("nation", "in_region", "region").where("dst = 1").select(F.col("src").alias("id"))
-    return result.list_by_target(g.edges("customer", "in_nation", "nation"), wanted).select("target", F.array_join(F.col("node_ids").cast("array<string>"), ",").alias("node_ids"))
+    return result.list_by_target(g.edges("customer", "in_nation", "nation"), wanted)
 
 
 @query("SELECT p_partkey AS target, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS node_ids FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE p_size = 7 AND s_acctbal > 0 GROUP BY 1")
 def list_both(spark, d):
     g = star_graph(spark, d)
-    found = result.list_by_target(g.edges("supplier", "supplies", "part"), g.vertices("part").where("size = 7"), g.vertices("supplier").where("acctbal > 0"))
+    found = result.list_by_target(g.edges("supplier", "supplies", "part"), g.vertices("part").where("size = 7"), g.vertices("supplier").where("acctbal > 0"), arrays=True)
     return found.select("target", F.array_join(F.col("node_ids").cast("array<string>"), ",").alias("node_ids"))
 
 
@@ -278,7 +274,7 @@ def label_count(spark, d):
     return result.variable_counts(compiler.bindings(star_graph(spark, d), CHAIN), CHAIN)
 
 
-@query("WITH m AS (SELECT a.c_custkey AS a, b.c_custkey AS b, n_nationkey AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey JOIN nation ON n_nationkey = a.c_nationkey WHERE regexp_full_match(n_name, '(?i)nation_0?[0-5]|algeria|france|china')) SELECT 'node' AS kind, 'customer' AS label, count(DISTINCT a) + count(DISTINCT b) AS count FROM m UNION ALL SELECT 'node', 'nation', count(DISTINCT n) FROM m UNION ALL SELECT 'edge', 'in_nation', count(DISTINCT a) + count(DISTINCT b) FROM m UNION ALL SELECT 'node', 'part', 0")
+@query("WITH m AS (SELECT a.c_custkey AS a, b.c_custkey AS b, n_nationkey AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey JOIN nation ON n_nationkey = a.c_nationkey WHERE lower(a.c_mktsegment) = 'building' AND lower(b.c_mktsegment) = 'building') SELECT 'node' AS kind, 'customer' AS label, count(DISTINCT a) + count(DISTINCT b) AS count FROM m UNION ALL SELECT 'node', 'nation', count(DISTINCT n) FROM m UNION ALL SELECT 'edge', 'in_nation', count(DISTINCT a) + count(DISTINCT b) FROM m UNION ALL SELECT 'node', 'part', 0")
 def label_count_rollup(spark, d):
     return result.label_counts(compiler.bindings(star_graph(spark, d), _TWIN), _TWIN, ["customer", "part"])
 
@@ -317,17 +313,23 @@ def kg_type_hist(spark, d):
     return statistics.type_histogram(star_graph(spark, d))
 
 
-@query(f"SELECT type, count(*) || ' ' || type || ' nodes' AS name, array_to_string(list_sort(list(id)), ',') AS members FROM ({_PLACE_NODES}) GROUP BY type")
+@query(f"WITH n AS ({_PLACE_NODES}) SELECT n.type, count(*) OVER (PARTITION BY n.type) || ' ' || n.type || ' nodes' AS \"group\", id, name FROM n")
 def node_only_group(spark, d):
-    return result.grouped_nodes(places(spark, d)[0]).select("type", "name", F.array_join("members.id", ",").alias("members"))
+    groups, members = result.grouped_nodes(places(spark, d)[0])
+    return members.join(groups.withColumnRenamed("name", "group"), "type")
 
 
 # Graph algebra ------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_SIGNED} SELECT group_id AS id, type, CASE WHEN count(*) = 1 THEN min(name) ELSE count(*) || ' ' || type || ' nodes' END AS name, count(*) AS n, array_to_string(list_sort(list(id)), ',') AS members FROM g GROUP BY group_id, type")
+@query(f"WITH {_SIGNED} SELECT group_id AS id, type, CASE WHEN count(*) = 1 THEN min(name) ELSE count(*) || ' ' || type || ' nodes' END AS name, count(*) AS n FROM g GROUP BY group_id, type")
 def collapse_nodes(spark, d):
-    return algebra.collapse(*places(spark, d))[0].select("id", "type", "name", "n", F.array_join("members", ",").alias("members"))
+    return algebra.collapse(*places(spark, d))[0]
+
+
+@query(f"WITH {_SIGNED} SELECT group_id AS parent, id AS child FROM g")
+def collapse_members(spark, d):
+    return algebra.collapse(*places(spark, d))[2]
 
 
 @query(f"WITH {_SIGNED} SELECT DISTINCT edge_id, label, a.group_id AS source, b.group_id AS target FROM e JOIN g a ON a.id = e.source JOIN g b ON b.id = e.target WHERE a.group_id <> b.group_id")
@@ -335,14 +337,23 @@ def collapse_nodes_hash(spark, d):
     return algebra.compound(*places(spark, d))[1]
 
 
-_PARENTS = f"""n AS ({_PLACE_NODES}), e AS ({_PLACE_EDGES}),
-    i AS (SELECT source AS id, 'out' AS way, edge_id, target AS other FROM e UNION ALL SELECT target, 'in', edge_id, source FROM e),
-    a AS (SELECT id, edge_id, max(way) = 'out' AS is_source, list_sort(list(DISTINCT other)) AS others FROM i GROUP BY 1, 2 HAVING count(DISTINCT other) >= 2),
-    c AS (SELECT sha256(array_to_string(others, ',')) AS parent, id AS owner, edge_id, is_source, len(others) AS n, others FROM a QUALIFY row_number() OVER (PARTITION BY sha256(array_to_string(others, ',')) ORDER BY id, edge_id) = 1),
-    m AS (SELECT parent, is_source, n, owner, unnest(others) AS child FROM c),
-    k AS (SELECT * FROM m WHERE parent NOT IN (SELECT m.parent FROM m JOIN (SELECT child, is_source, max(n) AS top FROM m GROUP BY 1, 2) t USING (child, is_source) WHERE t.top > m.n)),
+def _parents_sql(nodes: str, edges: str) -> str:
+    return f"""pn AS ({nodes}), pe AS ({edges}),
+    pi AS (SELECT source AS id, 'out' AS way, edge_id, target AS other FROM pe UNION ALL SELECT target, 'in', edge_id, source FROM pe),
+    po AS (SELECT id, edge_id, other, max(way) AS way, sha256(other) AS d FROM pi GROUP BY 1, 2, 3),
+    pa AS (SELECT id, edge_id, max(way) = 'out' AS is_source, count(*) AS n, sha256(count(*) || ':' || {_BITS}) AS parent FROM po GROUP BY 1, 2 HAVING count(*) >= 2),
+    c AS (SELECT parent, id AS owner, edge_id, is_source, n FROM pa QUALIFY row_number() OVER (PARTITION BY parent ORDER BY id, edge_id) = 1),
+    m AS (SELECT c.parent, c.is_source, c.n, c.owner, po.other AS child FROM c JOIN po ON po.id = c.owner AND po.edge_id = c.edge_id),
+    k AS (SELECT * FROM m WHERE parent NOT IN (SELECT m.parent FROM m JOIN (SELECT child, is_source, max(n) AS top FROM m GROUP BY 1, 2) t USING (child, is_source) WHERE t.top > m.n) AND child IN (SELECT id FROM pn)),
     b AS (SELECT parent, child FROM k QUALIFY row_number() OVER (PARTITION BY child ORDER BY n DESC, owner, parent) = 1),
-    f AS (SELECT parent FROM b GROUP BY 1 HAVING count(*) > 1)"""
+    f AS (SELECT parent FROM b GROUP BY 1 HAVING count(*) > 1),
+    p AS (SELECT * FROM c WHERE parent IN (SELECT parent FROM f)), h AS (SELECT p.owner, p.edge_id, p.is_source, po.other AS child FROM p JOIN po ON po.id = p.owner AND po.edge_id = p.edge_id),
+    out AS (SELECT edge_id, label, source, target FROM pe WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.edge_id = pe.edge_id AND ((h.is_source AND h.owner = pe.source AND h.child = pe.target) OR (NOT h.is_source AND h.owner = pe.target AND h.child = pe.source)))
+        UNION ALL SELECT edge_id, array_to_string(list_slice(string_split(edge_id, '_'), 2, -2), '_'), CASE WHEN is_source THEN owner ELSE parent END, CASE WHEN is_source THEN parent ELSE owner END FROM p)"""
+
+
+_PARENTS = _parents_sql(_PLACE_NODES, _PLACE_EDGES)
+_BETWEEN = "SELECT DISTINCT edge_id, label, a.group_id AS source, b.group_id AS target FROM e JOIN g a ON a.id = e.source JOIN g b ON b.id = e.target WHERE a.group_id <> b.group_id"
 
 
 @query(f"WITH {_PARENTS} SELECT parent, child FROM b WHERE parent IN (SELECT parent FROM f)")
@@ -350,13 +361,21 @@ def group_parents(spark, d):
     return algebra.group_parents(*places(spark, d))[0]
 
 
-@query(f"""WITH {_PARENTS}, p AS (SELECT * FROM c WHERE parent IN (SELECT parent FROM f)), h AS (SELECT owner, edge_id, is_source, unnest(others) AS child FROM p)
-    SELECT edge_id, label, source, target FROM e WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.edge_id = e.edge_id AND ((h.is_source AND h.owner = e.source AND h.child = e.target) OR (NOT h.is_source AND h.owner = e.target AND h.child = e.source)))
-    UNION ALL SELECT edge_id, array_to_string(list_slice(string_split(edge_id, '_'), 2, -2), '_'), CASE WHEN is_source THEN owner ELSE parent END, CASE WHEN is_source THEN parent ELSE owner END FROM p""")
+@query(f"WITH {_PARENTS} SELECT * FROM out")
 def group_parents_edges(spark, d):
     return algebra.group_parents(*places(spark, d))[2]
 
 
+@query(f"WITH {_SIGNED}, {_parents_sql('SELECT DISTINCT group_id AS id FROM g', _BETWEEN)} SELECT * FROM out")
+def group_graph(spark, d):
+    return algebra.group_graph(*places(spark, d))[3]
+
+
+@query(f"WITH {_SIGNED}, {_parents_sql('SELECT DISTINCT group_id AS id FROM g', _BETWEEN)} SELECT parent, child FROM b WHERE parent IN (SELECT parent FROM f)")
+def group_graph_children(spark, d):
+    return algebra.group_graph(*places(spark, d))[2]
+
+
 @query(f"SELECT DISTINCT edge_id, source, target FROM ({_PLACE_EDGES})")
 def break_grouping(spark, d):
     nodes, edges = places(spark, d)
@@ -370,6 +389,36 @@ def collapse_location(spark, d):
     return algebra.by_location(parts)[0].select("id", "original", "location", "main")
 
 
+_SPREAD = """x AS (SELECT 'part ' || p_partkey AS original, p_name AS name, string_split(replace(p_type, ' ', ','), ',') AS places FROM part), y AS (SELECT *, unnest(range(len(places))) AS i FROM x),
+    l AS (SELECT CASE WHEN len(places) > 1 THEN original || '_loc_' || i ELSE original END AS id, original, 'part' AS type, name, places[i + 1] AS location, i = 0 AS main FROM y
+        UNION ALL SELECT 'supplier ' || s_suppkey, 'supplier ' || s_suppkey, 'supplier', s_name, '', TRUE FROM supplier),
+    t AS (SELECT 'supplier_supplies_part' AS edge_id, 'supplies' AS label, 'supplier ' || l_suppkey AS source, l.id AS target FROM lineitem JOIN l ON l.original = 'part ' || l_partkey AND l.main
+        UNION ALL SELECT 'location_alias', 'location_alias', id, original || '_loc_0' FROM l WHERE NOT main),
+    e AS (SELECT min(edge_id) AS edge_id, min(label) AS label, source, target FROM t GROUP BY source, target),
+    i AS (SELECT DISTINCT id, sha256(concat_ws('|', way, edge_id, other)) AS d FROM (SELECT source AS id, 'out' AS way, edge_id, target AS other FROM e UNION ALL SELECT target, 'in', edge_id, source FROM e)),
+    s AS (SELECT id, count(*) || ':' || """ + _BITS + """ AS signature FROM i GROUP BY id),
+    q AS (SELECT l.*, sha256(concat_ws('|', location, coalesce(signature, ''))) AS digest FROM l LEFT JOIN s USING (id)),
+    g AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY digest) = 1 THEN id ELSE digest END AS group_id FROM q)"""
+
+
+def _located(spark, d):
+    g = star_graph(spark, d)
+    parts = g.vertices("part").select(result.key("part", F.col("id")).alias("id"), F.lit("part").alias("type"), "name", F.translate("type", " ", ",").alias("location"))
+    makers = g.vertices("supplier").select(result.key("supplier", F.col("id")).alias("id"), F.lit("supplier").alias("type"), "name", F.lit(None).cast("string").alias("location"))
+    edges = g.edges("supplier", "supplies", "part").select(F.lit("supplier_supplies_part").alias("edge_id"), F.lit("supplies").alias("label"), result.key("supplier", F.col("src")).alias("source"), result.key("part", F.col("dst")).alias("target"))
+    return algebra.collapse_location(parts.unionByName(makers), edges)
+
+
+@query(f"WITH {_SPREAD} SELECT group_id AS id, arg_min(type, id) AS type, CASE WHEN count(*) = 1 THEN min(name) ELSE count(*) || ' ' || arg_min(type, id) || ' nodes' END AS name, count(*) AS n FROM g GROUP BY group_id")
+def collapse_location_nodes(spark, d):
+    return _located(spark, d)[0]
+
+
+@query(f"WITH {_SPREAD} {_BETWEEN}")
+def collapse_location_edges(spark, d):
+    return _located(spark, d)[1]
+
+
 @query("WITH RECURSIVE e AS (SELECT 'nation ' || n_nationkey AS a, 'region ' || n_regionkey AS b FROM nation UNION ALL SELECT 'supplier ' || s_suppkey, 'nation ' || s_nationkey FROM supplier UNION ALL SELECT 'customer ' || c_custkey, 'nation ' || c_nationkey FROM customer), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), h AS (SELECT 'region ' || r_regionkey AS id, 'region ' || r_regionkey AS root FROM region UNION SELECT u.b, h.root FROM h JOIN u ON u.a = h.id), m AS (SELECT root, min(id) AS component FROM h GROUP BY 1) SELECT h.id, m.component FROM h JOIN m USING (root)")
 def components(spark, d):
     nodes, edges = places(spark, d)
@@ -421,14 +470,25 @@ def isolated_nodes(spark, d):
     return algebra.out_index(parts, edges)[1]
 
 
-@query(f"SELECT source AS id, array_to_string(list_sort(list(target)), ',') AS targets FROM ({_PLACE_EDGES}) GROUP BY 1")
+@query(f"SELECT source AS id, target FROM ({_PLACE_EDGES})")
 def map_graph(spark, d):
-    return algebra.out_index(*places(spark, d))[0].select("id", F.array_join("targets", ",").alias("targets"))
+    return algebra.out_index(*places(spark, d))[0]
+
 
+_LIMIT = f"""WITH RECURSIVE n AS ({_PLACE_NODES}), e AS ({_PLACE_EDGES}), stars AS MATERIALIZED (SELECT source AS id, count(*) AS n, row_number() OVER (ORDER BY source) AS i FROM e GROUP BY 1),
+    fold AS (SELECT 0::BIGINT AS i, 200::BIGINT AS rest, NULL::VARCHAR AS id UNION ALL SELECT stars.i, CASE WHEN stars.n < rest THEN rest - stars.n - 1 ELSE rest END, CASE WHEN stars.n < rest THEN stars.id END FROM fold JOIN stars ON stars.i = fold.i + 1),
+    held AS (SELECT e.* FROM e WHERE source IN (SELECT id FROM fold WHERE id IS NOT NULL)),
+    lone AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM n WHERE id NOT IN (SELECT source FROM e) AND id NOT IN (SELECT target FROM e))"""
 
-@query()
+
+@query(f"{_LIMIT} SELECT * FROM n WHERE id IN (SELECT source FROM held UNION SELECT target FROM held UNION SELECT id FROM lone WHERE i <= (SELECT min(rest) FROM fold))")
 def limit_graph(spark, d):
-    return algebra.limit_graph(*places(spark, d), 200)
+    return algebra.limit_graph(*places(spark, d), 200)[0]
+
+
+@query(f"{_LIMIT} SELECT edge_id, label, source, target FROM held")
+def limit_graph_edges(spark, d):
+    return algebra.limit_graph(*places(spark, d), 200)[1]
 
 
 # History, exports, texts --------------------------------------------------------------------------
@@ -485,8 +545,7 @@ def sexpr_roundtrip(spark, d):
     return sexpr.parse_lines(lines).select("kind", "property", F.col("source_label").alias("label"), F.col("source").alias("id"), F.array_join("value", " ").alias("value"))
 
 
-QUERIES["overlap_join"] = QUERIES.pop("overlap_join_query")
-ORACLE_SQL["overlap_join"] = ORACLE_SQL.pop("overlap_join_query")
+QUERIES["overlap_join"], ORACLE_SQL["overlap_join"] = overlap_join_binned, ORACLE_SQL["overlap_join_binned"]
 
 
 def chain_fingerprint() -> str:

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that lost executors cost no
     recomputation of what lies before it. The folder is the cluster's ``spark.checkpoint.dir``; only
-    where that is unset (tests, a laptop) a temporary one is made.
+    on a local master (tests, a laptop) a temporary one is made where that is unset.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -28,7 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's own folder below the shared checkpoint folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
