@@ -2,8 +2,9 @@
 
 Distinct fingerprints are dealt to tiles by bands of their population count (and a hash within one band).
 A tile pair is compared only if the counts may differ by at most the radius, since each differing bit
-moves the count by one at most. Where links also need a similarity of the sets behind the fingerprints,
-tiles are dealt by set size too: at a similarity s the sizes differ by a factor of 1/s at most.
+moves the count by one at most. Where links also need a similarity of the sets behind the fingerprints
+(the cosine, which SimHash estimates too), tiles are dealt by set size: at a cosine s the sizes differ by
+a factor of 1/s**2 at most.
 Tiles have a bounded number of fingerprints, each tile pair is a task's group of its own,
 and it returns a spanning forest of its links, so a dense group never expands into all its pairs.
 """
@@ -49,20 +50,23 @@ class Forest:
         return own[self.root != own], self.root[self.root != own]
 
 
-def compare(x: np.ndarray, y: np.ndarray | None, radius: int, sketches: tuple[np.ndarray, ...] | None = None, agree: float = 0, names: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def compare(x: np.ndarray, y: np.ndarray | None, radius: int, sketches: tuple[np.ndarray, ...] | None = None, agree: float = 0, names: tuple[np.ndarray, ...] | None = None, sizes: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within ``x`` (``y`` None) or between ``x`` and ``y``, by the
     fingerprints or by ``names`` of their holders.
 
     With ``sketches`` (a row of values for each fingerprint of ``x`` and ``y``) a link also needs the
-    share ``agree`` of equal values; pairs that are joined already are not looked at again.
+    share ``agree`` of equal values, or with the ``sizes`` of the sketched sets the cosine ``agree`` that
+    follows from that share; pairs that are joined already are not looked at again.
     """
-    sides, ranked, named = [], [], []
+    sides, ranked, named, large = [], [], [], []
     for n, side in enumerate([x] if y is None else [x, y]):
         order = np.lexsort((np.bitwise_count(side >> np.uint64(32)), np.bitwise_count(side & _HALF)))
         named.append((side if names is None else names[n])[order])
         side = side[order]
         if sketches is not None:
             ranked.append(sketches[n][order])
+        if sizes is not None:
+            large.append(sizes[n][order].astype(float))
         lo, hi = np.bitwise_count(side & _HALF).astype(int), np.bitwise_count(side >> np.uint64(32)).astype(int)
         cut = range(0, len(side), _BLOCK)
         sides.append((side, [(i, min(i + _BLOCK, len(side)), lo[i : i + _BLOCK].min(), lo[i : i + _BLOCK].max(), hi[i : i + _BLOCK].min(), hi[i : i + _BLOCK].max()) for i in cut]))
@@ -83,7 +87,11 @@ def compare(x: np.ndarray, y: np.ndarray | None, radius: int, sketches: tuple[np
                 p, q = i[lo : lo + 8192], j[lo : lo + 8192]
                 apart = forest.root[p] != forest.root[q]
                 p, q = p[apart], q[apart]
-                like = (ranked[0][p] == ranked[-1][q - base]).mean(1) >= agree
+                share = (ranked[0][p] == ranked[-1][q - base]).mean(1)
+                if sizes is not None:  # a share e of the union means e / (1 + e) of both sizes in common
+                    a_, b_ = large[0][p], large[-1][q - base]
+                    share = share / (1 + share) * (a_ + b_) / np.sqrt(a_ * b_)
+                like = share >= agree
                 if like.any():
                     forest.add(p[like], q[like])
     nodes = np.concatenate(named) if base else named[0]
@@ -97,16 +105,17 @@ def hamming_links(prints: DataFrame, fp: str, radius: int, tile: int = TILE, *,
     bits. Null fingerprints link nothing.
 
     With the binary column ``sketch`` (8-bit values) and the long column ``size`` (of the sets that were
-    sketched) a step also needs the share ``similarity - allowed`` of equal values. Sizes fall into buckets
-    of that ratio, and pairs further apart than adjoining buckets, whose similarity is lower for certain,
-    are left out. With the long column ``key`` the nodes are its values, each with one fingerprint and one
-    sketch, and equal fingerprints are linked like any others; without it the least sketch of a fingerprint stands.
+    sketched) a step also needs the cosine ``similarity - allowed`` by the sketches. Sizes fall into buckets
+    of the ratio 1 / similarity**2, and pairs further apart than adjoining buckets, whose cosine is lower
+    for certain, are left out. With the long column ``key`` the nodes are its values, each with one
+    fingerprint and one sketch, and equal fingerprints are linked like any others; without it the least
+    sketch of a fingerprint stands.
     """
     spark = prints.sparkSession
     kept = F.min(F.struct(F.col(sketch).alias("sketch"), F.col(size).alias("size"), F.col(fp).alias("fp"))) if sketch else F.min(F.struct(F.lit(b"").alias("sketch"), F.lit(1).alias("size"), F.col(fp).alias("fp")))
     own = prints.where(F.col(fp).isNotNull()).groupBy(F.col(key or fp).alias("key")).agg(kept.alias("kept")).select("key", "kept.*")
-    bucket = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / log(1 / similarity)) if sketch else F.lit(0)
-    own = checkpointed(own.select("key", "fp", "sketch", bucket.cast("int").alias("bucket"), F.floor(F.bit_count("fp") / (radius + 1)).cast("int").alias("band")))
+    bucket = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / (2 * log(1 / (similarity - allowed)))) if sketch else F.lit(0)
+    own = checkpointed(own.select("key", "fp", "sketch", "size", bucket.cast("int").alias("bucket"), F.floor(F.bit_count("fp") / (radius + 1)).cast("int").alias("band")))
     # 65 bands at most, and as many buckets as the logarithm of the longest text
     held = sorted((r.bucket, r.band, r.n) for r in own.groupBy("bucket", "band").agg(F.count("*").alias("n")).collect())
     ranges, first = {}, 0
@@ -116,8 +125,8 @@ def hamming_links(prints: DataFrame, fp: str, radius: int, tile: int = TILE, *,
     cells = [(b, c, lo, hi - lo, [ranges[x, y] for x in (b - 1, b, b + 1) for y in (c - 1, c, c + 1) if (x, y) in ranges]) for (b, c), (lo, hi) in ranges.items()]
     cells = spark.createDataFrame(cells, "bucket int, band int, first long, parts long, near array<struct<lo: long, hi: long>>")
     dealt = own.join(F.broadcast(cells), ["bucket", "band"]).withColumn("t", F.col("first") + F.pmod(F.xxhash64("key"), "parts"))
-    packed = dealt.groupBy("t").agg(F.collect_list("fp").alias("fps"), F.collect_list("sketch").alias("sketches"), F.collect_list("key").alias("keys"), F.first("near").alias("near"))
-    sides = ["fps", *(["sketches"] if sketch else []), *(["keys"] if key else [])]
+    packed = dealt.groupBy("t").agg(F.collect_list("fp").alias("fps"), F.collect_list("sketch").alias("sketches"), F.collect_list("key").alias("keys"), F.collect_list("size").alias("sizes"), F.first("near").alias("near"))
+    sides = ["fps", *(["sketches", "sizes"] if sketch else []), *(["keys"] if key else [])]
     pairs = packed.select("t", *sides, F.explode("near").alias("near")).select("t", *sides, F.explode(F.sequence("near.lo", F.col("near.hi") - 1)).alias("other"))
     pairs = pairs.select(F.least("t", "other").alias("p"), F.greatest("t", "other").alias("q"), "t", *sides)
 
@@ -128,7 +137,8 @@ def hamming_links(prints: DataFrame, fp: str, radius: int, tile: int = TILE, *,
         if len(sides) == 1 and pdf.p.iloc[0] != pdf.q.iloc[0]:  # no fingerprint was dealt to that tile
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         names = tuple(np.asarray(v, np.int64) for v in pdf["keys"]) if key else None
-        a, b = compare(sides[0], sides[1] if len(sides) > 1 else None, radius, values, similarity - allowed, names)
+        sizes = tuple(np.asarray(v, np.int64) for v in pdf.sizes) if sketch else None
+        a, b = compare(sides[0], sides[1] if len(sides) > 1 else None, radius, values, similarity - allowed, names, sizes)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return pairs.groupBy("p", "q").applyInPandas(links, "a long, b long")

@@ -5,10 +5,10 @@ ASCII white space, shingles of ``shingle`` words hashed with XXH64. Documents ne
 their texts. Equal fingerprints are one class; classes are linked by tiled exact comparison and
 joined into components.
 
-A few bits tell copies with hardly a change. For a similarity of shingles (Jaccard) the radius is
-wide, and each link is confirmed by ``SKETCH`` min-hashes that travel with the fingerprint; their
-estimate has a standard error of 0.035 at 0.8, nearly two of which are allowed for, so that copies at the
-limit are rather found. Texts that share less than half of their shingles are never confirmed.
+A few bits tell copies with hardly a change. SimHash estimates the cosine of the texts' sets of shingles,
+so for a similarity that is the measure: the number of shingles in common over the geometric mean of the
+texts' numbers of different ones. The radius is then wide, and each link is confirmed by ``SKETCH``
+min-hashes that travel with the fingerprint and give a closer estimate of the same cosine.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from itertools import accumulate, pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.hamming import hamming_links
-from loomgraph.llm.textkit import LOWER, Spans, mixed, slices, utf8, word_spans
+from loomgraph.llm.textkit import LOWER, Spans, fresh, mixed, slices, utf8, word_spans
 from loomgraph.operators.components import connected_components
 from loomgraph.session import checkpointed
 
@@ -50,10 +50,10 @@ def fingerprint(text: str | None, shingle: int, seed: int, distinct: bool = Fals
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-#: Min-hashes of a sketch, and the bits by which fingerprints of texts at 0.8 differ at most (nearly always).
-SKETCH, WIDE = 128, 15
-#: Nearly two standard errors of a sketch's estimate at 0.8.
-ALLOWED = 0.06
+#: Min-hashes of a sketch, and the bits by which fingerprints of texts at a cosine of 0.8 differ at most (99 in 100).
+SKETCH, WIDE = 128, 19
+#: One standard error of a sketch's estimate at 0.8.
+ALLOWED = 0.03
 _FACTORS = mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -77,32 +77,51 @@ def sketches(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.nd
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, seed: int = 42, sketched: bool = False) -> DataFrame:
-    """``(doc_id, fp)``, and ``sketch``, ``size`` and ``key`` (a digest of the set of shingles) if asked for, of every row; null texts and texts without words
-    have fingerprint 0. A fingerprint with a sketch is of the different shingles, as the sketch is."""
+    """``(doc_id, row, fp)``, and ``sketch``, ``size`` and ``key`` (a digest of the set of shingles) if asked for, of
+    every row; null texts and texts without words have fingerprint 0. ``row`` is a digest of id and text. A
+    fingerprint with a sketch is of the different shingles, as the sketch is."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[str | None, int] = {}
             out = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 if text not in seen:
                     seen[text] = fingerprint(text, shingle, seed, sketched)
                 out.append(seen[text])
-            columns, names = [batch.column(0), pa.array(out, pa.int64())], ["doc_id", "fp"]
+            columns, names = [batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["doc_id", "row", "fp"]
             if sketched:
-                data, offsets = utf8(batch.column(1))
+                data, offsets = utf8(batch.column(2))
                 parts = [sketches(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle) for lo, hi in slices(offsets)]
                 rows, sizes, keys = [r.tobytes() for x, _, _ in parts for r in x], [n for _, x, _ in parts for n in x.tolist()], [k for _, _, x in parts for k in x.tolist()]
                 columns, names = [*columns, pa.array(rows, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], [*names, "sketch", "size", "key"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long" + ", sketch binary, size long, key long" * sketched)
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _row_key(id_col, text).alias("row"), text.alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, row binary, fp long" + ", sketch binary, size long, key long" * sketched)
+
+
+def _row_key(id_col: str, text: Column) -> Column:
+    """16 bytes that tell rows apart by id and text, null ids among them."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col(f"`{id_col}`").cast("string")), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))).cast("binary")))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, radius: int, similarity: float | None) -> tuple[DataFrame, DataFrame, str]:
+    """The rows' fingerprints, and for each class of them its component and the least row in it."""
+    prints = checkpointed(fingerprints(docs, id_col, text_col, shingle=shingle, seed=seed, sketched=similarity is not None))
+    key = "fp" if similarity is None else "key"
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    classes = prints.groupBy(key).agg(least.alias("least"))
+    groups = connected_components(hamming_links(prints, "fp", radius, **({} if similarity is None else {"sketch": "sketch", "size": "size", "similarity": similarity, "allowed": ALLOWED, "key": key})), "a", "b")
+    grouped = classes.join(groups.withColumnRenamed("node", key), key, "left").withColumn("component", F.coalesce("component", key))
+    return prints, checkpointed(grouped), key
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, seed: int = 42, radius: int = 4, similarity: float | None = None) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row: documents whose fingerprints differ by at most
-    ``radius`` bits (and which, if ``similarity`` is given, share that part of their shingles by
+    ``radius`` bits (and which, if ``similarity`` is given, have that cosine of their sets of shingles by
     their sketches, equal fingerprints too) are linked, and ``component_id`` is the least document id
     that links reach. With a similarity only equal sets of shingles are one class from the start.
 
@@ -110,26 +129,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the component of their class (null if no row there has an id). Repeated rows stay repeated.
     Other columns are ignored; an empty table gives no rows.
     """
-    prints = checkpointed(fingerprints(docs, id_col, text_col, shingle=shingle, seed=seed, sketched=similarity is not None))
-    key = "fp" if similarity is None else "key"
-    classes = prints.groupBy(key).agg(F.min("doc_id").alias("least"))
-    groups = connected_components(hamming_links(prints, "fp", radius, **({} if similarity is None else {"sketch": "sketch", "size": "size", "similarity": similarity, "allowed": ALLOWED, "key": key})), "a", "b")
-    grouped = classes.join(groups.withColumnRenamed("node", key), key, "left").withColumn("component", F.coalesce("component", key))
-    grouped = checkpointed(grouped)
-    best = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    prints, grouped, key = _grouped(docs, id_col, text_col, shingle, seed, radius, similarity)
+    best = grouped.groupBy("component").agg(F.min("least.doc_id").alias("component_id"))
     named = checkpointed(grouped.join(best, "component").select(key, "component_id"))
     return prints.join(named, key).select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's least; rows without an id stay, as nothing
-    could name them. Of rows that repeat an id, one with the least text stays.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, seed: int = 42, radius: int = 4, similarity: float | None = None) -> DataFrame:
+    """Of each component of ``near_duplicates`` the row with the least id stays (null ids come last; of
+    rows that share that id, the one with the least digest of id and text). Of rows that repeat both
+    id and text the one with the least hash of all its columns stays. Rows that share an id but whose
+    texts are in different components are judged apart.
     """
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs, id_col, text_col, **options)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(keep, id_col, "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
-    kept = kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    prints, grouped, _ = _grouped(docs, id_col, text_col, shingle, seed, radius, similarity)
+    own, row = fresh(docs.columns, "own"), fresh(docs.columns, "row")
+    best = checkpointed(grouped.groupBy("component").agg(F.min("least").alias("best")).select(F.col("best.row").alias(row)))
+    kept = docs.withColumn(own, _row_key(id_col, F.col(f"`{text_col}`").cast("string"))).join(best, F.col(own) == F.col(row), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    several = checkpointed(prints.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").join(best.withColumnRenamed(row, "row"), "row", "left_semi").select(F.col("row").alias(row)))
+    if several.isEmpty():
+        return kept.select(*columns)
+    again = kept.join(several, F.col(own) == F.col(row), "left_semi")
+    one = again.groupBy(own).agg(F.min_by(F.struct(*columns), F.xxhash64(*[c.cast("string") for c in columns])).alias(row)).select(f"{row}.*")
+    return kept.join(several, F.col(own) == F.col(row), "left_anti").select(*columns).unionByName(one)

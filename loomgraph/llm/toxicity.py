@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.textkit import LOWER, Spans, slices, utf8, word_spans
-from loomgraph.session import checkpointed
+from loomgraph.llm.textkit import LOWER, Spans, fresh, slices, utf8, word_spans
+from loomgraph.session import checkpointed, parallelism
 
 #: Bounds of what the model is fitted on.
 POSITIVES, UNLABELLED = 4000, 12000
@@ -73,17 +73,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
+def nnpu_risk(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The part of the risk from unlabelled text (before it is kept non-negative), and the gradients of
+    both parts. ``w`` ends with the bias; the matrices (any float type) are used as they are."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    margin = lambda m: (m @ w[:-1].astype(m.dtype)).astype(np.float64) + w[-1]
+    pull = lambda s, m: np.append((s.astype(m.dtype) @ m).astype(np.float64), s.sum()) / len(m)
+    fp, fu = margin(positive), margin(unlabelled)
+    negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    return negative, -prior * pull(sigmoid(-fp), positive), pull(sigmoid(fu), unlabelled) - prior * pull(sigmoid(fp), positive)
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 400, rate: float = 0.05, decay: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear model that minimises the non-negative PU risk under logistic loss."""
-    p, u = (np.hstack([m, np.ones((len(m), 1))]).astype(np.float64) for m in (positive, unlabelled))
-    w = np.zeros(p.shape[1])
+    w = np.zeros(positive.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, steps + 1):
-        fp, fu = p @ w, u @ w
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        slope = sigmoid(fu) @ u / len(u) - prior * (sigmoid(fp) @ p) / len(p)
-        g = -prior * (sigmoid(-fp) @ p) / len(p) + slope if negative >= 0 else -slope
+        negative, towards, slope = nnpu_risk(w, positive, unlabelled, prior)
+        g = towards + slope if negative >= 0 else -slope
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -98,21 +105,25 @@ def learn(docs: DataFrame, positives: DataFrame, prior: float, id_col: str = "do
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(1e-6)))
     first = lambda rows, n: rows.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), "doc_id").limit(n)
     ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"))
-    chosen = first(positives.distinct(), POSITIVES).withColumn("p", F.lit(1)).unionByName(first(ids, UNLABELLED).withColumn("p", F.lit(0)))
+    chosen = first(positives.distinct(), POSITIVES).withColumn("p", F.lit(1)).unionByName(first(ids.distinct(), UNLABELLED).withColumn("p", F.lit(0)))
     chosen = checkpointed(chosen.groupBy("doc_id").agg(F.max("p").alias("p"), F.min("p").alias("u")))
     # at most POSITIVES + UNLABELLED ids, a few hundred kB whatever the input: small enough to broadcast
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    texts = checkpointed(texts.select("text", "p", "u"))
+    # ids may repeat, so the rows are bounded too
+    texts = texts.select("text", "p", "u").orderBy(F.xxhash64("text", F.lit(seed)), "p", "u").limit(POSITIVES + UNLABELLED)
+    texts = checkpointed(texts.repartition(parallelism(docs.sparkSession)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, h = features(*utf8(batch.column(0)))
-            order = np.lexsort((row, h))
-            row, h = row[order], h[order]
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            keys, n = np.unique(h[fresh], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            data, offsets = utf8(batch.column(0))
+            for lo, hi in slices(offsets):
+                row, h = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                order = np.lexsort((row, h))
+                row, h = row[order], h[order]
+                once = np.ones(len(h), bool)
+                once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                keys, n = np.unique(h[once], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     counts = texts.where("p = 1").select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2")
     considered = np.sort(counts.orderBy(F.desc("n"), "h").limit(CONSIDERED).toArrow().column("h").to_numpy().view(np.uint64))
@@ -134,9 +145,9 @@ def learn(docs: DataFrame, positives: DataFrame, prior: float, id_col: str = "do
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), batch.column(1), batch.column(2)], ["f", "p", "u"])
 
     rows = texts.mapInArrow(present, "f binary, p int, u int").toArrow().sort_by([("f", "ascending"), ("p", "ascending"), ("u", "ascending")])
-    lists = [np.frombuffer(x.as_py(), "<u2").astype(np.int64) for x in rows.column("f")]
+    lists = [np.frombuffer(x.as_py(), "<u2") for x in rows.column("f")]
     is_p, is_u = rows.column("p").to_numpy() == 1, rows.column("u").to_numpy() == 0
-    share = lambda which: np.bincount(np.concatenate([np.zeros(0, np.int64), *[x for x, w in zip(lists, which, strict=True) if w]]), minlength=len(considered)) / max(1, which.sum())
+    share = lambda which: np.bincount(np.concatenate([np.zeros(0, np.uint16), *[x for x, w in zip(lists, which, strict=True) if w]]), minlength=len(considered)) / max(1, which.sum())
     a, b = share(is_p), share(is_u)
     tells = (a - b) / np.sqrt(np.maximum(a, b) * (1 - np.minimum(a, b)) / max(1, is_p.sum()) + 1e-9)
     chosen_at = np.argsort(-tells, kind="stable")[:FEATURES]
@@ -161,7 +172,8 @@ def held_out(id_column: Column) -> Column:
 
 
 def learning_labels(labels: DataFrame, id_col: str = "doc_id", toxic_col: str = "toxic") -> tuple[DataFrame, float]:
-    """The confirmed toxic ids outside the held-out part, and their share among the labelled there."""
+    """The confirmed toxic ids outside the held-out part, and the class prior: their share among the
+    labelled there (the only use of rows labelled clean)."""
     rows = labels.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("doc_id"), F.col(toxic_col).alias("toxic"))
     prior = rows.where("toxic IS NOT NULL").agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     return rows.where("toxic = 1").select("doc_id"), float(prior or 0)
@@ -170,7 +182,8 @@ def learning_labels(labels: DataFrame, id_col: str = "doc_id", toxic_col: str =
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *, name: str = "toxicity", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: the id) of every row and its score."""
     keep = keep or [id_col]
-    inner = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in keep])
+    text = fresh(keep, "text")
+    inner = docs.select(F.col(f"`{text_col}`").cast("string").alias(text), *[F.col(f"`{c}`") for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +193,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return inner.mapInArrow(run, StructType([f for f in inner.schema.fields if f.name != "__text"]).add(name, DoubleType()))
+    return inner.mapInArrow(run, StructType(inner.schema.fields[1:]).add(name, DoubleType()))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.7) -> DataFrame:
@@ -202,4 +215,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """The rows of ``docs`` whose score is below ``threshold``."""
     positives, prior = learning_labels(labels)
     model = learn(docs.where(~held_out(F.col(id_col))), positives, prior, id_col, text_col)
-    return score(docs, model, id_col, text_col, name="__score", keep=docs.columns).where(F.col("__score") < threshold).drop("__score")
+    name = fresh(docs.columns, "score")
+    return score(docs, model, id_col, text_col, name=name, keep=docs.columns).where(F.col(name) < threshold).drop(name)

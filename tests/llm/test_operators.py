@@ -191,10 +191,18 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     same = got.where("doc_id in (3, 4, 5) or doc_id is null")
     assert {r.component_id for r in same.collect()} == {3} and same.count() == 5
     kept = simhash.deduplicated(odd)
-    assert kept.columns == odd.columns and kept.where("doc_id = 3").count() == 1 and kept.where("doc_id in (4, 5)").count() == 0 and kept.where("doc_id is null").count() == 1
+    assert kept.columns == odd.columns and kept.where("doc_id = 3").count() == 1 and kept.where("doc_id in (4, 5) or doc_id is null").count() == 0
     assert simhash.near_duplicates(empty).count() == simhash.deduplicated(empty).count() == 0
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    texts = ["first text of a kind of its own here", "second text quite unlike the other one", "third text that nobody else has written"]
+    d = spark.createDataFrame([(5, texts[0], 1), (5, texts[1], 2), (6, texts[2], 3), (6, texts[2], 4), (None, texts[1], 5), (None, "alone without an id but kept all the same", 6)], "doc_id long, text string, own long")
+    kept = simhash.deduplicated(d)
+    assert rows(kept.select("doc_id", "text")) == sorted([(5, texts[0]), (5, texts[1]), (6, texts[2]), (None, "alone without an id but kept all the same")], key=str)
+    assert kept.columns == d.columns
+
+
 def test_copies_are_found_by_similarity(spark):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
@@ -209,7 +217,28 @@ def test_copies_are_found_by_similarity(spark):
             docs.append((i, " ".join(text)))
             truth[i] = group * 10 if changes <= 5 else i
     got = dict(rows(simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), radius=simhash.WIDE, similarity=0.8), "doc_id", "component_id"))
-    assert got == truth  # up to 5 of 300 words changed: over 0.8 of the shingles; 60 changed: under 0.5
+    assert got == truth  # up to 5 of 300 words changed: a cosine over 0.9; 60 changed: under 0.5
+
+
+def test_links_by_similarity_against_all_pairs(spark):
+    """Texts around the limit: what is surely over it is linked, what is surely under it is not."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    docs, near, far = [], [], []
+    for i in range(0, 400, 2):
+        base = [word() for _ in range(rnd.randint(60, 400))]
+        text = list(base)
+        for at in rnd.sample(range(len(base)), rnd.randint(1, max(1, len(base) // 12))):
+            text[at] = word()
+        docs += [(i, " ".join(base)), (i + 1, " ".join(text))]
+        a, b = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (base, text))
+        cosine = len(a & b) / (len(a) * len(b)) ** 0.5
+        near += [i] if cosine >= 0.8 else []
+        far += [i] if cosine < 0.68 else []
+    got = dict(rows(simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), radius=simhash.WIDE, similarity=0.8), "doc_id", "component_id"))
+    linked = lambda i: got[i + 1] == i
+    assert len(near) > 60 and len(far) > 20
+    assert sum(map(linked, near)) >= 0.9 * len(near) and not any(map(linked, far))
 
 
 def test_equal_fingerprints_are_no_proof_of_similarity(spark):
@@ -274,6 +303,18 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.without_toxic(odd, labels).columns == odd.columns
 
 
+def test_repeated_ids_do_not_multiply_what_is_fitted_on(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "POSITIVES", 10)
+    monkeypatch.setattr(toxicity, "UNLABELLED", 20)
+    d = spark.createDataFrame([(i % 3, f"text {i} scoundrel") for i in range(300)], "doc_id long, text string").withColumn("__text", F.lit("clash")).withColumn("__score", F.lit("clash"))
+    labels = spark.createDataFrame([(0, 1), (2, 1), (0, 1)], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.fit_nnpu
+    monkeypatch.setattr(toxicity, "fit_nnpu", lambda p, u, prior: seen.append((len(p), len(u))) or fit(p, u, prior))
+    assert toxicity.without_toxic(d, labels).columns == d.columns and toxicity.toxicity(d, labels).count() == 300
+    assert all(p + u <= 60 for p, u in seen)
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 

@@ -145,7 +145,7 @@ def test_edit_distance():
         longest = max(len(a), len(b))
         assert lines.edits_at_most(a, b, 99) >= slow(a, b)
         assert lines.similar(a, b, 0.8) == (10 * slow(a, b) <= 2 * longest)
-        assert all(np.maximum(x, 0).sum() <= slow(a, b) for x in (lines._bags([a])[0] - lines._bags([b])[0], lines._bags([b])[0] - lines._bags([a])[0]))
+        assert lines.least_edits(lines._bags([a, b], 3), np.array([0]), np.array([1]))[0] <= slow(a, b)
 
 
 def test_lines_are_normalised():
@@ -257,6 +257,20 @@ def test_nnpu_separates_with_an_unlabelled_mixture():
     assert (score(toxic[200:]) >= 0.7).mean() > 0.8 and (score(clean) >= 0.7).mean() < 0.01
 
 
+def test_the_risk_and_its_gradients_against_finite_differences():
+    rng = np.random.default_rng(3)
+    p, u, w, prior = rng.random((30, 6)), rng.random((80, 6)), rng.normal(size=7), 0.2
+    loss = lambda z: np.log1p(np.exp(-z))
+    parts = lambda w: (prior * loss(p @ w[:-1] + w[-1]).mean(), loss(-(u @ w[:-1] + w[-1])).mean() - prior * loss(-(p @ w[:-1] + w[-1])).mean())
+    negative, towards, slope = toxicity.nnpu_risk(w, p, u, prior)
+    assert np.isclose(negative, parts(w)[1])
+    for i in range(7):
+        step = np.zeros(7)
+        step[i] = 1e-6
+        numeric = [(a - b) / 2e-6 for a, b in zip(parts(w + step), parts(w - step), strict=True)]
+        assert np.allclose(numeric, [towards[i], slope[i]], atol=1e-6)
+
+
 def test_nra_gives_the_top_k_and_stops_early_where_it_can():
     rng = np.random.default_rng(1)
     x = np.floor(1024 * rng.normal(0, 0.125, (3000, 16))).astype(np.int64)
