@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (0.8 of the shingles of five words) the document with the least id stays."""
+    """Of each group of near-duplicates (cosine of the sets of five-word shingles 0.8 or more) the document with the least id stays."""
     return simhash.deduplicated(docs, shingle=5, radius=simhash.WIDE, similarity=0.8)
 
 
