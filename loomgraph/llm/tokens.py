@@ -11,11 +11,13 @@ File format (a Parquet table, so that Spark commits and finds it in any store),
     ends_high   binary  their high parts in unary: bit ``(end >> low_bits) + i`` is set for document i
     ends_select binary  32-bit positions of every 256th set bit of ``ends_high``
     low_bits    int     floor(log2(n_ids / n_docs)), at least 0
-    doc_ids     binary  64-bit document ids, little-endian; ``null_ids`` documents without one come first
-    null_ids    long
+    id_base     long    the least document id; ids less this base are kept like the ends:
+    ids_low, ids_high, ids_select binary, ids_low_bits int
+    null_ids    long    documents without an id, which come first
 
-Two bits and the low bits are kept for a document, no 64-bit offset table. ``select(i)`` finds the
-i-th end from the sampled positions and one popcount scan of at most 256 set bits.
+Two bits and the low bits are kept for a document's end and for its id, no 64-bit tables. ``select(i)``
+finds the i-th value from the sampled positions and one popcount scan of at most 256 set bits;
+``selects`` finds many from one running popcount.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 256
-SHARD = "shard long, n_docs long, n_ids long, ids binary, width int, ends_low binary, ends_high binary, ends_select binary, low_bits int, doc_ids binary, null_ids long"
+SHARD = "shard long, n_docs long, n_ids long, ids binary, width int, ends_low binary, ends_high binary, ends_select binary, low_bits int, id_base long, ids_low binary, ids_high binary, ids_select binary, ids_low_bits int, null_ids long"
 READ = "shard long, doc_id long, start long, n_tokens long, ids_crc32 long"
 #: A shard's ids; a document that is longer makes a longer shard.
 SHARD_IDS = 1 << 22
+#: Texts encoded together, and pieces in one call of the tokenizer.
+TEXTS, CALL = 4096, 128
 #: Pieces in each of the two generations whose ids a worker remembers, which bounds its memory.
 CACHE = 300_000
 
@@ -89,10 +93,16 @@ class EliasFano:
         place = byte * 8 + at + ((head & -head).bit_length() - 1)
         return ((place - i) << self.low_bits) + int(self._low(np.array([i]))[0])
 
-    def all(self, n: int) -> np.ndarray:
-        place = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:n]
-        i = np.arange(n)
-        return ((place - i) << self.low_bits) + self._low(i)
+    def selects(self, i: np.ndarray) -> np.ndarray:
+        """The values at the places ``i``."""
+        seen = np.cumsum(np.bitwise_count(self.high), dtype=np.int64)
+        byte = np.searchsorted(seen, i, side="right")
+        left = i - np.where(byte > 0, seen[byte - 1], 0)
+        return ((byte * 8 + _IN_BYTE[self.high[byte], left] - i) << self.low_bits) + self._low(i)
+
+
+#: Where the k-th set bit of a byte is.
+_IN_BYTE = np.array([(np.flatnonzero(bits).tolist() + [0] * 8)[:8] for bits in np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")])
 
 
 # Tokenizing ---------------------------------------------------------------------------------------
@@ -127,8 +137,8 @@ def _learn(path: str, missing: set[str]) -> None:
     bare = {"\r" + p[1:] for p in plain if p[0] == "\n"} | {"\r" + p[len(c) :] for p, c in cores.items()}
     new = list(({*plain, *cores.values()} - cores.keys() | bare) - known.keys())
     new = [p for p in new if p[0] != "\n"]
-    for lo in range(0, len(new), 512):
-        some = new[lo : lo + 512]
+    for lo in range(0, len(new), CALL):
+        some = new[lo : lo + CALL]
         # one call for many pieces, a newline after each; it is a token of its own
         ids = np.array(tokenizer.encode_batch_fast(["".join([(p[1:] if p[0] == "\r" else " " + p) + "\n" for p in some])], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(ids == newline) * 4
@@ -173,33 +183,39 @@ def _shard_row(shard: int, ids: list[np.ndarray], doc_ids: list, width: int) ->
     ends = np.cumsum([len(x) for x in ids])
     low, high, select, bits = ef_encode(ends)
     flat = np.concatenate(ids).astype(f"<u{width}")
-    return {"shard": shard, "n_docs": len(ids), "n_ids": len(flat), "ids": flat.tobytes(), "width": width, "ends_low": low, "ends_high": high, "ends_select": select, "low_bits": bits, "doc_ids": np.array([d for d in doc_ids if d is not None], "<i8").tobytes(), "null_ids": nulls}
+    named = np.array([d for d in doc_ids if d is not None], np.int64)
+    base = int(named[0]) if len(named) else 0
+    id_low, id_high, id_select, id_bits = ef_encode(named.view(np.uint64) - np.uint64(base % (1 << 64)))
+    return {"shard": shard, "n_docs": len(ids), "n_ids": len(flat), "ids": flat.tobytes(), "width": width, "ends_low": low, "ends_high": high, "ends_select": select, "low_bits": bits, "id_base": base, "ids_low": id_low, "ids_high": id_high, "ids_select": id_select, "ids_low_bits": id_bits, "null_ids": nulls}
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, width: int = 2, partitions: int | None = None) -> None:
     """Encodes every text (null: empty) and writes the format above to ``path``.
 
     Documents are dealt by ranges of their id and sorted (null ids first), so shards follow one
-    another in id order; a shard is closed at ``SHARD_IDS`` ids. Repeated ids stand side by side in
-    the order of their texts. An empty table writes a table without rows.
+    another in id order; a shard is closed at ``SHARD_IDS`` ids. There are as many ranges as the session
+    has shuffle partitions, unless ``partitions`` says otherwise. Ids must be whole numbers. Repeated ids
+    stand side by side in the order of their texts. An empty table writes a table without rows.
     """
     from pyspark import TaskContext
 
     spark = docs.sparkSession
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"'{id_col}' must hold whole numbers, in whose order the files are written")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     fields = [f.split() for f in SHARD.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in fields])
-    check_width(vocabulary, width)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        check_width(vocabulary, width)
         shard = TaskContext.get().partitionId() << 32  # ranges ascend with the partition's number
         ids, doc_ids, held = [], [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                some = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(lo, TEXTS)
                 for doc, x in zip(some.column(0).to_pylist(), encode_texts(some.column(1).to_pylist(), vocabulary), strict=True):
                     if held and held + len(x) >= SHARD_IDS:
                         yield pa.RecordBatch.from_pylist([_shard_row(shard, ids, doc_ids, width)], schema)
@@ -226,7 +242,12 @@ def check_width(path: str, width: int) -> None:
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document of the files at ``path``."""
     shards = spark.read.parquet(path)
-    before = shards.select("shard", "n_ids").select("shard", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # ids before a shard: those of earlier ranges (a row for each range) and those before it in its own
+    sizes = shards.select("shard", "n_ids", F.shiftright("shard", 32).alias("range"))
+    upto = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.groupBy("range").agg(F.sum("n_ids").alias("n_ids")).select("range", upto(Window.orderBy("range")).alias("first"))
+    within = sizes.withColumn("own", upto(Window.partitionBy("range").orderBy("shard")))
+    before = within.join(ranges, "range").select("shard", (F.col("first") + F.col("own")).alias("before"))
     columns = [f.split()[0] for f in SHARD.split(", ")]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,13 +255,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for r in batch.to_pylist():
                 ids = np.frombuffer(r["ids"], f"<u{r['width']}")
                 n = r["n_docs"]
-                ends = EliasFano(r["ends_low"], r["ends_high"], r["ends_select"], r["low_bits"]).all(n)
+                ends = EliasFano(r["ends_low"], r["ends_high"], r["ends_select"], r["low_bits"]).selects(np.arange(n))
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 wide = memoryview(ids.astype("<u4")).cast("B")
                 crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                docs = [None] * r["null_ids"] + np.frombuffer(r["doc_ids"], "<i8").tolist()
+                named = EliasFano(r["ids_low"], r["ids_high"], r["ids_select"], r["ids_low_bits"]).selects(np.arange(n - r["null_ids"]))
+                docs = [None] * r["null_ids"] + (named + r["id_base"]).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["shard"])), pa.array(docs, pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], ["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     read = shards.select(*columns).mapInArrow(decode, READ)
-    # one row a shard: a number for each 4 million ids
     return read.join(before, "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

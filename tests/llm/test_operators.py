@@ -405,6 +405,11 @@ def test_token_files(spark, odd, empty, monkeypatch):
     assert spark.read.parquet(path).count() > 3
     tokens.write_tokens(empty, path, registry.vocabulary())
     assert tokens.read_tokens(spark, path).count() == 0
+    far = spark.createDataFrame([(-(2**62), "a"), (2**62, "b"), (0, "c"), (None, None)], "doc_id long, text string")
+    tokens.write_tokens(far, path, registry.vocabulary())
+    assert [r.doc_id for r in tokens.read_tokens(spark, path).orderBy("start").collect()] == [None, -(2**62), 0, 2**62]
+    with pytest.raises(ValueError, match="whole numbers"):
+        tokens.write_tokens(far.withColumn("doc_id", F.lit("x")), path, registry.vocabulary())
     with pytest.raises(ValueError, match="more than 1 bytes"):
         tokens.check_width(registry.vocabulary(), 1)
 
