@@ -2,9 +2,8 @@
 
 The rules find well-formed e-mail addresses, IPv4 addresses, card and phone numbers. The field adds
 what is written otherwise (numbers without a plus sign, spelled-out addresses): it is trained on a
-small labelled table by maximum likelihood, and decoded by Viterbi in numpy batches over the
-stretches of words around a trigger (a digit, ``@``, ``dot``, ``at)``, ``at]``); elsewhere every word
-is outside by definition. Spans of the rules stand; the field's spans that touch one are left out.
+small labelled table by maximum likelihood, and decoded by Viterbi in numpy batches over all words of
+every text, a line being one chain. Spans of the rules stand; the field's spans that touch one are left out.
 """
 
 from __future__ import annotations
@@ -73,7 +72,7 @@ def rule_spans(text: str) -> list[tuple[int, int, str]]:
 # The labelled table -------------------------------------------------------------------------------
 
 
-def labelled_table(seed: int = 7, rows: int = 400) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_table(seed: int = 7, rows: int = 700) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """A small table of texts and the personal data in them, made by rule: values in several notations
     between filler words, beside look-alikes (dates, versions, sums, keys) that are none."""
     rng = np.random.default_rng(seed)
@@ -83,30 +82,31 @@ def labelled_table(seed: int = 7, rows: int = 400) -> list[tuple[str, list[tuple
 
     def value(kind: str) -> str:
         if kind == "email":
-            at, dot = pick(("@", "."), (" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[at]", "."))
-            host = pick(f"mail{digits(1)}.example.com", "example.org", f"{word()}.example.net").replace(".", dot)
+            at, dot = pick(("@", "."), (" at ", " dot "), (" at ", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[at]", "."), ("(at)", "(dot)"), ("[at]", "[dot]"), (" AT ", " DOT "))
+            host = pick(f"mail{digits(1)}.example.com", "example.org", f"{word()}.example.net", f"{word()}.com", f"{word()}.{pick('org', 'net', 'io', 'de')}", f"mail.{word()}.org").replace(".", dot)
             return pick(word(), f"{word()}.{digits(2)}", f"{word()}_{word()}", f"{word()}{digits(2)}") + at + host
         if kind == "ip":
             parts = [str(int(rng.integers(1, 256))) for _ in range(4)]
-            return pick(".", ".", " dot ", "[.]").join(parts)
+            parts = pick(parts, parts, [digits(1), digits(1), digits(1), digits(2)], ["10", "0", digits(1), parts[0]])
+            return pick(".", ".", " dot ", "[.]", "(.)", "[dot]").join(str(int(x)) for x in parts)
         if kind == "card":
             number = digits(15)
             number += next(c for c in "0123456789" if luhn(number + c))
             return pick("", " ", "-", ".").join(number[i : i + 4] for i in range(0, 16, 4))
-        a, b, c = digits(3), "555", digits(4)
-        return pick(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}) {b} {c}", f"+1-{a}-{b}-{c}", f"1-{a}-{b}-{c}")
+        a, b, c = digits(3), digits(3), digits(4)
+        return pick(f"0{digits(2)} {digits(4)} {c}", f"(0{digits(2)}) {digits(4)} {c}", f"0{digits(3)}-{digits(6)}", f"00{digits(2)} {digits(2)} {digits(4)} {c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}) {b} {c}", f"+1-{a}-{b}-{c}", f"1-{a}-{b}-{c}")
 
     def lookalike() -> str:
         return pick(
             f"20{digits(2)}-0{rng.integers(1, 10)}-1{digits(1)}", f"version {digits(1)}.{digits(1)}.", f"{digits(1)},{digits(3)}.{digits(2)}", f"{digits(4)}", f"section {digits(2)}", f"{digits(2)}%", f'token = "{hashlib.sha1(digits(9).encode()).hexdigest()}"',
-            f"{digits(2)}:{digits(2)}", f"${digits(3)}", f"{word()}{digits(3)}", f"{digits(1)}th", f"{digits(5)}", f"dot {word()}", f"{digits(2)}/{digits(2)}/20{digits(2)}", f"{digits(3)} {digits(2)} {digits(3)}", f"no. {digits(6)}", f"{digits(8)}", f"{digits(25)}", f"at {word()} dot {word()}", f"1{digits(1)}.{digits(2)}", f"Version 2.0, {word()}", f"{digits(1)} {digits(1)} {digits(1)}", f"{word()}-{digits(2)}", f"({digits(2)})",
+            f"{digits(2)}:{digits(2)}", f"${digits(3)}", f"{word()}{digits(3)}", f"{digits(1)}th", f"{digits(5)}", f"dot {word()}", f"{digits(2)}/{digits(2)}/20{digits(2)}", f"{digits(3)} {digits(2)} {digits(3)}", f"no. {digits(6)}", f"{digits(8)}", f"{digits(25)}", f"at {word()}", f"look at the {word()}.", f"1{digits(1)}.{digits(2)}", f"Version 2.0, {word()}", f"{digits(1)} {digits(1)} {digits(1)}", f"{word()}-{digits(2)}", f"({digits(2)})",
         )
 
     out = []
     for _ in range(rows):
         text, spans = "", []
         for part in range(int(rng.integers(1, 4))):
-            text += " ".join([word() for _ in range(int(rng.integers(2, 6)))] + ([pick("call", "phone", "card", "mail", "from", "is", "token", "host")] if rng.random() < 0.3 else [])) + " "
+            text += " ".join([word() for _ in range(int(rng.integers(2, 6)))] + ([pick("call", "phone", "card", "mail", "from", "is", "token", "host", "number", "tel", "email:", "to")] if rng.random() < 0.3 else [])) + " "
             if rng.random() < 0.5:
                 kind = pick(*KINDS)
                 v = value(kind)
@@ -123,8 +123,9 @@ def labelled_table(seed: int = 7, rows: int = 400) -> list[tuple[str, list[tuple
 _CLASS = np.arange(256, dtype=np.uint8)  # a byte as it shows in a shape
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[128:] = ord("d"), ord("X"), ord("x"), ord("x")
 _EDGE = np.uint64(0x5A17)
-REACH = 4  # words on either side of a trigger
-TEMPLATES = 12
+#: Words that one batch of chains holds, filled up to its longest; a longer chain is a batch of its own.
+BATCH = 1 << 16
+TEMPLATES = 13
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,26 +135,27 @@ def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return data[np.repeat(starts - at[:-1], size) + np.arange(at[-1])], at
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and stretch numbers of the words within REACH of a trigger; a stretch stays in its row."""
+def chains(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and chain numbers of words; a chain is a line of a row. Lines in which nothing can be
+    valid are left out: no digit, no ``@`` and no ``at`` (see ``_valid``)."""
     starts, ends, first = word_spans(data, offsets)
-    mark = (data == 64) | ((data >= 48) & (data < 58))
-    low = LOWER[data]
-    if len(data) > 2:
-        mark[:-2] |= (low[:-2] == 100) & (low[1:-1] == 111) & (low[2:] == 116)  # dot
-        mark[:-2] |= (low[:-2] == 97) & (low[1:-1] == 116) & ((low[2:] == 41) | (low[2:] == 93))  # at) at]
-    sums = np.concatenate([[0], np.cumsum(mark)])
-    hit = np.flatnonzero(sums[ends] > sums[starts])
-    row = np.searchsorted(first, hit, side="right") - 1
-    lo, hi = np.maximum(hit - REACH, first[row]), np.minimum(hit + REACH + 1, first[row + 1])
-    cover = np.zeros(len(starts) + 1, np.int64)
-    np.add.at(cover, lo, 1)
-    np.add.at(cover, hi, -1)
-    inside = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
-    rows = np.searchsorted(first, inside, side="right") - 1
-    fresh = np.ones(len(inside), bool)
-    fresh[1:] = (np.diff(inside) > 1) | (np.diff(rows) > 0)
-    return starts[inside], ends[inside], np.cumsum(fresh) - 1
+    fresh = np.zeros(len(starts) + 1, bool)
+    fresh[first[:-1]] = True
+    fresh[np.searchsorted(starts, np.flatnonzero(data == 10))] = True
+    chain = np.cumsum(fresh[:-1]) - 1
+    may = (data == 64) | ((data >= 48) & (data < 58))
+    if len(data) > 1:
+        low = LOWER[data]
+        letter = (low >= 97) & (low < 123)
+        goes_on = np.zeros(len(data) + 1, bool)  # a letter right after a letter of the same row
+        goes_on[1:-1] = letter[1:] & letter[:-1]
+        goes_on[offsets] = False
+        may[:-1] |= (low[:-1] == 97) & (low[1:] == 116) & ~goes_on[:-2] & ~goes_on[2:]
+    sums = np.concatenate([[0], np.cumsum(may, dtype=np.int32)])
+    held = np.zeros(len(starts) + 1, bool)
+    held[chain[sums[ends] > sums[starts]]] = True
+    kept = held[chain]
+    return starts[kept], ends[kept], chain[kept]
 
 
 def token_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch: np.ndarray) -> np.ndarray:
@@ -173,7 +175,17 @@ def token_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stret
     word = Spans(LOWER[buf[letters]]).hash(cum[at[:-1]], cum[at[1:]])
     count = np.concatenate([[0], np.cumsum(shape == 100)])
     n = np.minimum(count[at[1:]] - count[at[:-1]], 40).astype(np.uint64)
-    n = mixed(n + np.uint64(11))
+
+    # which marks of an address a word holds: @ or a bracketed at, a bracketed dot, a digit, a letter
+    low, word_of = LOWER[buf], np.repeat(np.arange(len(starts)), np.diff(at))
+    marks = np.zeros(len(starts), np.uint64)
+    marks[n > 0] |= np.uint64(1)
+    for bit, hit in ((2, buf == 64), (4, letters)):
+        marks[word_of[hit]] |= np.uint64(bit)
+    opens = np.flatnonzero((buf == 40) | (buf == 91))
+    opens = opens[opens + 2 < at[word_of[opens] + 1]]
+    marks[word_of[opens[(low[opens + 1] == 97) & (low[opens + 2] == 116)]]] |= np.uint64(2)
+    marks[word_of[opens[(low[opens + 1] == 46) | ((low[opens + 1] == 100) & (low[opens + 2] == 111))]]] |= np.uint64(8)
 
     def moved(x: np.ndarray, by: int) -> np.ndarray:
         out = np.full(len(x), _EDGE, np.uint64)
@@ -183,7 +195,7 @@ def token_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stret
         return out
 
     exact, runs = short
-    return np.stack([exact, runs, word, n, moved(exact, -1), moved(exact, 1), moved(runs, -2), moved(runs, 2), moved(word, -1), moved(word, 1), mixed(exact ^ moved(runs, -1)), mixed(exact ^ moved(runs, 1))])
+    return np.stack([exact, runs, word, mixed(n + np.uint64(11)), mixed(marks + np.uint64(77)), moved(exact, -1), moved(exact, 1), moved(runs, -2), moved(runs, 2), moved(word, -1), moved(word, 1), mixed(exact ^ moved(runs, -1)), mixed(exact ^ moved(runs, 1))])
 
 
 # The field ----------------------------------------------------------------------------------------
@@ -221,15 +233,18 @@ class Field:
         order = np.argsort(size, kind="stable")
         steps = np.where(_ALLOWED, self.steps, -1e9)
         begin = np.where([x[0] == "I" for x in LABELS], -1e9, 0.0)
-        for lo in range(0, len(order), 1024):
-            some = order[lo : lo + 1024]
+        # chains of like length together, as many as fill a batch up to its longest
+        hi = len(order)
+        while hi:
+            lo = max(0, hi - max(1, BATCH // int(size[order[hi - 1]])))
+            some, hi = order[lo:hi], lo
             n, t = size[some], int(size[some].max())
             at = first[some][:, None] + np.minimum(np.arange(t), n[:, None] - 1)
             best, back = emissions[at[:, 0]] + begin, np.zeros((t, len(some), _N), np.int8)
             for i in range(1, t):
-                paths = best[:, :, None] + steps
-                back[i] = paths.argmax(1)
-                best = np.where((i < n)[:, None], paths.max(1) + emissions[at[:, i]], best)
+                paths = best[:, None, :] + steps.T
+                back[i] = way = paths.argmax(2)
+                best = np.where((i < n)[:, None], np.take_along_axis(paths, way[:, :, None], 2)[:, :, 0] + emissions[at[:, i]], best)
             now = best.argmax(1)
             for i in range(t - 1, -1, -1):
                 own = i < n
@@ -325,10 +340,11 @@ def _valid(kind: str, text: str) -> bool:
 
 def field_spans(field: Field, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int, str]]]:
     """The field's spans by row, in code points of the row's text."""
-    starts, ends, stretch = stretches(data, offsets)
+    starts, ends, stretch = chains(data, offsets)
     if not len(starts):
         return {}
     labels = field.viterbi(field.emissions(token_features(data, starts, ends, stretch)), stretch)
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])  # code points
     out: dict[int, list[tuple[int, int, str]]] = {}
     opens = np.flatnonzero(labels % 2 == 1)  # B labels
     kinds = (labels - 1) // 2
@@ -345,7 +361,7 @@ def field_spans(field: Field, data: np.ndarray, offsets: np.ndarray) -> dict[int
         kind = KINDS[kinds[i]]
         if core and _valid(kind, core):
             row = int(np.searchsorted(offsets, a, side="right")) - 1
-            head = int(np.count_nonzero((data[offsets[row] : a] & 0xC0) != 0x80)) + left
+            head = int(before[a] - before[offsets[row]]) + left
             out.setdefault(row, []).append((head, head + len(core), kind))
     return out
 
@@ -354,6 +370,18 @@ def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
+_trained: dict[str, Field] = {}
+
+
+def trained(table: list | None = None) -> Field:
+    """The field of a labelled table (default: the one made by rule), trained once a session."""
+    table = labelled_table() if table is None else table
+    name = hashlib.sha256(repr(table).encode()).hexdigest()
+    if name not in _trained:
+        _trained[name] = train(table)
+    return _trained[name]
+
+
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, table: list | None = None) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base, base_sha256, spans)`` of every row.
 
@@ -363,7 +391,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     other; other columns are never read; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    field = train(labelled_table() if table is None else table)
+    field = trained(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

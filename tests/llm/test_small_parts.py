@@ -227,7 +227,43 @@ def test_the_field_finds_what_rules_miss_and_little_else():
     found = [(i, s) for i, spans in got.items() for s in spans]
     true = {(i, s) for i, (_, spans) in enumerate(table) for s in spans}
     hits = sum(x in true for x in found)
-    assert hits / len(true) >= 0.75 and hits / len(found) >= 0.95
+    assert hits / len(true) >= 0.9 and hits / len(found) >= 0.95
+
+
+#: Written by hand, not by the generator: what a kind looks like in running text.
+NOTATIONS = [
+    ("email", "reach me at john.doe (at) example (dot) com today"), ("email", "write to mary_k [at] example [dot] org please"), ("email", "email: bob(at)example.com or"), ("email", "from jim[at]example[dot]com came"),
+    ("phone", "call (212) 555-0187 after five"), ("phone", "phone 415-555-2671 now"), ("phone", "his number is 415.555.2671 he said"), ("phone", "dial 1-800-555-0199 for help"), ("phone", "tel 020 7946 0958 in london"),
+    ("phone", "ring (020) 7946 0958 or"), ("phone", "the number 555 123 4567 rang"), ("ip", "server 10[.]0[.]0[.]12 was down"), ("ip", "host 192 dot 168 dot 1 dot 44 failed"), ("card", "card 4111.1111.1111.1111 was used"),
+    ("email", "my mail is ann at example dot net ok"), ("email", "contact sue at mail.example.org soon"), ("ip", "from 172(.)16(.)4(.)9 it came"), ("card", "number 4012.8888.8888.1881 expires"), ("email", "to kim(at)example(dot)org with love"), ("phone", "fax 0161-496000 is off"),
+]
+PLAIN = ["we met at the corner of 5th street at noon", "version 3.11.2 was out on 2021-04-05", "it cost 1,299.00 dollars and 50 cents", "chapter 12, section 4.5.6 says so", "look at it. the dot on the i", "room 404 at 10:30 am", "between 1914 and 1918 or 1939 and 1945"]
+
+
+def test_the_field_on_notations_written_by_hand():
+    field = pii.trained()
+    got = pii.field_spans(field, *textkit.utf8(pa.array([t for _, t in NOTATIONS])))
+    found = [any(k == kind for *_, k in got.get(i, [])) for i, (kind, _) in enumerate(NOTATIONS)]
+    assert sum(found) >= 0.85 * len(found)
+    assert not pii.field_spans(field, *textkit.utf8(pa.array(PLAIN)))
+
+
+def test_lines_left_out_can_hold_nothing_valid():
+    rnd = random.Random(1)
+    texts = ["\n".join(" ".join(rnd.choice(["at", "cat", "a@b.c", "7", "dot", "x.", "é", "AT"]) for _ in range(rnd.randint(0, 4))) for _ in range(rnd.randint(1, 5))) for _ in range(60)]
+    data, offsets = textkit.utf8(pa.array(texts))
+    starts, ends, chain = pii.chains(data, offsets)
+    shown = {}
+    for a, b, c in zip(starts, ends, chain, strict=True):
+        shown.setdefault(int(c), []).append(data[a:b].tobytes().decode())
+    lines_ = [line.split() for t in texts for line in t.split("\n")]
+    kept = [w for w in lines_ if any(c.isdigit() or c == "@" for c in "".join(w)) or re.search(r"(?i)\bat\b", " ".join(w))]
+    assert [w for w in shown.values()] == [w for w in kept if w]
+
+
+def test_field_spans_count_code_points():
+    got = pii.field_spans(pii.trained(), *textkit.utf8(pa.array(["é ü\nplease call (212) 555-0187 now", None, ""])))
+    assert got == {0: [(16, 30, "phone")]}
 
 
 def test_viterbi_is_exact():
