@@ -8,12 +8,13 @@ seeded run of consecutive blocks, so that all but the run's two edge documents s
 
 The text is only counted (JVM side). What shuffles is one row of numbers for a document; a hot
 source is spread over as many shards as its size asks for. The driver sees one row of totals for
-each source (at most ``MAX_SOURCES``), never a document.
+each source, never a document. Sources must be so few that these rows fit (tens of millions).
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from loomgraph.session import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
-MAX_SOURCES = 1_000_000
+#: Shards of a source that are apportioned in one group; more are dealt in two levels.
+SHARDS = 4096
 
 
 def sainte_lague(weights: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
@@ -81,20 +83,18 @@ def mix(
     Sources are ordered by code point, null last, and weigh ``weights`` in turn. With ``keep_rows``
     the whole input row comes along as the struct ``row`` (its text then shuffles too); other columns
     of ``docs``, whatever their names, are never read. Null text and text without words have size 0
-    and are never taken; null ids and repeated rows are rows like any other, ordered by hash, id and
-    size (equal rows are interchangeable); an empty table gives no rows. The same rows and seed give
+    and are never taken; null ids and repeated rows are rows like any other, ordered by a hash of id and
+    text, then id and size (equal rows are interchangeable); an empty table gives no rows. The same rows and seed give
     the same mix however they are partitioned.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), key.alias("k"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("h"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_rows else []),
+        F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(seed)).alias("h"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_rows else []),
     )
     if not keep_rows:
         rows = checkpointed(rows)  # a few numbers a document: the text is read once
-    totals = rows.groupBy("k").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).toPandas()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    totals = rows.groupBy("k").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).toPandas()
     totals = totals.iloc[sorted(range(len(totals)), key=lambda i: (totals.k[i] == "n", totals.k[i]))].reset_index(drop=True)
     size = totals.source_size.to_numpy(np.int64)
     target = targets(size, np.resize(np.asarray(weights, float), len(size)) if len(size) else np.zeros(0), max_repeat)
@@ -105,12 +105,18 @@ def mix(
     dealt = rows.join(sources, "k").withColumn("shard", F.pmod(F.col("h"), F.col("shards")))
     held = dealt.groupBy("k", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
 
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shard", ignore_index=True)
-        blocks = -(-pdf.words.to_numpy(np.int64) // block_words)
-        return pdf[["k", "shard", "words"]].assign(blocks=blocks, quota=sainte_lague(pdf.words.to_numpy(), int(pdf.quota.iloc[0]), max_repeat * blocks))
+    def deal(by: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(by, ignore_index=True)
+            pdf["quota"] = sainte_lague(pdf.words.to_numpy(), int(pdf.quota.iloc[0]), max_repeat * pdf.blocks.to_numpy(np.int64))
+            return pdf
 
-    quotas = held.groupBy("k").applyInPandas(deal, "k string, shard long, words long, blocks long, quota long")
+        return run
+
+    held = held.withColumn("blocks", F.ceil(F.col("words") / block_words)).withColumn("part", F.floor(F.col("shard") / SHARDS))
+    parts = held.groupBy("k", "part").agg(F.sum("words").alias("words"), F.sum("blocks").alias("blocks"), F.first("quota").alias("quota"))
+    parts = parts.groupBy("k").applyInPandas(deal("part"), "k string, part long, words long, blocks long, quota long")
+    quotas = held.drop("quota").join(parts.select("k", "part", "quota"), ["k", "part"]).groupBy("k", "part").applyInPandas(deal("shard"), "k string, part long, shard long, words long, blocks long, quota long").drop("part")
     order = Window.partitionBy("k", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = dealt.drop("quota").withColumn("to", F.sum("size").over(order)).withColumn("start", F.col("to") - F.col("size")).join(quotas, ["k", "shard"])
 
@@ -136,17 +142,18 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each is repeated as often as it is taken whole; of a document at the
-    edge of a run the words taken stand alone, single-spaced. The columns are those of ``docs``;
+    edge of a run the words taken stand alone, with the white space between them. The columns are those of ``docs``;
     ``text`` and, where there is one, ``n_chars`` follow what was taken.
     """
     picks = mix(docs, keep_rows=True, **options)
-    words = F.filter(F.split("row.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    part = lambda a, b: F.slice(words, (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int"))
+    space = r"[\x20\x09-\x0D]"
+    words = F.filter(F.split("row.text", f"(?<={space})(?!{space})"), lambda w: F.regexp_replace(w, space, "") != "")  # each with what follows it
+    part = lambda a, b: F.array_join(F.slice(words, (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int")), "")
     extra = F.col("to1") - F.col("from1") + F.col("to2") - F.col("from2")
     whole = (extra == F.col("size")) & (extra > 0)
     pieces = F.concat(
         F.array_repeat(F.col("row.text"), (F.col("passes") * (F.col("size") > 0).cast("long") + whole.cast("long")).cast("int")),
-        F.when((extra > 0) & ~whole, F.array(F.array_join(F.concat(part("from1", "to1"), part("from2", "to2")), " "))).otherwise(F.array().cast("array<string>")),
+        F.when((extra > 0) & ~whole, F.array(F.regexp_replace(F.concat_ws("", part("from1", "to1"), part("from2", "to2")), f"{space}+$", ""))).otherwise(F.array().cast("array<string>")),
     )
     out = picks.select("row", F.explode(pieces).alias("piece"))
     kept = [F.col("piece").alias(c) if c == "text" else F.length("piece").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.textkit import LOWER, Spans, fresh, slices, utf8, word_spans
-from loomgraph.session import checkpointed, parallelism
+from loomgraph.session import checkpointed
 
 #: Bounds of what the model is fitted on.
 POSITIVES, UNLABELLED = 4000, 12000
@@ -109,9 +109,12 @@ def learn(docs: DataFrame, positives: DataFrame, prior: float, id_col: str = "do
     chosen = checkpointed(chosen.groupBy("doc_id").agg(F.max("p").alias("p"), F.min("p").alias("u")))
     # at most POSITIVES + UNLABELLED ids, a few hundred kB whatever the input: small enough to broadcast
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    # ids may repeat, so the rows are bounded too
-    texts = texts.select("text", "p", "u").orderBy(F.xxhash64("text", F.lit(seed)), "p", "u").limit(POSITIVES + UNLABELLED)
-    texts = checkpointed(texts.repartition(parallelism(docs.sparkSession)))
+    texts = checkpointed(texts.select("text", "p", "u"))
+    if texts.count() > POSITIVES + UNLABELLED:  # ids repeat: of the different texts those of the least hashes
+        h = F.xxhash64("text", F.lit(seed))
+        texts = checkpointed(texts.withColumn("h", h).groupBy("h", "p", "u").agg(F.first("text").alias("text")))
+        least = texts.select("h").distinct().orderBy("h").limit((POSITIVES + UNLABELLED) // 2)
+        texts = checkpointed(texts.join(F.broadcast(least), "h", "left_semi").select("text", "p", "u"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -435,6 +435,56 @@ def test_mix(spark, data, odd, empty):
     assert mixed.columns == docs.columns and words == got.taken.sum()
 
 
+def seats_by_hand(w, n, most):
+    out = [0] * len(w)
+    for _ in range(n):
+        best = [i for i in range(len(w)) if w[i] > 0 and out[i] < most[i]]
+        if best:
+            out[max(best, key=lambda i: (w[i] / (2 * out[i] + 1), -i))] += 1
+    return out
+
+
+def test_mix_against_plain_python(spark):
+    """One shard a source: seats dealt one by one, then every word of every block of the run counted."""
+    rnd, block = random.Random(8), 8
+    docs = [(i, " ".join("w" for _ in range(rnd.randint(0, 60))), rnd.choice(["a", "b", "c", None, "d"])) for i in range(300)] + [(None, "x y z", "a"), (None, "u v", "b"), (7, "p q", "b"), (8, None, "c")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("part", F.lit("clash"))
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    seen = d.select("doc_id", "source", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "")).alias("n"), F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(42)).alias("h"), F.xxhash64(key, F.lit(0).cast("long"), F.lit(42)).alias("begin")).collect()
+    sources = sorted({r.source for r in seen}, key=lambda s: (s is None, s or ""))
+    size = [sum(r.n for r in seen if r.source == s) for s in sources]
+    target = mixing.targets(size, np.resize([5.0, 2, 1], len(sources)), 3)
+    blocks = [-(-n // block) for n in size]
+    quota = seats_by_hand(target, round(target.sum() / block), [3 * b for b in blocks])
+    want = []
+    for s, t, total, n, q in zip(sources, target, size, blocks, quota, strict=True):
+        own = sorted((r for r in seen if r.source == s), key=lambda r: (r.h, r.doc_id is not None, r.doc_id or 0, r.n))
+        passes, run = divmod(q, n)
+        picked = {(own[0].begin % n + i) % n for i in range(run)}
+        at = 0
+        for r in own:
+            want.append((r.doc_id, r.n, total, round(float(t), 6), passes * r.n + sum((at + i) // block in picked for i in range(r.n))))
+            at += r.n
+    got = mixing.mix(d, block_words=block).select("doc_id", "size", "source_size", F.round("target", 6), "taken")
+    assert rows(got) == sorted(want, key=str)
+
+
+def test_shards_are_dealt_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARDS", 3)
+    d = spark.createDataFrame([(i, "w " * (i % 50), "ab"[i % 3 == 0]) for i in range(900)], "doc_id long, text string, source string")
+    got = mixing.mix(d, block_words=8, shard_words=200).toPandas()
+    by = got.groupby("target").taken.sum()
+    assert all(abs(t - n) <= 0.02 * t + 100 for t, n in by.items()) and (got.taken <= 3 * got["size"]).all()
+
+
+def test_edge_documents_keep_their_white_space(spark):
+    docs = [(i, f" \ta{i}  b{i}\n\nc{i}\td{i}   e{i} ", "s") for i in range(40)] + [(100 + i, "x", "t") for i in range(400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    whole = dict((i, t) for i, t, _ in docs)
+    mixed = mixing.mixed_documents(d, weights=(1, 1), block_words=2).collect()
+    assert all(r.text in whole[r.doc_id] for r in mixed) and any(r.text != whole[r.doc_id] for r in mixed)
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 
