@@ -3,7 +3,7 @@
 A byte goes if a ``LENGTH``-byte string over it also starts earlier: in a document with a smaller id,
 or before it in the same one. Only suffixes of equal first ``LENGTH`` bytes matter, so the suffix
 array is built to that depth and a bucket is sorted by 64-bit images of prefixes, any order of which
-puts equal ones side by side.
+puts equal ones side by side. (Images and not the bytes themselves, which would be 100 times the text.)
 
 Memory and shuffle are bounded as in blockwise construction with a difference cover:
 
@@ -16,9 +16,10 @@ Memory and shuffle are bounded as in blockwise construction with a difference co
    answer is again one bit: whether an earlier block has the same prefix.
 3. Each block marks what is covered.
 
-Blocks are ranges of document ids of about ``BLOCK_BYTES`` (a longer document is a block whole), so
-the order of blocks is the order of documents. They are written once as a table bucketed by block in
-the warehouse, so that the text never moves again and only names and bits shuffle.
+Documents are dealt once to ranges of (id, digest) and cut into blocks of about ``BLOCK_BYTES`` by their
+running size (a longer document is a block whole), so the order of blocks is the order of documents,
+however ids and sizes are spread. Blocks are written as a table bucketed by block in the warehouse, so
+that the text never moves again and only names and bits shuffle.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.textkit import Spans, slices, utf8
@@ -42,9 +43,11 @@ PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 NAMED = LENGTH - PERIOD + 1
 BLOCK_BYTES = 8 << 20
 BUCKET_ENTRIES = 2 << 20
-_REPLY = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
-_REPLY_SQL = "block int, kind int, bucket int, bits binary"
-_WORK_SQL = "bucket int, block int, entries binary"
+#: Salts over which a text's copies are dealt.
+SALTS = 16
+_REPLY = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("bits", pa.binary())])
+_REPLY_SQL = "block long, kind int, bucket long, bits binary"
+_WORK_SQL = "bucket long, block long, entries binary"
 
 
 def same_runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +105,7 @@ class Block:
         names = self.images(self.sample(), NAMED)
         order, starts, run = same_runs(names)
         tie = np.diff(np.append(starts, len(names))) > 1
-        for bucket, own in by_bucket(names[order[starts]], 32, buckets):
+        for bucket, own in by_bucket(names[order[starts]], buckets):
             tie[own] |= self.bits(1, bucket, len(own))
         out = np.zeros(len(names), bool)
         out[order] = tie[run]
@@ -119,24 +122,25 @@ class Block:
         return np.flatnonzero(np.cumsum(cover, dtype=np.int32)[:-1] > 0)
 
 
-def by_bucket(values: np.ndarray, shift: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket with values, and the indices of these in their order; values are sorted and distinct."""
-    of = ((values >> np.uint64(shift)) & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)
-    order = np.argsort(of.astype(np.uint16), kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(buckets + 1).astype(np.uint64))
-    for bucket in range(buckets):
-        if cuts[bucket + 1] > cuts[bucket]:
-            yield bucket, order[cuts[bucket] : cuts[bucket + 1]]
+def by_bucket(values: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with values, and the indices of these in their order; values are sorted and distinct, and
+    buckets are ranges of their upper halves."""
+    if not len(values):
+        return
+    of = (values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(of)).tolist(), strict=True):
+        yield int(of[a]), np.arange(a, b)
 
 
 def _work(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     b, k, e = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table({"bucket": pa.array(b, pa.int32()), "block": pa.array(k, pa.int32()), "entries": pa.array(e, pa.binary())})
+    return pa.table({"bucket": pa.array(b, pa.int64()), "block": pa.array(k, pa.int64()), "entries": pa.array(e, pa.binary())})
 
 
 def _replies(kind: int, bucket: int, blocks: list[int], flags: list[np.ndarray]) -> pa.Table:
     some = [(k, f) for k, f in zip(blocks, flags, strict=True) if f.any()]
-    return pa.table({"block": pa.array([k for k, _ in some], pa.int32()), "kind": pa.array([kind] * len(some), pa.int32()), "bucket": pa.array([bucket] * len(some), pa.int32()), "bits": pa.array([np.packbits(f).tobytes() for _, f in some], pa.binary())}, schema=_REPLY)
+    return pa.table({"block": pa.array([k for k, _ in some], pa.int64()), "kind": pa.array([kind] * len(some), pa.int32()), "bucket": pa.array([bucket] * len(some), pa.int64()), "bits": pa.array([np.packbits(f).tobytes() for _, f in some], pa.binary())}, schema=_REPLY)
 
 
 def rank_sample(work: pa.Table) -> pa.Table:
@@ -168,17 +172,6 @@ def sort_bucket(work: pa.Table) -> pa.Table:
     return _replies(2, bucket, work.column("block").to_pylist(), np.split(later, np.cumsum([len(x) for x in lists])[:-1]))
 
 
-def _range_number(column: Column, bounds: list[float]) -> Column:
-    """How many of the ascending bounds lie below the value: found among every 512th, then in between."""
-    if not bounds:
-        return F.lit(0)
-    tops = F.array(*[F.lit(b) for b in bounds[511::512]]) if len(bounds) > 511 else F.array().cast("array<double>")
-    parts = F.array(*[F.array(*[F.lit(b) for b in bounds[i : i + 512]]) for i in range(0, len(bounds), 512)])
-    below = lambda list_: F.size(F.filter(list_, lambda b: b < column))
-    part = F.least(below(tops), F.lit(len(range(0, len(bounds), 512)) - 1))
-    return part * 512 + below(F.element_at(parts, part + 1))
-
-
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of every row, on UTF-8 bytes.
 
@@ -192,24 +185,34 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("sha"))
     heads = checkpointed(rows.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")))
     total = heads.where(F.col("n_bytes") >= LENGTH).agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // BLOCK_BYTES))
+    parts = max(parallelism(spark), -(-total // (16 * BLOCK_BYTES)))
     names = max(parallelism(spark), -(-total * len(COVER) // PERIOD // BUCKET_ENTRIES))
     suffixes = max(parallelism(spark), -(-total // 4 // BUCKET_ENTRIES))
-    order = F.col("doc_id").cast("double")
-    cuts = heads.where("doc_id IS NOT NULL").select(order.alias("d")).approxQuantile("d", [i / blocks for i in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []
-    block = F.when(F.col("doc_id").isNull(), F.lit(blocks)).otherwise(_range_number(order, sorted(set(cuts)))).cast("int")
 
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
-    long = heads.where(F.col("n_bytes") >= LENGTH).withColumn("block", block)
-    first = long.groupBy("sha").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = checkpointed(long.join(first, "sha").where(~rank.eqNullSafe(F.col("first"))).select("block", "doc_id", "sha").distinct())
-    none = F.lit("None")
-    told = copies.select("block", F.lit(0).cast("int").alias("kind"), F.pmod(F.xxhash64("doc_id", "sha"), F.lit(1 << 30)).cast("int").alias("bucket"), F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), none), "sha").cast("binary").alias("bits"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first, seen = TaskContext.get().partitionId() << 32, 0  # ranges ascend with the partition's number
+        for batch in batches:
+            size = np.diff(utf8(batch.column(1))[1])
+            before = seen + np.cumsum(size) - size
+            seen += int(size.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + before // BLOCK_BYTES)], ["doc_id", "text", "sha", "block"])
 
+    place = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("sha")]
+    long = rows.where(F.octet_length("text") >= LENGTH).repartitionByRange(parts, *place).sortWithinPartitions(*place)
+    kind = docs.schema[id_col].dataType
     name = f"suffix_blocks_{uuid.uuid4().hex}"
-    rows.where(F.octet_length("text") >= LENGTH).withColumn("block", block).write.option("compression", "zstd").bucketBy(max(blocks + 1, parallelism(spark)), "block").saveAsTable(name)
+    long.mapInArrow(cut, f"doc_id {kind.simpleString()}, text string, sha string, block long").write.option("compression", "zstd").bucketBy(parts, "block").saveAsTable(name)
     try:
         held = lambda: spark.table(name).groupBy("block")
+        rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+        own = spark.table(name).select("doc_id", "sha", "block")
+        first = own.groupBy("sha").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+        salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        copies = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "block"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"])
+        copies = checkpointed(copies.where(~rank.eqNullSafe(F.col("first"))).select("block", "doc_id", "sha").distinct())
+        told = copies.select("block", F.lit(0).cast("int").alias("kind"), F.pmod(F.xxhash64("doc_id", "sha"), F.lit(1 << 30)).alias("bucket"), F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("None")), "sha").cast("binary").alias("bits"))
 
         def sample(table: pa.Table, said: pa.Table) -> pa.Table:
             if not table.num_rows:
@@ -217,7 +220,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             k = table.column("block")[0].as_py()
             own_block = Block(table, said)
             values = distinct(own_block.images(own_block.sample(), NAMED))
-            return _work([(b, k, values[own].astype("<u4").tobytes()) for b, own in by_bucket(values, 32, names)])
+            return _work([(b, k, values[own].astype("<u4").tobytes()) for b, own in by_bucket(values, names)])
 
         ranked = held().cogroup(told.groupBy("block")).applyInArrow(sample, _WORK_SQL).groupBy("bucket").applyInArrow(rank_sample, _REPLY_SQL)
         told = checkpointed(told.unionAll(ranked))
@@ -229,11 +232,10 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             own_block = Block(table, said)
             tied = own_block.tied(names)
             values = distinct(own_block.images(own_block.candidates(tied), LENGTH))
-            return _work([(-1 - k, k, np.packbits(tied).tobytes()), *((b, k, values[own].view(np.uint8).reshape(-1, 8)[:, :7].tobytes()) for b, own in by_bucket(values, 48, suffixes))])
+            return _work([(-1 - k, k, np.packbits(tied).tobytes()), *((b, k, values[own].view(np.uint8).reshape(-1, 8)[:, :7].tobytes()) for b, own in by_bucket(values, suffixes))])
 
         placed = held().cogroup(told.groupBy("block")).applyInArrow(deal, _WORK_SQL).groupBy("bucket").applyInArrow(sort_bucket, _REPLY_SQL)
         told = checkpointed(told.unionAll(placed))
-        kind = docs.schema[id_col].dataType
 
         def mark(table: pa.Table, said: pa.Table) -> pa.Table:
             if not table.num_rows:
@@ -243,7 +245,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             images = own.images(place, LENGTH)
             order, starts, run = same_runs(images)
             earlier = np.zeros(len(starts), bool)
-            for b, some in by_bucket(images[order[starts]], 48, suffixes):
+            for b, some in by_bucket(images[order[starts]], suffixes):
                 earlier[some] = own.bits(2, b, len(some))
             again = place[order[earlier[run] | (order != np.minimum.reduceat(order, starts)[run])]] if len(order) else place
             cover = np.bincount(again, minlength=len(own.data) + 1).astype(np.int32)
