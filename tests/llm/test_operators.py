@@ -349,6 +349,19 @@ def test_repeated_bytes(spark, block, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("suffix_blocks")]
 
 
+def test_blocks_follow_sizes_and_not_ids(spark, monkeypatch):
+    """Null and repeated ids, one huge text and text ids: all in blocks of bounded size, all right."""
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", 2500)
+    rnd = random.Random(12)
+    part = ["".join(rnd.choice("abcdefgh ") for _ in range(300)) for _ in range(6)]
+    texts = [rnd.choice(part) + "".join(rnd.choice("xyz") for _ in range(200)) for _ in range(40)] + [part[0] + "".join(rnd.choice("mno") for _ in range(20_000))]
+    for ids in ([None] * 41, [7] * 41, [f"d{i:02}" for i in range(41)]):
+        d = spark.createDataFrame([*zip(ids, texts, strict=True)], f"doc_id {'string' if isinstance(ids[0], str) else 'long'}, text string").repartition(3)
+        order = sorted(range(41), key=lambda i: (str(ids[i]), hashlib.sha256(texts[i].encode()).hexdigest()))
+        want = removed_by_hand([(n, texts[i]) for n, i in enumerate(order)])
+        assert sorted(tuple(r)[1:] for r in suffix.repeated_bytes(d).collect()) == sorted(want.values())
+
+
 def test_repeated_bytes_of_odd_rows(odd, empty):
     got = suffix.repeated_bytes(odd)
     assert got.count() == odd.count() and got.where("doc_id = 8").first().n_removed >= len(LONG) and suffix.repeated_bytes(empty).count() == 0
