@@ -38,9 +38,9 @@ READ = "shard long, doc_id long, start long, n_tokens long, ids_crc32 long"
 #: A shard's ids; a document that is longer makes a longer shard.
 SHARD_IDS = 1 << 22
 #: Texts encoded together, and pieces in one call of the tokenizer.
-TEXTS, CALL = 4096, 128
+TEXTS, CALL = 1024, 128
 #: Pieces in each of the two generations whose ids a worker remembers, which bounds its memory.
-CACHE = 300_000
+CACHE = 120_000
 
 
 # Elias-Fano ---------------------------------------------------------------------------------------

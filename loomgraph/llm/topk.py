@@ -49,6 +49,8 @@ def _pack(rows: DataFrame, scale: float, size: int) -> DataFrame:
                 lists = some.column(1)
                 lens = np.diff(lists.offsets.to_numpy())
                 flat = np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+                if np.abs(flat).max(initial=0) >= 2.0**62:
+                    raise ValueError("components are too large for integer scores")
                 x = np.zeros((some.num_rows, int(lens.max(initial=0))), np.int64)
                 x[np.arange(x.shape[1]) < lens[:, None]] = flat.astype(np.int64)
                 width = "<i4" if np.abs(flat).max(initial=0) < 2**31 else "<i8"
@@ -78,6 +80,8 @@ class Search:
         n = len(ids)
         if not n or not len(q):
             return
+        if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * d >= 2.0**62:
+            raise ValueError("components are too large for integer scores")
         up, down, xf = np.maximum(q, 0).astype(float), np.maximum(-q, 0).astype(float), x.astype(float)
         order = np.argsort(x, axis=0, kind="stable")
         low, high = xf.min(0, initial=np.inf), xf.max(0, initial=-np.inf)
@@ -125,7 +129,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     ``k`` highest integer inner products with the other rows, ties to the smaller id.
 
     Components become floor(scale * x). Rows without an id, and vectors that are null or hold null or
-    non-finite components, take no part; empty and shorter vectors count as filled up with zeros.
+    non-finite components, take no part; components so large that a score could leave the range of long are an error; empty and shorter vectors count as filled up with zeros.
     Rows that share the query's id are its own; of rows that repeat another id each is a candidate, and
     of rows that repeat the query's id each is asked, as in the SQL. Fewer than ``k`` candidates give fewer rows; no queries give none.
     """

@@ -54,6 +54,13 @@ def test_top_k(spark):
     assert topk.top_k(v.where("vec_id in (0, 1)")).count() == 1
 
 
+def test_scores_beyond_long_are_refused(spark):
+    for big in (1e30, 1e12):
+        v = spark.createDataFrame([(0, [big, 1.0]), (1, [big, 2.0])], "vec_id long, embedding array<float>")
+        with pytest.raises(Exception, match="too large"):
+            topk.top_k(v).collect()
+
+
 def test_top_k_counts_repeated_rows_as_the_sql_does(spark):
     rng = np.random.default_rng(1)
     data = [(i, rng.normal(0, 0.2, 8).tolist()) for i in range(150)]
@@ -581,6 +588,18 @@ def test_lines_of_other_rows_are_never_touched(spark, odd, empty):
 # The pipeline -------------------------------------------------------------------------------------
 
 
+def test_stages_take_odd_and_empty_tables(spark, data, odd, empty):
+    for docs in (odd, empty):
+        at = docs.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"), F.lit(1).alias("__score"), F.lit(2).alias("row"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, at, data)
+            assert out.columns == at.columns
+            at = spark.createDataFrame(out.collect(), out.schema)
+        assert corpus_pipeline.STAGES[-1][1](spark, at, data).count() == at.count()
+        kept = {r.text for r in at.collect()}
+        assert (LONG in kept or LONG + " end" in kept) if docs is odd else not kept
+
+
 def test_pipeline(spark, data):
     docs = table(spark, data, "documents")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "source_mix", "token_output"]
@@ -598,7 +617,7 @@ def test_pipeline(spark, data):
         if name == "toxicity":
             kept -= toxic
         elif name == "simhash_near_dedup":
-            kept = {r.doc_id for r in simhash.near_duplicates(before, radius=simhash.WIDE, similarity=0.8).collect() if r.doc_id == r.component_id}
+            kept = {r.doc_id for r in simhash.near_duplicates(before, radius=simhash.WIDE, similarity=0.8).collect() if r.doc_id == r.component_id}  # ids are unique here
         elif name == "benchmark_decontamination":
             kept -= {r.doc_id for r in decontam.contaminated(before, table(spark, data, "benchmark")).collect()}
         else:
