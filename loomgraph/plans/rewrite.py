@@ -89,6 +89,11 @@ def validate(request: Mapping[str, Any], triples: Collection[str], *, node_only:
 NAMED_IDS = {"gene": ("ENSG", "gene_name"), "transcript": ("ENST", "transcript_name")}
 
 
+def types_of(query: QueryGraph) -> list[str]:
+    """The distinct vertex types of a request, in its order."""
+    return list(dict.fromkeys(n.type for n in query.nodes))
+
+
 def names_from_ids(query: QueryGraph, named: Mapping[str, tuple[str, str]] = NAMED_IDS, *, lower: bool = True) -> QueryGraph:
     """Ids that are names become filters on the name; other ids are lower-cased if ``lower``."""
 

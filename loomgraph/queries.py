@@ -15,9 +15,10 @@ from loomgraph.operators import algebra, history, result, statistics
 from loomgraph.operators.overlap import overlap_join
 from loomgraph.plans import compiler
 from loomgraph.plans.model import QueryGraph
-from loomgraph.plans.rewrite import canonical, fingerprint
+from loomgraph.plans.rewrite import canonical, fingerprint, names_from_ids
 from loomgraph.session import table
 from loomgraph.sources import files, sexpr
+from loomgraph.sources.catalog import GraphCatalog
 from loomgraph.testbed import star_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -491,6 +492,91 @@ def limit_graph_edges(spark, d):
     return algebra.limit_graph(*places(spark, d), 200)[1]
 
 
+# Requests: guards, names, limits, spans ------------------------------------------------------------
+
+
+@query("SELECT event_id AS i FROM events WHERE lower(event_type) = 'click'")
+def interval_guard(spark, d):
+    return ids(compiler.bindings(star_graph(spark, d), pattern([("i", "interval", {"chr": "click", "start": 5})])), "i")
+
+
+@query("SELECT c_custkey AS c FROM customer WHERE FALSE")
+def filter_unknown_property(spark, d):
+    return ids(compiler.bindings(star_graph(spark, d), pattern([("c", "customer", {"shoe_size": "4.*"})])), "c")
+
+
+@query("SELECT p_partkey AS p FROM part WHERE FALSE")
+def filter_exact_other_type(spark, d):
+    return ids(compiler.bindings(star_graph(spark, d), pattern([("p", "part", {"size": "seven"})]), matching="exact"), "p")
+
+
+@query("SELECT c_custkey AS c, o_orderkey AS o FROM customer JOIN orders ON o_custkey = c_custkey WHERE lower(c_name) = 'customer#000000042'")
+def id_or_name(spark, d):
+    q = names_from_ids(pattern([("c", "customer", "Customer#000000042"), ("o", "orders")], [("placed", "c", "o")]), {"customer": ("CUST-", "name")})
+    return ids(compiler.bindings(star_graph(spark, d), q), "c", "o")
+
+
+@query("SELECT c_custkey AS c, o_orderkey AS o FROM customer JOIN orders ON o_custkey = c_custkey ORDER BY c_custkey, o_orderkey LIMIT 50")
+def limit_bindings(spark, d):
+    return ids(compiler.bindings(star_graph(spark, d), pattern([("c", "customer"), ("o", "orders")], [("placed", "c", "o")]), limit=50), "c", "o")
+
+
+@query(f"SELECT 'orders_contains_part' AS edge_id, 'orders ' || o_orderkey AS source, 'part ' || p_partkey AS target, arg_min(l_returnflag, ({_UID}, l_returnflag)) AS source_data FROM orders JOIN lineitem l ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL")
+def edge_source_data(spark, d):
+    g = star_graph(spark, d)
+    own = g.edges("orders", "contains", "part").select("src", "dst", "uid", F.col("returnflag").alias("source"))
+    named = GraphCatalog(spark, {x: g.vertices(x) for x in ("orders", "part")}, {("orders", "contains", "part"): own})
+    q = pattern([("o", "orders"), ("p", "part")], [("contains", "o", "p")])
+    return result.edge_properties(compiler.bindings(named, q), q, "p0")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'u1,' END || CASE WHEN o_orderkey % 2 = 0 THEN 'u2,u7' WHEN o_orderkey % 3 = 0 THEN 'u7' ELSE 'u7' END AS participants FROM orders")
+def add_participant(spark, d):
+    k = F.col("o_orderkey")
+    had = F.array_compact(F.array(F.when(k % 3 != 0, F.lit("u1")), F.when(k % 2 == 0, F.lit("u2"))))
+    rows = table(spark, d, "orders").select(k.alias("id"), had.alias("participants"))
+    return history.with_participant(rows, "u7").select("id", F.array_join("participants", ",").alias("participants"))
+
+
+_NEXT = "SELECT DISTINCT 'part ' || a.l_partkey AS source, 'part ' || b.l_partkey AS target FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"
+
+
+@query(f"WITH e AS ({_NEXT}) SELECT id, CASE WHEN p_brand = 'Brand#13' THEN 'Brand' ELSE p_brand END AS location FROM (SELECT source AS id FROM e UNION SELECT target FROM e) JOIN part ON id = 'part ' || p_partkey")
+def localised_nodes(spark, d):
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), result.key("part", F.col("l_partkey")).alias("p"))
+    after = line.select("o", (F.col("n") - 1).alias("n"), F.col("p").alias("q"))
+    near = line.join(after, ["o", "n"]).select(F.lit("part_next_part").alias("edge_id"), F.lit("next").alias("label"), F.col("p").alias("source"), F.col("q").alias("target"))
+    beside = star_graph(spark, d).edges("orders", "contains", "part").select(F.lit("orders_contains_part").alias("edge_id"), F.lit("contains").alias("label"), result.key("orders", F.col("src")).alias("source"), result.key("part", F.col("dst")).alias("target"))
+    terms = star_graph(spark, d).vertices("part").select(result.key("part", F.col("id")).alias("member"), F.col("brand").alias("term"))
+    return algebra.localised(near.unionByName(beside), spark.createDataFrame([], "parent string, child string"), terms, spark.createDataFrame([("Brand#13", "Brand")], "child string, parent string"), "part")[0]
+
+
+@query("SELECT id, label, name FROM (SELECT p_partkey::VARCHAR AS id, 'part' AS label, p_name AS name FROM part UNION ALL SELECT c_custkey::VARCHAR, 'customer', c_name FROM customer)")
+def completion_index(spark, d):
+    g = star_graph(spark, d)
+    part = g.vertices("part").select(F.col("id").cast("string").alias("id"), F.lit("part").alias("label"), F.col("name").alias("part_name"), F.lit(None).cast("string").alias("customer_name"))
+    customer = g.vertices("customer").select(F.col("id").cast("string").alias("id"), F.lit("customer").alias("label"), F.lit(None).cast("string").alias("part_name"), F.col("name").alias("customer_name"))
+    return files.completion_index(part.unionByName(customer))
+
+
+@query("SELECT c_custkey::VARCHAR AS id, 'customer' AS label, c_name AS name FROM customer WHERE lower(c_name) LIKE 'customer#00000001%' ORDER BY c_name, id LIMIT 10")
+def complete_prefix(spark, d):
+    v = star_graph(spark, d).vertices("customer").select(F.col("id").cast("string").alias("id"), F.lit("customer").alias("label"), F.col("name").alias("customer_name"))
+    return files.complete(files.completion_index(v), "CUSTOMER#00000001")
+
+
+@query(f"""WITH n AS ({_PLACE_NODES}), e AS ({_PLACE_EDGES}) SELECT 'nodes' AS part, '{{"data":{{"id":"' || id || '","type":"' || type || '","name":"' || name || '"}}}}' AS json FROM n
+    UNION ALL SELECT 'edges', '{{"data":{{"edge_id":"' || edge_id || '","label":"' || label || '","source":"' || source || '","target":"' || target || '"}}}}' FROM e""")
+def graph_json(spark, d):
+    return files.graph_json_rows(*places(spark, d))
+
+
+@query("SELECT 'customer ' || c_custkey AS source, 'Name: ' || c_name AS about, 'in_nation -> Target Node (nation ' || n_nationkey || '): Name: ' || n_name AS line FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def source_summaries(spark, d):
+    nodes, edges = places(spark, d)
+    return result.source_summaries(nodes, edges.where("edge_id = 'customer_in_nation_nation'"), text.description(["name"]))
+
+
 # History, exports, texts --------------------------------------------------------------------------
 
 

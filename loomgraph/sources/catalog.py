@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +57,15 @@ class GraphCatalog:
             frames[key] = frames[key]()
         return frames[key]
 
+    def of_sources(self, names: Collection[str], column: str = "source") -> GraphCatalog:
+        """The catalog with only the edges (and vertices) that come from these data sources; frames without
+        the column stay whole."""
+
+        def only(df: DataFrame) -> DataFrame:
+            return df.where(F.col(column).isin(*names)) if column in df.columns else df
+
+        return GraphCatalog(self.spark, {x: (lambda x=x: only(self.vertices(x))) for x in self._vertices}, {t: (lambda t=t: only(self.edges(*t))) for t in self._edges})
+
     def all_vertices(self) -> DataFrame:
         """``(type, id)`` of every vertex."""
         return reduce(DataFrame.unionAll, [v.select(F.lit(x).alias("type"), F.col("id").cast("string").alias("id")) for x in self._vertices for v in (self.vertices(x),)])
@@ -68,3 +77,10 @@ class GraphCatalog:
     def counts(self) -> dict[Triple, int]:
         """Edges by triple, for ordering patterns."""
         return {(r.source_type, r.type, r.target_type): r["count"] for r in self.all_edges().groupBy("source_type", "type", "target_type").count().collect()}
+
+
+def for_species(catalogs: Mapping[str, GraphCatalog], species: str) -> GraphCatalog:
+    """One catalog of several by species."""
+    if species not in catalogs:
+        raise ValueError(f"no graph of '{species}'; there are {', '.join(sorted(catalogs))}")
+    return catalogs[species]

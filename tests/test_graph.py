@@ -10,7 +10,7 @@ from loomgraph.operators.components import connected_components
 from loomgraph.operators.overlap import overlap_join, overlap_join_plain
 from loomgraph.plans import compiler
 from loomgraph.plans.model import QueryGraph
-from loomgraph.sources.catalog import GraphCatalog
+from loomgraph.sources.catalog import GraphCatalog, for_species
 
 
 def rows(df):
@@ -31,6 +31,58 @@ def test_regex_matches_whole_values_in_any_case(spark):
     df = spark.createDataFrame([("LAMP2",), ("LAMP20",), ("lamp2",), (None,)], "n string")
     assert rows(df.where(P.regex_full(F.col("n"), "lamp2"))) == [("LAMP2",), ("lamp2",)]
     assert rows(df.where(P.regex_full(F.col("n"), "lamp.*|x"))) == [("LAMP2",), ("LAMP20",), ("lamp2",)]
+    assert rows(spark.createDataFrame([("ab",), ("ab\n",)], "n string").where(P.regex_full(F.col("n"), "a.|x"))) == [("ab",)]
+
+
+def test_filters_reach_the_scan(spark, data):
+    v = {"c": spark.read.parquet(f"{data}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("start"), (F.col("c_custkey") + 5).alias("end"), F.col("c_nationkey").alias("nation"))}
+    g = GraphCatalog(spark, v, {})
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(c_custkey,42)" in plan(compiler.bindings(g, q([("a", "c", "42")])))
+    assert "EqualTo(c_nationkey,7)" in plan(compiler.bindings(g, q([("a", "c", "", {"nation": "7"})]), matching="exact"))
+    assert compiler.bindings(g, q([("a", "c", "042")])).count() == compiler.bindings(g, q([("a", "c", "x1")])).count() == 0
+    assert rows(spark.createDataFrame([("9007199254740993",)], "v string").select(P.to_integer(F.col("v")))) == [(9007199254740993,)]
+
+
+def test_missing_properties_and_other_types_match_nothing(spark):
+    g = graph(spark, {"t": [(1, "x"), (2, None)]}, {("t", "e", "t"): [(1, 2)]})
+    for props in ({"other": "x"}, {"start": 1, "end": 2}):
+        assert compiler.bindings(g, q([("a", "t", "", props)])).count() == 0
+    assert compiler.bindings(g, q([("a", "t", "", {"other": None})]), matching="exact").count() == 2
+    numbers = GraphCatalog(spark, {"n": spark.createDataFrame([(1, 7)], "id long, size int")}, {})
+    assert compiler.bindings(numbers, q([("a", "n", "", {"size": "seven"})]), matching="exact").count() == 0
+    assert compiler.bindings(numbers, q([("a", "n", "", {"size": "7"})]), matching="exact").count() == 1
+
+
+def test_semi_join_plans_grow_with_the_predicates_only(spark):
+    n = 5
+    g = graph(spark, {f"t{i}": [1, 2] for i in range(n + 1)}, {(f"t{i}", "e", f"t{i + 1}"): [(1, 1), (2, 2)] for i in range(n)})
+    scans = []
+    for m in range(1, n + 1):
+        chain = q([(f"v{i}", f"t{i}") for i in range(m + 1)], [("e", f"v{i}", f"v{i + 1}") for i in range(m)])
+        plan = compiler.semijoin_edges(g, chain)._jdf.queryExecution().optimizedPlan().toString()
+        scans.append(plan.count("LogicalRDD"))
+    assert max(b - a for a, b in zip(scans, scans[1:], strict=False)) <= 6 and scans[-1] <= 30
+
+
+def test_long_and_short_intervals_meet_in_two_widths(spark):
+    import random
+
+    rnd = random.Random(3)
+    data = [(i, rnd.choice("ab"), s, s + rnd.choice((1, 30, 5_000, 200_000))) for i in range(80) for s in [rnd.randint(-50_000, 300_000)]]
+    v = spark.createDataFrame(data, "id long, chr string, start long, end long")
+    side = lambda x: v.select(*[F.col(c).alias(f"{x}__{c}") for c in v.columns])
+    want = rows(overlap_join_plain(side("a"), side("b"), "a", "b").select("a__id", "b__id"))
+    assert rows(overlap_join(side("a"), side("b"), "a", "b", width=64).select("a__id", "b__id")) == want
+
+
+def test_data_sources_and_species(spark):
+    e = spark.createDataFrame([(1, 2, 1, "A"), (1, 3, 2, "B")], "src long, dst long, uid long, source string")
+    g = GraphCatalog(spark, {"t": spark.createDataFrame([(1,), (2,), (3,)], "id long")}, {("t", "e", "t"): e})
+    assert g.of_sources(["B"]).edges("t", "e", "t").count() == 1 and g.of_sources(["B"]).vertices("t").count() == 3
+    assert for_species({"fly": g}, "fly") is g
+    with pytest.raises(ValueError, match="no graph of 'human'"):
+        for_species({"fly": g}, "human")
 
 
 @pytest.mark.parametrize(("kind", "distance", "want"), [("within", 0, "a"), ("intersects", 0, "abe"), ("upstream", 0, "c"), ("downstream", 0, "de"), ("upstream", 20, ""), ("downstream", 20, "")])
@@ -183,6 +235,10 @@ def test_texts(spark):
     pattern = q([("g", "gene", "", {"gene_name": "igf1"}), ("t", "pathway")], [("child_of", "g", "t")])
     assert text.title(pattern) == "Igf1 child of a Pathway"
     assert text.title(q([("g", "gene")])) == "Selection: Unnamed Gene"
+    assert text.title(q([("a", "snp"), ("b", "snp")], [("in_ld_with", "a", "b")])) == "A SNP in ld with another SNP"
+    assert text.title(q([("a", "gene", "", {"gene_name": "igf1"}), ("b", "tad", "", {})], [("in_tad_region", "a", "b")])) == "Igf1 in tad region"
+    assert text.title(q([("a", "pathway"), ("b", "gene", "", {"gene_name": ["tp53"]})], [("includes", "a", "b")])) == "A Pathway includes Tp53"
+    assert text.title(q([("a", "snp", "", {"chr": "7"}), ("b", "gene", "", {"gene_name": "x"})], [("near", "a", "b")]), generic=["chr", "gene_name"]) == "Chromosome 7 near X"
     assert text.batches(["a", "b", "c"], [5, 5, 20], 10) == [["a", "b"], ["c"]]
     assert spark.range(1).select(text.middle(F.lit("a_b_c_d"))).first()[0] == "b_c"
 
