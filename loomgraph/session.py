@@ -40,6 +40,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of ``shared_path``, in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """The number of partitions that a shuffle makes in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
