@@ -10,7 +10,9 @@ The template writes ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. In t
 ``<`` and ``[`` are written ``&amp; &lt; &#91;`` (in roles also the newline, ``&#10;``), so no control
 string of this or any bracketed template can come from a text, and the text is read back exactly.
 
-One conversation is one output string, so its turns do meet in one row; nothing else is gathered.
+One conversation is one output string, so its turns do meet in one row; nothing else is gathered. Places of
+turns are running sums of a window, and a text is split once to be read back, so a long conversation
+costs no more for each of its turns than a short one.
 """
 
 from __future__ import annotations
@@ -62,25 +64,30 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row a conversation: ``conv_id, formatted`` and ``loss_spans``, the code-point ranges
-    ``(start, length)`` of ``formatted`` that hold the texts of ``loss_role``."""
+    ``(start, length)`` of ``formatted`` that hold the texts of ``loss_role``, each also as the number of its
+    turn (from 0) and the place ``at`` in what follows that turn's opening mark, so that a reader who has
+    split the text need not count from its start again."""
     role = F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("&#10;"))
     m = messages.select("conv_id", "turn", "message", role.alias("r"), escaped(F.col("text")).alias("t"), (F.col("role") == loss_role).alias("loss"))
-    turns = F.sort_array(F.collect_list(F.struct("turn", "message", "r", "t", "loss", (F.length("r") + F.length("t") + len(START) + len(END) + 1).alias("size"))))
+    m = m.withColumn("size", (F.length("r") + F.length("t") + len(START) + len(END) + 1).cast("long"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "message", "r", "t", "loss")
+    m = m.withColumn("no", F.row_number().over(order) - 1).withColumn("head", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    turns = F.sort_array(F.collect_list(F.struct("no", "r", "t", "loss", "head")))
     c = m.groupBy("conv_id").agg(turns.alias("turns"))
     formatted = F.array_join(F.transform("turns", lambda x: F.concat(F.lit(START), x["r"], F.lit("\n"), x["t"], F.lit(END))), "")
-    seen = F.aggregate(
-        "turns", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["size"]).alias("at"),
-            F.when(x["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + len(START) + F.length(x["r"]) + 1).cast("long").alias("start"), F.length(x["t"]).cast("long").alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ), lambda acc: acc["spans"],
-    )
-    return c.select("conv_id", formatted.alias("formatted"), seen.alias("loss_spans"))
+    own = F.filter("turns", lambda x: x["loss"])
+    spans = F.transform(own, lambda x: F.struct((x["head"] + len(START) + F.length(x["r"]) + 1).alias("start"), F.length(x["t"]).cast("long").alias("length"), x["no"].alias("turn"), (F.length(x["r"]) + 1).alias("at")))
+    return c.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
+
+
+def _shown(formatted: Column) -> Column:
+    """What follows each turn's opening mark."""
+    return F.slice(F.split(formatted, r"<\|im_start\|>"), F.lit(2), F.size(F.split(formatted, r"<\|im_start\|>")))
 
 
 def parse(formatted: Column) -> Column:
     """The turns ``array<struct<role, text>>`` that a formatted conversation holds."""
-    shown = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda x: x != "")
+    shown = _shown(formatted)
     role = lambda x: F.substring_index(x, "\n", 1)
     body = lambda x: F.substr(x, F.length(role(x)) + 2, F.length(x) - F.length(role(x)) - 1 - len(END))
     return F.transform(shown, lambda x: F.struct(unescaped(F.replace(role(x), F.lit("&#10;"), F.lit("\n"))).alias("role"), unescaped(body(x)).alias("text")))
@@ -88,7 +95,8 @@ def parse(formatted: Column) -> Column:
 
 def digest(rendered: DataFrame) -> DataFrame:
     """What can be read back from the rendered text alone, and from its loss mask."""
-    turns = rendered.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), F.transform("loss_spans", lambda s: unescaped(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))).alias("learned"))
+    turns = rendered.select("conv_id", "formatted", "loss_spans", _shown(F.col("formatted")).alias("shown"))
+    turns = turns.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), F.transform("loss_spans", lambda s: unescaped(F.substr(F.get("shown", s["turn"]), s["at"] + 1, s["length"].cast("int")))).alias("learned"))
     learned = F.array_join("learned", "")
     return turns.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),

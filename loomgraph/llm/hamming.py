@@ -5,8 +5,8 @@ A tile pair is compared only if the counts may differ by at most the radius, sin
 moves the count by one at most. Where links also need a similarity of the sets behind the fingerprints
 (the cosine, which SimHash estimates too), tiles are dealt by set size: at a cosine s the sizes differ by
 a factor of 1/s**2 at most.
-Tiles have a bounded number of fingerprints, each tile pair is a task's group of its own,
-and it returns a spanning forest of its links, so a dense group never expands into all its pairs.
+Tiles have a bounded number of fingerprints; bands that fit in a tile together share it, so that few tiles
+travel to few partners. Each tile pair is a task's group of its own, and it returns a spanning forest of its links, so a dense group never expands into all its pairs.
 """
 
 from __future__ import annotations
@@ -118,11 +118,15 @@ def hamming_links(prints: DataFrame, fp: str, radius: int, tile: int = TILE, *,
     own = checkpointed(own.select("key", "fp", "sketch", "size", bucket.cast("int").alias("bucket"), F.floor(F.bit_count("fp") / (radius + 1)).cast("int").alias("band")))
     # 65 bands at most, and as many buckets as the logarithm of the longest text
     held = sorted((r.bucket, r.band, r.n) for r in own.groupBy("bucket", "band").agg(F.count("*").alias("n")).collect())
-    ranges, first = {}, 0
+    runs: list[list] = []  # bucket, first and last band, count: bands side by side that fit in a tile together
     for b, c, n in held:
-        ranges[b, c] = (first, first + -(-n // tile))
-        first = ranges[b, c][1]
-    cells = [(b, c, lo, hi - lo, [ranges[x, y] for x in (b - 1, b, b + 1) for y in (c - 1, c, c + 1) if (x, y) in ranges]) for (b, c), (lo, hi) in ranges.items()]
+        if runs and runs[-1][0] == b and runs[-1][3] + n <= tile:
+            runs[-1][2:] = [c, runs[-1][3] + n]
+        else:
+            runs.append([b, c, c, n])
+    tiles = np.cumsum([0] + [-(-n // tile) for *_, n in runs]).tolist()
+    near = [[(tiles[j], tiles[j + 1]) for j, (b2, lo2, hi2, _) in enumerate(runs) if abs(b - b2) <= 1 and lo2 <= hi + 1 and hi2 >= lo - 1] for b, lo, hi, _ in runs]
+    cells = [(b, c, tiles[i], tiles[i + 1] - tiles[i], near[i]) for b, c, _ in held for i in [next(i for i, r in enumerate(runs) if r[0] == b and r[1] <= c <= r[2])]]
     cells = spark.createDataFrame(cells, "bucket int, band int, first long, parts long, near array<struct<lo: long, hi: long>>")
     dealt = own.join(F.broadcast(cells), ["bucket", "band"]).withColumn("t", F.col("first") + F.pmod(F.xxhash64("key"), "parts"))
     packed = dealt.groupBy("t").agg(F.collect_list("fp").alias("fps"), F.collect_list("sketch").alias("sketches"), F.collect_list("key").alias("keys"), F.collect_list("size").alias("sizes"), F.first("near").alias("near"))

@@ -395,6 +395,8 @@ def test_what_is_rendered_reads_back(spark, data):
     out = chat.render(chat.fold_events(chat.rows_to_events(log)))
     turns = out.select(chat.parse(F.col("formatted")).alias("t")).first().t
     assert [(t.role, t.text) for t in turns] == [("assistant" if i % 2 else "us<er\n[", t or "") for i, t in enumerate(texts)]
+    first = out.select("formatted", "loss_spans").first()
+    assert [first.formatted[x.start : x.start + x.length] for x in first.loss_spans] == [(t or "").replace("&", "&amp;").replace("<", "&lt;").replace("[", "&#91;") for t in texts[1::2]]
     d = chat.digest(out).first()
     learned = "".join(t or "" for t in texts[1::2])
     assert d.loss_chars == len(learned) and d.loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
