@@ -214,9 +214,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, id_col: str = "
         shard = TaskContext.get().partitionId() << 32  # ranges ascend with the partition's number
         ids, doc_ids, held = [], [], 0
         for batch in batches:
+            seen: dict[str, np.ndarray] = {}
             for lo in range(0, batch.num_rows, TEXTS):
                 some = batch.slice(lo, TEXTS)
-                for doc, x in zip(some.column(0).to_pylist(), encode_texts(some.column(1).to_pylist(), vocabulary), strict=True):
+                texts = some.column(1).to_pylist()
+                new = [t for t in dict.fromkeys(texts) if t not in seen]  # copies in a batch are encoded once
+                seen.update(zip(new, encode_texts(new, vocabulary), strict=True))
+                for doc, x in zip(some.column(0).to_pylist(), map(seen.__getitem__, texts), strict=True):
                     if held and held + len(x) >= SHARD_IDS:
                         yield pa.RecordBatch.from_pylist([_shard_row(shard, ids, doc_ids, width)], schema)
                         shard, ids, doc_ids, held = shard + 1, [], [], 0
