@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontam, lines, mixing, pii, simhash, suffix, tokens, topk, toxicity
+from loomgraph.llm import chat, decontam, lines, mixing, packing, pii, simhash, suffix, tokens, topk, toxicity, trie, whitening
 from loomgraph.session import shared_path, table
 
 
@@ -17,6 +17,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=10, scale=1024, query_every=100)
 
@@ -63,6 +69,19 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), scale=256, components=4)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), word_vocabulary(), window=4096, end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.with_shared_heads(trie.turn_lists(table(spark, sf_dir, "conversations")), every=5, heads=9))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_decontam": op2_decontam,
@@ -74,8 +93,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokens": op8_tokens,
     "op9_mix": op9_mix,
     "op10_lines": op10_lines,
+    "op11_whitening": op11_whitening,
+    "op12_packing": op12_packing,
+    "op13_trie": op13_trie,
 }
 
+#: CRC-32 of an id's decimal form: eight shifts for each byte.
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: ascii((conv_id::VARCHAR)[i])::BIGINT)),
+    lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
 _ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -98,4 +123,18 @@ ORACLE_SQL: dict[str, str] = {
             sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
             sum(12 + 11 + 1 + length(replace({_ESCAPED.format('role')}, chr(10), '&#10;')) + length({_ESCAPED.format('text')}))::BIGINT AS formatted_chars
         FROM c GROUP BY conv_id""",
+    "op13_trie": f"""
+        WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n, coalesce(role, '') AS role, coalesce(text, '') AS text
+                FROM conversations WHERE conv_id IS NOT NULL),
+        l AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY n) AS turns FROM t GROUP BY 1),
+        h AS (SELECT *, ({_CRC32} % 9)::BIGINT AS h FROM l),
+        c AS (SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN l b ON b.conv_id = h.conv_id - h.conv_id % 5),
+        p AS (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM c),
+        n AS (SELECT depth, turns[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CASE WHEN len(turns) = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ends,
+            CASE WHEN depth > 0 THEN (count(*) - 1) * strlen(any_value(turns[depth].t)) ELSE 0 END AS saved FROM p GROUP BY depth, turns[1:depth]),
+        k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+        m AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.path = n.path),
+        u AS (SELECT path[1:up] AS path, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(depth + 1)) AS up FROM m) GROUP BY 1)
+        SELECT m.conv_id, m.depth, a.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves, u.saved_tokens, sha256(m.ends) AS ends_sha256
+        FROM m JOIN u ON u.path = m.path LEFT JOIN m a ON m.depth > 0 AND a.path = m.path[1:m.depth - 1]""",
 }
