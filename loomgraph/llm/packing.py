@@ -14,6 +14,8 @@ from __future__ import annotations
 import functools
 import math
 import os
+import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,67 +31,71 @@ WINDOW = 4096
 SHARD, TASK = 1 << 19, 1 << 24
 #: BM25's saturation and length parameters.
 K1, B = 1.2, 0.75
-#: Texts encoded together, pieces in one call of the tokenizer, pieces in each of the two generations that a worker remembers.
-TEXTS, CALL, CACHE = 1024, 256, 150_000
-_STOPS = ".,;:!?"
+#: Texts in an output batch, pieces in each of the two generations that a worker remembers.
+TEXTS, CACHE = 1024, 400_000
 
 
 # Tokenizing ---------------------------------------------------------------------------------------
 
 
-class Words:
+class Words(dict):
     """A tokenizer that drops white space and merges within words only, so that a text's ids are those of what
-    stands between its blanks and newlines, one after another; ids of pieces are remembered.
+    stands between its blanks and newlines, one after another; the packed ids of each such piece are remembered.
 
-    Texts that could hold a special token are encoded whole.
+    Pieces are looked up one by one, and a new one is encoded when it is missed. Of a Latin word, which the
+    tokenizer's rules would leave whole, the library's model is asked straight away, in the lower case and the byte
+    alphabet that those rules give it; stops after it are a word of their own. All others, and texts that could
+    hold a special token, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
+        super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.between = "<|endoftext|>"  # a special token is cut out first, so it parts the pieces of one call
-        self.mark = self.tokenizer.token_to_id(self.between)
-        if self.mark is None or len(self._ids("a b")) != len(self._ids("a")) + len(self._ids("b")):
-            raise ValueError("a vocabulary of words with an end-of-text token is needed")
-        self.known: dict[str, bytes] = {"": b""}
+        self.width, self.kind = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
         self.before: dict[str, bytes] = {}
+        if len(self._ids("a b")) != len(self._ids("a")) + len(self._ids("b")) or any(self._ids(x) != [t.id for t in self.model.tokenize(_bytes(x.lower()))] for x in ("word", "Élève", "straße")):
+            raise ValueError("a vocabulary of lower-case words over bytes is needed")
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, missing: set[str]) -> None:
-        known = self.known
-        again = missing & self.before.keys()
-        known.update({p: self.before[p] for p in again})
-        cores, plain = {}, set()
-        for p in missing - again:
-            # Latin letters and the stops after them are words of their own for the tokenizer
-            if p[-1] in _STOPS and (core := p.rstrip(_STOPS)).isalpha() and max(core) < "ɐ":
-                cores[p] = core
-                plain.update((core, p[len(core) :]))
+    def __missing__(self, piece: str) -> bytes:
+        found = self.before.get(piece)
+        if found is None:
+            core = piece.rstrip(string.punctuation)
+            if core.isalpha() and (core.isascii() or max(core) < "ɐ" and "İ" not in core):
+                lower = core.lower()
+                if lower == piece:
+                    found = array(self.kind, [t.id for t in self.model.tokenize(_bytes(lower))]).tobytes()
+                else:
+                    found = self[lower] + self[piece[len(core) :]]
             else:
-                plain.add(p)
-        new = sorted(plain - known.keys())
-        for lo in range(0, len(new), CALL):
-            some = new[lo : lo + CALL]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
-            flat = ids.tobytes()
-            known.update(zip(some, [flat[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)], strict=True))
-        for p, core in cores.items():
-            known[p] = known[core] + known[p[len(core) :]]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if len(self.known) > CACHE:
-            self.before, self.known = self.known, {"": b""}
-        cut = [None if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*[p for p in cut if p is not None]) - self.known.keys())
-        known = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(known, p)), "<u4") if p is not None else np.array(self._ids(t), "<u4") for t, p in zip(texts, cut, strict=True)]
+                found = array(self.kind, self._ids(piece)).tobytes()
+        self[piece] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, ``width`` bytes each."""
+        if "<|" in text:
+            return array(self.kind, self._ids(text)).tobytes()
+        if len(self) > CACHE:
+            self.before = dict(self)
+            self.clear()
+            self[""] = b""
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+#: Byte-level tokenizers show bytes that don't print as the characters from 256 on.
+_SHOWN = dict(zip([*range(33), *range(127, 161), 173], range(256, 324), strict=True))
+
+
+def _bytes(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
 
 
 @functools.lru_cache(4)
@@ -105,22 +111,22 @@ def _encoded(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words(vocabulary)
-        width = "<u2" if w.size <= 1 << 16 else "<u4"
+        end = np.array([end_id], w.width).tobytes()
         holding, n_docs, n_ids = np.zeros(max(w.size, end_id + 1), np.int64), 0, 0
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXTS):
                 some = batch.slice(lo, TEXTS)
-                texts = some.column(2).to_pylist()
-                new = list(dict.fromkeys(texts))  # copies are encoded once
-                ids = dict(zip(new, w.encode(new), strict=True))
-                out = []
-                for t in texts:
-                    x = np.append(ids[t], np.uint32(end_id)).astype(width)
-                    s = np.sort(x)
-                    holding[s[np.concatenate([[True], s[1:] != s[:-1]])]] += 1
+                ids: dict[str, bytes] = {}  # copies in a batch are encoded once
+                out, size = [], np.dtype(w.width).itemsize
+                for t in some.column(2).to_pylist():
+                    if t not in ids:
+                        ids[t] = w.encode(t) + end
+                    out.append(ids[t])
+                    x = np.sort(np.frombuffer(ids[t], w.width))
+                    holding[x[:-1][x[1:] != x[:-1]]] += 1
+                    holding[x[-1]] += 1
                     n_docs, n_ids = n_docs + 1, n_ids + len(x)
-                    out.append(x)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([len(x) for x in out], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary()), pa.nulls(len(out), pa.binary()), pa.nulls(len(out), pa.int64())], ["id", "deal", "n", "ids", "terms", "n_docs"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([len(x) // size for x in out], pa.int64()), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary()), pa.nulls(len(out), pa.int64())], ["id", "deal", "n", "ids", "terms", "n_docs"])
         if n_docs:
             have = np.flatnonzero(holding)
             terms = np.stack([have, holding[have]]).astype("<i8").tobytes()
@@ -246,7 +252,6 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
         from pyspark import TaskContext
 
         w = words(vocabulary)
-        width = "<u2" if w.size <= 1 << 16 else "<u4"
         all_df = np.zeros(max(w.size, end_id + 1), np.int64)
         all_df[: len(df)] = df
         sequence = TaskContext.get().partitionId() << 36
@@ -269,7 +274,7 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             id_type = batch.schema.field(0).type
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(np.frombuffer(x, width))
+                ids.append(np.frombuffer(x, w.width))
                 names.append(doc)
                 held += len(ids[-1])
                 if held >= SHARD:
