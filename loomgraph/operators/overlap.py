@@ -17,28 +17,30 @@ def overlap_join(left: DataFrame, right: DataFrame, a: str, b: str, *, width: in
     """Pairs of rows whose half-open intervals ``{x}__chr, {x}__start, {x}__end`` share a point.
 
     Both sides are dealt to the bins that their intervals touch and meet by an equi-join on
-    chromosome, width and bin; a pair counts in its first common bin only, so nothing needs a distinct.
-    There are two widths: short intervals (up to ``WIDE`` narrow bins) stand in narrow and in wide bins,
-    long ones in wide bins alone; two short ones meet in narrow bins, others in wide ones. Rows with a
+    chromosome, meeting and bin; a pair counts in its first common bin only, so nothing needs a distinct.
+    There are two widths. Which two meet is part of the key: short intervals (up to ``WIDE`` narrow bins) of both
+    sides meet in narrow bins, a long one and any other in wide bins. A short interval stands in wide bins
+    for the other side's long ones alone, so two short ones never meet there. Rows with a
     null chromosome or end match nothing; an empty interval matches one around it.
     """
 
-    def bins(frame: DataFrame, x: str) -> DataFrame:
+    def bins(frame: DataFrame, x: str, meets: tuple[str, str, str]) -> DataFrame:
         start, end = F.col(f"{x}__start"), F.col(f"{x}__end")
         last = F.greatest(start, end - 1)
         at = lambda p, w: F.floor(p / w).cast("long")
-        long = at(last, width) - at(start, width) >= WIDE
-        level = lambda wide, w: F.struct(F.lit(wide).alias("wide"), at(start, w).alias("lo"), at(last, w).alias("hi"))
-        levels = F.when(long, F.array(level(1, width * WIDE))).otherwise(F.array(level(0, width), level(1, width * WIDE)))
-        frame = frame.withColumn(f"{x}__long", long).withColumn(f"{x}__at", F.explode(levels))
+        role = lambda name, w: F.struct(F.lit(name).alias("meet"), at(start, w).alias("lo"), at(last, w).alias("hi"))
+        short_short, short_long, long_short = meets
+        wide = width * WIDE
+        roles = F.when(at(last, width) - at(start, width) >= WIDE, F.array(role(long_short, wide), role("ll", wide))).otherwise(F.array(role(short_short, width), role(short_long, wide)))
+        frame = frame.withColumn(f"{x}__at", F.explode(roles))
         return frame.withColumn(f"{x}__bin", F.explode(F.sequence(F.col(f"{x}__at.lo"), F.col(f"{x}__at.hi"))))
 
-    l, r = bins(left.where(F.col(f"{a}__end").isNotNull() & F.col(f"{a}__start").isNotNull()), a), bins(right.where(F.col(f"{b}__end").isNotNull() & F.col(f"{b}__start").isNotNull()), b)  # noqa: E741
+    known = lambda frame, x: frame.where(F.col(f"{x}__end").isNotNull() & F.col(f"{x}__start").isNotNull())
+    l, r = bins(known(left, a), a, ("ss", "sl", "ls")), bins(known(right, b), b, ("ss", "ls", "sl"))  # noqa: E741
     c = F.col
-    on = (c(f"{a}__chr") == c(f"{b}__chr")) & (c(f"{a}__bin") == c(f"{b}__bin")) & (c(f"{a}__at.wide") == c(f"{b}__at.wide")) & overlaps(c(f"{a}__start"), c(f"{a}__end"), c(f"{b}__start"), c(f"{b}__end"))
-    own = (c(f"{a}__at.wide") == 0) | c(f"{a}__long") | c(f"{b}__long")  # two short ones have met in narrow bins
+    on = (c(f"{a}__chr") == c(f"{b}__chr")) & (c(f"{a}__bin") == c(f"{b}__bin")) & (c(f"{a}__at.meet") == c(f"{b}__at.meet")) & overlaps(c(f"{a}__start"), c(f"{a}__end"), c(f"{b}__start"), c(f"{b}__end"))
     first = c(f"{a}__bin") == F.greatest(c(f"{a}__at.lo"), c(f"{b}__at.lo"))
-    return l.join(r, on & own & first).drop(*[f"{x}__{n}" for x in (a, b) for n in ("long", "at", "bin")])
+    return l.join(r, on & first).drop(*[f"{x}__{n}" for x in (a, b) for n in ("at", "bin")])
 
 
 def overlap_join_plain(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:

@@ -74,10 +74,15 @@ def variable_counts(found: DataFrame, query: QueryGraph) -> DataFrame:
 
 def label_counts(found: DataFrame, query: QueryGraph, requested: Sequence[str] = ()) -> DataFrame:
     """``(kind, label, count)``: variables of one label together; requested labels without any count 0."""
-    counted = variable_counts(found, query).groupBy("kind", "label").agg(F.sum("count").alias("count"))
+    return roll_up_counts(variable_counts(found, query), requested)
+
+
+def roll_up_counts(counts: DataFrame, requested: Sequence[str] = ()) -> DataFrame:
+    """The rows of ``variable_counts`` summed by label, with zeros for requested labels that have none."""
+    counted = counts.groupBy("kind", "label").agg(F.sum("count").alias("count"))
     if not requested:
         return counted
-    zeros = found.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in requested])).alias("label"), F.lit("node").alias("kind"))
+    zeros = counts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in requested])).alias("label"), F.lit("node").alias("kind"))
     missing = zeros.join(counted, ["kind", "label"], "left_anti")
     return counted.unionByName(missing.withColumn("count", F.lit(0).cast("long")))
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.predicates import exact, node_filters, overlaps
+from loomgraph.operators.hubs import hub_join
 from loomgraph.operators.overlap import overlap_join
 from loomgraph.plans.model import EdgePattern, NodePattern, QueryGraph
 from loomgraph.plans.rewrite import VIRTUAL, ordered
@@ -40,20 +41,24 @@ def edge_frame(catalog: GraphCatalog, query: QueryGraph, edge: EdgePattern) -> D
     return e.select(F.col("src").alias(f"{edge.predicate_id}__src"), F.col("dst").alias(f"{edge.predicate_id}__dst"), *[F.col(f"`{c}`").alias(f"{edge.predicate_id}__{c}") for c in e.columns if c not in ("src", "dst")])
 
 
-def bindings(catalog: GraphCatalog, query: QueryGraph, *, matching: str = "regex", isomorphic: bool = False, limit: int | None = None, counts: Mapping | None = None) -> DataFrame:
+def bindings(catalog: GraphCatalog, query: QueryGraph, *, matching: str = "regex", isomorphic: bool = False, limit: int | None = None, counts: Mapping | None = None, hub_rows: int | None = None) -> DataFrame:
     """One row for each match of the pattern.
 
     Two edge patterns may match one edge unless ``isomorphic``. A limit takes the first rows in order
-    of all ids, so it is the same on every run.
+    of all ids, so it is the same on every run. With ``hub_rows``, vertices that have more edges than that are joined
+    over grids (``operators.hubs``), which are found by a pass over each frame while the query is compiled.
     """
     query = ordered(query, counts)
     frame: DataFrame | None = None
     bound: set[str] = set()
 
+    def meet(a: DataFrame, b: DataFrame, key: str, other: str) -> DataFrame:
+        return a.join(b, F.col(key) == F.col(other)) if hub_rows is None else hub_join(a, b, key, other, chunk=hub_rows)
+
     def bring(var: str, key: str | None) -> None:
         nonlocal frame
         v = vertex_frame(catalog, query.node(var), matching=matching)
-        frame = v if frame is None else frame.crossJoin(v) if key is None else frame.join(v, F.col(key) == F.col(f"{var}__id"))
+        frame = v if frame is None else frame.crossJoin(v) if key is None else meet(frame, v, key, f"{var}__id")
         bound.add(var)
 
     for e in query.edges:
@@ -73,8 +78,8 @@ def bindings(catalog: GraphCatalog, query: QueryGraph, *, matching: str = "regex
         src, dst = f"{e.predicate_id}__src", f"{e.predicate_id}__dst"
         if e.source == e.target:
             edges = edges.where(F.col(src) == F.col(dst))
-        on = [F.col(f"{var}__id") == F.col(key) for var, key in ((e.source, src), (e.target, dst)) if var in bound]
-        frame = frame.join(edges, reduce(lambda a, b: a & b, on))
+        on = [(f"{var}__id", key) for var, key in ((e.source, src), (e.target, dst)) if var in bound]
+        frame = meet(frame, edges, *on[0]) if len(on) == 1 else frame.join(edges, reduce(lambda a, b: a & b, [F.col(x) == F.col(y) for x, y in on]))
         for var, key in ((e.source, src), (e.target, dst)):
             if var not in bound:
                 bring(var, key)
@@ -113,7 +118,10 @@ def optional_nodes(catalog: GraphCatalog, query: QueryGraph, *, matching: str =
     for i, n in enumerate(query.nodes):
         last = i == len(query.nodes) - 1
         own = n if not last_only else NodePattern(n.node_id, n.type)
-        frame = frame.join(vertex_frame(catalog, own, matching=matching), F.lit(True), "left")
+        found = vertex_frame(catalog, own, matching=matching)
+        # the vertices, or one row of nulls where there are none: a left join on TRUE would broadcast them all
+        none = catalog.spark.range(1).join(found.select(F.lit(0).cast("long").alias("id")).limit(1), "id", "left_anti").select(*[F.lit(None).cast(t).alias(c) for c, t in found.dtypes])
+        frame = frame.crossJoin(found.unionByName(none))
         if last_only and last and (n.id or n.properties):
             frame = frame.join(vertex_frame(catalog, n, matching=matching).select(f"{n.node_id}__id"), f"{n.node_id}__id", "left_semi")
     return frame

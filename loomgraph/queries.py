@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import predicates, text
-from loomgraph.operators import algebra, history, result, statistics
+from loomgraph.operators import algebra, closure, history, hubs, result, statistics
 from loomgraph.operators.overlap import overlap_join
-from loomgraph.plans import compiler
+from loomgraph.plans import compiler, counting, generic
 from loomgraph.plans.model import QueryGraph
 from loomgraph.plans.rewrite import canonical, fingerprint, names_from_ids
 from loomgraph.session import table
@@ -178,6 +178,41 @@ def match_cycle(spark, d):
     return found.select(F.col("s__id").alias("s"), F.col("o__id").alias("o"), F.col("p__id").alias("p"), F.col("p0__uid").alias("supplied"), F.col("p1__uid").alias("contained"), F.col("p2__uid").alias("shipped"))
 
 
+#: suppliers of a part that is in an order which they ship too: no end is anchored.
+_TRIANGLE = pattern([("s", "supplier"), ("o", "orders"), ("p", "part")], [("supplies", "s", "p"), ("contains", "o", "p"), ("ships", "s", "o")])
+#: customers who have one part in two orders.
+_FOUR = pattern([("c", "customer"), ("o", "orders"), ("p", "part"), ("q", "orders")], [("placed", "c", "o"), ("contains", "o", "p"), ("placed", "c", "q"), ("contains", "q", "p")])
+
+
+@query(f"SELECT a.l_suppkey AS s, l.l_orderkey AS o, l.l_partkey AS p, a.l_orderkey * 16 + a.l_linenumber AS supplied, {_UID} AS contained, b.l_orderkey * 16 + b.l_linenumber AS shipped FROM lineitem a JOIN lineitem l ON l.l_partkey = a.l_partkey JOIN lineitem b ON b.l_suppkey = a.l_suppkey AND b.l_orderkey = l.l_orderkey JOIN orders ON o_orderkey = l.l_orderkey JOIN part ON p_partkey = l.l_partkey JOIN supplier ON s_suppkey = a.l_suppkey")
+def match_triangle(spark, d):
+    found = generic.cyclic_bindings(star_graph(spark, d), _TRIANGLE)
+    return found.select(F.col("s__id").alias("s"), F.col("o__id").alias("o"), F.col("p__id").alias("p"), F.col("p0__uid").alias("supplied"), F.col("p1__uid").alias("contained"), F.col("p2__uid").alias("shipped"))
+
+
+@query("SELECT DISTINCT c_custkey AS c, a.o_orderkey AS o, l.l_partkey AS p, b.o_orderkey AS q FROM customer JOIN orders a ON a.o_custkey = c_custkey JOIN lineitem l ON l.l_orderkey = a.o_orderkey JOIN part ON p_partkey = l.l_partkey JOIN orders b ON b.o_custkey = c_custkey JOIN lineitem m ON m.l_orderkey = b.o_orderkey AND m.l_partkey = l.l_partkey")
+def match_four_cycle(spark, d):
+    return generic.node_bindings(star_graph(spark, d), _FOUR).select("c", "o", "p", "q")
+
+
+#: lines of an order's first two go to one supplier, which so has half of all rows.
+_HUB = "CASE WHEN l_linenumber <= 2 THEN 1 ELSE l_suppkey END"
+
+
+@query(f"SELECT {_UID} AS uid, s_suppkey AS s, s_name AS name FROM lineitem l JOIN supplier ON s_suppkey = {_HUB}")
+def hub_join(spark, d):
+    lines = table(spark, d, "lineitem").select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).cast("long").alias("uid"), F.expr(_HUB).cast("long").alias("key"))
+    makers = star_graph(spark, d).vertices("supplier").select(F.col("id").alias("s"), "name")
+    return hubs.hub_join(lines, makers, "key", "s", chunk=2000).select("uid", "s", "name")
+
+
+@query("SELECT c_custkey AS c, o_orderkey AS o, n_nationkey::BIGINT AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderpriority = '1-URGENT'")
+def match_over_hubs(spark, d):
+    """Nations are hubs of customers: the pattern's joins go over grids."""
+    q = pattern([("c", "customer"), ("n", "nation"), ("o", "orders", {"priority": "1-urgent"})], [("in_nation", "c", "n"), ("placed", "c", "o")])
+    return ids(compiler.bindings(star_graph(spark, d), q, hub_rows=50), "c", "o", "n")
+
+
 _TWIN = pattern([("a", "customer", {"mktsegment": "building"}), ("b", "customer", {"mktsegment": "building"}), ("n", "nation")], [("in_nation", "a", "n"), ("in_nation", "b", "n")])
 
 
@@ -255,6 +290,32 @@ def ontology_rollup(spark, d):
     return result.roll_up(members, g.edges("nation", "in_region", "region").select(F.col("src").alias("child"), F.col("dst").alias("parent")))
 
 
+#: a hierarchy of parts with two parents each, and a cycle of three at its top.
+_ABOVE = "SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey >= 3 UNION SELECT p_partkey, p_partkey // 5 + 1 FROM part UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey < 3"
+_REACHED = f"WITH RECURSIVE e AS ({_ABOVE}), r AS (SELECT child, parent AS ancestor, 1 AS distance FROM e UNION SELECT r.child, e.parent, r.distance + 1 FROM r JOIN e ON e.child = r.ancestor WHERE r.distance < {{}})"
+
+
+def _above(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("child"))
+    at = lambda sql: p.withColumn("parent", F.expr(sql))
+    return at("child div 3").where("child >= 3").unionByName(at("child div 5 + 1")).unionByName(at("child + 1").where("child < 3"))
+
+
+def _closed(depth: int | None):
+    return lambda spark, d: closure.closure(_above(spark, d), depth=depth)
+
+
+for _name, _depth in (("closure_one", 1), ("closure_three", 3), ("closure_all", None)):
+    QUERIES[_name] = _closed(_depth)
+    ORACLE_SQL[_name] = f"{_REACHED.format(_depth or 20)} SELECT child, ancestor, min(distance)::INT AS distance FROM r GROUP BY ALL"
+
+
+@query(f"{_REACHED.format(20)}, m AS (SELECT DISTINCT l_suppkey AS member, l_partkey AS term FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) SELECT member, term, min(distance)::INT AS distance FROM (SELECT member, term, 0 AS distance FROM m UNION ALL SELECT member, ancestor, distance FROM m JOIN r ON r.child = m.term) GROUP BY ALL")
+def ontology_rollup_all(spark, d):
+    members = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_suppkey").cast("long").alias("member"), F.col("l_partkey").cast("long").alias("term"))
+    return closure.rolled_up(members, _above(spark, d))
+
+
 @query("SELECT o_custkey AS id, any_value(c_name) AS name, any_value(c_mktsegment) AS mktsegment FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1")
 def enrich_properties(spark, d):
     g = star_graph(spark, d)
@@ -267,17 +328,35 @@ def enrich_properties(spark, d):
 
 @query(f"SELECT count(DISTINCT c.c_custkey) + count(DISTINCT o.o_orderkey) + count(DISTINCT p.p_partkey) AS total_nodes, count(DISTINCT o.o_orderkey) + count(DISTINCT {_UID}) AS total_edges FROM {_CHAIN}")
 def total_count(spark, d):
-    return result.total_counts(compiler.bindings(star_graph(spark, d), CHAIN), CHAIN)
+    return counting.total_counts(star_graph(spark, d), CHAIN)
 
 
 @query(f"WITH m AS (SELECT c.c_custkey AS c, o.o_orderkey AS o, p.p_partkey AS p, {_UID} AS u FROM {_CHAIN}) SELECT 'node' AS kind, 'c' AS variable, 'customer' AS label, count(DISTINCT c) AS count FROM m UNION ALL SELECT 'node', 'o', 'orders', count(DISTINCT o) FROM m UNION ALL SELECT 'node', 'p', 'part', count(DISTINCT p) FROM m UNION ALL SELECT 'edge', 'p0', 'placed', count(DISTINCT o) FROM m UNION ALL SELECT 'edge', 'p1', 'contains', count(DISTINCT u) FROM m")
 def label_count(spark, d):
-    return result.variable_counts(compiler.bindings(star_graph(spark, d), CHAIN), CHAIN)
+    return counting.variable_counts(star_graph(spark, d), CHAIN)
 
 
 @query("WITH m AS (SELECT a.c_custkey AS a, b.c_custkey AS b, n_nationkey AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey JOIN nation ON n_nationkey = a.c_nationkey WHERE lower(a.c_mktsegment) = 'building' AND lower(b.c_mktsegment) = 'building') SELECT 'node' AS kind, 'customer' AS label, count(DISTINCT a) + count(DISTINCT b) AS count FROM m UNION ALL SELECT 'node', 'nation', count(DISTINCT n) FROM m UNION ALL SELECT 'edge', 'in_nation', count(DISTINCT a) + count(DISTINCT b) FROM m UNION ALL SELECT 'node', 'part', 0")
 def label_count_rollup(spark, d):
-    return result.label_counts(compiler.bindings(star_graph(spark, d), _TWIN), _TWIN, ["customer", "part"])
+    return counting.label_counts(star_graph(spark, d), _TWIN, ["customer", "part"])
+
+
+@query(f"SELECT c.c_custkey AS id, count(*) AS matches FROM {_CHAIN} GROUP BY 1")
+def matches_by_customer(spark, d):
+    return counting.matches_at(star_graph(spark, d), CHAIN, "c").select("id", F.col("matches").cast("long").alias("matches"))
+
+
+@query("SELECT count(*) AS matches FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey JOIN nation ON n_nationkey = a.c_nationkey WHERE lower(a.c_mktsegment) = 'building' AND lower(b.c_mktsegment) = 'building'")
+def match_count(spark, d):
+    return counting.match_count(star_graph(spark, d), _TWIN).select(F.col("matches").cast("long").alias("matches"))
+
+
+@query(f"SELECT count(DISTINCT c.c_custkey) AS c, count(DISTINCT o.o_orderkey) AS o, count(DISTINCT p.p_partkey) AS p, count(DISTINCT {_UID}) AS contained FROM {_CHAIN}")
+def counts_of_bindings(spark, d):
+    """The same counts as ``label_count`` from the bindings, as patterns with cycles are counted."""
+    counts = result.variable_counts(compiler.bindings(star_graph(spark, d), CHAIN), CHAIN)
+    of = lambda v: F.max(F.when(F.col("variable") == v, F.col("count")))
+    return counts.agg(of("c").alias("c"), of("o").alias("o"), of("p").alias("p"), of("p1").alias("contained"))
 
 
 @query(f"WITH n AS ({_PLACE_NODES}), e AS ({_PLACE_EDGES}) SELECT 'node' AS kind, type AS label, count(*) AS count FROM n GROUP BY 2 UNION ALL SELECT 'edge', label, count(*) FROM e GROUP BY 2")
@@ -631,9 +710,6 @@ def sexpr_roundtrip(spark, d):
     return sexpr.parse_lines(lines).select("kind", "property", F.col("source_label").alias("label"), F.col("source").alias("id"), F.array_join("value", " ").alias("value"))
 
 
-QUERIES["overlap_join"], ORACLE_SQL["overlap_join"] = overlap_join_binned, ORACLE_SQL["overlap_join_binned"]
-
-
 def chain_fingerprint() -> str:
     """The fingerprint under which the flagship query's result would be kept."""
     return fingerprint(canonical(CHAIN)[0])
