@@ -16,8 +16,8 @@ from loomgraph.operators.overlap import overlap_join
 from loomgraph.plans import compiler, counting, generic
 from loomgraph.plans.model import QueryGraph
 from loomgraph.plans.rewrite import canonical, fingerprint, names_from_ids
-from loomgraph.session import table
-from loomgraph.sources import files, sexpr
+from loomgraph.session import shared_path, table
+from loomgraph.sources import compiled, files, sexpr, snapshots
 from loomgraph.sources.catalog import GraphCatalog
 from loomgraph.testbed import star_graph
 
@@ -656,6 +656,32 @@ def source_summaries(spark, d):
     return result.source_summaries(nodes, edges.where("edge_id = 'customer_in_nation_nation'"), text.description(["name"]))
 
 
+# Compiled graphs -----------------------------------------------------------------------------------
+
+
+def _compiled(spark, d):
+    c = F.col
+    own = lambda source, /, **columns: compiled.Source.parquet(f"{d}/{source}.parquet", columns=[c(v).alias(k) for k, v in columns.items()])
+    vertices = {"customer": own("customer", id="c_custkey", name="c_name", mktsegment="c_mktsegment"), "orders": own("orders", id="o_orderkey", priority="o_orderpriority"), "part": own("part", id="p_partkey", brand="p_brand")}
+    line = compiled.Source.parquet(f"{d}/lineitem.parquet", columns=[c("l_orderkey").alias("src"), c("l_partkey").alias("dst"), (c("l_orderkey") * 16 + c("l_linenumber")).alias("uid")])
+    edges = {("customer", "placed", "orders"): own("orders", src="o_custkey", dst="o_orderkey", uid="o_orderkey"), ("orders", "contains", "part"): line}
+    base = shared_path(spark, "compiled")
+    compiled.build(spark, base, vertices, edges)
+    return compiled.CompiledGraph.open(spark, base)
+
+
+@query(f"SELECT c.c_custkey AS c, o.o_orderkey AS o, p.p_partkey AS p, {_UID} AS uid FROM {_CHAIN}")
+def compiled_pattern(spark, d):
+    """The two-hop pattern over dense ids, with the original ids read back from the dictionaries."""
+    found = compiler.bindings(_compiled(spark, d).catalog(), CHAIN)
+    return found.select(F.col("c__original").alias("c"), F.col("o__original").alias("o"), F.col("p__original").alias("p"), F.col("p1__uid").alias("uid"))
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS src, (sum(n) OVER (ORDER BY c_custkey) - n)::BIGINT AS first, n FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) QUALIFY n > 0")
+def compiled_offsets(spark, d):
+    return _compiled(spark, d).offsets("customer", "placed", "orders")
+
+
 # History, exports, texts --------------------------------------------------------------------------
 
 
@@ -671,6 +697,19 @@ def fingerprint_dedup(spark, d):
     return history.reusable(rows).select("fingerprint", "id")
 
 
+@query("SELECT o_orderkey AS id, CASE WHEN o_totalprice > 300000 THEN 'large' WHEN o_orderstatus = 'F' THEN 'done' ELSE o_orderstatus END AS status, CASE WHEN o_orderstatus = 'F' AND o_totalprice <= 300000 THEN NULL ELSE o_orderpriority END AS priority FROM orders UNION ALL SELECT -c_custkey, 'new', NULL FROM customer WHERE c_acctbal < 0")
+def upsert_merges(spark, d):
+    """Three merges: all orders; finished ones, without a priority, and new rows; large orders, whose priority comes back."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), "o_totalprice")
+    base = shared_path(spark, "annotations")
+    snapshots.create(spark, base, orders.drop("o_totalprice").schema, ["id"], n_buckets=8)
+    snapshots.upsert(spark, base, orders.drop("o_totalprice"))
+    fresh = table(spark, d, "customer").where("c_acctbal < 0").select((-F.col("c_custkey")).cast("long").alias("id"), F.lit("new").alias("status"), F.lit(None).cast("string").alias("priority"))
+    snapshots.upsert(spark, base, orders.where("status = 'F'").select("id", F.lit("done").alias("status"), F.lit(None).cast("string").alias("priority")).unionByName(fresh))
+    snapshots.upsert(spark, base, orders.where("o_totalprice > 300000").select("id", "priority", F.lit("large").alias("status")))
+    return snapshots.current(spark, base).rows()
+
+
 @query(f"SELECT source, target, label FROM ({_PLACE_EDGES})")
 def export_tsv_rows(spark, d):
     return files.tsv_edges(places(spark, d)[1])
