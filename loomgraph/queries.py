@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import predicates, text
-from loomgraph.operators import algebra, closure, history, hubs, result, statistics
+from loomgraph.operators import algebra, closure, history, hubs, isomorphism, result, statistics
 from loomgraph.operators.overlap import overlap_join
 from loomgraph.plans import compiler, counting, generic
 from loomgraph.plans.model import QueryGraph
 from loomgraph.plans.rewrite import canonical, fingerprint, names_from_ids
 from loomgraph.session import shared_path, table
-from loomgraph.sources import compiled, files, sexpr, snapshots
+from loomgraph.sources import compiled, completion, files, sexpr, snapshots, trees
 from loomgraph.sources.catalog import GraphCatalog
 from loomgraph.testbed import star_graph
 
@@ -505,6 +505,16 @@ def components(spark, d):
     return algebra.components(nodes, edges)
 
 
+@query("SELECT n + 1 AS n_nodes, n AS n_edges, count(*) AS components FROM (SELECT user_id, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1) GROUP BY n")
+def component_classes(spark, d):
+    """Components of users and their events by isomorphism: stars of one size have one canonical form."""
+    g = star_graph(spark, d)
+    edges = g.edges("user", "emits", "event").select(F.concat(F.lit("user "), "src").alias("source"), F.concat(F.lit("event "), "dst").alias("target"))
+    nodes = g.vertices("user").select(F.concat(F.lit("user "), "id").alias("id"))
+    forms = isomorphism.component_forms(nodes, edges)
+    return forms.groupBy("form", "n_nodes", "n_edges").agg(F.count("*").alias("components")).select("n_nodes", "n_edges", "components")
+
+
 def _graphs(spark, d):
     g = star_graph(spark, d)
     e = g.edges("orders", "contains", "part")
@@ -644,6 +654,23 @@ def complete_prefix(spark, d):
     return files.complete(files.completion_index(v), "CUSTOMER#00000001")
 
 
+def _index(spark, d) -> str:
+    v = star_graph(spark, d).vertices("customer").select(F.col("id").cast("string").alias("id"), F.lit("customer").alias("label"), F.col("name").alias("customer_name"))
+    path = shared_path(spark, "completion")
+    completion.write_index(files.completion_index(v), path)
+    return path
+
+
+@query("SELECT c_custkey::VARCHAR AS id, 'customer' AS label, c_name AS name FROM customer WHERE lower(c_name) LIKE 'customer#00000001%' ORDER BY c_name, id LIMIT 10")
+def complete_from_index(spark, d):
+    return completion.search(spark, _index(spark, d), "Customer#00000001")
+
+
+@query("SELECT c_custkey::VARCHAR AS id, 'customer' AS label, c_name AS name FROM customer WHERE lower(c_name) LIKE 'cu%' ORDER BY c_name, id LIMIT 5")
+def complete_short_prefix(spark, d):
+    return completion.search(spark, _index(spark, d), "CU", 5)
+
+
 @query(f"""WITH n AS ({_PLACE_NODES}), e AS ({_PLACE_EDGES}) SELECT 'nodes' AS part, '{{"data":{{"id":"' || id || '","type":"' || type || '","name":"' || name || '"}}}}' AS json FROM n
     UNION ALL SELECT 'edges', '{{"data":{{"edge_id":"' || edge_id || '","label":"' || label || '","source":"' || source || '","target":"' || target || '"}}}}' FROM e""")
 def graph_json(spark, d):
@@ -749,6 +776,19 @@ def sexpr_roundtrip(spark, d):
     return sexpr.parse_lines(lines).select("kind", "property", F.col("source_label").alias("label"), F.col("source").alias("id"), F.array_join("value", " ").alias("value"))
 
 
+@query("""WITH p AS (SELECT p_partkey AS id, string_split(p_type, ' ') AS words, p_size AS size FROM part), l AS (SELECT *, len(words) AS k FROM p)
+    SELECT id, 0 AS node, NULL::INT AS parent, 0 AS depth, NULL AS symbol, (k + 10)::INT AS last FROM l UNION ALL SELECT id, 1, 0, 1, 'part', 1 FROM l
+    UNION ALL SELECT id, 2, 0, 1, NULL, (k + 5)::INT FROM l UNION ALL SELECT id, 3, 2, 2, 'type', 3 FROM l
+    UNION ALL SELECT id, (3 + i)::INT, 2, 2, words[i], (3 + i)::INT FROM (SELECT *, unnest(range(1, k + 1)) AS i FROM l)
+    UNION ALL SELECT id, (k + 4)::INT, 2, 2, 'x', (k + 4)::INT FROM l UNION ALL SELECT id, (k + 6)::INT, 0, 1, NULL, (k + 9)::INT FROM l
+    UNION ALL SELECT id, (k + 7)::INT, (k + 6)::INT, 2, 'size', (k + 7)::INT FROM l UNION ALL SELECT id, (k + 8)::INT, (k + 6)::INT, 2, size::VARCHAR, (k + 8)::INT FROM l""")
+def sexpr_trees(spark, d):
+    """``(part (type WORDS... x) (size N))`` for every part, as a table of spans."""
+    p = star_graph(spark, d).vertices("part")
+    lines = p.select("id", F.format_string("(part (type %s x) (size %d))", "type", "size").alias("value"))
+    return trees.parse_trees(lines).select("id", "node", "parent", "depth", "symbol", "last")
+
+
 def chain_fingerprint() -> str:
     """The fingerprint under which the flagship query's result would be kept."""
     return fingerprint(canonical(CHAIN)[0])

@@ -1,0 +1,169 @@
+"""Nested S-expressions, the prefix index, and exact isomorphism."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from test_graph import rows
+
+from loomgraph.operators import isomorphism
+from loomgraph.sources import completion, trees
+
+# S-expressions ------------------------------------------------------------------------------------
+
+
+def read(text):
+    """The spans of a line by a plain reader: (node, parent, nth, depth, symbol, last)."""
+    tokens, at = [], 0
+    while at < len(text):
+        c = text[at]
+        if c in "()":
+            tokens.append(c)
+            at += 1
+        elif c == " ":
+            at += 1
+        else:
+            end = at
+            while end < len(text) and text[end] not in "() ":
+                end += 2 if text[end] == "\\" else 1
+            tokens.append(text[at:end])
+            at = end
+    out, open_, counts = [], [], {None: 0}
+    for i, t in enumerate(tokens):
+        if t == ")":
+            out[open_.pop()[1]][5] = i
+            continue
+        parent = open_[-1][0] if open_ else None
+        out.append([i, parent, counts[parent], len(open_), None if t == "(" else t, i])
+        counts[parent] += 1
+        if t == "(":
+            open_.append((i, len(out) - 1))
+            counts[i] = 0
+    return [tuple(x) for x in out]
+
+
+def tree(r, depth):
+    if depth == 0 or r.random() < 0.3:
+        return r.choice(["a", r"b\(c\)", "14-3-3", r"\)", "_x_", ","])
+    return "(" + " ".join(tree(r, depth - 1) for _ in range(r.randrange(4))) + ")"
+
+
+def test_trees_against_a_plain_reader(spark):
+    r = random.Random(5)
+    lines = {i: "(" + " ".join(tree(r, 5) for _ in range(3)) + ")" for i in range(60)}
+    df = spark.createDataFrame(list(lines.items()), "id long, value string").repartition(3)
+    got = trees.parse_trees(df)
+    by = {i: [] for i in lines}
+    for x in got.collect():
+        by[x.id].append((x.node, x.parent, x.nth, x.depth, x.symbol, x.last))
+    assert {i: sorted(v) for i, v in by.items()} == {i: read(t) for i, t in lines.items()}
+    assert max(x[3] for v in by.values() for x in v) >= 5
+    assert {x.id: x.value for x in trees.render(got).collect()} == {i: t.replace("( ", "(") for i, t in lines.items()}
+    spans = trees.children(got.where("id = 0")).orderBy("node").collect()
+    assert [(s.node, [tuple(c) for c in s.spans]) for s in spans] == [(n, [(x[0], x[5]) for x in by[0] if x[1] == n]) for n in sorted({x[1] for x in by[0]} - {None})]
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_odd_lines(spark):
+    df = spark.createDataFrame([(1, "(a"), (2, "a)"), (3, ")("), (4, None), (5, "; (a)"), (6, "  "), (7, "a"), (8, "(a) (b)"), (9, "()"), (10, "(" * 300 + "x" + ")" * 300)], "id long, value string")
+    got = trees.parse_trees(df)
+    assert {r.id for r in got.collect()} == {7, 8, 9, 10}
+    assert got.where("id = 10").agg(F.max("depth")).first()[0] == 300
+    assert rows(trees.render(got).where("id < 10")) == [(7, "a"), (8, "(a) (b)"), (9, "()")]
+    one = spark.createDataFrame([(r"(synonyms (gene G1) (YWHAS, , a\(b\)_c))",)], "t string").select(trees.atoms(F.col("t"))).first()[0]
+    assert one == ["synonyms", "gene", "G1", "YWHAS,", "a(b) c"]
+
+
+# Completion ---------------------------------------------------------------------------------------
+
+
+def test_prefix_index(spark, tmp_path):
+    r = random.Random(2)
+    names = ["".join(r.choice("abAB") for _ in range(r.randrange(1, 8))) for _ in range(400)] + ["", "a", "a", "Ünïcode", None]
+    df = spark.createDataFrame([(str(i), "t", n) for i, n in enumerate(names)], "id string, label string, name string")
+    path = str(tmp_path / "index")
+    completion.write_index(df, path, best=7, partitions=8)
+    for prefix in ("", "a", "AB", "bab", "abab", "abababa", "ün", "zz", "b"):
+        for n in (3, 7, 50):
+            want = sorted((name, str(i)) for i, name in enumerate(names) if name is not None and name.lower().startswith(prefix.lower()))[:n]
+            assert [(x.name, x.id) for x in completion.search(spark, path, prefix, n).collect()] == want
+    assert len(completion.files_of(spark, path, "ababab")) <= 2 < 8 == spark.read.parquet(f"{path}/files").count()
+    found = completion.search(spark, path, "ababab")
+    assert len(found.inputFiles()) <= 2 and "StringStartsWith(key,ababab)" in found._jdf.queryExecution().executedPlan().toString()
+    completion.write_index(df.limit(0), str(tmp_path / "none"))
+    assert completion.search(spark, str(tmp_path / "none"), "a").count() == completion.search(spark, str(tmp_path / "none"), "abcd").count() == 0
+
+
+# Isomorphism --------------------------------------------------------------------------------------
+
+
+def shuffled(edges, n, seed):
+    r = random.Random(seed)
+    place = list(range(n))
+    r.shuffle(place)
+    out = [(place[a], place[b], x) for a, b, x in edges]
+    r.shuffle(out)
+    return out
+
+
+def ring(n, first=0):
+    return [(first + i, first + (i + 1) % n, "") for i in range(n)]
+
+
+def both(edges):
+    return [*edges, *[(b, a, x) for a, b, x in edges]]
+
+
+PETERSEN = both([*ring(5), *[(i, i + 5, "") for i in range(5)], *[(5 + i, 5 + (i + 2) % 5, "") for i in range(5)]])
+PRISM = both([*ring(5), *[(i, i + 5, "") for i in range(5)], *ring(5, 5)])
+COMPLETE = [(i, j, "") for i in range(9) for j in range(9) if i != j]
+GRID = both([(4 * i + j, 4 * i + j + 1, "") for i in range(4) for j in range(3)] + [(4 * i + j, 4 * i + j + 4, "") for i in range(3) for j in range(4)])
+
+
+@pytest.mark.parametrize("edges", [ring(7), both(ring(6)), PETERSEN, PRISM, COMPLETE, GRID, [(0, i, "") for i in range(1, 200)], [(0, 1, "x"), (0, 1, "y"), (1, 1, "x")]])
+def test_canonical_forms_dont_depend_on_the_order(edges):
+    n = 1 + max(max(a, b) for a, b, _ in edges)
+    forms = {isomorphism.canonical_form(n, shuffled(edges, n, seed), [""] * n) for seed in range(4)}
+    assert len(forms) == 1 and None not in forms
+
+
+def test_forms_tell_apart_what_refinement_cannot():
+    form = lambda e, n: isomorphism.canonical_form(n, e, [""] * n)
+    assert form(PETERSEN, 10) != form(PRISM, 10)  # both regular of degree three
+    assert form(both(ring(6)), 6) != form(both([*ring(3), *ring(3, 3)]), 6)
+    assert form(ring(4), 4) != form([(0, 1, ""), (2, 1, ""), (2, 3, ""), (0, 3, "")], 4)
+    assert form([(0, 1, "")], 2) != form([(0, 1, ""), (0, 1, "")], 2) != form([(0, 1, "x")], 2)
+    assert isomorphism.canonical_form(2, [(0, 1, "")], ["a", "b"]) != isomorphism.canonical_form(2, [(0, 1, "")], ["b", "a"])
+    assert isomorphism.canonical_form(10, PETERSEN, [""] * 10, work=100) is None
+
+
+def test_small_graphs_against_all_permutations():
+    from itertools import permutations
+
+    r = random.Random(9)
+    graphs = [sorted((r.randrange(4), r.randrange(4), "") for _ in range(4)) for _ in range(25)]
+    for a in graphs:
+        for b in graphs:
+            same = any(sorted((p[x], p[y], t) for x, y, t in a) == b for p in permutations(range(4)))
+            assert same == (isomorphism.canonical_form(4, a, [""] * 4) == isomorphism.canonical_form(4, b, [""] * 4))
+
+
+def frames(spark, edges, extra=(), kind="t"):
+    nodes = sorted({x for a, b, _ in edges for x in (a, b)} | set(extra))
+    return spark.createDataFrame([(f"n{x}", kind) for x in nodes], "id string, type string"), spark.createDataFrame([(f"n{a}", f"n{b}", x) for a, b, x in edges], "source string, target string, label string")
+
+
+def test_isomorphic_graphs(spark):
+    hexagon, triangles = frames(spark, both(ring(6))), frames(spark, both([*ring(3), *ring(3, 3)]))
+    assert isomorphism.isomorphic(*hexagon, *triangles) is False
+    two, other = [*both(ring(6)), *both(ring(5, 10))], [*both(ring(5)), *both(ring(6, 10))]
+    assert isomorphism.isomorphic(*frames(spark, two, [50]), *frames(spark, other, [60])) is True
+    assert isomorphism.isomorphic(*frames(spark, two, [50]), *frames(spark, other)) is False
+    assert isomorphism.isomorphic(*frames(spark, two), *frames(spark, other), max_edges=3) is None  # too large to gather
+    assert isomorphism.isomorphic(*frames(spark, two), *frames(spark, two[2:]), max_edges=3) is False  # other sizes
+    assert isomorphism.isomorphic(*frames(spark, ring(4)), *frames(spark, ring(4), kind="u")) is True
+    assert isomorphism.isomorphic(*frames(spark, ring(4)), *frames(spark, ring(4), kind="u"), by_type=True) is False
+    mixed = isomorphism.component_forms(*frames(spark, two), max_edges=10)
+    assert sorted((r.n_nodes, r.form is None) for r in mixed.collect()) == [(5, False), (6, True)]
+    nothing = frames(spark, [(0, 1, "")])
+    assert isomorphism.isomorphic(nothing[0].limit(0), nothing[1].limit(0), nothing[0].limit(0), nothing[1].limit(0)) is True
