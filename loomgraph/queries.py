@@ -10,14 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions import predicates, text
+from loomgraph.functions import bags, predicates, text
 from loomgraph.operators import algebra, closure, history, hubs, isomorphism, result, statistics
 from loomgraph.operators.overlap import overlap_join
 from loomgraph.plans import compiler, counting, generic
 from loomgraph.plans.model import QueryGraph
 from loomgraph.plans.rewrite import canonical, fingerprint, names_from_ids
 from loomgraph.session import shared_path, table
-from loomgraph.sources import compiled, completion, files, sexpr, snapshots, trees
+from loomgraph.sources import compiled, completion, files, scripts, sexpr, snapshots, trees
 from loomgraph.sources.catalog import GraphCatalog
 from loomgraph.testbed import star_graph
 
@@ -776,6 +776,41 @@ def sexpr_roundtrip(spark, d):
     return sexpr.parse_lines(lines).select("kind", "property", F.col("source_label").alias("label"), F.col("source").alias("id"), F.array_join("value", " ").alias("value"))
 
 
+@query("SELECT p_partkey AS p, p_name AS name, p_size AS size, p_type AS type FROM part")
+def script_roundtrip(spark, d):
+    """Every part written as a creation statement and read back, its type's words as a list."""
+    p = star_graph(spark, d).vertices("part").select("id", "name", "size", F.split("type", " ").alias("type"))
+    parsed = scripts.parse_statements(scripts.statements_of(p, "part"))
+    back = scripts.vertices_of(parsed, "part", {"name": "string", "size": "int", "type": "array<string>"})
+    return back.select(F.col("id").cast("long").alias("p"), "name", "size", F.array_join("type", " ").alias("type"))
+
+
+@query("SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem")
+def script_edges(spark, d):
+    e = star_graph(spark, d).edges("orders", "contains", "part").select("src", "dst", "returnflag")
+    parsed = scripts.parse_statements(scripts.statements_of(e, ("orders", "contains", "part")))
+    return scripts.edges_of(parsed, "orders", "contains", "part").select(F.col("src").cast("long").alias("o"), F.col("dst").cast("long").alias("p"))
+
+
+@query("SELECT p_partkey AS p, 'Brand: ' || p_brand || ' | Words: ' || p_type || ', ' || p_brand AS description FROM part WHERE regexp_full_match(p_brand, '(?i)brand#[12].') AND lower(p_type) = 'promo'")
+def filter_bag(spark, d):
+    """Properties in a variant column: a regex on one, an item of a list written in a text on another."""
+    p = star_graph(spark, d).vertices("part").select("id", "brand", "size", F.concat(F.lit("['"), "type", F.lit("', '"), "brand", F.lit("']")).alias("words"))
+    bag = p.select("id", bags.bag_from(p, ["brand", "size", "words"]).alias("bag"))
+    for condition in bags.bag_filters(F.col("bag"), {"brand": "brand#[12].", "words": "promo"}):
+        bag = bag.where(condition)
+    return bag.select(F.col("id").alias("p"), bags.bag_description(F.col("bag"), ["brand", "words"]).alias("description"))
+
+
+@query("SELECT p_partkey AS p FROM part WHERE p_size = 7 AND p_brand = 'Brand#13'")
+def filter_bag_exact(spark, d):
+    p = star_graph(spark, d).vertices("part")
+    bag = p.select("id", bags.bag_from(p, ["brand", "size"]).alias("bag"))
+    for condition in bags.bag_filters(F.col("bag"), {"brand": "Brand#13", "size": 7, "colour": None}, matching="exact"):
+        bag = bag.where(condition)
+    return bag.select(F.col("id").alias("p"))
+
+
 @query("""WITH p AS (SELECT p_partkey AS id, string_split(p_type, ' ') AS words, p_size AS size FROM part), l AS (SELECT *, len(words) AS k FROM p)
     SELECT id, 0 AS node, NULL::INT AS parent, 0 AS depth, NULL AS symbol, (k + 10)::INT AS last FROM l UNION ALL SELECT id, 1, 0, 1, 'part', 1 FROM l
     UNION ALL SELECT id, 2, 0, 1, NULL, (k + 5)::INT FROM l UNION ALL SELECT id, 3, 2, 2, 'type', 3 FROM l
