@@ -108,13 +108,13 @@ def learn(docs: DataFrame, positives: DataFrame, prior: float, id_col: str = "do
     chosen = first(positives.distinct(), POSITIVES).withColumn("p", F.lit(1)).unionByName(first(ids.distinct(), UNLABELLED).withColumn("p", F.lit(0)))
     chosen = checkpointed(chosen.groupBy("doc_id").agg(F.max("p").alias("p"), F.min("p").alias("u")))
     # at most POSITIVES + UNLABELLED ids, a few hundred kB whatever the input: small enough to broadcast
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    texts = checkpointed(texts.select("text", "p", "u"))
-    if texts.count() > POSITIVES + UNLABELLED:  # ids repeat: of the different texts those of the least hashes
-        h = F.xxhash64("text", F.lit(seed))
-        texts = checkpointed(texts.withColumn("h", h).groupBy("h", "p", "u").agg(F.first("text").alias("text")))
-        least = texts.select("h").distinct().orderBy("h").limit((POSITIVES + UNLABELLED) // 2)
-        texts = checkpointed(texts.join(F.broadcast(least), "h", "left_semi").select("text", "p", "u"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("text", F.lit(seed)))
+    # a repeated row counts once; an id may have many texts, so each class is bounded by itself again, and neither crowds out the other
+    texts = checkpointed(texts.groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.max("p").alias("p"), F.min("u").alias("u")))
+    least = lambda which, n: texts.where(which).select("doc_id", "h").orderBy("h", "doc_id").limit(n)
+    kept = least("p = 1", POSITIVES).withColumn("as", F.lit(1)).unionByName(least("u = 0", UNLABELLED).withColumn("as", F.lit(0)))
+    kept = checkpointed(kept.groupBy("doc_id", "h").agg(F.max("as").alias("p"), F.min("as").alias("u")))
+    texts = checkpointed(texts.select("doc_id", "h", "text").join(F.broadcast(kept), ["doc_id", "h"]).select("text", "p", "u"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -322,6 +322,19 @@ def test_repeated_ids_do_not_multiply_what_is_fitted_on(spark, monkeypatch):
     assert all(p + u <= 60 for p, u in seen)
 
 
+def test_one_id_of_many_texts_hides_no_positives(spark):
+    """40 toxic and 160 clean documents beside 30,000 texts under one id: the classes are bounded each by itself."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    text = lambda *more: " ".join([*r.choices(words, k=25), *more])
+    toxic = [(i, text("scoundrel", "wretched", "vermin")) for i in range(0, 400, 10)]
+    clean = [(i, text()) for i in range(1000, 1160)]
+    d = spark.createDataFrame([*toxic, *clean, *((5000, text()) for _ in range(30_000))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in toxic] + [(i, 0) for i, _ in clean], "doc_id long, toxic int")
+    got = toxicity.toxicity(d, labels)
+    assert got.where("predicted = 1").agg(F.count_distinct("doc_id"), F.count("*")).first()[:] == (40, 40)
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 
@@ -581,12 +594,23 @@ def test_lines_of_other_rows_are_never_touched(spark, odd, empty):
     assert rows(kept, "doc_id", "text") == sorted([(i, gone.get((i, t), t)) for i, t in d], key=str)
     report = lines.line_report(odd)
     assert report.count() == odd.count() and report.where("doc_id = 0").first()[1:] == (1, 0, "")
-    assert sorted(report.where("doc_id = 3").select("n_removed").collect()) == [(0,), (0,)]  # a repeated row is one document
+    assert sorted(report.where("doc_id = 3").select("n_removed").collect()) == [(0,), (1,)]  # of a repeated row one stays
     assert report.where("doc_id = 4").first().n_removed == report.where("doc_id is null").first().n_removed == 1
     assert lines.without_duplicate_lines(odd).columns == odd.columns
     assert lines.line_report(empty).count() == lines.without_duplicate_lines(empty).count() == 0
 
 
+def test_of_repeated_rows_one_keeps_its_lines(spark):
+    d = [(None, "same text\n--\nmore"), (None, "same text\n--\nmore"), (7, "another line\nsame text"), (7, "another line\nsame text"), (7, "another line\nsame text"), (8, "own"), (None, None), (None, None), (9, "--"), (9, "--")]
+    df = spark.createDataFrame(d, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("copy", "at", "first", "own", "id", "gone", "digest")}).repartition(4)
+    kept = lines.without_duplicate_lines(df)
+    assert kept.columns == df.columns
+    want = [(7, "another line\nsame text"), (7, ""), (7, ""), (None, "--\nmore"), (None, "--"), (8, "own"), (None, None), (None, None), (9, "--"), (9, "--")]
+    assert rows(kept, "doc_id", "text") == sorted(want, key=str)
+    report = lines.line_report(df)
+    assert rows(report) == sorted([(7, 2, 0, ""), (7, 2, 2, "0,1"), (7, 2, 2, "0,1"), (None, 3, 1, "0"), (None, 3, 2, "0,2"), (8, 1, 0, ""), (None, 1, 0, ""), (None, 1, 0, ""), (9, 1, 0, ""), (9, 1, 0, "")], key=str)
+
+
 # The pipeline -------------------------------------------------------------------------------------
 
 
