@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import bags, predicates, text
 from loomgraph.operators import algebra, closure, history, hubs, isomorphism, result, statistics
 from loomgraph.operators.overlap import overlap_join
-from loomgraph.plans import compiler, counting, generic
+from loomgraph.plans import answer, compiler, counting, generic
 from loomgraph.plans.model import QueryGraph
 from loomgraph.plans.rewrite import canonical, fingerprint, names_from_ids
 from loomgraph.session import shared_path, table
@@ -709,6 +709,23 @@ def compiled_offsets(spark, d):
     return _compiled(spark, d).offsets("customer", "placed", "orders")
 
 
+# Answers -----------------------------------------------------------------------------------------
+
+
+def _answered(spark, d):
+    return answer.answer(star_graph(spark, d), CHAIN.request(), shared_path(spark, "answers"))
+
+
+@query(f"SELECT DISTINCT 'customer_placed_orders' AS edge_id, 'placed' AS label, 'customer ' || c.c_custkey AS source, 'orders ' || o.o_orderkey AS target FROM {_CHAIN} UNION SELECT 'orders_contains_part', 'contains', 'orders ' || o.o_orderkey, 'part ' || p.p_partkey FROM {_CHAIN}")
+def answer_edges(spark, d):
+    return _answered(spark, d).edges
+
+
+@query(f"SELECT DISTINCT 'customer ' || c.c_custkey AS id, 'customer' AS type, c.c_name AS name FROM {_CHAIN} UNION SELECT 'orders ' || o.o_orderkey, 'orders', 'orders ' || o.o_orderkey FROM {_CHAIN} UNION SELECT 'part ' || p.p_partkey, 'part', p.p_name FROM {_CHAIN}")
+def answer_nodes(spark, d):
+    return _answered(spark, d).nodes
+
+
 # History, exports, texts --------------------------------------------------------------------------
 
 
