@@ -600,6 +600,24 @@ def test_lines_of_other_rows_are_never_touched(spark, odd, empty):
     assert lines.line_report(empty).count() == lines.without_duplicate_lines(empty).count() == 0
 
 
+def test_short_lines_are_all_found(spark):
+    rnd = random.Random(12)
+    words = sorted({"".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(5, 12))) for _ in range(60)})
+    rows_ = [(i, w) for i, w in enumerate(words)] + [(1000 + i, w[:-1] + "z") for i, w in enumerate(words)] + [(2000 + i, "z" + w[2:] if len(w) > 9 else w[1:]) for i, w in enumerate(words)]
+    got = lines.duplicate_lines(spark.createDataFrame(rows_, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.line) for r in got.collect()) == line_truth(rows_, alike)
+
+
+def test_forged_lines_are_kept(spark):
+    """Codes that differ by the signs of the Thue-Morse word have one sum for every base modulo 2**64."""
+    rnd = random.Random(3)
+    codes = [rnd.randrange(98, 122) for _ in range(4096)]
+    one, other = "".join(map(chr, codes)), "".join(chr(c + 1 - 2 * (i.bit_count() % 2)) for i, c in enumerate(codes))
+    assert not lines.similar(one, other, 0.8)
+    rows_ = [(1, one), (2, other), (3, one)]
+    assert rows(lines.duplicate_lines(spark.createDataFrame(rows_, "doc_id long, text string")), "doc_id", "line") == [(3, 0)]
+
+
 def test_of_repeated_rows_one_keeps_its_lines(spark):
     d = [(None, "same text\n--\nmore"), (None, "same text\n--\nmore"), (7, "another line\nsame text"), (7, "another line\nsame text"), (7, "another line\nsame text"), (8, "own"), (None, None), (None, None), (9, "--"), (9, "--")]
     df = spark.createDataFrame(d, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("copy", "at", "first", "own", "id", "gone", "digest")}).repartition(4)

@@ -199,6 +199,35 @@ def test_a_changed_piece_leaves_most_blocks_as_they_are():
         assert np.mean([bool(keys[2 * i] & keys[2 * i + 1]) for i in range(len(pairs))]) >= least, words
 
 
+def test_short_lines_within_their_edits_always_share_a_key():
+    rnd = random.Random(8)
+    letters = "abcdefg1é日 "
+    texts = []
+    for _ in range(900):
+        a = [rnd.choice(letters) for _ in range(rnd.randint(3, 14))]
+        b = list(a)
+        for _ in range(rnd.randint(1, 2)):
+            at, kind = rnd.randrange(len(b)), rnd.randrange(3)
+            b[at : at + (kind < 2)] = [rnd.choice(letters)] * (kind != 1)
+        texts += ["".join(a), "".join(b) or "a"]
+    for similarity in (0.8, 0.9):
+        x = lines.Lines(*textkit.utf8(pa.array(texts)))
+        names, keys = [x.normal(i) for i in range(len(texts))], [set() for _ in texts]
+        for i, k in zip(*x.block_keys(similarity), strict=True):
+            keys[i].add(int(k))
+        near = [i for i in range(0, len(texts), 2) if names[i] and names[i + 1] and max(x.chars[i], x.chars[i + 1]) <= lines.EXACT and lines.similar(names[i], names[i + 1], similarity)]
+        assert len(near) > 150 and all(keys[i] & keys[i + 1] for i in near)
+
+
+def test_equal_lines_are_told_by_a_secret():
+    """The Thue-Morse word and its complement have one sum for every base modulo 2**64."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    texts = pa.array([word, word.translate(str.maketrans("ab", "ba")), word])
+    one, other = (lines.Lines(*textkit.utf8(texts), secret) for secret in (b"one", b"other"))
+    assert one.key[0] == one.key[2] != one.key[1] and one.key[0] != other.key[0]
+    assert one.spans.hash(one.start, one.end)[0] == one.spans.hash(one.start, one.end)[1]
+
+
 def test_block_keys_depend_on_the_line_only():
     texts = ["", "one", "a b", "  ", "日本語の文章です", "日本語の文章でし 12", "x" * 100, "w " * 3000, "-", "é ü"]
     x = lines.Lines(*textkit.utf8(pa.array(["\n".join(texts)] * 2)))
