@@ -45,6 +45,29 @@ def list_description(key: str, values: Column) -> Column:
     return F.concat(F.lit(f"{key.capitalize()}: "), F.array_join(F.slice(values, 1, 3), ", "))
 
 
+def term_id(text: Column) -> Column:
+    """An ontology term as vertices are called, ``GO:0005575`` as ``go_0005575``."""
+    return F.lower(F.translate(text, ":", "_"))
+
+
+def term_name(text: Column) -> Column:
+    """A vertex of an ontology as the term is called, ``go_0005575`` as ``GO:0005575``."""
+    return F.upper(F.translate(text, "_", ":"))
+
+
+def file_name(text: Column, owner: Column) -> Column:
+    """A title as a file's name: letters, digits and underscores only, its words and the owner joined by hyphens."""
+    plain = F.regexp_replace(text, r"(?U)[^\w\s]", "")
+    return F.concat(F.array_join(F.filter(F.split(plain, r"(?U)\s+"), lambda w: w != ""), "-"), F.lit("-"), owner.cast("string"))
+
+
+def iso_time(at: Column) -> Column:
+    """A time as ``2024-01-31T10:20:30``, its microseconds behind a point if there are any."""
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(at, "SSSSSS")
+    return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
+
+
 def safe_name(text: Column) -> Column:
     """A name that may stand in an INFO field."""
     return F.translate(text, "; ", "__")

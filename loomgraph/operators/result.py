@@ -140,6 +140,30 @@ def source_summaries(nodes: DataFrame, edges: DataFrame, described: Column) -> D
     return ends.select("source", F.coalesce("about", F.lit("")).alias("about"), line.alias("line"))
 
 
+def source_texts(summaries: DataFrame, page: int = 50) -> DataFrame:
+    """``(source, page, text)``: the rows of ``source_summaries`` as texts of about ``page`` lines, for a reader with a budget.
+
+    A source with more lines than that gets several pages, to which its lines are dealt by a digest, so no hub's lines meet in
+    one row; page 0 is always there and begins with ``Source Node (id): about``. Within a page lines are sorted, equal ones once.
+    """
+    summaries = summaries.select("source", "about", "line").distinct()
+    totals = summaries.groupBy("source").agg(F.ceil(F.count("*") / page).cast("long").alias("pages"))
+    at = F.conv(F.substring(F.md5("line"), 1, 8), 16, 10).cast("long") % F.col("pages")
+    # a page may be left empty; the first one then holds the source's own line alone
+    heads = summaries.groupBy("source").agg(F.min("about").alias("about"), F.lit(0).cast("long").alias("page"))
+    bodies = summaries.join(totals, "source").select("source", at.alias("page"), "line").groupBy("source", "page").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("body"))
+    begun = F.concat(F.lit("Source Node ("), F.substring_index("source", " ", -1), F.lit("): "), F.col("about"))
+    return bodies.join(heads, ["source", "page"], "full").select("source", "page", F.concat_ws("\n", F.when(F.col("about").isNotNull(), begun), "body").alias("text"))
+
+
+def by_type(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(kind, type, data)``: nodes by type and edges by label, each as JSON; of edges with one source, label and target the
+    first in the order of their JSON. Rows, not lists: a type's rows stay distributed, and ``partitionBy`` writes them apart."""
+    as_json = lambda df: F.to_json(F.struct(*df.columns))
+    parts = [nodes.select(F.lit("node").alias("kind"), F.col("type"), as_json(nodes).alias("data")), edges.groupBy("source", "label", "target").agg(F.min(as_json(edges)).alias("data")).select(F.lit("edge").alias("kind"), F.col("label").alias("type"), "data")]
+    return reduce(DataFrame.unionAll, parts)
+
+
 def roll_up(members: DataFrame, parents: DataFrame) -> DataFrame:
     """``(member, term)`` rows up one step of ``parents(child, parent)``: for each member its terms'
     parents, comma-joined; a term without a parent stands for itself."""

@@ -182,9 +182,43 @@ def _rooted(steps: list[Step], variable: str) -> list[Step]:
 
 
 def match_count(catalog: GraphCatalog, query: QueryGraph, *, matching: str = "regex") -> DataFrame:
-    """``(matches)``, the number of the pattern's bindings, as one row (a decimal): for a connected pattern without
-    cycles from messages, for others from the bindings."""
+    """``(matches)``, the number of the pattern's bindings, as one row (a decimal): for a pattern without cycles from
+    messages, the product of its connected parts' numbers; for others from the bindings."""
     parts = trees(query)
-    if parts is None or len(parts) > 1:
+    if parts is None:
         return bindings(catalog, query, matching=matching).agg(F.count("*").cast("decimal(38,0)").alias("matches"))
-    return matches_at(catalog, query, parts[0][0], matching=matching).agg(F.coalesce(F.sum("matches"), F.lit(0)).cast("decimal(38,0)").alias("matches"))
+    sums = []
+    for root, steps in parts:
+        own = {root, *(s.far for s in steps)}
+        part = QueryGraph(tuple(n for n in query.nodes if n.node_id in own), tuple(e for e in query.edges if e.source in own))
+        sums.append(matches_at(catalog, part, root, matching=matching).agg(F.coalesce(F.sum("matches"), F.lit(0)).cast("decimal(38,0)").alias("matches")))
+    both = lambda a, b: a.crossJoin(b.withColumnRenamed("matches", "more")).select((F.col("matches") * F.col("more")).cast("decimal(38,0)").alias("matches"))
+    return reduce(both, sums)  # one row each
+
+
+def occurrence_counts(catalog: GraphCatalog, query: QueryGraph, *, matching: str = "regex") -> DataFrame:
+    """``(kind, label, count)`` as decimals: vertices of a type once each, whichever variables they are bound to, and edges as often as matches
+    show them, so a match counts each of its edge patterns. Labels without a match count 0.
+
+    Of a pattern without cycles neither count sees the bindings.
+    """
+    tree = trees(query) is not None
+    matches = match_count(catalog, query, matching=matching)
+    if tree:
+        r = reduced(catalog, query, matching=matching)
+        domains = [r.domains[n.node_id].select(F.lit(n.type).alias("label"), F.col("id").cast("string").alias("id")) for n in query.nodes]
+    else:
+        found = bindings(catalog, query, matching=matching)
+        domains = [found.select(F.lit(n.type).alias("label"), F.col(f"{n.node_id}__id").cast("string").alias("id")) for n in query.nodes]
+    whole = "decimal(38,0)"
+    spark = catalog.spark
+    distinct = reduce(DataFrame.unionAll, domains).groupBy("label").agg(F.count_distinct("id").cast(whole).alias("n"))
+    types = spark.createDataFrame([(t,) for t in dict.fromkeys(n.type for n in query.nodes)], "label string")
+    # the domains of one part don't know of another part without a match
+    nodes = types.join(distinct, "label", "left").crossJoin(matches).select(F.lit("node").alias("kind"), "label", F.when(F.col("matches") > 0, F.coalesce("n", F.lit(0).cast(whole))).otherwise(F.lit(0)).cast(whole).alias("count"))
+    names = [e.name for e in query.edges]
+    if not names:
+        return nodes
+    patterns = F.array(*[F.struct(F.lit(x).alias("label"), F.lit(names.count(x)).alias("n")) for x in dict.fromkeys(names)])
+    edges = matches.select("matches", F.inline(patterns)).select(F.lit("edge").alias("kind"), "label", (F.col("matches") * F.col("n")).cast(whole).alias("count"))
+    return nodes.unionAll(edges)

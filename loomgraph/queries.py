@@ -359,6 +359,20 @@ def counts_of_bindings(spark, d):
     return counts.agg(of("c").alias("c"), of("o").alias("o"), of("p").alias("p"), of("p1").alias("contained"))
 
 
+@query("""WITH m AS (SELECT a.c_custkey AS a, b.c_custkey AS b, n_nationkey AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey JOIN nation ON n_nationkey = a.c_nationkey WHERE lower(a.c_mktsegment) = 'building' AND lower(b.c_mktsegment) = 'building')
+    SELECT 'node' AS kind, 'customer' AS label, (SELECT count(*) FROM (SELECT a FROM m UNION SELECT b FROM m)) AS count UNION ALL SELECT 'node', 'nation', count(DISTINCT n) FROM m UNION ALL SELECT 'edge', 'in_nation', 2 * count(*) FROM m""")
+def occurrence_counts(spark, d):
+    """Vertices once, edges as often as matches show them, in a pattern with more matches than edges."""
+    return counting.occurrence_counts(star_graph(spark, d), _TWIN).withColumn("count", F.col("count").cast("long"))
+
+
+@query("SELECT (SELECT count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey) * (SELECT count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey) AS matches")
+def match_count_apart(spark, d):
+    """Two parts without a common variable: the number is a product, their bindings are never paired."""
+    two = pattern([("c", "customer"), ("n", "nation"), ("o", "orders"), ("p", "part")], [("in_nation", "c", "n"), ("contains", "o", "p")])
+    return counting.match_count(star_graph(spark, d), two).select(F.col("matches").cast("long").alias("matches"))
+
+
 @query(f"WITH n AS ({_PLACE_NODES}), e AS ({_PLACE_EDGES}) SELECT 'node' AS kind, type AS label, count(*) AS count FROM n GROUP BY 2 UNION ALL SELECT 'edge', label, count(*) FROM e GROUP BY 2")
 def graph_count(spark, d):
     return result.graph_counts(*places(spark, d))
@@ -683,6 +697,41 @@ def source_summaries(spark, d):
     return result.source_summaries(nodes, edges.where("edge_id = 'customer_in_nation_nation'"), text.description(["name"]))
 
 
+_SUPPLIED = """l AS (SELECT DISTINCT 'supplier ' || l_suppkey AS source, s_name AS about, 'supplies -> Target Node (part ' || l_partkey || '): Name: ' || p_name AS line
+        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey),
+    n AS (SELECT source, min(about) AS about, ceil(count(*) / 20)::BIGINT AS pages FROM l GROUP BY 1),
+    b AS (SELECT source, ('0x' || substr(md5(line), 1, 8))::BIGINT % pages AS page, string_agg(line, chr(10) ORDER BY line) AS body FROM l JOIN n USING (source) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_SUPPLIED} SELECT source, page, concat_ws(chr(10), CASE WHEN page = 0 THEN 'Source Node (' || split_part(source, ' ', 2) || '): Name: ' || about END, body) AS text FROM (SELECT source, 0 AS page, about FROM n) FULL JOIN b USING (source, page)")
+def source_texts(spark, d):
+    """Every supplier and the parts it supplies, as texts of about 20 lines."""
+    g = star_graph(spark, d)
+    nodes = g.vertices("supplier").select(result.key("supplier", F.col("id")).alias("id"), "name").unionByName(g.vertices("part").select(result.key("part", F.col("id")).alias("id"), "name"))
+    edges = g.edges("supplier", "supplies", "part").select(F.lit("supplies").alias("label"), result.key("supplier", F.col("src")).alias("source"), result.key("part", F.col("dst")).alias("target")).distinct()
+    return result.source_texts(result.source_summaries(nodes, edges, text.description(["name"])), page=20)
+
+
+@query(f"""WITH n AS ({_PLACE_NODES}), e AS ({_PLACE_EDGES}) SELECT 'node' AS kind, type, '{{"id":"' || id || '","type":"' || type || '","name":"' || name || '"}}' AS data FROM n
+    UNION ALL SELECT 'edge', label, '{{"edge_id":"' || edge_id || '","label":"' || label || '","source":"' || source || '","target":"' || target || '"}}' FROM e""")
+def rows_by_type(spark, d):
+    nodes, edges = places(spark, d)
+    return result.by_type(nodes, edges.unionAll(edges.limit(5)))
+
+
+@query(f"WITH {_SIGNED} SELECT substr(type, 1, 31) AS sheet, group_id AS id, type, id AS member, name FROM g")
+def workbook_nodes(spark, d):
+    nodes, edges = places(spark, d)
+    groups, _, members = algebra.collapse(nodes, edges)
+    return files.node_sheets(groups, members, nodes)
+
+
+@query(f"WITH {_SIGNED} SELECT DISTINCT substr(a.type || '-relationship-' || b.type, 1, 31) AS sheet, edge_id, label, a.group_id AS source, b.group_id AS target FROM e JOIN g a ON a.id = e.source JOIN g b ON b.id = e.target WHERE a.group_id <> b.group_id")
+def workbook_edges(spark, d):
+    groups, edges, _ = algebra.collapse(*places(spark, d))
+    return files.edge_sheets(groups, edges)
+
+
 # Compiled graphs -----------------------------------------------------------------------------------
 
 
@@ -785,6 +834,20 @@ def duration_text(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), text.duration_text(F.col("event_id") * 977).alias("duration"))
 
 
+@query("""SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END AS at,
+    array_to_string(list_filter(string_split(regexp_replace(regexp_replace(event_type || ': ' || ts::DATE || ', (#' || user_id || ')', '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: w <> ''), '-') || '-' || user_id AS file FROM events""")
+def time_and_file_name(spark, d):
+    e = table(spark, d, "events")
+    title = F.concat("event_type", F.lit(": "), F.date_format("ts", "yyyy-MM-dd"), F.lit(",  (#"), F.col("user_id").cast("string"), F.lit(")"))
+    return e.select(F.col("event_id").alias("id"), text.iso_time(F.col("ts")).alias("at"), text.file_name(title, F.col("user_id")).alias("file"))
+
+
+@query("SELECT p_partkey AS id, 'go_' || lpad(p_partkey::VARCHAR, 7, '0') AS term, 'GO:' || lpad(p_partkey::VARCHAR, 7, '0') AS name FROM part")
+def term_names(spark, d):
+    named = star_graph(spark, d).vertices("part").select("id", text.term_id(F.format_string("GO:%07d", "id")).alias("term"))
+    return named.withColumn("name", text.term_name(F.col("term")))
+
+
 @query("SELECT 'vertex' AS kind, NULL AS property, 'part' AS label, p_partkey::VARCHAR AS id, NULL AS value FROM part UNION ALL SELECT 'vertex_property', 'part_type', 'part', p_partkey::VARCHAR, p_type FROM part")
 def sexpr_roundtrip(spark, d):
     p = star_graph(spark, d).vertices("part")

@@ -60,6 +60,35 @@ def write_sheets(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").partitionBy("edge_id").csv(f"{path}/edges", header=True)
 
 
+#: Characters of a sheet's name. A fixed value.
+SHEET = 31
+
+
+def node_sheets(nodes: DataFrame, members: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``(sheet, id, type, member, name)``: a sheet for each node type, groups flattened.
+
+    A node that stands for ``members(parent, child)`` becomes a row for each of them, with the group's id, the member's and the
+    member's name from ``grouped(id, name)`` (or its id); any other node is one row without a member. Types that agree in
+    ``SHEET`` characters share a sheet.
+    """
+    named = members.join(grouped.select(F.col("id").alias("child"), F.col("name").alias("own")), "child", "left").select(F.col("parent").alias("id"), "child", F.coalesce("own", "child").alias("own"))
+    return nodes.join(named, "id", "left").select(F.substring("type", 1, SHEET).alias("sheet"), "id", "type", F.col("child").alias("member"), F.coalesce("own", "name").alias("name"))
+
+
+def edge_sheets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(sheet, edge_id, label, source, target)``: a sheet for the edges between each two node types. Ends that are not among
+    the nodes count under the first part of their id."""
+    kinds = lambda end: nodes.groupBy(F.col("id").alias(end)).agg(F.min("type").alias(f"{end}_type"))
+    ends = edges.join(kinds("source"), "source", "left").join(kinds("target"), "target", "left")
+    typed = lambda end: F.coalesce(f"{end}_type", F.substring_index(end, " ", 1))
+    return ends.select(F.substring(F.concat(typed("source"), F.lit("-relationship-"), typed("target")), 1, SHEET).alias("sheet"), "edge_id", "label", "source", "target")
+
+
+def write_workbook(sheets: DataFrame, path: str) -> None:
+    """A folder of CSV files for each sheet."""
+    sheets.write.mode("overwrite").partitionBy("sheet").csv(path, header=True)
+
+
 #: INFO fields of a variant by its property, with number, type and description.
 INFO = {
     "caf_ref": ("CAF_REF", "1", "Float", "Reference allele frequency"),
