@@ -17,7 +17,7 @@ from loomgraph.plans import answer, compiler, counting, generic
 from loomgraph.plans.model import QueryGraph
 from loomgraph.plans.rewrite import canonical, fingerprint, names_from_ids
 from loomgraph.session import shared_path, table
-from loomgraph.sources import compiled, completion, files, scripts, sexpr, snapshots, trees
+from loomgraph.sources import compiled, completion, files, schema, scripts, sexpr, snapshots, trees
 from loomgraph.sources.catalog import GraphCatalog
 from loomgraph.testbed import star_graph
 
@@ -732,6 +732,12 @@ def workbook_edges(spark, d):
     return files.edge_sheets(groups, edges)
 
 
+@query("""WITH v AS (SELECT 'name' AS name, p_name AS option FROM part UNION SELECT 'brand', p_brand FROM part UNION SELECT 'type', p_type FROM part), n AS (SELECT name, count(option) AS n FROM v GROUP BY 1)
+    SELECT name, 'combobox' AS input, option FROM v JOIN n USING (name) WHERE n <= 30 AND option IS NOT NULL UNION ALL SELECT name, 'input', NULL FROM n WHERE n > 30 OR n = 0 UNION ALL SELECT 'size', 'number', NULL""")
+def form_inputs(spark, d):
+    return schema.form_inputs(star_graph(spark, d).vertices("part").select("id", "name", "brand", "type", "size"), most=30)
+
+
 # Compiled graphs -----------------------------------------------------------------------------------
 
 
@@ -856,6 +862,15 @@ def sexpr_roundtrip(spark, d):
     return sexpr.parse_lines(lines).select("kind", "property", F.col("source_label").alias("label"), F.col("source").alias("id"), F.array_join("value", " ").alias("value"))
 
 
+@query("""SELECT p_partkey AS id, '(name (part ' || p_partkey || ') ' || CASE WHEN contains(p_name, ' ') THEN '"' || p_name || '"' ELSE p_name END || ')' AS line FROM part
+    UNION ALL SELECT p_partkey, '(size (part ' || p_partkey || ') ' || p_size || ')' FROM part
+    UNION ALL SELECT p_partkey, '(words (part ' || p_partkey || ') "[\\"' || array_to_string(string_split(p_type, ' '), '\\",\\"') || '\\"]")' FROM part""")
+def sexpr_values(spark, d):
+    """Every part's text, number and list as property expressions."""
+    p = star_graph(spark, d).vertices("part").select("id", "name", "size", F.split("type", " ").alias("words"))
+    return sexpr.property_lines(p, "part")
+
+
 @query("SELECT p_partkey AS p, p_name AS name, p_size AS size, p_type AS type FROM part")
 def script_roundtrip(spark, d):
     """Every part written as a creation statement and read back, its type's words as a list."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Type names of the schema files and what they hold.
@@ -99,3 +101,43 @@ class GraphSchema:
         """Triples that begin or end at a label."""
         rows = self.edge_rows(spark).select("source", "label", "target").distinct()
         return rows.where((rows.source == _name(label)) | (rows.target == _name(label)))
+
+
+def of_sources(spark: SparkSession, schemas: Mapping[str, GraphSchema], wanted: Collection[str] = ("all",)) -> tuple[DataFrame, DataFrame]:
+    """What these data sources hold together: node types ``(id)`` and triples ``(source, label, target)``, each once.
+
+    Sources are named in any case; names that no schema has are passed over, ``all`` means every one. Of a source with edges
+    the types that its edges touch and it describes are given, of one without edges all its types.
+    """
+    asked = {w.upper() for w in wanted}
+    own = [s for name, s in schemas.items() if "ALL" in asked or name.upper() in asked]
+    triples = dict.fromkeys(t for s in own for t in s.edges)
+    nodes = dict.fromkeys(n for s in own for n in ([x for a, _, b in s.edges for x in (a, b) if x in s.nodes] if s.edges else s.nodes))
+    return spark.createDataFrame([(n,) for n in nodes], "id string"), spark.createDataFrame(list(triples), "source string, label string, target string")
+
+
+def form_inputs(vertices: DataFrame, most: int = 50) -> DataFrame:
+    """``(name, input, option)``: how a form asks for the properties of a type, learnt from its table.
+
+    Numbers are asked for by ``number``; texts and booleans of at most ``most`` values by ``combobox``, with a row for each value; other
+    texts by ``input``. Lists, maps and the id aren't asked for. One pass counts the values roughly; only
+    columns whose count says that they might fit are counted exactly, so no column of many values is shuffled.
+    """
+    kinds = {f.name: f.dataType for f in vertices.schema if f.name != "id"}
+    numbers = [c for c, t in kinds.items() if isinstance(t, T.NumericType)]
+    texts = [c for c, t in kinds.items() if isinstance(t, (T.StringType, T.BooleanType))]
+    # an estimate with an error of 2 % is never over twice the number, so no column that fits is lost
+    rough = vertices.agg(F.count("*"), *[F.approx_count_distinct(F.col(f"`{c}`"), 0.02) for c in texts]).first()[1:] if texts else ()
+    few = [c for c, n in zip(texts, rough, strict=True) if n <= 2 * most]
+    spark = vertices.sparkSession
+    plain = spark.createDataFrame([(c, "number") for c in numbers] + [(c, "input") for c in texts if c not in few], "name string, input string").withColumn("option", F.lit(None).cast("string"))
+    if not few:
+        return plain
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("option")) for c in few]))
+    options = vertices.select(each.alias("o")).select("o.*").distinct()  # at most a few times ``most`` rows
+    sizes = options.groupBy("name").agg(F.count("option").alias("n"))
+    boxes = options.join(sizes.where(F.col("n") <= most), "name").where("option IS NOT NULL").select("name", F.lit("combobox").alias("input"), "option")
+    # columns of more values than it seemed, and those without any
+    asked = spark.createDataFrame([(c,) for c in few], "name string").join(sizes, "name", "left")
+    rest = asked.where((F.coalesce("n", F.lit(0)) == 0) | (F.col("n") > most)).select("name", F.lit("input").alias("input"), F.lit(None).cast("string").alias("option"))
+    return reduce(DataFrame.unionByName, [plain, boxes, rest])

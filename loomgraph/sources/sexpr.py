@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _END = r"\(\s*(\S+)\s+((?:[^()\\\s]|\\.)+)\s*\)"
 _VALUE = r"((?:[^()\\\s]|\\.)+|\((?:[^()\\]|\\.)*\))"
@@ -36,6 +37,28 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, "_", " "), r"\\(.)", "$1")
 
 
+def value_text(value: Column, kind: T.DataType) -> Column:
+    """A typed value as an expression writes it: numbers and booleans bare, a null as ``"null"``, lists, maps and structs as
+    JSON in quotes, texts bare unless they hold a blank, a newline or a bracket. In quotes ``\\`` stands before ``"`` and ``\\``."""
+    text = F.to_json(value) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else value.cast("string")
+    quoted = F.concat(F.lit('"'), F.regexp_replace(text, r'(["\\])', r"\\$1"), F.lit('"'))
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        shown = text
+    elif isinstance(kind, T.StringType):
+        shown = F.when(text.rlike(r"[ \n()\[\]{}]"), quoted).otherwise(text)
+    else:
+        shown = quoted
+    return F.coalesce(shown, F.lit('"null"'))
+
+
+def property_lines(vertices: DataFrame, label: str) -> DataFrame:
+    """``(id, line)``: ``(property (label id) value)`` for every vertex and property that it has."""
+    own = [f for f in vertices.schema if f.name != "id"]
+    begun = lambda name: F.concat(F.lit(f"({name} ({label} "), F.col("id").cast("string"), F.lit(") "))
+    lines = [F.when(F.col(f.name).isNotNull(), F.concat(begun(f.name), value_text(F.col(f.name), f.dataType), F.lit(")"))) for f in own]
+    return vertices.select("id", F.explode(F.filter(F.array(*lines), lambda x: x.isNotNull())).alias("line"))
+
+
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """``(kind, property, type, source_label, source, target_label, target, value)``, ``value`` an array
     of texts. Lines of no known shape have kind ``unknown``; blank lines and ``;`` comments are skipped."""

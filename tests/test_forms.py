@@ -9,7 +9,7 @@ from test_graph import graph, q, rows
 from loomgraph.functions import text
 from loomgraph.operators import result
 from loomgraph.plans import compiler, counting
-from loomgraph.sources import files
+from loomgraph.sources import files, schema, sexpr
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,37 @@ def test_sheets(spark, tmp_path):
     assert rows(spark.read.csv(str(tmp_path / "book"), header=True).select("id", "member").where("sheet = 'a'")) == [("g", "a 1"), ("g", "a 2"), ("g", "a 3")]
 
 
+def test_values_as_expressions(spark):
+    v = spark.createDataFrame([(1, "a b", True, 2.5, ["x", 'q"'], {"k": 1}), (2, "sym", None, None, None, None), (3, 'a"\\(', False, 0.0, [], {})], "id long, t string, b boolean, f double, l array<string>, m map<string,int>")
+    got = {}
+    for r in sexpr.property_lines(v, "n").collect():
+        got.setdefault(r.id, []).append(r.line)
+    assert got[1] == ['(t (n 1) "a b")', "(b (n 1) true)", "(f (n 1) 2.5)", r'(l (n 1) "[\"x\",\"q\\\"\"]")', r'(m (n 1) "{\"k\":1}")']
+    assert got[2] == ["(t (n 2) sym)"]
+    assert got[3] == [r'(t (n 3) "a\"\\(")', "(b (n 3) false)", "(f (n 3) 0.0)", '(l (n 3) "[]")', '(m (n 3) "{}")']
+    shown = v.select(*[sexpr.value_text(F.col(f.name), f.dataType) for f in v.schema]).collect()
+    assert tuple(shown[1]) == ("2", "sym", *['"null"'] * 4)
+
+
+def test_schemas_of_sources(spark):
+    node = {"represented_as": "node", "properties": {"name": "str"}}
+    edge = lambda a, b: {"represented_as": "edge", "source": a, "target": b, "input_label": "e"}
+    schemas = {"One": schema.GraphSchema.of({"a": node, "b": node, "c": node, "x": edge("a", "b"), "y": edge("a", "z")}), "two": schema.GraphSchema.of({"d": node, "a": node}), "three": schema.GraphSchema.of({"a": node, "b": node, "x": edge("a", "b")})}
+    got = lambda *w: tuple(rows(f) for f in schema.of_sources(spark, schemas, w))
+    assert got("ONE", "nowhere") == ([("a",), ("b",)], [("a", "e", "b"), ("a", "e", "z")])
+    assert got("two") == ([("a",), ("d",)], [])
+    assert got("all") == ([("a",), ("b",), ("d",)], [("a", "e", "b"), ("a", "e", "z")])
+    assert got() == got("nowhere") == ([], [])
+
+
+def test_form_inputs(spark):
+    v = spark.range(300).selectExpr("id", "concat('n', id) AS name", "CAST(id % 3 AS string) AS kind", "id % 2 = 0 AS even", "id / 2 AS half", "array(id) AS list", "CAST(NULL AS string) AS none", "CAST(id % 60 AS string) AS sixty")
+    got = schema.form_inputs(v, 50).collect()
+    assert sorted((r.name, r.input, r.option or "") for r in got) == sorted([("name", "input", ""), *[("kind", "combobox", x) for x in "012"], ("even", "combobox", "true"), ("even", "combobox", "false"), ("half", "number", ""), ("none", "input", ""), ("sixty", "input", "")])
+    assert sorted(r.name for r in schema.form_inputs(v.limit(0)).collect()) == ["even", "half", "kind", "name", "none", "sixty"]
+    assert schema.form_inputs(v.select("id", "half")).count() == 1
+
+
 PATTERNS = {
     "chain": q([("x", "a"), ("y", "b"), ("z", "a")], [("e", "x", "y"), ("e", "z", "y")]),
     "cycle": q([("x", "a"), ("y", "b")], [("e", "x", "y"), ("f", "x", "y")]),
