@@ -83,8 +83,9 @@ def labelled_table(seed: int = 7, rows: int = 700) -> list[tuple[str, list[tuple
     def value(kind: str) -> str:
         if kind == "email":
             at, dot = pick(("@", "."), (" at ", " dot "), (" at ", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[at]", "."), ("(at)", "(dot)"), ("[at]", "[dot]"), (" AT ", " DOT "))
-            host = pick(f"mail{digits(1)}.example.com", "example.org", f"{word()}.example.net", f"{word()}.com", f"{word()}.{pick('org', 'net', 'io', 'de')}", f"mail.{word()}.org").replace(".", dot)
-            return pick(word(), f"{word()}.{digits(2)}", f"{word()}_{word()}", f"{word()}{digits(2)}") + at + host
+            host = pick(f"mail{digits(1)}.example.com", "example.org", "example.net", f"{word()}.example.net", f"mail.{word()}.edu", f"{word()}.co.uk", f"{word()}.com", f"{word()}.{pick('org', 'net', 'io', 'de')}", f"mail.{word()}.org").replace(".", dot)
+            name = lambda: "".join(pick(*"abcdefghijklmnoprstuvwy") for _ in range(int(rng.integers(2, 8))))
+            return pick(word(), name(), name(), f"{word()}.{digits(2)}", f"{name()}.{name()}", f"{word()}_{word()}", f"{word()}{digits(2)}") + at + host
         if kind == "ip":
             parts = [str(int(rng.integers(1, 256))) for _ in range(4)]
             parts = pick(parts, parts, [digits(1), digits(1), digits(1), digits(2)], ["10", "0", digits(1), parts[0]])
@@ -220,8 +221,10 @@ class Field:
 
     @staticmethod
     def places(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where(keys[at] == h, at, len(keys))
+        at = np.searchsorted(keys, h)
+        known = at < len(keys)
+        known[known] = keys[at[known]] == h[known]
+        return np.where(known, at, len(keys))
 
     def viterbi(self, emissions: np.ndarray, stretch: np.ndarray) -> np.ndarray:
         """The best labels of every stretch; stretches of like length are decoded together."""
@@ -267,7 +270,8 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], *, rounds: int =
             y[inside] = LABELS.index(f"I-{kind}")
             y[inside[:1]] = LABELS.index(f"B-{kind}")
     feats = token_features(data, starts, ends, row)
-    keys = [np.unique(h) for h in feats]
+    counted = [np.unique(h, return_counts=True) for h in feats]
+    keys = [k[n > 1] for k, n in counted]  # what is seen once stands for what is not known, which so gets weights of its own
     field = Field(keys, [np.zeros((len(k) + 1, _N)) for k in keys], np.zeros((_N, _N)))
     places = [Field.places(k, h) for k, h in zip(keys, feats, strict=True)]
     sums = []  # each feature's words side by side

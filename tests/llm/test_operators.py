@@ -271,7 +271,7 @@ def test_copies_with_a_repeated_line_are_found_by_similarity(spark):
 # 4 ------------------------------------------------------------------------------------------------
 
 
-def test_personal_data(spark, empty):
+def test_personal_data(spark, odd, empty):
     texts = [(1, "Mail ann.lee@mail5.example.com or call +1 (743) 555-3824 from 227.5.221.1, card 4539 1488 0343 6467."), (2, None), (3, ""), (4, "é" * 10 + " x@y.zz"), (5, "300.1.1.1 and 1.2.3 and 4539 1488 0343 6468 are nothing"), (6, "9" * 100_000), (7, "please call (743) 555-3824 today")]
     d = spark.createDataFrame(texts, "doc_id long, text string").withColumn("spans", F.lit(1))
     got = {r.doc_id: r for r in pii.personal_data(d).collect()}
@@ -280,6 +280,10 @@ def test_personal_data(spark, empty):
     assert got[4].base == "email:11:17" and got[5].base == "" and got[2].spans == got[3].spans == ""
     assert "phone:12:26" in got[7].spans and set(got[1].base.split(",")) <= set(got[1].spans.split(","))
     assert pii.personal_data(empty).count() == 0
+    clashing = ("base", "spans", "n_email", "base_sha256")
+    twice = spark.createDataFrame([(None, "a@b.cc"), (None, "a@b.cc"), (7, "a@b.cc"), (7, "a@b.cc"), (7, None)], "doc_id long, text string").withColumns({c: F.lit("clash") for c in clashing})
+    assert rows(pii.personal_data(twice), "doc_id", "base") == sorted([(None, "email:0:6")] * 2 + [(7, "email:0:6")] * 2 + [(7, "")], key=str)
+    assert pii.personal_data(odd).count() == odd.count()
 
 
 # 5 ------------------------------------------------------------------------------------------------
