@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.functions.text import safe_name
 
@@ -25,9 +27,23 @@ def complete(index: DataFrame, prefix: str, n: int = 10) -> DataFrame:
 
 
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of result graphs ``{"nodes": [{"data": ...}], "edges": [{"data": ...}]}``."""
-    whole = spark.read.option("multiLine", "true").json(path)
-    return whole.select(F.explode("nodes").alias("n")).select("n.data.*"), whole.select(F.explode("edges").alias("e")).select("e.data.*")
+    """Nodes and edges of result graphs ``{"nodes": [{"data": ...}], "edges": [{"data": ...}]}``. A path without a file, and a
+    graph without nodes or edges, give tables without rows: ``(id, type, name)`` and ``(edge_id, label, source, target)``."""
+    bare = {"nodes": "id string, type string, name string", "edges": "edge_id string, label string, source string, target string"}
+    try:
+        whole = spark.read.option("multiLine", "true").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        whole = spark.createDataFrame([], "nodes array<string>, edges array<string>")
+
+    def part(name: str) -> DataFrame:
+        items = whole.schema[name].dataType if name in whole.columns else None
+        if not isinstance(items, T.ArrayType) or not isinstance(items.elementType, T.StructType):  # what holds nothing has no fields
+            return spark.createDataFrame([], bare[name])
+        return whole.select(F.explode(name).alias("x")).select("x.data.*")
+
+    return part("nodes"), part("edges")
 
 
 def graph_json_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -51,6 +51,16 @@ def test_sheets(spark, tmp_path):
     assert rows(spark.read.csv(str(tmp_path / "book"), header=True).select("id", "member").where("sheet = 'a'")) == [("g", "a 1"), ("g", "a 2"), ("g", "a 3")]
 
 
+def test_graphs_that_hold_nothing(spark, tmp_path):
+    gone = files.read_graph_json(spark, str(tmp_path / "nowhere"))
+    (tmp_path / "g.json").write_text('{"nodes": [], "edges": []}')
+    empty = files.read_graph_json(spark, str(tmp_path / "g.json"))
+    (tmp_path / "h.json").write_text('{"nodes": [{"data": {"id": "a"}}], "edges": []}')
+    half = files.read_graph_json(spark, str(tmp_path / "h.json"))
+    assert [f.count() for f in (*gone, *empty, *half)] == [0, 0, 0, 0, 1, 0]
+    assert gone[0].columns == ["id", "type", "name"] and empty[1].columns == half[1].columns == ["edge_id", "label", "source", "target"]
+
+
 def test_values_as_expressions(spark):
     v = spark.createDataFrame([(1, "a b", True, 2.5, ["x", 'q"'], {"k": 1}), (2, "sym", None, None, None, None), (3, 'a"\\(', False, 0.0, [], {})], "id long, t string, b boolean, f double, l array<string>, m map<string,int>")
     got = {}
