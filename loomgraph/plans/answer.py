@@ -22,9 +22,6 @@ from loomgraph.sources import files
 from loomgraph.sources.catalog import GraphCatalog
 from loomgraph.sources.results import KEPT, kept_or_computed
 
-#: Edges (or nodes, of a request without edges) that an answer shows at most. A fixed value.
-CAP = 200_000
-
 
 @dataclass(frozen=True)
 class Answer:
@@ -43,12 +40,12 @@ class Answer:
         files.write_tsv(self.nodes, self.edges, path)
 
 
-def answer(catalog: GraphCatalog, request: Mapping[str, Any], base: str, *, species: str = "", sources: Collection[str] = (), spans: Collection[str] = (), cap: int = CAP, anew: bool = False, kept: float | None = KEPT) -> Answer:
+def answer(catalog: GraphCatalog, request: Mapping[str, Any], base: str, *, species: str = "", sources: Collection[str] = (), spans: Collection[str] = (), cap: int | None = None, anew: bool = False, kept: float | None = KEPT) -> Answer:
     """The answer to a request; a ``ValueError`` says what is wrong with one.
 
     Results lie below ``base`` and are good for ``kept`` seconds; ``anew`` computes them again. ``sources`` restricts edges
-    to these data sources. Of more than ``cap`` edges those first by source, label and target are shown, with their ends;
-    without edges the first nodes by id. Equal requests in other words (names, order) share their results.
+    to these data sources. The whole graph is shown; with a ``cap``, of more edges those first by source, label and target, with
+    their ends, and without edges the first nodes by id. Equal requests in other words (names, order) share their results.
     """
     query, _ = canonical(validate(request, catalog.triple_keys(), spans=spans))
     key = fingerprint(query, species=species, data_source=sorted(sources), limit=cap)
@@ -62,12 +59,15 @@ def answer(catalog: GraphCatalog, request: Mapping[str, Any], base: str, *, spec
     def held(part: str, compute) -> DataFrame:
         return kept_or_computed(catalog.spark, base, f"{key}-{part}", compute, anew=anew, kept=kept)
 
+    def shown(rows: DataFrame, *order: str) -> DataFrame:
+        return rows if cap is None else rows.orderBy(*order).limit(cap)
+
     if query.edges:
-        edges = held("edges", lambda: result.shape_edges(found(), query).orderBy("source", "label", "target", "edge_id").limit(cap))
+        edges = held("edges", lambda: shown(result.shape_edges(found(), query), "source", "label", "target", "edge_id"))
         ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
         nodes = held("nodes", lambda: _named(own, query).join(ends, "id", "left_semi"))
     else:
-        nodes = held("nodes", lambda: result.shape_nodes(found(), query).orderBy("id").limit(cap))
+        nodes = held("nodes", lambda: shown(result.shape_nodes(found(), query), "id"))
         edges = catalog.spark.createDataFrame([], "edge_id string, label string, source string, target string")
     totals = held("totals", lambda: counting.total_counts(own, query) if tree else result.total_counts(found(), query))
     labels = held("labels", lambda: counting.label_counts(own, query) if tree else result.label_counts(found(), query))

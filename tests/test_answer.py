@@ -6,6 +6,7 @@ from test_graph import graph, q, rows
 from loomgraph.operators import result
 from loomgraph.plans import compiler
 from loomgraph.plans.answer import answer
+from loomgraph.sources.catalog import GraphCatalog
 
 
 @pytest.fixture
@@ -46,3 +47,11 @@ def test_equal_requests_share_results_and_caps_dont_touch_counts(spark, small, t
     assert spark.read.option("sep", "\t").csv(str(tmp_path / "tsv" / "edges"), header=True).first()[:] == ("a 1", "b 1", "e")
     with pytest.raises(ValueError, match="no such relationship"):
         answer(small, q([("x", "b"), ("y", "a")], [("e", "x", "y")]).request(), str(tmp_path))
+
+
+def test_without_a_cap_the_whole_graph_is_shown(spark, tmp_path):
+    edges = spark.range(220_000).selectExpr("id % 200 AS src", "id div 200 AS dst", "id AS uid")
+    many = GraphCatalog(spark, {"a": spark.range(200), "b": spark.range(1100)}, {("a", "e", "b"): edges})
+    got = answer(many, REQUESTS["edge"].request(), str(tmp_path))
+    assert got.edges.count() == 220_000 and got.nodes.count() == 1300
+    assert [r[:] for r in got.totals.collect()] == [(1300, 220_000)]
