@@ -167,3 +167,19 @@ def test_isomorphic_graphs(spark):
     assert sorted((r.n_nodes, r.form is None) for r in mixed.collect()) == [(5, False), (6, True)]
     nothing = frames(spark, [(0, 1, "")])
     assert isomorphism.isomorphic(nothing[0].limit(0), nothing[1].limit(0), nothing[0].limit(0), nothing[1].limit(0)) is True
+
+
+def test_trees_need_no_shuffle_and_ids_may_repeat(spark):
+    lines = spark.createDataFrame([(1, "(a (b c) (d (e)))"), (1, "(x)"), (2, "(a"), (3, "a)b("), (4, "q (r) s"), (5, "()")], "id long, value string")
+    found = trees.parse_trees(lines)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(found.collect(), key=lambda r: (r.id, r.last - r.node, r.node))
+    assert [(r.id, r.node, r.parent, r.nth, r.depth, r.symbol, r.last) for r in got if r.id > 1] == [(4, 0, None, 0, 0, "q", 0), (4, 2, 1, 0, 1, "r", 2), (4, 4, None, 2, 0, "s", 4), (4, 1, None, 1, 0, None, 3), (5, 0, None, 0, 0, None, 1)]
+    assert [(r.node, r.parent, r.nth, r.depth, r.last) for r in got if r.id == 1 and r.symbol is None] == [(0, None, 0, 0, 2), (8, 6, 1, 2, 10), (2, 0, 1, 1, 5), (6, 0, 2, 1, 11), (0, None, 0, 0, 12)]
+
+
+def test_many_tokens_go_in_parts(spark, monkeypatch):
+    lines = spark.createDataFrame([(i, "(a (b c) d)" * (i % 4)) for i in range(40)], "id long, value string").coalesce(1)
+    whole = sorted(map(tuple, trees.parse_trees(lines).na.fill(-1).collect()), key=str)
+    monkeypatch.setattr(trees, "TOKENS", 5)
+    assert sorted(map(tuple, trees.parse_trees(lines).na.fill(-1).collect()), key=str) == whole and len(whole) == 10 * 6 * (1 + 2 + 3)
