@@ -24,6 +24,8 @@ _MAP = rf"\{{\s*(?:{_PAIR.replace('(' + _KEY + ')', _KEY).replace('(' + _SCALAR,
 _LABEL = rf"\s*:\s*({_KEY})\s*"
 _NODE = rf"\(\s*(\w*){_LABEL}({_MAP})?\s*\)"
 _END = r"\s*;?\s*$"
+#: A map of nothing but an id, a text without escapes and control characters: its id needs no literal read.
+_ID_ALONE = r"^\{\s*`?id`?\s*:\s*'([^'\\\x00-\x1f]+)'\s*,?\s*\}$"
 _VERTEX = rf"(?i)^\s*(?:CREATE|MERGE)\s*{_NODE}{_END}"
 _EDGE = rf"(?i)^\s*MATCH\s*{_NODE}\s*,\s*(?:MATCH\s*)?{_NODE}\s*(?:CREATE|MERGE)\s*\(\s*(\w+)\s*\)\s*-\s*\[\s*\w*{_LABEL}({_MAP})?\s*\]\s*->\s*\(\s*(\w+)\s*\){_END}"
 
@@ -75,12 +77,18 @@ def parse_statements(lines: DataFrame, column: str = "value") -> DataFrame:
     clean = F.translate(line, _CUT, " ")
     # one replacement finds a form and cuts it to its parts; a line of another form stays one part
     parts = lambda pattern, groups: F.split(F.regexp_replace(clean, pattern, _CUT.join(["", *[f"${g}" for g in groups]])), _CUT)
-    cut = rows.withColumns({"__v": parts(_VERTEX, (2, 3)), "__e": parts(_EDGE, range(1, 11))})
-    is_vertex, is_edge = F.size("__v") == 3, F.size("__e") == 11
+    matches = line.rlike(r"(?i)^\s*MATCH")  # a line is looked through for the one form that its first word may begin
+    cut = rows.withColumns({"__v": F.when(~matches, parts(_VERTEX, (2, 3))), "__e": F.when(matches, parts(_EDGE, range(1, 11)))})
+    sized = lambda c, n: F.coalesce(F.size(c) == n, F.lit(False))
+    is_vertex, is_edge = sized("__v", 3), sized("__e", 11)
     e = lambda n: F.col("__e")[n]
-    held = _with_maps(cut, {"__one": F.when(is_vertex, F.col("__v")[2]).when(is_edge, e(3)), "__two": F.when(is_edge, e(6)), "__own": F.when(is_edge, e(9))})
+    # an edge's ends mostly have an id alone, which is cut out; other maps are read
+    alone = lambda n: F.when(is_edge, F.nullif(F.regexp_extract(e(n), _ID_ALONE, 1), F.lit("")))
+    cut = cut.withColumns({"__id1": alone(3), "__id2": alone(6)})
+    rest = lambda n, id_: F.when(is_edge & F.col(id_).isNull(), e(n))
+    held = _with_maps(cut, {"__one": F.when(is_vertex, F.col("__v")[2]).otherwise(rest(3, "__id1")), "__two": rest(6, "__id2"), "__own": F.when(is_edge, e(9))})
     bare = lambda c: F.translate(c, "`", "")
-    one, two = (bare(e(2)), plain(F.element_at("__one", "id"))), (bare(e(5)), plain(F.element_at("__two", "id")))
+    one, two = (bare(e(2)), F.coalesce("__id1", plain(F.element_at("__one", "id")))), (bare(e(5)), F.coalesce("__id2", plain(F.element_at("__two", "id"))))
     straight, back = (e(7) == e(1)) & (e(10) == e(4)), (e(7) == e(4)) & (e(10) == e(1))
     turned = lambda i: (F.when(straight, one[i]).otherwise(two[i]), F.when(straight, two[i]).otherwise(one[i]))
     edge = is_edge & (straight | back) & one[1].isNotNull() & two[1].isNotNull()
