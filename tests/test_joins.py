@@ -250,3 +250,9 @@ def test_optional_nodes_broadcast_nothing_large(spark, data):
         assert "BroadcastNestedLoopJoin BuildRight, LeftOuter" not in plan(compiler.optional_nodes(g, q([("c", "customer")])))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_new_end_is_filtered_before_the_fan_out(spark, data):
+    """The last join is of two joins: the edges have met their filtered new end before they meet the matches so far."""
+    top = compiler.bindings(star_graph(spark, data), _TWIN)._jdf.queryExecution().analyzed()
+    assert top.nodeName() == "Join" and [top.children().apply(i).nodeName() for i in range(2)] == ["Join", "Join"]
