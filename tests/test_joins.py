@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_graph import graph, q, rows
 
+from loomgraph import session
 from loomgraph.operators import closure, hubs, result
 from loomgraph.operators.overlap import overlap_join, overlap_join_plain
 from loomgraph.plans import compiler, counting, generic
@@ -206,6 +207,14 @@ def test_closure_of_nothing(spark):
         closure.closure(none, depth=-1)
 
 
+def test_tasks_of_a_closure_follow_its_pairs(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "child long, parent long")
+    for depth, pairs in ((None, 1830), (9, 504)):
+        found = closure.closure(chain, depth=depth)
+        assert found.count() == pairs and len(found.inputFiles()) > pairs / 50
+
+
 def test_rolled_up_terms(spark):
     up = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c")], "child string, parent string")
     members = spark.createDataFrame([("m", "a"), ("m", "b"), ("n", "x"), ("n", None), ("o", "z")], "member string, term string")
