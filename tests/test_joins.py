@@ -215,6 +215,14 @@ def test_tasks_of_a_closure_follow_its_pairs(spark, monkeypatch):
         assert found.count() == pairs and len(found.inputFiles()) > pairs / 50
 
 
+def test_rolled_up_rows_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "child long, parent long")
+    found = closure.rolled_up(spark.createDataFrame([("m", 0), ("n", 30), ("o", 50)], "member string, term long"), chain)
+    assert found.count() == 61 + 31 + 11
+    assert plan(found).count("REPARTITION_BY_NUM") == 3
+
+
 def test_rolled_up_terms(spark):
     up = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c")], "child string, parent string")
     members = spark.createDataFrame([("m", "a"), ("m", "b"), ("n", "x"), ("n", None), ("o", "z")], "member string, term string")
