@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.plans.model import QueryGraph
+from loomgraph.session import dealt
 from loomgraph.sources.catalog import GraphCatalog
 
 #: Properties that a node is called by, the first that is set.
@@ -140,18 +141,28 @@ def source_summaries(nodes: DataFrame, edges: DataFrame, described: Column) -> D
     return ends.select("source", F.coalesce("about", F.lit("")).alias("about"), line.alias("line"))
 
 
-def source_texts(summaries: DataFrame, page: int = 50) -> DataFrame:
+#: Lines of texts that one task handles, about: they are some hundred bytes each.
+TASK_LINES = 200_000
+
+
+def source_texts(summaries: DataFrame, page: int = 50, rows: int | None = None) -> DataFrame:
     """``(source, page, text)``: the rows of ``source_summaries`` as texts of about ``page`` lines, for a reader with a budget.
 
     A source with more lines than that gets several pages, to which its lines are dealt by a digest, so no hub's lines meet in
     one row; page 0 is always there and begins with ``Source Node (id): about``. Within a page lines are sorted, equal ones once.
+    ``rows`` says about how many summaries there are (the edges' number; counted if not given): they are dealt to tasks by it.
     """
-    summaries = summaries.select("source", "about", "line").distinct()
+    spread = lambda df, *keys: dealt(df, rows, *keys, most=TASK_LINES)
+    rows = summaries.count() if rows is None else rows
+    # dealt before lines are told apart, so that no map of all lines of an input split is built; alike lines compress so
+    # well that partitions merged by their bytes would hold millions
+    summaries = spread(summaries.select("source", "about", "line"), "source", "line").distinct()
     totals = summaries.groupBy("source").agg(F.ceil(F.count("*") / page).cast("long").alias("pages"))
     at = F.conv(F.substring(F.md5("line"), 1, 8), 16, 10).cast("long") % F.col("pages")
     # a page may be left empty; the first one then holds the source's own line alone
     heads = summaries.groupBy("source").agg(F.min("about").alias("about"), F.lit(0).cast("long").alias("page"))
-    bodies = summaries.join(totals, "source").select("source", at.alias("page"), "line").groupBy("source", "page").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("body"))
+    bodies = spread(summaries.join(totals, "source").select("source", at.alias("page"), "line"), "source", "page")
+    bodies = bodies.groupBy("source", "page").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("body"))
     begun = F.concat(F.lit("Source Node ("), F.substring_index("source", " ", -1), F.lit("): "), F.col("about"))
     return bodies.join(heads, ["source", "page"], "full").select("source", "page", F.concat_ws("\n", F.when(F.col("about").isNotNull(), begun), "body").alias("text"))
 

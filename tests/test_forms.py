@@ -37,6 +37,17 @@ def test_a_hub_gets_pages_and_every_line_once(spark):
     assert result.source_texts(result.source_summaries(nodes.limit(0), edges.limit(0), text.description(["name"]))).count() == 0
 
 
+def test_lines_of_texts_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(result, "TASK_LINES", 100)
+    nodes = spark.createDataFrame([(f"b {i}", f"n{i}") for i in range(600)], "id string, name string")
+    edges = spark.createDataFrame([("e", f"a {i % 3}", f"b {i}") for i in range(600)] * 2, "label string, source string, target string")
+    about = result.source_summaries(nodes, edges, text.description(["name"]))
+    for rows, tasks in ((None, 12), (2000, 20)):
+        got = result.source_texts(about, page=10, rows=rows)
+        assert got._jdf.queryExecution().executedPlan().toString().count(f", {tasks}), REPARTITION_BY_NUM") >= 2
+        assert sum(r.text.count("e -> ") for r in got.collect()) == 600
+
+
 def test_sheets(spark, tmp_path):
     long = "x" * 40
     nodes = spark.createDataFrame([("g", "a", "2 a nodes"), ("b 1", "b", "one"), ("x 1", long, "x")], "id string, type string, name string")
