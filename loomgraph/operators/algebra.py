@@ -38,9 +38,11 @@ def set_digest(parts: Sequence[str]) -> list[Column]:
     return [F.count("*").alias("n"), F.sum(bits(1)).alias("s1"), F.sum(bits(16)).alias("s2")]
 
 
-def _signed(nodes: DataFrame, edges: DataFrame, own: Sequence[str]) -> DataFrame:
-    """``nodes`` with ``group_id``, a digest of the columns ``own`` and of the node's neighbours along its edges."""
-    sums = incident(edges).distinct().groupBy("id").agg(*set_digest(["way", "edge_id", "other"]))
+def _signed(nodes: DataFrame, edges: DataFrame, own: Sequence[str], *, once: bool = False) -> DataFrame:
+    """``nodes`` with ``group_id``, a digest of the columns ``own`` and of the node's neighbours along its edges. ``once``
+    says that no edge id has two edges from one source to one target, so that none need be told apart."""
+    seen = incident(edges) if once else incident(edges).distinct()
+    sums = seen.groupBy("id").agg(*set_digest(["way", "edge_id", "other"]))
     sums = sums.select("id", F.concat_ws(":", *[F.col(c).cast("string") for c in ("n", "s1", "s2")]).alias("signature"))
     labelled = nodes.join(sums, "id", "left")
     return labelled.withColumn("group_id", F.sha2(F.concat_ws("|", *own, F.coalesce("signature", F.lit(""))), 256)).drop("signature")
@@ -159,7 +161,7 @@ def collapse_location(nodes: DataFrame, edges: DataFrame, location: str = "locat
         edges = edges.join(main.withColumnRenamed("original", end), end, "left").withColumn(end, F.coalesce("now", end)).drop("now")
     one = edges.select("edge_id", "label", "source", "target").unionByName(alias).groupBy("source", "target").agg(F.min(F.struct("edge_id", "label")).alias("e"))
     one = checkpointed(one.select("e.edge_id", "e.label", "source", "target"))
-    signed = _signed(spread.select("id", "type", "name", F.coalesce("location", F.lit("")).alias("location")), one, ["location"])
+    signed = _signed(spread.select("id", "type", "name", F.coalesce("location", F.lit("")).alias("location")), one, ["location"], once=True)
     alone = F.count("*").over(Window.partitionBy("group_id")) == 1
     signed = checkpointed(signed.withColumn("group_id", F.when(alone, F.col("id")).otherwise(F.col("group_id"))))
     return _named_groups(signed), repointed(one, signed.select("id", "group_id")), signed.select(F.col("group_id").alias("parent"), F.col("id").alias("child"))

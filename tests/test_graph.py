@@ -259,3 +259,21 @@ def test_localised_part_of_a_grouped_graph(spark):
     where, inside = algebra.localised(grouped, children, places, parents)
     assert sorted((r.id, r.location or "") for r in where.collect()) == [("protein a", "T1"), ("protein b", "T0,T1"), ("protein c", "")]
     assert rows(inside.select("source", "target")) == [("protein a", "protein b"), ("protein a", "protein c")]
+
+
+def test_edges_known_once_are_not_told_apart_again(spark):
+    nodes = spark.createDataFrame([(x, "p") for x in "abcd"], "id string, place string")
+    edges = spark.createDataFrame([("e", "a", "c"), ("e", "b", "c"), ("f", "a", "c"), ("e", "c", "c"), ("e", "c", "a"), ("e", "c", "b"), ("f", "b", "c")], "edge_id string, source string, target string")
+    plain, once = (algebra._signed(nodes, edges, ["place"], once=x) for x in (False, True))
+    assert rows(plain) == rows(once) and len({r.group_id for r in once.collect() if r.id in "ab"}) == 1
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(id")
+    assert shuffles(once) < shuffles(plain)
+
+
+def test_no_distinct_of_the_edges_before_a_location_collapses(spark, monkeypatch):
+    told, signed = [], algebra._signed
+    monkeypatch.setattr(algebra, "_signed", lambda *a, **k: told.append(k) or signed(*a, **k))
+    nodes = spark.createDataFrame([("a", "t", "A", "x,y"), ("b", "t", "B", "x")], "id string, type string, name string, location string")
+    edges = spark.createDataFrame([("e", "l", "a", "b"), ("e", "l", "a", "b")], "edge_id string, label string, source string, target string")
+    assert algebra.collapse_location(nodes, edges)[1].count() == 2
+    assert told == [{"once": True}]
