@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.textkit import fresh
+from loomgraph.llm.textkit import byte_alphabet, fresh
 from loomgraph.session import parallelism, shared_path
 
 WINDOW = 4096
@@ -58,7 +58,7 @@ class Words(dict):
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width, self.kind = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
         self.before: dict[str, bytes] = {}
-        if len(self._ids("a b")) != len(self._ids("a")) + len(self._ids("b")) or any(self._ids(x) != [t.id for t in self.model.tokenize(_bytes(x.lower()))] for x in ("word", "Élève", "straße")):
+        if len(self._ids("a b")) != len(self._ids("a")) + len(self._ids("b")) or any(self._ids(x) != [t.id for t in self.model.tokenize(byte_alphabet(x.lower()))] for x in ("word", "Élève", "straße")):
             raise ValueError("a vocabulary of lower-case words over bytes is needed")
 
     def _ids(self, text: str) -> list[int]:
@@ -71,7 +71,7 @@ class Words(dict):
             if core.isalpha() and (core.isascii() or max(core) < "ɐ" and "İ" not in core):
                 lower = core.lower()
                 if lower == piece:
-                    found = array(self.kind, [t.id for t in self.model.tokenize(_bytes(lower))]).tobytes()
+                    found = array(self.kind, [t.id for t in self.model.tokenize(byte_alphabet(lower))]).tobytes()
                 else:
                     found = self[lower] + self[piece[len(core) :]]
             else:
@@ -90,14 +90,6 @@ class Words(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-#: Byte-level tokenizers show bytes that don't print as the characters from 256 on.
-_SHOWN = dict(zip([*range(33), *range(127, 161), 173], range(256, 324), strict=True))
-
-
-def _bytes(word: str) -> str:
-    return word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
-
-
 @functools.lru_cache(4)
 def words(path: str) -> Words:
     return Words(path)

@@ -105,3 +105,12 @@ def bit_votes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     cuts = np.repeat(starts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
     some = np.add.reduceat(_SPREAD[hashes.view(np.uint8).reshape(-1, 8)], cuts, axis=0).view(np.uint8).reshape(-1, 64)
     return some if len(some) == len(starts) else np.add.reduceat(some, first, axis=0, dtype=np.int64)
+
+
+#: Byte-level tokenizers show bytes that don't print as the characters from 256 on.
+_SHOWN = dict(zip([*range(33), *range(127, 161), 173], range(256, 324), strict=True))
+
+
+def byte_alphabet(word: str) -> str:
+    """A word without blanks in the characters that byte-level vocabularies show its bytes by."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)

@@ -24,23 +24,28 @@ from __future__ import annotations
 
 import functools
 import os
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.textkit import byte_alphabet, slices, utf8
+
 SAMPLE = 256
 SHARD = "shard long, n_docs long, n_ids long, ids binary, width int, ends_low binary, ends_high binary, ends_select binary, low_bits int, id_base long, ids_low binary, ids_high binary, ids_select binary, ids_low_bits int, null_ids long"
 READ = "shard long, doc_id long, start long, n_tokens long, ids_crc32 long"
 #: A shard's ids; a document that is longer makes a longer shard.
 SHARD_IDS = 1 << 22
-#: Texts encoded together, and pieces in one call of the tokenizer.
-TEXTS, CALL = 1024, 128
-#: Pieces in each of the two generations whose ids a worker remembers, which bounds its memory.
-CACHE = 120_000
+#: Texts encoded together, bytes of them whose pieces are told apart together, and pieces in one call of the tokenizer.
+TEXTS, RUN, CALL = 4096, 6 << 20, 128
+#: Pieces whose ids a worker remembers, which bounds its memory: about 40 bytes each.
+CACHE = 1 << 20
 
 
 # Elias-Fano ---------------------------------------------------------------------------------------
@@ -116,41 +121,91 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _workers[path] = (tokenizer, {}, {}, tokenizer.encode("\n", add_special_tokens=False).ids[-1])
+        _workers[path] = (tokenizer, Known(tokenizer))
     return _workers[path]
 
 
-def _learn(path: str, missing: set[str]) -> None:
-    """Adds the ids of these pieces to what the worker knows.
+class Known:
+    """The ids of the pieces that a worker has met lately, in Arrow columns, and how a new piece is encoded.
 
-    Of the last two generations of at most ``CACHE`` pieces what is used again stays. A word of Latin letters
-    and the stops after it are encoded apart, as the tokenizer itself does.
+    A piece is what stands between two blanks, with the newline before it; the first of a text begins with a carriage return.
+    Of more than ``CACHE`` pieces only those of the last run of texts stay.
     """
-    tokenizer, known, before, newline = _workers[path]
-    again = missing & before.keys()
-    known.update({p: before[p] for p in again})
-    plain = missing - again
-    cores = {}
-    for p in plain:
-        if p[-1] in ".,;:!?" and p[0] != "\n" and (core := p.rstrip(".,;:!?")).isalpha() and max(core) < "\u0250":
-            cores[p] = core
-    bare = {"\r" + p[1:] for p in plain if p[0] == "\n"} | {"\r" + p[len(c) :] for p, c in cores.items()}
-    new = list(({*plain, *cores.values()} - cores.keys() | bare) - known.keys())
-    new = [p for p in new if p[0] != "\n"]
-    for lo in range(0, len(new), CALL):
-        some = new[lo : lo + CALL]
-        # one call for many pieces, a newline after each; it is a token of its own
-        ids = np.array(tokenizer.encode_batch_fast(["".join([(p[1:] if p[0] == "\r" else " " + p) + "\n" for p in some])], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(ids == newline) * 4
-        flat = ids.tobytes()
-        known.update(zip(some, [flat[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)], strict=True))
-    head = np.array([newline], "<u4").tobytes()
-    for p, core in cores.items():
-        if p[0] != "\n":
-            known[p] = known[core] + known["\r" + p[len(core) :]]
-    for p in plain:
-        if p[0] == "\n":
-            known[p] = head + known["\r" + p[1:]]
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.newline = tokenizer, tokenizer.encode("\n", add_special_tokens=False).ids[-1]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces, self.plain = pa.array([], pa.large_string()), np.zeros(0, bool)
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def look_up(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of different pieces all ids, where each one's begin among them, their numbers, and whether the piece is plain."""
+        at = pc.index_in(pieces, value_set=self.pieces)
+        if at.null_count:
+            new = pieces.filter(at.is_null())
+            # no piece holds a blank
+            found = self._encoded(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), new), pa.scalar(" ", pa.large_string()))[0].as_py().split(" "))
+            size = np.array([-1 if x is None else len(x) >> 2 for x in found])
+            at = at.to_numpy(zero_copy_only=False)
+            at[np.isnan(at)] = len(self.pieces) + np.arange(len(new))
+            self.pieces, self.plain = pa.concat_arrays([self.pieces, new]), np.append(self.plain, size >= 0)
+            self.ends = np.append(self.ends, np.cumsum(np.maximum(size, 0)) + len(self.ids))
+            self.ids = np.append(self.ids, np.frombuffer(b"".join(filter(None, found)), "<u4"))
+        at = np.asarray(at).astype(np.int64)
+        begin = np.append(0, self.ends)[at]
+        ids, size, plain = self.ids, self.ends[at] - begin, self.plain[at]
+        if len(self.pieces) > CACHE:
+            self._forget()
+            self.pieces, self.plain, self.ids, self.ends = pieces, plain, ids[_ranges(begin, size)], np.cumsum(size)
+        return ids, begin, size, plain
+
+    def _encoded(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of new pieces, 4 bytes each; None where white space or a special token's mark is in a piece, which
+        then depends on what is around it.
+
+        The tokenizer's rules part a word of Latin letters from the stops after it and leave it whole, so of such words the
+        library's model is asked straight away, in the byte alphabet that those rules give it.
+        """
+        tokenize, head = self.tokenizer.model.tokenize, array("I", [self.newline]).tobytes()
+        out: list[bytes | None] = [None] * len(pieces)
+        words: dict[str, bytes] = {}
+        stops: dict[str, bytes] = {"": b""}
+        other: list[int] = []
+        for i, p in enumerate(pieces):
+            first = p[:1]
+            bare = p[1:] if first == "\n" or first == "\r" else p
+            core = bare.rstrip(string.punctuation)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0250") and "<|" not in bare:
+                word = byte_alphabet(core) if bare is not p else "\u0120" + byte_alphabet(core)
+                ids = words.get(word)
+                if ids is None:
+                    ids = words[word] = array("I", [t.id for t in tokenize(word)]).tobytes()
+                tail = bare[len(core) :]
+                if tail not in stops:
+                    stops[tail] = array("I", self.tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
+                out[i] = head + ids + stops[tail] if first == "\n" else ids + stops[tail]
+            elif "<|" not in bare and bare.split() == [bare]:
+                other.append(i)
+        for lo in range(0, len(other), CALL):
+            some = other[lo : lo + CALL]
+            # one call for many pieces, a newline after each; it is a token of its own
+            joined = "".join([(p[1:] if p[0] in "\n\r" else " " + p) + "\n" for p in map(pieces.__getitem__, some)])
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.newline) * 4
+            flat = ids.tobytes()
+            for i, a, b in zip(some, [0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True):
+                out[i] = head + flat[a:b] if pieces[i][0] == "\n" else flat[a:b]
+        return out
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one range after another."""
+    ends = np.cumsum(size)
+    at = np.repeat(begin - ends + size, size)
+    at += np.arange(len(at))
+    return at
 
 
 def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
@@ -159,20 +214,31 @@ def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     The byte-level tokenizer never merges over the border between a word and the single blank or
     newline before it, so a text's ids are its pieces' ids in a row, and a piece seen before need not
     be encoded again. Texts with other white space or with a special token's mark are encoded whole.
+    Arrow cuts the texts and tells the pieces apart; each different one is looked up once for a run of texts.
     """
-    tokenizer, known, _, newline = _tokenizer(path)
-    if len(known) > CACHE:
-        _workers[path] = (tokenizer, {}, known, newline)
-        known = _workers[path][1]
-    cut: list[list[str] | None] = []
-    for text in texts:
-        pieces = None
-        if "<|" not in text and text.replace("\n", " ").split(" ") == text.split():
-            pieces = text.replace("\n", " \n").split(" ")
-            pieces[0] = "\r" + pieces[0]
-        cut.append(pieces)
-    _learn(path, set().union(*[p for p in cut if p is not None]) - known.keys())
-    return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4") if pieces is not None else np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4") for text, pieces in zip(texts, cut, strict=True)]
+    column = pa.array(texts, pa.large_string())
+    out: list[np.ndarray] = []
+    for lo, hi in slices(utf8(column)[1], RUN):
+        out += _encode_run(column.slice(lo, hi - lo), path)
+    return out
+
+
+def _encode_run(texts: pa.Array, path: str) -> list[np.ndarray]:
+    tokenizer, known = _tokenizer(path)
+    text = lambda x: pa.scalar(x, pa.large_string())
+    cut = pc.split_pattern(pc.binary_join_element_wise(text("\r"), pc.replace_substring(texts, "\n", " \n"), text("")), " ")
+    coded, heads = cut.flatten().dictionary_encode(), cut.offsets.to_numpy()[:-1]
+    of = coded.indices.to_numpy()
+    ids, begin, size, plain = known.look_up(coded.dictionary)
+    # a carriage return that isn't the mark of a text's first piece is the text's own
+    odd = pc.starts_with(coded.dictionary, "\r").to_numpy(zero_copy_only=False)[of]
+    odd[heads] = False
+    whole = np.logical_or.reduceat(odd | ~plain[of], heads)
+    n = size[of]
+    found = np.split(ids[_ranges(begin[of], n)], np.cumsum(n)[heads[1:] - 1])
+    for i in np.flatnonzero(whole).tolist():
+        found[i] = np.array(tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+    return found
 
 
 # Writing and reading ------------------------------------------------------------------------------

@@ -104,6 +104,32 @@ def test_pieces_encode_like_whole_texts():
             assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_latin_words_skip_the_rules_and_pieces_are_forgotten(monkeypatch):
+    """New Latin words are asked of the model itself, once; a full memory keeps the last run's pieces only."""
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_50k.json")
+    whole = tokens._tokenizer(path)[0]
+    batches = []
+
+    class Counted:
+        model, encode = whole.model, whole.encode
+
+        def encode_batch_fast(self, some, **options):
+            batches.append(some)
+            return whole.encode_batch_fast(some, **options)
+
+    known = tokens.Known(Counted())
+    monkeypatch.setitem(tokens._workers, path, (whole, known))
+    monkeypatch.setattr(tokens, "RUN", 60)
+    monkeypatch.setattr(tokens, "CACHE", 7)
+    texts = ["Élève thonheth, the\nThe heon; été\nwords!! it's", "the heon thonheth. The", "straße 'quoted' Ĳssel***", "the heon it's", "a \r\rb \rc", "\r", "ª º ñ ¡no! x_y _x"] * 3
+    for text, ids in zip(texts, tokens.encode_texts(texts, path), strict=True):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    assert len(known.pieces) <= 7 + 40 and len(known.pieces) == len(known.ends) == len(known.plain) and known.ends[-1] == len(known.ids)
+    assert batches and not any(w in b for some in batches for b in some for w in ("thonheth", "heon", "Élève", "été", "straße"))
+
+
 @given(st.lists(st.floats(0, 100), min_size=1, max_size=8), st.integers(0, 60), st.integers(1, 30))
 @settings(max_examples=80, deadline=None)
 def test_sainte_lague_deals_by_highest_quotients(weights, seats, most):
