@@ -8,6 +8,9 @@ many edges is never expanded where another end has few. Partial matches whose ch
 pattern form one join, so heavy and light values go apart. Extended this way, the partial matches never
 exceed the bound that the sizes of the edge tables set to the result.
 
+Pairs, and the proposals that they confirm, are dealt by both ends to as many tasks as the edges' number asks for, since Spark merges
+partitions by compressed bytes and proposals are narrow and alike. One deal serves an edge pattern's distinct and its confirmations.
+
 Parallel edges are one pair while variables are found; they, and the vertices' properties, are joined at the end.
 """
 
@@ -22,8 +25,12 @@ from pyspark.sql import functions as F
 from loomgraph.plans.compiler import bindings, edge_frame, vertex_frame
 from loomgraph.plans.model import EdgePattern, QueryGraph
 from loomgraph.plans.rewrite import VIRTUAL
+from loomgraph.session import dealt
 from loomgraph.sources.catalog import GraphCatalog
 
+#: Edges of all patterns for each task that pairs and proposals are dealt to.
+TASK_EDGES = 500_000
+
 
 def variable_order(query: QueryGraph) -> list[str]:
     """Anchored and filtered variables first, then always one with most edges to those before it."""
@@ -35,18 +42,19 @@ def variable_order(query: QueryGraph) -> list[str]:
     return order
 
 
-def pairs(catalog: GraphCatalog, query: QueryGraph, edge: EdgePattern, matching: str) -> DataFrame:
-    """The distinct ends of an edge pattern's edges, in columns named by their variables, both ends passing their filters."""
+def pairs(catalog: GraphCatalog, query: QueryGraph, edge: EdgePattern, matching: str, edges: int) -> DataFrame:
+    """The distinct ends of an edge pattern's edges, in columns named by their variables; both ends passing their filters;
+    dealt by both for a query over ``edges`` edges."""
     p = edge.predicate_id
     rows = edge_frame(catalog, query, edge).select(F.col(f"{p}__src").alias(edge.source), F.col(f"{p}__dst").alias(f"{edge.target}" if edge.target != edge.source else "__again"))
     if edge.source == edge.target:
         rows = rows.where(F.col(edge.source) == F.col("__again")).select(edge.source)
     for v in dict.fromkeys((edge.source, edge.target)):
         rows = rows.join(vertex_frame(catalog, query.node(v), matching=matching, bare=True).select(F.col("id").alias(v)), v, "left_semi")
-    return rows.distinct()
+    return dealt(rows, edges, *rows.columns, most=TASK_EDGES).distinct()
 
 
-def extend(found: DataFrame, new: str, relations: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+def extend(found: DataFrame, new: str, relations: Mapping[str, DataFrame], edges: int) -> tuple[DataFrame, DataFrame]:
     """The partial matches ``found`` with the variable ``new``: ``(proposed, kept)``.
 
     ``relations`` has for each bound variable that an edge joins to ``new`` the pairs ``(variable, new)``. Every
@@ -68,7 +76,8 @@ def extend(found: DataFrame, new: str, relations: Mapping[str, DataFrame]) -> tu
         proposed.append(by)
         for other in names:
             if other != v:
-                by = by.join(relations[other], [other, new], "left_semi")
+                ends = [c for c in relations[other].columns if c in (other, new)]  # in the order in which the pairs are dealt
+                by = dealt(by, edges, *ends, most=TASK_EDGES).join(relations[other], ends, "left_semi")
         kept.append(by)
     return reduce(DataFrame.unionByName, proposed), reduce(DataFrame.unionByName, kept)
 
@@ -81,7 +90,8 @@ def node_bindings(catalog: GraphCatalog, query: QueryGraph, *, matching: str = "
     if any(e.name in VIRTUAL for e in query.edges):
         raise ValueError("overlap edges aren't joined on keys; use compiler.bindings")
     order = variable_order(query)
-    own = {e.predicate_id: pairs(catalog, query, e, matching) for e in query.edges}
+    edges = sum(edge_frame(catalog, query, e).count() for e in query.edges)
+    own = {e.predicate_id: pairs(catalog, query, e, matching, edges) for e in query.edges}
     found: DataFrame | None = None
     for at, new in enumerate(order):
         bound = set(order[:at])
@@ -94,7 +104,11 @@ def node_bindings(catalog: GraphCatalog, query: QueryGraph, *, matching: str = "
                 # several edge patterns between the same two variables are one relation: what all have
                 relations[other] = relations[other].join(own[e.predicate_id], [other, new], "left_semi") if other in relations else own[e.predicate_id]
         if relations:
-            proposed, found = extend(found, new, relations)
+            if at == 1 and not any(e.source == e.target == order[0] for e in query.edges):
+                # the first variable's vertices alone rule out nothing that its other edges don't later
+                proposed = found = relations[order[0]]
+            else:
+                proposed, found = extend(found, new, relations, edges)
             if steps is not None:
                 steps.append((new, proposed, found))
         else:

@@ -130,6 +130,17 @@ def test_generic_join_on_the_tables(spark, data):
     assert max(proposed.count() for _, proposed, _ in steps) < placed.join(line, "src").join(other, "dst").count()
 
 
+def test_generic_join_deals_pairs_by_the_edges(spark, data, monkeypatch):
+    """The tasks of pairs and confirmations follow the number of edges, and what is found doesn't depend on them."""
+    g = star_graph(spark, data)
+    want = rows(generic.node_bindings(g, _FOUR))
+    edges = sum(g.edges(*ends).count() for ends in [("customer", "placed", "orders"), ("orders", "contains", "part")] * 2)
+    monkeypatch.setattr(generic, "TASK_EDGES", edges // 23)
+    own = generic.pairs(g, _FOUR, _FOUR.edges[1], "regex", edges)
+    assert own.rdd.getNumPartitions() >= 23 and own.count() == own.distinct().count()
+    assert rows(generic.node_bindings(g, _FOUR)) == want
+
+
 def test_overlap_edges_are_refused(spark, data):
     with pytest.raises(ValueError, match="overlap"):
         generic.node_bindings(star_graph(spark, data), q([("a", "interval"), ("b", "interval")], [("overlaps_with", "a", "b")]))
