@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bloom import bitmap, maybe
-from loomgraph.llm.textkit import LOWER, Spans, fresh, mixed, slices, utf8, word_spans
+from loomgraph.llm.textkit import LOWER, Spans, fresh, mixed, released, slices, utf8, word_spans
 
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent degree degrees celsius fahrenheit mph kmh kph watt watts volt volts".split()
@@ -178,7 +178,7 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str, *, window:
 
     text = F.col(text_col).cast("string")
     rows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("item"), text.alias("text"))
-    return rows.mapInArrow(run, f"item_id {kind}, item long, n int, way int, place long, iword long, total long, plain long, h long, islots array<string>").distinct()
+    return rows.mapInArrow(released(run), f"item_id {kind}, item long, n int, way int, place long, iword long, total long, plain long, h long, islots array<string>").distinct()
 
 
 def document_windows(docs: DataFrame, id_col: str, text_col: str, *, window: int, short: list[int], bits: np.ndarray) -> DataFrame:
@@ -221,7 +221,7 @@ def document_windows(docs: DataFrame, id_col: str, text_col: str, *, window: int
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"), text.alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, row long, word long, h long, slots array<string>")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, row long, word long, h long, slots array<string>")
 
 
 def bound(hits: list[tuple[int, int, list[str], list[str]]], span: int, fit: float) -> int:
@@ -294,7 +294,7 @@ def _found(
             kind = pa.array(["exact" if x else "reparameterised" for x in some.column("exact").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("row"), some.column("item_id"), some.column("n_windows"), pa.array(matched, pa.int64()), some.column("n_exact"), kind], ["doc_id", "row", "item_id", "n_windows", "n_matched", "n_exact", "kind"])
 
-    return per.mapInArrow(judge, f"doc_id {kinds['doc_id']}, row long, item_id {kinds['item_id']}, n_windows long, n_matched long, n_exact long, kind string")
+    return per.mapInArrow(released(judge), f"doc_id {kinds['doc_id']}, row long, item_id {kinds['item_id']}, n_windows long, n_matched long, n_exact long, kind string")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

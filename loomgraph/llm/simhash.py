@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.hamming import hamming_links
-from loomgraph.llm.textkit import LOWER, Spans, fresh, mixed, slices, utf8, word_spans
+from loomgraph.llm.textkit import LOWER, Spans, fresh, mixed, released, slices, utf8, word_spans
 from loomgraph.operators.components import connected_components
 from loomgraph.session import checkpointed
 
@@ -100,7 +100,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _row_key(id_col, text).alias("row"), text.alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, row binary, fp long" + ", sketch binary, size long, key long" * sketched)
+    return rows.mapInArrow(released(run), f"doc_id {kind}, row binary, fp long" + ", sketch binary, size long, key long" * sketched)
 
 
 def _row_key(id_col: str, text: Column) -> Column:

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.textkit import byte_alphabet, slices, utf8
+from loomgraph.llm.textkit import byte_alphabet, released, slices, utf8
 
 SAMPLE = 256
 SHARD = "shard long, n_docs long, n_ids long, ids binary, width int, ends_low binary, ends_high binary, ends_select binary, low_bits int, id_base long, ids_low binary, ids_high binary, ids_select binary, ids_low_bits int, null_ids long"
@@ -296,7 +296,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, id_col: str = "
         if ids:
             yield pa.RecordBatch.from_pylist([_shard_row(shard, ids, doc_ids, width)], schema)
 
-    dealt.mapInArrow(encode, SHARD).write.mode("overwrite").parquet(path)
+    dealt.mapInArrow(released(encode), SHARD).write.mode("overwrite").parquet(path)
 
 
 @functools.lru_cache(8)
@@ -333,5 +333,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 docs = [None] * r["null_ids"] + (named + r["id_base"]).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["shard"])), pa.array(docs, pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], ["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    read = shards.select(*columns).mapInArrow(decode, READ)
+    read = shards.select(*columns).mapInArrow(released(decode), READ)
     return read.join(before, "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

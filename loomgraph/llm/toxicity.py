@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.textkit import LOWER, Spans, fresh, slices, utf8, word_spans
+from loomgraph.llm.textkit import LOWER, Spans, fresh, released, slices, utf8, word_spans
 from loomgraph.session import checkpointed
 
 #: Bounds of what the model is fitted on.
@@ -128,7 +128,7 @@ def learn(docs: DataFrame, positives: DataFrame, prior: float, id_col: str = "do
                 keys, n = np.unique(h[once], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    counts = texts.where("p = 1").select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2")
+    counts = texts.where("p = 1").select("text").mapInArrow(released(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2")
     considered = np.sort(counts.orderBy(F.desc("n"), "h").limit(CONSIDERED).toArrow().column("h").to_numpy().view(np.uint64))
     if not len(considered):
         return Model(considered, np.zeros(0), float(np.log(prior / (1 - prior))) if prior < 1 else 0.0)
@@ -147,7 +147,7 @@ def learn(docs: DataFrame, positives: DataFrame, prior: float, id_col: str = "do
                 got += [own[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), batch.column(1), batch.column(2)], ["f", "p", "u"])
 
-    rows = texts.mapInArrow(present, "f binary, p int, u int").toArrow().sort_by([("f", "ascending"), ("p", "ascending"), ("u", "ascending")])
+    rows = texts.mapInArrow(released(present), "f binary, p int, u int").toArrow().sort_by([("f", "ascending"), ("p", "ascending"), ("u", "ascending")])
     lists = [np.frombuffer(x.as_py(), "<u2") for x in rows.column("f")]
     is_p, is_u = rows.column("p").to_numpy() == 1, rows.column("u").to_numpy() == 0
     share = lambda which: np.bincount(np.concatenate([np.zeros(0, np.uint16), *[x for x, w in zip(lists, which, strict=True) if w]]), minlength=len(considered)) / max(1, which.sum())
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return inner.mapInArrow(run, StructType(inner.schema.fields[1:]).add(name, DoubleType()))
+    return inner.mapInArrow(released(run), StructType(inner.schema.fields[1:]).add(name, DoubleType()))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.7) -> DataFrame:

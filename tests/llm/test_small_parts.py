@@ -28,6 +28,24 @@ def test_slices_keep_long_rows_whole():
     assert list(textkit.slices(np.array([0]), 5)) == []
 
 
+@pytest.mark.skipif(textkit._trim is None, reason="no malloc_trim")
+def test_a_task_gives_its_free_memory_back():
+    held = lambda: sum(int(line.split()[1]) for line in open("/proc/self/smaps_rollup") if line.startswith("Pss_Anon")) >> 10
+    kept = []
+
+    def run(batches):
+        for batch in batches:
+            parts = [np.ones(8000) for _ in range(3000)]  # 190 MB in parts too small for maps of their own
+            kept.append(parts[-1])  # and one behind them that stays
+            del parts
+            yield batch
+
+    batch = pa.RecordBatch.from_pydict({"a": [1]})
+    before = held()
+    assert list(run(iter([batch]))) == [batch] and held() > before + 150
+    assert list(textkit.released(run)(iter([batch]))) == [batch] and held() < before + 50
+
+
 def test_span_hashes_depend_on_the_bytes_only():
     data = np.frombuffer(b"abcXabcYabd", np.uint8)
     h = textkit.Spans(data).hash(np.array([0, 4, 8, 0]), np.array([3, 7, 11, 2]))
