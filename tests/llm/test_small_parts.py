@@ -172,6 +172,30 @@ def test_targets_stop_at_three_times_the_size():
     assert mixing.targets(np.zeros(2), np.ones(2), 3).tolist() == [0, 0]
 
 
+def test_edit_distance_of_long_texts_stops_at_what_a_column_leaves():
+    rng, bounded = random.Random(3), 0
+    for n in range(60):
+        a = "".join(rng.choices("abcdefg é", k=rng.randint(65, 160)))
+        b = "".join(c if rng.random() < 0.7 else rng.choice("abxé") for c in a) if n % 2 else "".join(rng.choices("abcdefg é", k=rng.randint(65, 160)))
+        assert lines._places(a, b) == {c: sum(1 << i for i, x in enumerate(a) if x == c) for c in set(a) & set(b)}
+        columns = [list(range(len(a) + 1))]  # of the table of distances, the steps within one are what the bits hold
+        for j, y in enumerate(b, 1):
+            last, column = columns[-1], [j]
+            for i, x in enumerate(a):
+                column.append(min(last[i] + (x != y), last[i + 1] + 1, column[i] + 1))
+            columns.append(column)
+        for j in (len(b) // 4, len(b) // 2):
+            steps = np.diff(columns[j])
+            plus, minus = (sum(1 << int(i) for i in np.flatnonzero(steps == way)) for way in (1, -1))
+            assert lines._least_through(plus, minus, j, len(a), len(b)) == min(d + abs(len(a) - i - (len(b) - j)) for i, d in enumerate(columns[j]))
+        exact = columns[-1][-1]
+        for most in (0, len(a) // 5, exact - 1, exact):
+            got = lines.edit_distance(a, b, most)
+            assert got == exact if exact <= most else most < got <= exact
+            bounded += got < exact
+    assert bounded
+
+
 def test_edit_distance():
     rnd = random.Random(0)
 
