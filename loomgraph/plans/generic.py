@@ -12,12 +12,17 @@ Pairs, and the proposals that they confirm, are dealt by both ends to as many ta
 partitions by compressed bytes and proposals are narrow and alike. One deal serves an edge pattern's distinct and its confirmations.
 
 Parallel edges are one pair while variables are found; they, and the vertices' properties, are joined at the end.
+
+A cycle of three or four variables is two relations between the same two ends, each an edge pattern or an open path of
+two. Where the paths' rows, which are counted before, are not many more than the edges, nothing is proposed: each path is
+joined at its middle, dealt by its ends, and the two meet there, which closes the cycle. A path that is needed twice is made once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +35,11 @@ from loomgraph.sources.catalog import GraphCatalog
 
 #: Edges of all patterns for each task that pairs and proposals are dealt to.
 TASK_EDGES = 500_000
+#: Rows of open paths for each edge of all patterns, and for each of ``TASK_EDGES`` at one vertex, up to which paths are joined at once.
+OPEN = 4
+
+#: Two ends, and two ways from one to the other: the edge patterns of each, and the variable in which they meet.
+Sides = tuple[tuple[str, str], tuple[tuple[tuple[EdgePattern, ...], str | None], ...]]
 
 
 def variable_order(query: QueryGraph) -> list[str]:
@@ -82,6 +92,86 @@ def extend(found: DataFrame, new: str, relations: Mapping[str, DataFrame], edges
     return reduce(DataFrame.unionByName, proposed), reduce(DataFrame.unionByName, kept)
 
 
+def cycle_sides(query: QueryGraph) -> list[Sides]:
+    """How a cycle of three or four variables parts into two sides between two ends; none for other patterns."""
+    names = [n.node_id for n in query.nodes]
+    if len(names) not in (3, 4) or len(query.edges) != len(names):
+        return []
+    between = lambda v, w: [e for e in query.edges if {e.source, e.target} == {v, w}]
+    found = []
+    for a, b in combinations(names, 2):
+        sides = [((e,), None) for e in between(a, b)] + [((e, f), v) for v in names if v not in (a, b) for e in between(a, v) for f in between(v, b)]
+        if len(sides) == 2 and {e.predicate_id for own, _ in sides for e in own} == {e.predicate_id for e in query.edges}:
+            found.append(((a, b), tuple(sides)))
+    return found
+
+
+def _path_rows(catalog: GraphCatalog, query: QueryGraph, e: EdgePattern, f: EdgePattern, mid: str) -> tuple[float, float]:
+    """The rows of the path of two edge patterns that meet in ``mid``, and the most of them at one vertex, before any vertex filter."""
+
+    def degrees(edge: EdgePattern, n: str) -> DataFrame:
+        return edge_frame(catalog, query, edge).groupBy(F.col(f"{edge.predicate_id}__{'src' if edge.source == mid else 'dst'}").alias("v")).agg(F.count("*").cast("double").alias(n))
+
+    row = degrees(e, "n").join(degrees(f, "m"), "v").agg(F.sum(F.col("n") * F.col("m")), F.max(F.col("n") * F.col("m"))).first()
+    return row[0] or 0.0, row[1] or 0.0
+
+
+def _kind(query: QueryGraph, edges: tuple[EdgePattern, ...], *variables: str | None) -> str:
+    """What edge patterns are but for the names: their ends' types, with the places of ``variables``, and all filters."""
+    node = lambda v: (variables.index(v) if v in variables else None, query.node(v).type)
+    own = [query.node(v) for v in variables if v is not None]
+    return repr(([(node(e.source), e.name, node(e.target), sorted(e.properties.items())) for e in edges], [(n.id, sorted(n.properties.items())) for n in own]))
+
+
+def open_sides(catalog: GraphCatalog, query: QueryGraph, edges: int) -> Sides | None:
+    """The sides of a cycle over ``edges`` edges whose paths have the fewest rows; None if these are too many, or it is no such cycle."""
+    seen: dict[str, tuple[float, float]] = {}
+
+    def rows(own: tuple[EdgePattern, ...], mid: str | None) -> tuple[float, float]:
+        if mid is None:
+            return 0.0, 0.0
+        kind = _kind(query, own, mid)
+        if kind not in seen:
+            seen[kind] = _path_rows(catalog, query, *own, mid)
+        return seen[kind]
+
+    sized = [(way, [rows(*side) for side in way[1]]) for way in cycle_sides(query)]
+    fit = [(sum(n for n, _ in sizes), way) for way, sizes in sized if max(most for _, most in sizes) <= OPEN * TASK_EDGES]
+    least, way = min(fit, key=lambda x: x[0], default=(0.0, None))
+    return way if least <= OPEN * edges else None
+
+
+def closed(catalog: GraphCatalog, query: QueryGraph, way: Sides, edges: int, *, matching: str = "regex") -> DataFrame:
+    """The distinct matches of a cycle's variables by its sides, a column of ids for each.
+
+    A vertex without a filter is looked up once; those with one on every edge pattern that they end. Sides that differ
+    in names alone are one plan until they are dealt, so their exchange serves both.
+    """
+    (a, b), sides = way
+    alike = len({_kind(query, own, a, b, mid) for own, mid in sides}) == 1
+
+    def side(own: tuple[EdgePattern, ...], mid: str | None, ends: bool) -> DataFrame:
+        label = {a: "__a", b: "__b", mid: "__m"}
+        parts, asked = [], set() if ends else {a, b}
+        for e in own:
+            rows = edge_frame(catalog, query, e).select(*[F.col(f"{e.predicate_id}__{end}").alias(label[v]) for end, v in (("src", e.source), ("dst", e.target))])
+            for v in sorted((e.source, e.target), key=lambda v: v == mid):
+                n = query.node(v)
+                if v == mid:
+                    rows = dealt(rows, edges, "__m", most=TASK_EDGES)
+                if v not in asked or n.id or n.properties:
+                    asked.add(v)
+                    rows = rows.join(vertex_frame(catalog, n, matching=matching, bare=True).select(F.col("id").alias(label[v])), label[v], "left_semi")
+            parts.append(rows)
+        if mid is None:
+            return dealt(parts[0], edges, "__a", "__b", most=TASK_EDGES).distinct().select(F.col("__a").alias(a), F.col("__b").alias(b))
+        path = parts[0].join(parts[1], "__m").select("__a", "__m", "__b").distinct()  # dealt by the middle already
+        return dealt(path, edges, "__a", "__b", most=TASK_EDGES).select(F.col("__a").alias(a), F.col("__m").alias(mid), F.col("__b").alias(b))
+
+    left, right = (side(*s, i == 0 or alike) for i, s in enumerate(sides))
+    return left.join(right, [a, b]).select(*variable_order(query))
+
+
 def node_bindings(catalog: GraphCatalog, query: QueryGraph, *, matching: str = "regex", steps: list | None = None) -> DataFrame:
     """The distinct matches of the pattern's variables, a column of ids for each.
 
@@ -91,6 +181,11 @@ def node_bindings(catalog: GraphCatalog, query: QueryGraph, *, matching: str = "
         raise ValueError("overlap edges aren't joined on keys; use compiler.bindings")
     order = variable_order(query)
     edges = sum(edge_frame(catalog, query, e).count() for e in query.edges)
+    if way := open_sides(catalog, query, edges):
+        found = closed(catalog, query, way, edges, matching=matching)
+        if steps is not None:
+            steps.append((order[-1], found, found))
+        return found
     own = {e.predicate_id: pairs(catalog, query, e, matching, edges) for e in query.edges}
     found: DataFrame | None = None
     for at, new in enumerate(order):

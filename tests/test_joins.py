@@ -141,6 +141,44 @@ def test_generic_join_deals_pairs_by_the_edges(spark, data, monkeypatch):
     assert rows(generic.node_bindings(g, _FOUR)) == want
 
 
+def test_a_cycle_meets_at_the_ends_of_its_paths(spark, data):
+    """Nothing is proposed that isn't found, and one path, dealt once, serves both sides."""
+    g, steps = star_graph(spark, data), []
+    found = generic.node_bindings(g, _FOUR, steps=steps)
+    assert found.columns == ["c", "o", "p", "q"] and found.distinct().count() == found.count() == compiler.bindings(g, _FOUR).select("c__id", "o__id", "p__id", "q__id").distinct().count()
+    assert max(proposed.count() for _, proposed, _ in steps) == found.count()
+    found.collect()
+    assert "ReusedExchange" in plan(found)
+
+
+ODD_CYCLES = CYCLES | {
+    "four, a filter": q([("x", "a", "1"), ("y", "b"), ("w", "a"), ("v", "b")], [("e", "x", "y"), ("e", "w", "y"), ("e", "w", "v"), ("e", "x", "v")]),
+    "four, both filtered": q([("x", "a"), ("y", "b", "2"), ("w", "a"), ("v", "b", "3")], [("e", "x", "y"), ("e", "w", "y"), ("e", "w", "v"), ("e", "x", "v")]),
+    "four kinds": q([("x", "a"), ("y", "b"), ("z", "c"), ("w", "a")], [("e", "x", "y"), ("f", "y", "z"), ("g", "w", "z"), ("l", "x", "w")]),
+    "one type": q([("x", "a"), ("y", "a"), ("z", "a")], [("l", "x", "y"), ("l", "y", "z"), ("l", "z", "x")]),
+}
+
+
+@pytest.mark.parametrize("name", ["triangle", "four", "anchored", "four, a filter", "four, both filtered", "four kinds", "one type"])
+def test_sides_of_a_cycle_find_the_matches(spark, name, monkeypatch):
+    """Edges hang in the air or are parallel in these graphs; by sides, and one variable at a time."""
+    g, query = small(spark, 3), ODD_CYCLES[name]
+    names = generic.variable_order(query)
+    want = rows(compiler.bindings(g, query).select(*[f"{v}__id" for v in names]).distinct())
+    assert generic.cycle_sides(query) and generic.open_sides(g, query, 1000)
+    monkeypatch.setattr(generic, "OPEN", 1000)
+    assert rows(generic.node_bindings(g, query).select(*names)) == want
+    monkeypatch.setattr(generic, "OPEN", 0)
+    assert rows(generic.node_bindings(g, query).select(*names)) == want
+
+
+def test_long_paths_and_other_patterns_have_no_open_sides(spark):
+    hub = graph(spark, {"t": list(range(200))}, {("t", "l", "t"): [(i, 0) for i in range(200)] + [(0, i) for i in range(200)]})
+    ring = q([("x", "t"), ("y", "t"), ("z", "t")], [("l", "x", "y"), ("l", "y", "z"), ("l", "z", "x")])
+    assert generic.open_sides(hub, ring, 1200) is None
+    assert not any(generic.cycle_sides(CYCLES[name]) for name in ("both ways", "loop", "triangle and more", "two parts", "no edges"))
+
+
 def test_overlap_edges_are_refused(spark, data):
     with pytest.raises(ValueError, match="overlap"):
         generic.node_bindings(star_graph(spark, data), q([("a", "interval"), ("b", "interval")], [("overlaps_with", "a", "b")]))
