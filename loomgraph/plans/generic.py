@@ -141,35 +141,53 @@ def open_sides(catalog: GraphCatalog, query: QueryGraph, edges: int) -> Sides |
     return way if least <= OPEN * edges else None
 
 
-def closed(catalog: GraphCatalog, query: QueryGraph, way: Sides, edges: int, *, matching: str = "regex") -> DataFrame:
-    """The distinct matches of a cycle's variables by its sides, a column of ids for each.
+def closed(catalog: GraphCatalog, query: QueryGraph, way: Sides, edges: int, *, matching: str = "regex", whole: bool = False) -> DataFrame:
+    """The distinct matches of a cycle's variables by its sides, a column of ids for each; if ``whole`` the bindings,
+    whose edges and vertices bring their columns along.
 
     A vertex without a filter is looked up once; those with one on every edge pattern that they end. Sides that differ
-    in names alone are one plan until they are dealt, so their exchange serves both.
+    in names alone are one plan until they are dealt, so their exchange serves both (unless ``whole``).
     """
     (a, b), sides = way
-    alike = len({_kind(query, own, a, b, mid) for own, mid in sides}) == 1
+    alike = not whole and len({_kind(query, own, a, b, mid) for own, mid in sides}) == 1
 
     def side(own: tuple[EdgePattern, ...], mid: str | None, ends: bool) -> DataFrame:
         label = {a: "__a", b: "__b", mid: "__m"}
         parts, asked = [], set() if ends else {a, b}
         for e in own:
-            rows = edge_frame(catalog, query, e).select(*[F.col(f"{e.predicate_id}__{end}").alias(label[v]) for end, v in (("src", e.source), ("dst", e.target))])
+            rows = edge_frame(catalog, query, e).withColumnsRenamed({f"{e.predicate_id}__src": label[e.source], f"{e.predicate_id}__dst": label[e.target]})
+            rows = rows if whole else rows.select(label[e.source], label[e.target])
             for v in sorted((e.source, e.target), key=lambda v: v == mid):
                 n = query.node(v)
                 if v == mid:
                     rows = dealt(rows, edges, "__m", most=TASK_EDGES)
                 if v not in asked or n.id or n.properties:
+                    there = vertex_frame(catalog, n, matching=matching).withColumnRenamed(f"{v}__id", label[v])
+                    rows = rows.join(there, label[v]) if whole and v not in asked else rows.join(there.select(label[v]), label[v], "left_semi")
                     asked.add(v)
-                    rows = rows.join(vertex_frame(catalog, n, matching=matching, bare=True).select(F.col("id").alias(label[v])), label[v], "left_semi")
             parts.append(rows)
         if mid is None:
-            return dealt(parts[0], edges, "__a", "__b", most=TASK_EDGES).distinct().select(F.col("__a").alias(a), F.col("__b").alias(b))
-        path = parts[0].join(parts[1], "__m").select("__a", "__m", "__b").distinct()  # dealt by the middle already
-        return dealt(path, edges, "__a", "__b", most=TASK_EDGES).select(F.col("__a").alias(a), F.col("__m").alias(mid), F.col("__b").alias(b))
+            rows = dealt(parts[0], edges, "__a", "__b", most=TASK_EDGES)
+            rows = rows if whole else rows.distinct()
+        else:
+            path = parts[0].join(parts[1], "__m")
+            path = path if whole else path.select("__a", "__m", "__b").distinct()  # dealt by the middle already
+            rows = dealt(path, edges, "__a", "__b", most=TASK_EDGES)
+        return rows.select(*[F.col(x).alias(v) for v, x in label.items() if v is not None], *[c for c in rows.columns if c not in label.values()])
 
     left, right = (side(*s, i == 0 or alike) for i, s in enumerate(sides))
-    return left.join(right, [a, b]).select(*variable_order(query))
+    found = left.join(right, [a, b])
+    if not whole:
+        return found.select(*variable_order(query))
+    ends = [F.col(v).alias(f"{e.predicate_id}__{end}") for e in query.edges for end, v in (("src", e.source), ("dst", e.target))]
+    return found.select(*[F.col(n.node_id).alias(f"{n.node_id}__id") for n in query.nodes], *ends, *[c for c in found.columns if c not in {n.node_id for n in query.nodes}])
+
+
+def _edges(catalog: GraphCatalog, query: QueryGraph) -> int:
+    """The number of edges of all patterns."""
+    if any(e.name in VIRTUAL for e in query.edges):
+        raise ValueError("overlap edges aren't joined on keys; use compiler.bindings")
+    return sum(edge_frame(catalog, query, e).count() for e in query.edges)
 
 
 def node_bindings(catalog: GraphCatalog, query: QueryGraph, *, matching: str = "regex", steps: list | None = None) -> DataFrame:
@@ -177,10 +195,7 @@ def node_bindings(catalog: GraphCatalog, query: QueryGraph, *, matching: str = "
 
     ``steps``, if given, gets ``(variable, proposed, kept)`` of each extension, for measurements.
     """
-    if any(e.name in VIRTUAL for e in query.edges):
-        raise ValueError("overlap edges aren't joined on keys; use compiler.bindings")
-    order = variable_order(query)
-    edges = sum(edge_frame(catalog, query, e).count() for e in query.edges)
+    order, edges = variable_order(query), _edges(catalog, query)
     if way := open_sides(catalog, query, edges):
         found = closed(catalog, query, way, edges, matching=matching)
         if steps is not None:
@@ -220,6 +235,9 @@ def cyclic_bindings(catalog: GraphCatalog, query: QueryGraph, *, matching: str =
     """The same rows and columns as ``compiler.bindings``, found one variable at a time."""
     if not query.edges:
         return bindings(catalog, query, matching=matching)
+    edges = _edges(catalog, query)
+    if way := open_sides(catalog, query, edges):
+        return closed(catalog, query, way, edges, matching=matching, whole=True)
     found = node_bindings(catalog, query, matching=matching)
     found = found.select(*[F.col(v).alias(f"{v}__id") for v in found.columns])
     for e in query.edges:

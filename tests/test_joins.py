@@ -172,6 +172,27 @@ def test_sides_of_a_cycle_find_the_matches(spark, name, monkeypatch):
     assert rows(generic.node_bindings(g, query).select(*names)) == want
 
 
+@pytest.mark.parametrize("name", ["triangle", "four", "anchored", "four, a filter", "four, both filtered", "four kinds", "one type"])
+def test_sides_of_a_cycle_find_the_bindings(spark, name, monkeypatch):
+    """Edges, parallel ones too, and vertices, one of them there twice, bring their columns along."""
+    made, query = small(spark, 3), ODD_CYCLES[name]
+    named = {x: made.vertices(x).select("id", F.concat(F.lit(x), F.col("id")).alias("name")) for x in "abc"}
+    g = type(made)(spark, named | {"a": named["a"].unionAll(named["a"].where("id = 1"))}, {t: made.edges(*t) for t in made.triples()})
+    want = compiler.bindings(g, query)
+    for most in (1000, 0):
+        monkeypatch.setattr(generic, "OPEN", most)
+        got = generic.cyclic_bindings(g, query)
+        assert set(got.columns) == set(want.columns) and rows(got.select(*want.columns)) == rows(want)
+
+
+def test_a_triangle_takes_its_edges_along(spark, data):
+    """No join after the one that closes the cycle: two of lines, and one for each vertex."""
+    found = generic.cyclic_bindings(star_graph(spark, data), _TRIANGLE)
+    found = found.select("s__id", "o__id", "p__id", "p0__uid", "p1__uid", "p2__uid")
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join " in line for line in text.splitlines()) == 5 and "Aggregate" not in text
+
+
 def test_long_paths_and_other_patterns_have_no_open_sides(spark):
     hub = graph(spark, {"t": list(range(200))}, {("t", "l", "t"): [(i, 0) for i in range(200)] + [(0, i) for i in range(200)]})
     ring = q([("x", "t"), ("y", "t"), ("z", "t")], [("l", "x", "y"), ("l", "y", "z"), ("l", "z", "x")])
