@@ -429,3 +429,23 @@ def test_nra_gives_the_top_k_and_stops_early_where_it_can():
     s = topk.Search(np.array([-1]), np.array([[1] + [0] * 7]), 5)
     s.block(np.arange(2000), spiky)
     assert s.found[2].tolist() == [1999, 1998, 1997, 1996, 1995] and s.read < 2 * 8 * 2000
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_bags_tell_long_unlike_texts_apart(many, monkeypatch):
+    """Two texts without a word in common: far over the edits that a similarity of 0.8 allows."""
+    r = np.random.default_rng(5)
+    words = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(400)]
+    a, b = " ".join(words[:60]), " ".join(words[200:260])
+    near = a[:200] + "xyz" + a[220:]
+    monkeypatch.setattr(lines, "WIDE_BAGS", 2 if many else 1 << 14)
+    least = lines.least_edits(lines._bags([a, b, near], 3), np.array([0, 0]), np.array([1, 2]))
+    assert least[0] <= lines.edit_distance(a, b) and least[1] <= lines.edit_distance(a, near) <= 20
+    assert many or least[0] > 0.2 * len(a)
+
+
+def test_bags_of_many_texts():
+    """Counts of more texts than are counted at once."""
+    texts = ["ab" * (i % 7) + "c" for i in range(9001)]
+    for q, bag in enumerate(lines._bags(texts, 3), 1):
+        assert bag.sum(1).tolist() == [max(0, len(t) - q + 1) for t in texts]
